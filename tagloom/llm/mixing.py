@@ -23,6 +23,7 @@ from tagloom.runtime import checkpoint
 # The weights, which repeat over the ordered sources.
 WEIGHTS = (3.0, 1.0, 2.0)
 WORD = r"[^\x20\x09-\x0D]+"
+FEW = 10_000
 DIGITS = 3  # hex digits of the order's hash that make a bucket: 4096 buckets a source
 
 
@@ -82,8 +83,13 @@ def mix_plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def _copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows with ord and source, joined with their source's plan; the plan has one row per source."""
-    p = plan.withColumnRenamed("source", "__source")
+    """rows with ord and source, joined with their source's plan, which has one row per source.
+
+    The plan is broadcast if it has FEW rows at most, so that a hot source's rows stay where they are; beyond, it is a shuffled join.
+    """
+    p = checkpoint(plan).withColumnRenamed("source", "__source")
+    if p.limit(FEW + 1).count() <= FEW:
+        p = F.broadcast(p)
     both = rows.join(p, rows["source"].cast("string").eqNullSafe(p["__source"]))
     return both.withColumn("__copies", F.col("whole") + (F.col("ord") <= F.col("upto_ord")).cast("long"))
 
@@ -96,7 +102,7 @@ def mix_report(docs: DataFrame, seed: int = 42, **params) -> DataFrame:
 
 def mix_documents(docs: DataFrame, seed: int = 42, **params) -> DataFrame:
     """The documents, each repeated as often as the mix takes it and left out if that is 0; all columns are kept."""
-    plan = checkpoint(mix_plan(checkpoint(sized(docs, seed=seed)), **params))
+    plan = mix_plan(checkpoint(sized(docs, seed=seed)), **params)
     size = word_count(docs["text"])
     taken = _copies(docs.withColumn("ord", seeded_order(docs["doc_id"].cast("long"), size, seed)), plan)
     taken = taken.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
