@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.plans import interval_queries, tag_queries  # noqa: F401
+from tagloom.plans import interval_queries, phasing_queries, tag_queries  # noqa: F401
 from tagloom.plans.registry import QUERIES, SQL
 
 
