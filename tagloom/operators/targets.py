@@ -36,7 +36,8 @@ def window_abundance(sites: DataFrame, tagpos: DataFrame, small: int = 1, large:
 def map_tags_exact(tags: DataFrame, seqs: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
     """J21. Exact, same-strand, end-to-end hits (tag, name, at): substrings of the given sizes joined with the tags by equality."""
     starts = lambda n: F.sequence(F.lit(1), F.length("seq") - n + 1)
-    subs = F.flatten(F.array(*[F.when(F.length("seq") >= n, F.transform(starts(n), lambda i, n=n: F.struct(F.substr("seq", i, F.lit(n)).alias("sub"), i.alias("at")))).otherwise(F.array().cast("array<struct<sub:string,at:int>>")) for n in sizes]))
+    cut = lambda n: F.transform(starts(n), lambda i: F.struct(F.substr("seq", i, F.lit(n)).alias("sub"), i.alias("at")))
+    subs = F.flatten(F.array(*[F.when(F.length("seq") >= n, cut(n)).otherwise(F.array().cast("array<struct<sub:string,at:int>>")) for n in sizes]))
     parts = seqs.select("name", F.explode(subs).alias("s")).select("name", F.col("s.sub").alias("sub"), F.col("s.at").alias("at"))
     return parts.join(tags.select("tag").distinct(), F.col("sub") == F.col("tag")).select("tag", "name", "at")
 
@@ -139,9 +140,10 @@ def pair_features(profiles: DataFrame) -> DataFrame:
     in_seed = lambda x: x["i"].between(2, 10)
     gc = lambda x: (x["kind"] == "M") & x["m"].isin("G", "C")
     au = lambda x: (x["kind"] == "M") & x["m"].isin("A", "T")
+    both = lambda f, g: lambda x: f(x) & g(x)
     cols = []
     for name, f in (("gc", gc), ("au", au), ("wobble", lambda x: x["kind"] == "W"), ("mismatch", lambda x: x["kind"] == "X"), ("gap", lambda x: x["kind"].isin("B", "D"))):
-        cols += [count(f).alias(name), count(lambda x, f=f: f(x) & in_seed(x)).alias(f"seed_{name}")]
+        cols += [count(f).alias(name), count(both(f, in_seed)).alias(f"seed_{name}")]
     return profiles.select("id", *cols)
 
 
