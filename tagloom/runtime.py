@@ -46,3 +46,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Bounds the rows of an Arrow batch, since one text may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+FEW = 10_000
+
+
+def few_rows(df: DataFrame, most: int = FEW) -> DataFrame:
+    """A checkpointed copy, marked for broadcast only if it is found to have ``most`` rows at most."""
+    from pyspark.sql import functions as F
+
+    kept = checkpoint(df)
+    return F.broadcast(kept) if kept.limit(most + 1).count() <= most else kept
