@@ -108,41 +108,63 @@ class Model:
         return (float(d.sum()) / n, float(np.maximum(d - 1.0, 0.0).sum()) / n) if n else (0.0, 0.0)
 
 
-def discount(counts: np.ndarray) -> float:
-    n1, n2 = int((counts == 1).sum()), int((counts == 2).sum())
+def discount(n1: int, n2: int) -> float:
+    """The usual estimate from how many things are counted once and twice."""
     return n1 / (n1 + 2 * n2) if n1 and n2 else 0.75
 
 
-def fit_model(pairs: np.ndarray, cls: np.ndarray, n: np.ndarray, spread: np.ndarray, df: np.ndarray, fewest: int) -> Model:
-    """From the counts n of (class, pair) rows, the documents of each class that hold each word, and the shared document
-    frequencies of all buckets.
+@dataclass
+class Counts:
+    """What is left of the class counts after pruning, for the classes 0 and 1; all that the driver sees of them."""
+
+    word: np.ndarray  # buckets of established words
+    before: np.ndarray  # 2 x words, continuation counts
+    continuations: list[tuple[int, int, int]]  # for each class: sum, words of one, words of two
+    pair: np.ndarray  # sorted keys h << BITS | w of established pairs
+    times: np.ndarray  # 2 x pairs
+    history: np.ndarray  # 2 x pairs, how often the pair's history occurs
+    once_twice: list[tuple[int, int]]  # for each class: pairs counted once, twice
+
+
+def class_counts(pairs: DataFrame, holders: DataFrame, fewest: int) -> Counts:
+    """From pairs (cls, h, w, n) and holders (cls, w, n: documents of the class that hold the word).
 
     A word's continuation count is its number of distinct histories, at most its number of documents: neither one
     document's pattern nor the copies of one document make an expression common.
 
     Words with fewer than ``fewest`` continuations in both classes together, pairs that hold such a word and pairs counted
-    fewer times are pruned; the mass that pruning and discounts leave goes to the next lower order, so rare expressions are the shared backoff's alone.
+    fewer times are pruned; the mass that pruning and discounts leave goes to the next lower order, so rare expressions
+    are the shared backoff's alone.
     """
+    of = lambda c, x: F.coalesce(F.sum(F.when(F.col("cls") == c, F.col(x))), F.lit(0))
+    d = holders.select(F.col("cls").alias("dc"), F.col("w").alias("dw"), F.col("n").alias("docs"))
+    words = pairs.groupBy("cls", "w").agg(F.count("*").alias("histories")).join(d, (F.col("cls") == F.col("dc")) & (F.col("w") == F.col("dw")))
+    words = checkpoint(words.select("cls", "w", F.least("histories", "docs").alias("b")))
+    sums = {r["cls"]: (r["s"], r["n1"], r["n2"]) for r in words.groupBy("cls").agg(F.sum("b").alias("s"), F.count_if(F.col("b") == 1).alias("n1"), F.count_if(F.col("b") == 2).alias("n2")).collect()}
+    often = checkpoint(words.groupBy("w").agg(of(0, "b").alias("b0"), of(1, "b").alias("b1")).filter(F.col("b0") + F.col("b1") >= fewest))
+    single = {r["cls"]: (r["n1"], r["n2"]) for r in pairs.groupBy("cls").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()}
+    good = pairs.join(often.select("w"), "w", "left_semi").join(often.select(F.col("w").alias("h")), "h", "left_semi")
+    good = good.groupBy("h", "w").agg(of(0, "n").alias("n0"), of(1, "n").alias("n1")).filter(F.col("n0") + F.col("n1") >= fewest)
+    after = pairs.groupBy(F.col("h").alias("hh")).agg(of(0, "n").alias("h0"), of(1, "n").alias("h1"))
+    good = good.join(after, F.col("h") == F.col("hh")).select((F.col("h") * BUCKETS + F.col("w")).alias("key"), "n0", "n1", "h0", "h1")
+    w, k = often.toArrow(), good.toArrow().sort_by("key")
+    get = lambda t, *names: np.stack([t.column(x).to_numpy() for x in names])
+    return Counts(get(w, "w")[0], get(w, "b0", "b1"), [sums.get(c, (0, 0, 0)) for c in (0, 1)], get(k, "key")[0], get(k, "n0", "n1"), get(k, "h0", "h1"), [single.get(c, (0, 0)) for c in (0, 1)])
+
+
+def fit_model(counts: Counts, df: np.ndarray) -> Model:
+    """From the class counts and the shared document frequencies of all buckets."""
     shared = (df + 1.0) / (df.sum() + BUCKETS)
     unigram, back = np.empty((2, BUCKETS), np.float32), np.ones((2, BUCKETS), np.float32)
-    every, where = np.unique(pairs, return_inverse=True)
-    total = np.bincount(where, n, len(every)) if len(every) else np.empty(0)
-    before = np.stack([np.bincount(pairs[cls == c] & (BUCKETS - 1), minlength=BUCKETS) for c in (0, 1)])  # N_c(. w)
-    before = np.minimum(before, spread)
-    often = before.sum(0) >= fewest
-    kept = np.flatnonzero((total >= fewest) & often[every >> BITS] & often[every & (BUCKETS - 1)])
-    pair_p = np.zeros((2, len(kept)))
+    pair_p = np.zeros((2, len(counts.pair)), np.float32)
     for c in (0, 1):
-        own, k = pairs[cls == c], n[cls == c].astype(np.float64)
-        h = own >> BITS
-        p = np.where(often, np.maximum(before[c] - discount(before[c]), 0) / max(before[c].sum(), 1), 0.0)
-        unigram[c] = p + (1 - p.sum()) * shared
-        n_h = np.bincount(h, k, BUCKETS)
-        full = np.zeros(len(every))
-        full[np.searchsorted(every, own)] = np.maximum(k - discount(k), 0) / np.maximum(n_h[h], 1)
-        pair_p[c] = full[kept]
-        back[c] = 1 - np.bincount(every[kept] >> BITS, pair_p[c], BUCKETS)
-    return Model(unigram, back, every[kept], pair_p)
+        total, n1, n2 = counts.continuations[c]
+        p = np.maximum(counts.before[c] - discount(n1, n2), 0) / max(total, 1)
+        unigram[c] = (1 - p.sum()) * shared
+        unigram[c, counts.word] += p.astype(np.float32)
+        pair_p[c] = np.maximum(counts.times[c] - discount(*counts.once_twice[c]), 0) / np.maximum(counts.history[c], 1)
+        back[c] = 1 - np.bincount(counts.pair >> BITS, pair_p[c], BUCKETS)
+    return Model(unigram, np.maximum(back, 1e-6), counts.pair, pair_p)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, ...]:
@@ -226,16 +248,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 8000, fewest: int = 10
             key, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
-    counts = sample.filter("NOT calibrate").select("toxic", "words").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    key, n = counts.column("key").to_numpy(), counts.column("n").to_numpy()
-    cls, word = (key >> 61).astype(np.int8), (key >> 60 & 1).astype(bool)
-    spread = np.zeros((2, BUCKETS), np.int64)
-    spread[cls[word], key[word] & (BUCKETS - 1)] = n[word]
-    key, cls, n = key[~word] & ((1 << 60) - 1), cls[~word], n[~word]
+    keys = sample.filter("NOT calibrate").select("toxic", "words").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    part = lambda shift, size: F.shiftright("key", shift).bitwiseAND(size - 1)
+    keys = checkpoint(keys.select(F.shiftright("key", 61).cast("int").alias("cls"), (part(60, 2) == 1).alias("word"), part(BITS, BUCKETS).alias("h"), part(0, BUCKETS).alias("w"), "n"))
+    counts = class_counts(keys.filter("NOT word").drop("word"), keys.filter("word").select("cls", "w", "n"), fewest)
     frequencies = document_frequencies(docs).toArrow()
-    df = np.zeros(BUCKETS)
+    df = np.zeros(BUCKETS, np.float32)
     df[frequencies.column("bucket").to_numpy()] = frequencies.column("df").to_numpy()
-    model = fit_model(key, cls, n, spread, df, fewest)
+    model = fit_model(counts, df)
     held = sample.filter("calibrate").select("toxic", "words")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
