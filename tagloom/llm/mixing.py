@@ -18,12 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.runtime import checkpoint
+from tagloom.runtime import checkpoint, few_rows
 
 # The weights, which repeat over the ordered sources.
 WEIGHTS = (3.0, 1.0, 2.0)
 WORD = r"[^\x20\x09-\x0D]+"
-FEW = 10_000
 DIGITS = 3  # hex digits of the order's hash that make a bucket: 4096 buckets a source
 
 
@@ -85,11 +84,9 @@ def mix_plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 def _copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows with ord and source, joined with their source's plan, which has one row per source.
 
-    The plan is broadcast if it has FEW rows at most, so that a hot source's rows stay where they are; beyond, it is a shuffled join.
+    The plan is broadcast if it is found to have few rows, so that a hot source's rows stay where they are; beyond, it is a shuffled join.
     """
-    p = checkpoint(plan).withColumnRenamed("source", "__source")
-    if p.limit(FEW + 1).count() <= FEW:
-        p = F.broadcast(p)
+    p = few_rows(plan.withColumnRenamed("source", "__source"))
     both = rows.join(p, rows["source"].cast("string").eqNullSafe(p["__source"]))
     return both.withColumn("__copies", F.col("whole") + (F.col("ord") <= F.col("upto_ord")).cast("long"))
 

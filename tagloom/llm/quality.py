@@ -4,7 +4,7 @@ Every text is read once for its statistics. For each language and source a minim
 fitted to transformed statistic vectors of all its documents that pass the base rules: from a robust start (median and
 scaled MAD of each component), concentration steps take mean and covariance of the h nearest documents by the distance so
 far. Each step is a grouped percentile and a grouped sum of moments, so a hot source is pre-aggregated in all tasks and
-only one row per group meets in one place. A document is rejected if its squared Mahalanobis distance under the final,
+only one row per group meets in one place; the groups' rows are broadcast to the documents if there are few of them. A document is rejected if its squared Mahalanobis distance under the final,
 consistency-corrected estimate is above the cut. Groups smaller than ``least`` documents borrow the estimate of all documents,
 and the covariance is ridged, so a group of equal documents rejects nothing by rounding.
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.runtime import checkpoint, ship, small_batches
+from tagloom.runtime import checkpoint, few_rows, ship, small_batches
 
 # The classes of characters and the limits of the base rules.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -156,25 +156,25 @@ def quality_verdicts(docs: DataFrame, keep_share: float = 0.75, steps: int = 3,
     own = F.concat_ws("\x1f", named("lang"), named("source"))
     good = stats.filter("NOT base_failed")
     sizes = good.groupBy(own.alias("own")).agg(F.count("*").alias("size"))
-    keyed = stats.withColumn("own", own).join(sizes, "own", "left").withColumn("grp", F.when(F.col("size") >= least, F.col("own")).otherwise(F.lit("")))
+    keyed = stats.withColumn("own", own).join(few_rows(sizes), "own", "left").withColumn("grp", F.when(F.col("size") >= least, F.col("own")).otherwise(F.lit("")))
     keyed = checkpoint(keyed.drop("own", "size"))
     # the pooled group holds every document, so that small groups have an estimate to borrow
     fit = keyed.filter("NOT base_failed").select("grp", *FEATURES).withColumn("grp", F.explode(F.array_distinct(F.array(F.col("grp"), F.lit("")))))
-    middle = fit.groupBy("grp").agg(*[F.percentile_approx(f, 0.5, 2000).alias(f"m_{f}") for f in FEATURES])
+    middle = few_rows(fit.groupBy("grp").agg(*[F.percentile_approx(f, 0.5, 2000).alias(f"m_{f}") for f in FEATURES]))
     spread = fit.join(middle, "grp").groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{f}")), 0.5, 2000).alias(f"d_{f}") for f in FEATURES])
     start = middle.join(spread, "grp")
     diagonal = [F.lit(1.0) / (F.pow(F.col(f"d_{f}") * 1.4826, 2) + ridge) for f in FEATURES]
     zero = F.lit(0.0)
-    est = checkpoint(start.select("grp", F.array(*[F.col(f"m_{f}") for f in FEATURES]).alias("center"), F.array(*[diagonal[i] if i == j else zero for i in range(p) for j in range(p)]).alias("inverse")))
+    est = few_rows(start.select("grp", F.array(*[F.col(f"m_{f}") for f in FEATURES]).alias("center"), F.array(*[diagonal[i] if i == j else zero for i in range(p) for j in range(p)]).alias("inverse")))
     for _ in range(steps):
         far = fit.join(est, "grp").withColumn("d", _distance()).select("grp", "d", *FEATURES)
-        border = far.groupBy("grp").agg(F.percentile_approx("d", keep_share, 2000).alias("border"))
+        border = few_rows(far.groupBy("grp").agg(F.percentile_approx("d", keep_share, 2000).alias("border")))
         near = far.join(border, "grp").filter("d <= border")
-        est = checkpoint(_estimate(_moments(near), ridge))
+        est = few_rows(_estimate(_moments(near), ridge))
     # consistency: scaled so that the median distance is that of a chi-square with p degrees of freedom
     typical = p * (1 - 2 / (9 * p)) ** 3
     scale = fit.join(est, "grp").groupBy("grp").agg(F.greatest(F.percentile_approx(_distance(), 0.5, 2000) / F.lit(typical), F.lit(1.0)).alias("scale"))
-    final = est.join(scale, "grp").select(F.col("grp").alias("g"), "center", "inverse", "scale")
+    final = few_rows(est.join(scale, "grp").select(F.col("grp").alias("g"), "center", "inverse", "scale"))
     judged = keyed.join(final, keyed["grp"] == F.col("g"), "left").withColumn("distance", _distance() / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
