@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.plans import expression_queries, interval_queries, phasing_queries, tag_queries, target_queries  # noqa: F401
+from tagloom.plans import expression_queries, interval_queries, phasing_queries, source_queries, tag_queries, target_queries  # noqa: F401
 from tagloom.plans.registry import QUERIES, SQL
 
 
