@@ -244,8 +244,9 @@ def read_10x(spark: SparkSession, matrix: str, genes: str, cells: str) -> DataFr
         return rows.withColumn("row", F.monotonically_increasing_id() + 1)
 
     g, c = names(genes, "gene"), names(cells, "cell")
-    sizes = m.groupBy().agg(F.max(F.struct("cnt", "i", "j")).alias("s"))
-    body = m.crossJoin(F.broadcast(sizes)).filter("NOT (cnt = s.cnt AND i = s.i AND j = s.j)")  # one row: the sizes line has the largest count, all entries
+    sizes = m.agg(F.max("i").alias("mi"), F.max("j").alias("mj"), (F.count("*") - 1).alias("entries"))
+    # one row; the sizes line holds both largest numbers and the number of entries
+    body = m.crossJoin(F.broadcast(sizes)).filter("NOT (i = mi AND j = mj AND cnt = entries)")
     return body.join(g, F.col("i") == g["row"]).join(c, F.col("j") == c["row"]).select("cell", "gene", "cnt")
 
 
