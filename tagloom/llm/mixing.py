@@ -100,7 +100,8 @@ def mix_report(docs: DataFrame, seed: int = 42, **params) -> DataFrame:
 def mix_documents(docs: DataFrame, seed: int = 42, **params) -> DataFrame:
     """The documents, each repeated as often as the mix takes it and left out if that is 0; all columns are kept."""
     plan = mix_plan(checkpoint(sized(docs, seed=seed)), **params)
-    size = word_count(docs["text"])
-    taken = _copies(docs.withColumn("ord", seeded_order(docs["doc_id"].cast("long"), size, seed)), plan)
-    taken = taken.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return taken.select(*[f"`{c}`" for c in docs.columns])
+    order = seeded_order(docs["doc_id"].cast("long"), word_count(docs["text"]), seed)
+    # the row travels as one value, so columns of any name pass through
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["source"].cast("string").alias("source"), order.alias("ord"))
+    taken = _copies(packed, plan).filter("__copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select("row.*")

@@ -85,7 +85,7 @@ def contexts(data: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: int =
         return h[anchor[first]].view(np.int64), (code ^ windows.astype(U64)).view(np.int64), start, windows
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+def _pieces(texts: list[str | None], width: int = WIDTH) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """Documents long enough, in pieces: ordinals, bytes, ends."""
     held, room = [], 0
     for i, t in enumerate([*texts, None]):
@@ -93,7 +93,7 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np
         if held and (last or room > PIECE):
             yield [k for k, _ in held], np.frombuffer(b"".join(x for _, x in held), np.uint8), np.cumsum([len(x) for _, x in held])
             held, room = [], 0
-        if not last and t and len(x := t.encode("utf-8", "surrogatepass")) >= WIDTH:
+        if not last and t and len(x := t.encode("utf-8", "surrogatepass")) >= width:
             held.append((i, x))
             room += len(x)
 
@@ -134,7 +134,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rid = b.column(0).to_numpy()
-            for which, data, ends in _pieces(b.column(1).to_pylist()):
+            for which, data, ends in _pieces(b.column(1).to_pylist(), width):
                 fp, ctx, start, windows = contexts(data, ends, width)
                 k = np.searchsorted(ends, start, side="right")
                 begin = np.r_[0, ends[:-1]][k]

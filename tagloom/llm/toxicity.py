@@ -171,7 +171,7 @@ def fit_model(counts: Counts, df: np.ndarray) -> Model:
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, ...]:
     """Weights of the features and a constant, by Newton steps on standardised features."""
     if len(y) == 0 or y.min() == y.max():
-        share = float(y.mean()) / 2 if len(y) else 0.0
+        share = 0.49 * float(y.mean()) if len(y) else 0.0
         return (*[0.0] * x.shape[1], float(np.log(max(share, 1e-9) / (1 - share))))
     mean, sd = x.mean(0), x.std(0) + 1e-12
     z = np.c_[(x - mean) / sd, np.ones(len(x))]
