@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators.intervals import point_join
 
+BLOCK = 200
 LOCUS = "name string, neglog_p long, chr long, lstart long, lend long, lib string"
 
 
@@ -23,38 +24,45 @@ def _dice(a, b) -> float:
     return 2.0 * max(0, min(a.lend, b.lend) - max(a.lstart, b.lstart)) / ((a.lend - a.lstart) + (b.lend - b.lstart))
 
 
+def _by_island(pdf: pd.DataFrame, one) -> pd.DataFrame:
+    """one over each island's rows of a block of islands."""
+    kept = [r for _, rows in pdf.groupby("island", sort=True) for r in one(list(rows.itertuples(index=False)))]
+    return pd.DataFrame(kept, columns=pdf.columns)[["name", "neglog_p", "chr", "lstart", "lend", "lib"]]
+
+
 def self_merge(loci: DataFrame, most: float = 0.45) -> DataFrame:
     """W11. Within a library, of loci that overlap by more than ``most`` the best p stays (the longer of equals, then the first).
 
-    Greedy from the best locus on: a locus goes if a kept one overlaps it. Groups are overlap islands of a library and chromosome.
+    Greedy from the best locus on: a locus goes if a kept one overlaps it. A task takes blocks of BLOCK overlap islands.
     """
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf.itertuples(index=False), key=lambda r: (-r.neglog_p, r.lstart - r.lend, r.lstart, r.name))
+    def one(rows: list) -> list:
         kept: list = []
-        for r in rows:
+        for r in sorted(rows, key=lambda r: (-r.neglog_p, r.lstart - r.lend, r.lstart, r.name)):
             if all(_dice(r, k) <= most for k in kept):
                 kept.append(r)
-        return pd.DataFrame(kept, columns=pdf.columns)[["name", "neglog_p", "chr", "lstart", "lend", "lib"]]
+        return kept
 
-    return _island(loci, ["lib", "chr"]).groupBy("lib", "chr", "island").applyInPandas(merge, LOCUS)
+    rows = _island(loci, ["lib", "chr"]).withColumn("block", F.floor(F.col("island") / BLOCK))
+    return rows.groupBy("lib", "chr", "block").applyInPandas(lambda pdf: _by_island(pdf, one), LOCUS)
 
 
 def merge_libraries(loci: DataFrame, most: float = 0.25) -> DataFrame:
     """W12. Libraries folded in the order of their names: a locus that overlaps none kept by more than ``most`` is added, else the
-    longer of it and the kept one it overlaps most stays. Groups are overlap islands of a chromosome."""
+    longer of it and the kept one it overlaps most stays. A task takes blocks of BLOCK overlap islands."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(rows: list) -> list:
         kept: list = []
-        for r in sorted(pdf.itertuples(index=False), key=lambda r: (r.lib, r.lstart, r.lend, r.name)):
+        for r in sorted(rows, key=lambda r: (r.lib, r.lstart, r.lend, r.name)):
             best = max(range(len(kept)), key=lambda i: (_dice(r, kept[i]), -i), default=-1)
             if best < 0 or _dice(r, kept[best]) <= most:
                 kept.append(r)
             elif r.lend - r.lstart > kept[best].lend - kept[best].lstart:
                 kept[best] = r
-        return pd.DataFrame(kept, columns=pdf.columns)[["name", "neglog_p", "chr", "lstart", "lend", "lib"]]
+        return kept
 
-    return _island(loci, ["chr"]).groupBy("chr", "island").applyInPandas(fold, LOCUS)
+    rows = _island(loci, ["chr"]).withColumn("block", F.floor(F.col("island") / BLOCK))
+    return rows.groupBy("chr", "block").applyInPandas(lambda pdf: _by_island(pdf, one), LOCUS)
 
 
 def best_cluster(rows: DataFrame) -> DataFrame:
