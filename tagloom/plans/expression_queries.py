@@ -85,10 +85,11 @@ def s5(v: Views) -> DataFrame:
     return en.random_regions(_chroms(v), _features(v), 5, 17)
 
 
-@query("S6", "locus", "tag_position", sql="WITH r AS (SELECT name, neglog_p AS it, chr, lstart AS rstart, lend AS rend FROM locus), k AS (SELECT r.name, r.it, count(t.pos) AS k FROM r LEFT JOIN tag_position t ON t.chr=r.chr AND t.pos BETWEEN rstart AND rend GROUP BY 1, 2), q AS (SELECT it, quantile_cont(k, 0.95) AS a, quantile_cont(k, 0.05) AS b FROM k GROUP BY 1) SELECT avg(a) AS mean95, avg(b) AS mean5, quantile_cont(a, 0.5) AS med95, quantile_cont(b, 0.5) AS med5 FROM q")
+@query("S6", "locus", "tag_position", sql="WITH r AS (SELECT name, neglog_p AS it, chr, lstart AS rstart, lend AS rend FROM locus), k AS (SELECT r.name, r.it, count(t.pos) AS k FROM r LEFT JOIN tag_position t ON t.chr=r.chr AND t.pos BETWEEN rstart AND rend GROUP BY 1, 2), q AS (SELECT it, quantile_cont(k, 0.95) AS a, quantile_cont(k, 0.05) AS b FROM k GROUP BY 1) SELECT round(avg(a), 6) AS mean95, round(avg(b), 6) AS mean5, round(quantile_cont(a, 0.5), 6) AS med95, round(quantile_cont(b, 0.5), 6) AS med5 FROM q")
 def s6(v: Views) -> DataFrame:
     r = v.locus.select("name", F.col("neglog_p").alias("it"), "chr", F.col("lstart").alias("rstart"), F.col("lend").alias("rend"))
-    return en.coverage_thresholds(r, v.tag_position.select(F.col("chr").alias("tchr"), "pos").withColumnRenamed("tchr", "chr"))
+    t = en.coverage_thresholds(r, v.tag_position.select("chr", "pos"))
+    return t.select(*[F.round(c, 6).alias(c) for c in t.columns])
 
 
 @query("S7", "locus", "signal", sql="WITH o AS (SELECT 'U' || substr(name, 3) AS name, neglog_p * 10.0::DOUBLE AS ident FROM locus), r AS (SELECT name, val FROM signal WHERE val IS NOT NULL) SELECT o.name, avg(CASE WHEN r.val > o.ident THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p FROM o JOIN r ON r.name=o.name GROUP BY 1")
@@ -145,9 +146,9 @@ def s14(v: Views) -> DataFrame:
     return ex.sc_qc(v.cell)
 
 
-@query("S15", "cell", sql="SELECT cell, gene, cnt, ln(1 + 10000.0::DOUBLE*cnt/sum(cnt) OVER (PARTITION BY cell)) AS v FROM cell")
+@query("S15", "cell", sql="SELECT cell, gene, cnt, round(ln(1 + 10000.0::DOUBLE*cnt/sum(cnt) OVER (PARTITION BY cell)), 9) AS v FROM cell")
 def s15(v: Views) -> DataFrame:
-    return ex.sc_lognorm(v.cell)
+    return ex.sc_lognorm(v.cell).withColumn("v", F.round("v", 9))
 
 
 @query("S16", "cell", sql="WITH x AS (SELECT *, ln(1 + 10000.0::DOUBLE*cnt/sum(cnt) OVER (PARTITION BY cell)) AS v FROM cell), m AS (SELECT gene, sum(v)/2000 AS mean, sqrt((sum(v*v)-sum(v)*sum(v)/2000)/1999) AS sd FROM x GROUP BY 1) SELECT cell, x.gene, round((v-mean)/nullif(sd,0), 6) AS z FROM x JOIN m ON m.gene=x.gene")

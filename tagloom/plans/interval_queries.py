@@ -37,9 +37,9 @@ def a5(v: Views) -> DataFrame:
 _HITS = "h AS (SELECT tag, count(DISTINCT (chr, strand, pos)) AS hits FROM tag_position GROUP BY tag)"
 
 
-@query("A7", "tag_position", "locus", sql=f"WITH {_HITS} SELECT l.name, coalesce(sum(CASE WHEN len=21 THEN abun::DOUBLE/hits END),0) AS norm21, coalesce(sum(CASE WHEN len=22 THEN abun::DOUBLE/hits END),0) AS norm22, count(*) AS n_tags {_JOIN} JOIN h ON h.tag = t.tag WHERE len IN (21,22) GROUP BY 1")
+@query("A7", "tag_position", "locus", sql=f"WITH {_HITS} SELECT l.name, round(coalesce(sum(CASE WHEN len=21 THEN abun::DOUBLE/hits END),0), 6) AS norm21, round(coalesce(sum(CASE WHEN len=22 THEN abun::DOUBLE/hits END),0), 6) AS norm22, count(*) AS n_tags {_JOIN} JOIN h ON h.tag = t.tag WHERE len IN (21,22) GROUP BY 1")
 def a7(v: Views) -> DataFrame:
-    return iv.cluster_abundance(v.locus, v.tag_position)
+    return iv.cluster_abundance(v.locus, v.tag_position).withColumns({c: F.round(c, 6) for c in ("norm21", "norm22")})
 
 
 @query("A8", "tag_position", sql="WITH d AS (SELECT DISTINCT chr, strand, pos FROM tag_position WHERE len = 22), b AS (SELECT chr, CAST(floor((pos-1)/500.0) AS BIGINT) AS bin, count(*) AS n FROM d GROUP BY 1, 2 HAVING count(*) > 1) SELECT *, row_number() OVER (PARTITION BY chr ORDER BY bin) AS bin_no FROM b")
