@@ -37,7 +37,7 @@ from tagloom.runtime import checkpoint, ship, small_batches
 SHINGLE = 5
 BANDS, ROWS = 26, 5
 U64 = np.uint64
-KNOWN = 500_000
+KNOWN = 150_000
 
 
 def mix(x: np.ndarray, salt: int) -> np.ndarray:

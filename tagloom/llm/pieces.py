@@ -7,7 +7,7 @@ from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 SPACE = "▁"  # what stands for a space inside pieces
-PAIRS_KEPT = 4_000_000
+PAIRS_KEPT = 600_000
 INFINITE = float("inf")
 
 

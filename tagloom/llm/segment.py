@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from tagloom.llm.pieces import SPACE, Vocabulary, vocabulary
 from tagloom.runtime import ship, small_batches
 
-CACHE = 600_000
+CACHE = 120_000  # pre-tokens in each of two generations
 INFINITE = float("inf")
 
 
@@ -41,13 +41,18 @@ class Machine(dict):
 
     def __init__(self, v: Vocabulary) -> None:
         self.v = v
+        self.old: dict[str, bytes] = {}
         # the lexicon, as deterministic trie: each prefix of a piece, with the id if it is one
         self.arcs = {p[:n]: -1 for p in v.ids for n in range(1, len(p))} | v.ids
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
+        if len(self) >= CACHE:  # what isn't asked for again goes with the generation before
+            self.old = dict(self)
             self.clear()
-        out = self[word] = array("i", self.shortest_path(word)).tobytes()
+        out = self.old.get(word)
+        if out is None:
+            out = array("i", self.shortest_path(word)).tobytes()
+        self[word] = out
         return out
 
     def shortest_path(self, word: str) -> list[int]:

@@ -37,7 +37,7 @@ from tagloom.runtime import checkpoint, ship, small_batches
 
 BITS = 21
 BUCKETS = 1 << BITS
-KNOWN = 500_000
+KNOWN = 150_000
 MOST, MARGIN = 4.0, 2.0
 
 
