@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm.suffixes import common_prefixes, suffix_array
-from tagloom.runtime import checkpoint, ship, small_batches
+from tagloom.runtime import ship, small_batches, store
 
 WIDTH, GRAM = 200, 32
 U64 = np.uint64
@@ -144,13 +144,14 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     group, copies = Window.partitionBy("fp"), Window.partitionBy("fp", "ctx")
     rows = rows.withColumn("mixed", F.min("ctx").over(group) != F.max("ctx").over(group)).withColumn("n", F.count("*").over(copies))
     rows = rows.filter("mixed OR n > 1").withColumn("nth", F.row_number().over(copies.orderBy("rid", "lo")))
-    rows = checkpoint(rows)
+    rows = store(rows.select("fp", "rid", "lo", "windows", "mixed", "n", "nth"))
     whole = rows.filter("n > 1").select("rid", F.col("lo").alias("start"), (F.col("lo") + F.col("windows") + (width - 1)).alias("end"))
     alone = rows.filter("mixed AND nth = 1").select("fp", "rid", "lo", "windows")
     large = alone.groupBy("fp").agg(F.sum(F.col("windows") + width).alias("bytes")).filter(F.col("bytes") > GROUP).select(F.col("fp").alias("wide"))
     wanted = alone.join(large, alone["fp"] == large["wide"], "left").groupBy("rid").agg(F.collect_list(F.struct("fp", "lo", "windows", F.col("wide").isNotNull().alias("wide"))).alias("at"))
-    texts = own.select("rid", "text").join(wanted.withColumnRenamed("rid", "r"), F.col("rid") == F.col("r")).select("rid", "text", "at").dropDuplicates(["rid"])
-    found = checkpoint(_cut_out(texts, width))
+    texts = own.select("rid", "text").join(wanted.withColumnRenamed("rid", "r"), F.col("rid") == F.col("r")).select("rid", "text", "at")
+    # equal rows share a rid and give their contexts twice, which are repeated anyway
+    found = store(_cut_out(texts, width))
     shards = found.filter("NOT wide").repartition("fp").sortWithinPartitions("fp")
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
