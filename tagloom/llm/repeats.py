@@ -107,11 +107,14 @@ def mark_windows(parts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
         t[s : s + len(x)] = np.frombuffer(x, np.uint8)
         t[s : s + len(x)] += 2
         t[s + len(x)] = 1  # between contexts; no window reaches over it
-    seen, dense = np.unique(t, return_inverse=True)
-    dense = dense.astype(np.uint16)
-    sa = suffix_array(dense, len(seen), width)
-    # compared as bytes: the separator, like the end, agrees with no text byte
-    same = common_prefixes(dense, sa, width) >= width
+    used = np.bincount(t, minlength=258) > 0
+    dense = (np.cumsum(used) - 1).astype(np.uint16)[t]
+    sa = suffix_array(dense, int(used.sum()), width)
+    # windows alone have room for width bytes, so none but windows share them
+    start = np.zeros(len(t), bool)
+    for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
+        start[s : s + n - width + 1] = True
+    same = common_prefixes(dense, sa, width, start) >= width
     twice = same.copy()
     before = np.full(len(t), -1, np.int64)
     before[sa[1:]] = sa[:-1]

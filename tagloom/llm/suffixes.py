@@ -109,7 +109,7 @@ def ranks_by_doubling(names: np.ndarray, most: int) -> np.ndarray:
         k *= 2
         if k >= most or k >= len(rank) or new[order[-1]] == len(rank) - 1:
             out = np.empty(len(rank), np.int64)
-            out[np.argsort(new, kind="stable")] = np.arange(len(rank))
+            out[order] = np.arange(len(rank))
             return out
         rank = new
 
@@ -153,10 +153,11 @@ def suffix_array(t: np.ndarray, k: int, depth: int) -> np.ndarray:
     return induce(t, small, lms.astype(np.int32), k)[0]
 
 
-def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """The permuted array: for each position the common prefix, at most ``most``, with the suffix before it in sa.
 
-    Eight characters are compared at a time, over the positions that still agree.
+    Eight characters are compared at a time, over the positions that still agree. wanted: a mask of positions to look at;
+    others are 0.
     """
     n = len(t)
     before = np.full(n, -1, np.int64)
@@ -167,7 +168,7 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     for s in (1, 2, 4):
         word[:-s] |= word[s:] << np.uint64(8 * s)
     out = np.zeros(n, np.int32)
-    at = np.flatnonzero(before >= 0)
+    at = np.flatnonzero(before >= 0 if wanted is None else (before >= 0) & wanted)
     for k in range(0, most, 8):
         x = word[at + k] ^ word[before[at] + k]
         same = x == 0
