@@ -146,13 +146,19 @@ def sc_lognorm(cells: DataFrame, scale: float = 10_000.0) -> DataFrame:
     return cells.withColumn("v", F.log1p(F.lit(scale) * F.col("cnt") / F.sum("cnt").over(Window.partitionBy("cell"))))
 
 
-def sc_hvg(cells: DataFrame, n: int, n_cells: int) -> DataFrame:
+def _cell_number(cells: DataFrame) -> DataFrame:
+    """One row: the number of distinct cells."""
+    return cells.agg(F.countDistinct("cell").cast("double").alias("nc"))
+
+
+def sc_hvg(cells: DataFrame, n: int, n_cells: int | None = None) -> DataFrame:
     """S16. Genes of largest variance relative to a quadratic trend of log variance over log mean, fitted from grouped sums.
 
-    Absent counts are zeros of n_cells cells.
+    Absent counts are zeros of n_cells cells, by default as many as the input has.
     """
-    m = cells.groupBy("gene").agg(F.sum("cnt").alias("s"), F.sum(F.col("cnt") * F.col("cnt")).alias("q"))
-    m = m.withColumn("mean", F.col("s") / n_cells).withColumn("var", (F.col("q") - F.col("s") * F.col("s") / n_cells) / (n_cells - 1)).filter("var > 0")
+    m = cells.groupBy("gene").agg(F.sum("cnt").cast("double").alias("s"), F.sum(F.col("cnt") * F.col("cnt")).alias("q"))
+    m = m.withColumn("nc", F.lit(float(n_cells))) if n_cells else m.crossJoin(F.broadcast(_cell_number(cells)))  # one row
+    m = m.withColumn("mean", F.col("s") / F.col("nc")).withColumn("var", (F.col("q") - F.col("s") * F.col("s") / F.col("nc")) / (F.col("nc") - 1)).filter("var > 0")
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
@@ -163,9 +169,11 @@ def sc_hvg(cells: DataFrame, n: int, n_cells: int) -> DataFrame:
     return std.orderBy(F.desc("std_var"), "gene").limit(n)
 
 
-def sc_scale(values: DataFrame, n_cells: int) -> DataFrame:
-    """S16. z-scores of each gene over n_cells cells, absent values being zeros; for the values present."""
-    m = values.groupBy(F.col("gene").alias("g")).agg((F.sum("v") / n_cells).alias("mean"), F.sqrt((F.sum(F.col("v") * F.col("v")) - F.sum("v") * F.sum("v") / n_cells) / (n_cells - 1)).alias("sd"))
+def sc_scale(values: DataFrame, n_cells: int | None = None) -> DataFrame:
+    """S16. z-scores of each gene over n_cells cells, by default as many as the input has, absent values being zeros; for the values present."""
+    m = values.groupBy(F.col("gene").alias("g")).agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    m = m.withColumn("nc", F.lit(float(n_cells))) if n_cells else m.crossJoin(F.broadcast(_cell_number(values)))  # one row
+    m = m.select("g", (F.col("s") / F.col("nc")).alias("mean"), F.sqrt((F.col("q") - F.col("s") * F.col("s") / F.col("nc")) / (F.col("nc") - 1)).alias("sd"))
     return values.join(m, F.col("gene") == F.col("g")).select("cell", "gene", F.try_divide(F.col("v") - F.col("mean"), F.col("sd")).alias("z"))
 
 

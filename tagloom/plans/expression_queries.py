@@ -158,7 +158,7 @@ def s16(v: Views) -> DataFrame:
 
 @query("S16_hvg", "cell")
 def s16h(v: Views) -> DataFrame:
-    return ex.sc_hvg(v.cell, 20, 2000).select("gene", F.round("std_var", 6).alias("std_var"))
+    return ex.sc_hvg(v.cell, 20).select("gene", F.round("std_var", 6).alias("std_var"))
 
 
 def _clusters(v: Views) -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,6 +168,20 @@ def test_cluster_transcripts_is_transitive(spark):
     assert rows(expression.cluster_transcripts(e)) == [("t1", "Mt1"), ("t2", "Mt1"), ("t3", "Mt1"), ("t4", "Mt4")]
 
 
+def test_cells_are_counted(spark):
+    """More cells than 2000, and fewer: means and deviations over the cells there are."""
+    for n in (30, 3000):
+        counts = {(c, f"g{g}"): c * (g + 3) % 7 + g + 1 for c in range(n) for g in range(6) if (c + g) % (g + 2) == 0 or g == 0}
+        per = {g: [counts.get((c, g), 0) for c in range(n)] for g in {k[1] for k in counts}}
+        stat = {g: (statistics.fmean(x), statistics.variance(x)) for g, x in per.items()}
+        df = spark.createDataFrame([(*k, v) for k, v in counts.items()], "cell long, gene string, cnt long")
+        got = {r["gene"]: r for r in expression.sc_hvg(df, 6).collect()}
+        assert len(got) == 6 and all(r["std_var"] > 0 for r in got.values())
+        z = expression.sc_scale(df.withColumn("v", F.col("cnt").cast("double"))).collect()
+        assert len(z) == len(counts)
+        assert all(r["z"] == pytest.approx((counts[r["cell"], r["gene"]] - stat[r["gene"]][0]) / stat[r["gene"]][1] ** 0.5) for r in z)
+
+
 def test_arm_flags(spark):
     df = spark.createDataFrame([(0, 3), (0, -3), (0, 10), (0, 24)], "a5 long, b5 long")
     assert [r["flag"] for r in annotation.arm_flags(df, 21).collect()] == ["A", "B", "N", "A"]
