@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators import enrichment as en
@@ -68,7 +68,9 @@ def w5(v: Views) -> DataFrame:
 
 @query("S4", "probe")
 def s4(v: Views) -> DataFrame:
-    shared = v.probe.withColumn("probe", F.concat(F.lit("Q"), (F.col("pstart") / 700 % 50).cast("int").cast("string"))).dropDuplicates(["probe", "track"])
+    """The k-th probe of each track, by place, is the shared probe Qk: every row is kept, once in its track."""
+    nth = F.row_number().over(Window.partitionBy("track").orderBy("pstart", "probe"))
+    shared = v.probe.withColumn("probe", F.concat(F.lit("Q"), nth.cast("string")))
     return en.enrichment(shared, 5_000_000, 5.0, 500, 3)
 
 

@@ -46,3 +46,11 @@ def test_every_query_has_distinct_columns(spark):
     for key in ("A3", "J7", "W9", "S18"):
         cols = catalog.queries()[key](spark, SF).columns
         assert len(cols) == len(set(cols))
+
+
+def test_enrichment_takes_every_probe(spark, con):
+    got = catalog.queries()["S4"](spark, SF).toPandas()
+    sizes = con.execute("SELECT count(*) AS n FROM part GROUP BY p_brand").df()["n"]
+    assert got["n_tracks"].sum() == sizes.sum()
+    assert sorted(got["probe"]) == sorted(f"Q{k}" for k in range(1, sizes.max() + 1))
+    assert all(got.set_index("probe")["n_tracks"][f"Q{k}"] == (sizes >= k).sum() for k in range(1, sizes.max() + 1))
