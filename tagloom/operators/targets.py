@@ -80,24 +80,30 @@ def score_pairs(profiles: DataFrame, seeded: bool = False) -> DataFrame:
     return profiles.withColumn("score", mis + wob + gap)
 
 
-def predict_targets(mirs: DataFrame, seqs: DataFrame, seed: int = 3, most_mis: int = 5, most_both: int = 6) -> DataFrame:
+def predict_targets(mirs: DataFrame, seqs: DataFrame, most_mis: int = 5, most_both: int = 6) -> DataFrame:
     """J22. Ungapped sites of each miRNA (name mir, mseq) on each sequence: (mir, name, at, site, score).
 
     With at most ``most_both`` non-matches a site shares one of most_both + 1 pieces of the reverse complement exactly, so candidates are
-    an equality join of those pieces with the sequences' substrings; each is then profiled. seed is a piece's least length.
+    an equality join of those pieces with the sequences' substrings; each is then profiled. The pieces are as even as the length allows;
+    an empty one, of a miRNA with fewer letters than pieces, is at every place. Candidates beyond the edit distance most_both, which
+    is at most the number of non-matches, go before they are profiled.
     """
-    rc = F.reverse(F.translate(F.translate(F.upper("mseq"), "U", "T"), "ACGT", "TGCA"))
+    plain = lambda c: F.translate(F.upper(c), "U", "T")
+    rc = F.reverse(F.translate(plain("mseq"), "ACGT", "TGCA"))
     n = F.length("mseq")
-    step = F.greatest(F.floor(n / (most_both + 1)), F.lit(seed)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), F.least(F.lit(most_both), F.floor(n / step).cast("int") - 1)), lambda k: F.struct((k * step).alias("off"), F.substr("rc", k * step + 1, step).alias("sub")))
-    m = mirs.withColumn("rc", rc).select(F.col("name").alias("mir"), "mseq", "rc", n.alias("n"), step.alias("step"), F.explode(pieces).alias("p"))
-    m = m.select("mir", "mseq", "n", "step", F.col("p.off").alias("off"), F.col("p.sub").alias("sub"))
-    lens = m.select(F.col("step").alias("k")).distinct()
-    subs = seqs.crossJoin(F.broadcast(lens)).filter(F.length("seq") >= F.col("k"))  # as many lengths as miRNAs have
-    subs = subs.select("name", "seq", F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - F.col("k") + 1), lambda i: F.struct(F.substr("seq", i, F.col("k")).alias("s"), i.alias("at")))).alias("x"))
-    cand = subs.select("name", "seq", F.col("x.s").alias("ssub"), F.col("x.at").alias("sat")).join(m, F.col("ssub") == F.col("sub"))
+    cut = lambda k: F.floor(k * n / (most_both + 1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(most_both)), lambda k: F.struct(cut(k).alias("off"), F.substr("rc", cut(k) + 1, cut(k + 1) - cut(k)).alias("sub")))
+    m = mirs.withColumn("rc", rc).select(F.col("name").alias("mir"), "mseq", plain("mseq").alias("mplain"), n.alias("n"), F.explode(pieces).alias("p"))
+    m = m.select("mir", "mseq", "mplain", "n", F.col("p.off").alias("off"), F.col("p.sub").alias("sub"))
+    lens = m.select(F.length("sub").alias("k")).distinct()
+    tplain = plain(F.translate(F.reverse("seq"), "ACGT", "TGCA"))  # once for each sequence; a candidate's part of it is a substring
+    spread = seqs.withColumn("tplain", tplain).repartition(max(seqs.sparkSession.sparkContext.defaultParallelism, 2))
+    subs = spread.crossJoin(F.broadcast(lens)).filter(F.length("seq") >= F.col("k"))  # as many lengths as pieces have
+    subs = subs.select("name", "seq", "tplain", F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - F.col("k") + 1), lambda i: F.struct(F.substr("seq", i, F.col("k")).alias("s"), i.alias("at")))).alias("x"))
+    cand = subs.select("name", "seq", "tplain", F.col("x.s").alias("ssub"), F.col("x.at").alias("sat")).join(m, F.col("ssub") == F.col("sub"))
     cand = cand.withColumn("at", F.col("sat") - F.col("off")).filter((F.col("at") >= 1) & (F.col("at") + F.col("n") - 1 <= F.length("seq")))
-    cand = cand.select("mir", "mseq", "name", "at", F.substr("seq", F.col("at"), F.col("n")).alias("site")).distinct()
+    near = F.levenshtein("mplain", F.substr("tplain", F.length("seq") - F.col("at") - F.col("n") + 2, F.col("n")), most_both) >= 0
+    cand = cand.filter(near).select("mir", "mseq", "name", "at", F.substr("seq", F.col("at"), F.col("n")).alias("site")).distinct()
     tar = F.translate(F.reverse("site"), "ACGT", "TGCA")
     prof = pair_profile(cand.select(F.struct("mir", "name", "at", "site").alias("id"), F.col("mseq").alias("mir"), tar.alias("tar")))
     good = score_pairs(prof.filter((F.size("mis") <= most_mis) & (F.size("mis") + F.size("wob") <= most_both)))

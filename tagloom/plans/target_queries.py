@@ -44,7 +44,7 @@ def j21(v: Views) -> DataFrame:
 
 
 def _mirs(v: Views) -> DataFrame:
-    return v.seqs.filter("substr(name, -1) = '0'").select(F.concat(F.lit("m"), "name").alias("name"), F.reverse(F.translate(F.concat(F.substring("seq", 30, 9), F.lit("A"), F.substring("seq", 40, 11)), "ACGT", "TGCA")).alias("mseq"))
+    return v.seqs.select(F.concat(F.lit("m"), "name").alias("name"), F.reverse(F.translate(F.concat(F.substring("seq", 30, 9), F.lit("A"), F.substring("seq", 40, 11)), "ACGT", "TGCA")).alias("mseq"))
 
 
 @query("J22", "seqs")

@@ -112,6 +112,31 @@ def test_predict_targets_finds_planted_site(spark):
     assert [(r["name"], r["at"]) for r in got] == [("s1", 3)]
 
 
+def test_predict_targets_of_all_lengths_against_all_places(spark):
+    """Sites of six non-matches, dealt one to each three letters, which leave short miRNAs no whole piece of three."""
+    rng, comp = random.Random(4), str.maketrans("ACGT", "TGCA")
+    some = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    mirs, seqs = [], []
+    for n in (5, 7, *range(15, 25)):
+        mir = some(n - 4) + "GTGT"
+        mirs.append((f"m{n}", mir))
+        for k in range(6):
+            tar = list(mir)
+            for at in (rng.randrange(i, min(i + 3, n - 4)) for i in range(0, min(n - 4, 15), 3)):
+                tar[at] = rng.choice("ACGT".replace(mir[at], ""))
+            tar[n - 2 - k % 3] = {"G": "A", "T": "C"}[mir[n - 2 - k % 3]]
+            seqs.append((f"s{n}_{k}", some(k) + "".join(tar).translate(comp)[::-1] + some(5 - k)))
+    want = set()
+    for (mn, mir), (sn, seq_) in itertools.product(mirs, seqs):
+        for at in range(len(seq_) - len(mir) + 1):
+            pairs = [p for p in zip(mir, seq_[at : at + len(mir)][::-1].translate(comp), strict=True) if p[0] != p[1]]
+            if len(pairs) <= 6 and sum(p not in (("G", "A"), ("T", "C")) for p in pairs) <= 5:
+                want.add((mn, sn, at + 1))
+    assert {f"m{n}" for n in (18, 19, 20)} <= {m for m, _, _ in want}
+    got = [(r["mir"], r["name"], r["at"]) for r in targets.predict_targets(spark.createDataFrame(mirs, "name string, mseq string"), spark.createDataFrame(seqs, "name string, seq string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_greedy_matching_against_loop(spark):
     rng = random.Random(3)
     pairs = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}", rng.randrange(1000)) for _ in range(150)]
