@@ -150,27 +150,38 @@ def best_trigger(triggers: DataFrame, preferred: tuple[str, ...], most: int = 3)
     return best.select("name", "b.site", "b.family", "b.idx")
 
 
-def greedy_matching(pairs: DataFrame, order: list, a: str = "a", b: str = "b", rounds: int = 200) -> DataFrame:
+def greedy_matching(pairs: DataFrame, order: list, a: str = "a", b: str = "b", few: int | None = None) -> DataFrame:
     """W18. Greedy choice of pairs in a total order, each member used once (a and b are two roles of the same names).
 
     Pairs that are the best of both their members are chosen at once; their members' other pairs go; until none is left. On a total
-    order that is what the one-by-one choice gives. The number of rounds is small unless pairs form long chains.
+    order that is what the one-by-one choice gives. Each round chooses the best pair of all at least, so it ends; a chain of dependent
+    choices takes a round for each link. Once no more than ``few`` pairs are left (runtime.FEW), they are chosen one by one on the driver.
     """
-    from tagloom.runtime import checkpoint
+    from tagloom.runtime import FEW, checkpoint
 
+    few = FEW if few is None else few
     left = checkpoint(pairs.withColumn("__o", F.struct(*order)).filter(F.col(a) != F.col(b)))
-    chosen = None
-    for _ in range(rounds):
+    chosen, schema = left.limit(0), left.schema
+    rounds = 0
+    while left.limit(few + 1).count() > few:
         both = left.select(F.col(a).alias("m"), "__o").unionByName(left.select(F.col(b).alias("m"), "__o"))
         best = both.groupBy("m").agg(F.min("__o").alias("bo"))
         top = left.join(best.select(F.col("m").alias("ma"), F.col("bo").alias("oa")), F.col(a) == F.col("ma")).join(best.select(F.col("m").alias("mb"), F.col("bo").alias("ob")), F.col(b) == F.col("mb"))
         top = checkpoint(top.filter("__o = oa AND __o = ob").select(*left.columns).dropDuplicates(["__o"]))
-        chosen = top if chosen is None else chosen.unionByName(top)
+        if top.isEmpty():
+            raise RuntimeError("greedy_matching: no pair is the best of both its members; the order must be total")
+        chosen = chosen.unionByName(top)
+        rounds += 1
+        if rounds % 50 == 0:  # a long chain: keeps the plan short
+            chosen = checkpoint(chosen)
         used = top.select(F.explode(F.array(a, b)).alias("u")).distinct()
         left = checkpoint(left.join(used, F.col(a) == F.col("u"), "left_anti").join(used, F.col(b) == F.col("u"), "left_anti"))
-        if left.isEmpty():
-            break
-    return chosen.drop("__o")
+    taken, last = set(), []
+    for r in left.orderBy("__o").collect():  # at most few rows
+        if r[a] not in taken and r[b] not in taken:
+            taken |= {r[a], r[b]}
+            last.append(r)
+    return chosen.unionByName(left.sparkSession.createDataFrame(last, schema)).drop("__o")
 
 
 def unique_placement(names: DataFrame, places: DataFrame) -> DataFrame:

@@ -34,4 +34,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"connected_components: labels still change after {max_rounds} rounds")
     return nodes.join(e, nodes.node == e.u, "left").select("node", F.coalesce("v", "node").alias("component"))

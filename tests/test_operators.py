@@ -157,6 +157,28 @@ def test_unique_placement(spark):
     assert rows(loci.unique_placement(names, places)) == [("x", "p"), ("y", "q")]
 
 
+def test_unique_placement_of_a_long_chain(spark):
+    """Each name's first place is the second one of the name before it, so a choice waits for all before it."""
+    n = 230
+    names = spark.createDataFrame([(f"n{i}", i) for i in range(n)], "name string, ord long")
+    places = spark.createDataFrame([(f"n{i}", f"p{max(i - 1 + k, 0)}", k) for i in range(n) for k in (0, 1) if i or k], "name string, place string, pord long")
+    assert rows(loci.unique_placement(names, places)) == sorted((f"n{i}", f"p{i}") for i in range(n))
+
+
+def test_greedy_matching_in_rounds_and_at_once_agree(spark):
+    rng = random.Random(6)
+    pairs = spark.createDataFrame([(f"n{i}", f"n{rng.randrange(i)}", rng.randrange(50)) for i in range(1, 60)], "a string, b string, s long")
+    order = [(-F.col("s")).alias("o"), F.col("a"), F.col("b")]
+    want = rows(loci.greedy_matching(pairs, order))
+    assert want == rows(loci.greedy_matching(pairs, order, few=0)) == rows(loci.greedy_matching(pairs, order, few=20))
+    assert loci.greedy_matching(pairs.limit(0), order).count() == 0
+
+
+def test_components_raise_if_unfinished(spark):
+    with pytest.raises(RuntimeError):
+        connected_components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"), max_rounds=1)
+
+
 def test_self_merge_and_library_merge(spark):
     schema = "name string, neglog_p long, chr long, lstart long, lend long, lib string"
     df = spark.createDataFrame([("a", 5, 1, 100, 300, "x"), ("b", 7, 1, 120, 310, "x"), ("c", 2, 1, 5000, 5100, "x")], schema)
