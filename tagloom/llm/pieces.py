@@ -18,6 +18,9 @@ class Vocabulary:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        for probe in ("Ａ ﬁ é\u0301　x", "a  b\tc\n ", "  x"):  # letters with compatibility forms, runs of spaces, leading ones
+            if sp.normalize(probe) != SPACE + probe.replace(" ", SPACE):
+                raise ValueError(f"{model}: its normaliser is not the identity with a dummy prefix, which alone is compiled here")
         size = sp.get_piece_size()
         self.names = [sp.id_to_piece(i) for i in range(size)]
         normal = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
@@ -43,7 +46,8 @@ class Vocabulary:
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         # characters of no longer piece stand alone; a space never follows another character inside a piece
         body = "".join(map(re.escape, sorted(joined - {SPACE})))
-        self.cuts = re.compile(f"[{body}{SPACE}]+|." if inner else f"{SPACE}+[{body}]*|[{body}]+|.", re.S)
+        blank = f"[ {SPACE}]"
+        self.cuts = re.compile(f"(?:{blank}|[{body}])+|." if inner else f"{blank}+[{body}]*|[{body}]+|.", re.S)
         self.joined = joined
         self._pairs: dict[int, bool] = {}
         self._edges: dict[str, tuple[list, list] | None] = {}
@@ -60,8 +64,12 @@ class Vocabulary:
         """The identity normaliser with a dummy prefix: spaces become SPACE, and one is put in front."""
         return SPACE + text.replace(" ", SPACE) if text else ""
 
+    def cut(self, text: str) -> list[str]:
+        """Parts of the text, with the dummy prefix, over whose borders no piece can reach; spaces are still spaces."""
+        return self.cuts.findall(" " + text) if text else []
+
     def pretokens(self, text: str) -> list[str]:
-        """Parts of the normalised text over whose borders no piece can reach."""
+        """The same parts, normalised."""
         return self.cuts.findall(self.normalise(text))
 
     def has_tied(self, word: str) -> bool:
@@ -123,26 +131,28 @@ class Vocabulary:
         if ok is None:
             if len(self._pairs) > PAIRS_KEPT:
                 self._pairs.clear()
-            left, right, cost = self.edges(a), self.edges(b), self.cost
-            ok = left is not None and right is not None
-            if ok:
-                left, right = left[0], right[1]
-                i = j = 0
-                while True:
-                    (x, ends), (y, stops) = left[i], right[j]
-                    over = cost.get(x + y, INFINITE)
-                    if over < ends and over <= stops and over < INFINITE:
-                        ok = False
-                        break
-                    if ends == stops == INFINITE:
-                        break
-                    if ends <= stops:
-                        i += 1
-                    else:
-                        j += 1
-            self._pairs[key] = ok
+            ok = self._pairs[key] = self.stays(a, b)
         return ok
 
+    def stays(self, a: str, b: str) -> bool:
+        """What follows() keeps."""
+        left, right, cost = self.edges(a), self.edges(b), self.cost
+        if left is None or right is None:
+            return False
+        left, right = left[0], right[1]
+        i = j = 0
+        while True:
+            (x, ends), (y, stops) = left[i], right[j]
+            over = cost.get(x + y, INFINITE)
+            if over < ends and over <= stops and over < INFINITE:
+                return False
+            if ends == stops == INFINITE:
+                return True
+            if ends <= stops:
+                i += 1
+            else:
+                j += 1
+
 
 @lru_cache(4)
 def vocabulary(model: str) -> Vocabulary:

@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-The compiled machine is the composition of three parts: the normaliser (spaces to the space mark, dummy prefix), the
-lexicon (a trie of pieces whose final arcs carry the piece's id and cost) and byte fallback (a character that no piece
-covers becomes its UTF-8 bytes). An input is composed with it lazily, state by state, and the shortest path in the
-tropical semiring (minimum over paths of the sum of costs) gives the pieces.
+The compiled machine is the composition of three parts: the normaliser (spaces to the space mark, dummy prefix; a model with any
+other normaliser is refused), the lexicon (a deterministic machine of pieces whose final arcs carry the piece's id and cost) and
+byte fallback (an arc for any one character that says its UTF-8 bytes, taken where no piece begins). The machine so reads the text as it stands. An input is
+composed with it lazily, state by state, and the shortest path in the tropical semiring (minimum over paths of the sum of costs) gives the pieces.
 
 For a unigram model the costs are the negative log-probabilities. For a BPE model summed merge ranks would not give the
 model's segmentation, so the lexicon is composed with an acceptor over pairs of neighbouring pieces, whose arcs cost
@@ -29,11 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tagloom.llm.pieces import SPACE, Vocabulary, vocabulary
+from tagloom.llm.pieces import PAIRS_KEPT, SPACE, Vocabulary, vocabulary
 from tagloom.runtime import ship, small_batches
 
-CACHE = 120_000  # pre-tokens in each of two generations
+CACHE = 180_000  # pre-tokens in each of two generations
 INFINITE = float("inf")
+Arcs = dict[str, tuple[int, "Arcs"]]
 
 
 class Machine(dict):
@@ -42,8 +43,14 @@ class Machine(dict):
     def __init__(self, v: Vocabulary) -> None:
         self.v = v
         self.old: dict[str, bytes] = {}
-        # the lexicon, as deterministic trie: each prefix of a piece, with the id if it is one
-        self.arcs = {p[:n]: -1 for p in v.ids for n in range(1, len(p))} | v.ids
+        self.root = compile_arcs(v)
+        size = max(v.ids.values(), default=0) + 1
+        self.length, self.names = [1] * size, [""] * size
+        for p, i in v.ids.items():
+            self.length[i], self.names[i] = len(p), p
+        #: the pair acceptor, as far as it has been asked for: for each piece, which others may follow it
+        self.after: list[dict[int, bool]] = [{} for _ in range(size)]
+        self.asked = 0
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:  # what isn't asked for again goes with the generation before
@@ -56,78 +63,108 @@ class Machine(dict):
         return out
 
     def shortest_path(self, word: str) -> list[int]:
+        """The ids on the shortest path of the composition; word is text as it stands, the machine normalises it."""
         v = self.v
-        if v.bpe:
-            if v.has_tied(word):
-                return [x for p in v.merge(word) for x in ([v.ids[p]] if p in v.ids else v.unknown_ids(p))]
-            return self._pair_path(word)
-        return self._cost_path(word)
+        if not v.bpe:
+            path = self._cost_path(word)
+        elif v.has_tied(plain := word.replace(" ", SPACE)):
+            return [x for p in v.merge(plain) for x in ([v.ids[p]] if p in v.ids else v.unknown_ids(p))]
+        else:
+            path = self._pair_path(word)
+        if min(path, default=0) >= 0:
+            return path
+        return [x for i in path for x in ([i] if i >= 0 else v.unknown_ids(chr(-2 - i)))]
+
+    def _allows(self, a: int, b: int) -> bool:
+        self.asked += 1
+        if self.asked > PAIRS_KEPT:
+            self.asked = 0
+            for row in self.after:
+                row.clear()
+        ok = self.after[a][b] = self.v.stays(self.names[a], self.names[b])
+        return ok
 
     def _pair_path(self, word: str) -> list[int]:
         """Composition with the pair acceptor: arcs cost nothing or are missing, so the first path that reaches the end is
         the shortest. Longer pieces are tried first; a place that led nowhere is not entered again, since at most
-        one path of finite cost reaches each place."""
-        v, arcs, n = self.v, self.arcs, len(word)
-        ids, known, check = v.ids, v._pairs, v.follows
-        stack: list[tuple[int, str, int, list[tuple[str, int]]]] = []  # place, piece before, its id or -1, arcs still to try
-        place, before, before_id = 0, "", -1
+        one path of finite cost reaches each place. A negative id stands for the fallback arc of a character."""
+        root, length, after, n = self.root, self.length, self.after, len(word)
+        chosen: list[int] = []
+        open_: list[tuple[int, int, list[int]]] = []  # place, piece before it, arcs still to try
         dead: set[int] = set()
+        place, before = 0, -1
         while place < n:
-            todo = []
-            for j in range(place + 1, n + 1):  # follow the lexicon from here
-                i = arcs.get(p := word[place:j])
-                if i is None:
+            todo, arcs = [], root
+            for c in word[place:] if place else word:  # follow the lexicon from here
+                step = arcs.get(c)
+                if step is None:
                     break
+                i, arcs = step
                 if i >= 0:
-                    todo.append((p, i))
+                    todo.append(i)
+                if not arcs:
+                    break
             if not todo:
-                todo.append((word[place], -1))  # byte fallback
-            stack.append((place, before, before_id, todo))
+                todo.append(-2 - ord(word[place]))
             while True:
-                place, before, before_id, todo = stack[-1]
                 if not todo:
                     dead.add(place)
-                    stack.pop()
+                    place, before, todo = open_.pop()
+                    chosen.pop()
                     continue
-                p, i = todo.pop()
-                after = place + len(p)
-                if after in dead:
+                i = todo.pop()
+                end = place + length[i] if i >= 0 else place + 1
+                if dead and end in dead:
                     continue
-                if before_id >= 0 and i >= 0:
-                    ok = known.get(before_id << 20 | i)
-                    if not (check(before, p) if ok is None else ok):
+                if before >= 0 and i >= 0:
+                    ok = after[before].get(i)
+                    if not (self._allows(before, i) if ok is None else ok):
                         continue
-                stack[-1] = (place, before, before_id, todo)
-                place, before, before_id = after, p, i
                 break
-        out: list[int] = []
-        at = n
-        for start, _, _, _ in reversed(stack):
-            p = word[start:at]
-            out += [ids[p]] if p in ids else v.unknown_ids(p)[::-1]
-            at = start
-        return out[::-1]
+            open_.append((place, before, todo))
+            chosen.append(i)
+            place, before = end, i
+        return chosen
 
     def _cost_path(self, word: str) -> list[int]:
-        v, arcs, n = self.v, self.arcs, len(word)
-        worst = max(v.cost.values(), default=0.0) + 10.0
-        best, came = [0.0] + [INFINITE] * n, [""] * (n + 1)
-        for i in range(n):
-            if best[i] + worst < best[i + 1]:
-                best[i + 1], came[i + 1] = best[i] + worst, word[i]
-            for j in range(i + 1, n + 1):
-                if (p := word[i:j]) not in arcs:
+        """Viterbi over places: the tropical sum of arc costs; the fallback arc costs more than any piece."""
+        v, n = self.v, len(word)
+        cost, names = v.cost, self.names
+        worst = max(cost.values(), default=0.0) + 10.0
+        best, came, start = [0.0] + [INFINITE] * n, [0] * (n + 1), [0] * (n + 1)
+        for k in range(n):
+            if best[k] + worst < best[k + 1]:
+                best[k + 1], came[k + 1], start[k + 1] = best[k] + worst, -2 - ord(word[k]), k
+            arcs = self.root
+            for j in range(k, n):
+                step = arcs.get(word[j])
+                if step is None:
                     break
-                if p in v.ids and best[i] + v.cost[p] < best[j]:
-                    best[j], came[j] = best[i] + v.cost[p], p
+                i, arcs = step
+                if i >= 0 and best[k] + cost[names[i]] < best[j + 1]:
+                    best[j + 1], came[j + 1], start[j + 1] = best[k] + cost[names[i]], i, k
         out: list[int] = []
         while n:
-            p = came[n]
-            out += [v.ids[p]] if p in v.ids else v.unknown_ids(p)[::-1]
-            n -= len(p)
+            out.append(came[n])
+            n = start[n]
         return out[::-1]
 
 
+def compile_arcs(v: Vocabulary) -> Arcs:
+    """Normaliser and lexicon composed, as a deterministic machine: the arcs of the start state, each of them the id of the piece
+    that ends there (or -1) and the arcs that go on. What the normaliser maps to one character shares an arc's state."""
+    root: Arcs = {}
+    for p, i in v.ids.items():
+        arcs = root
+        for k, c in enumerate(p):
+            old = arcs.get(c, (-1, {}))
+            step = (i, old[1]) if k == len(p) - 1 else old
+            for said in (c, " ") if c == SPACE else (c,):
+                arcs[said] = step
+            arcs = step[1]
+    return root
+
+
 _MACHINES: dict[str, Machine] = {}
 
 
@@ -139,7 +176,7 @@ def machine(model: str) -> Machine:
 
 def encode(text: str, m: Machine) -> bytes:
     """The ids of a text, as 32-bit integers."""
-    return b"".join(map(m.__getitem__, m.v.pretokens(text)))
+    return b"".join(map(m.__getitem__, m.v.cut(text)))
 
 
 def decode(ids: list[int], v: Vocabulary) -> str:
