@@ -16,7 +16,8 @@ with many documents is split in blocks, and the pairs of blocks are dealt to man
 its links, never all pairs. The classes are the components of verified links.
 
 Defined cases: words are runs of characters other than the six ASCII blanks; a text of one to four words is one shingle; null texts and
-texts without words are never linked, each document a class of its own; repeated rows (equal doc_id) are one document; a null doc_id
+texts without words are never linked, each document a class of its own; rows of equal doc_id are one document, so their texts,
+whatever they are, are of one class (drop_near_duplicates judges rows by their texts instead); a null doc_id
 makes no link and keeps a null class; other columns are ignored. Texts are read whole.
 """
 
@@ -38,6 +39,8 @@ SHINGLE = 5
 BANDS, ROWS = 26, 5
 U64 = np.uint64
 KNOWN = 150_000
+LARGEST = 2048  # sets in a block
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -113,18 +116,23 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray,
     return out
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, t1, t2, text) of the rows that can be linked; t1 and t2 are 128 bits that stand for the text."""
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    return own.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"), "text")
+
+
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighting: str = "unit") -> DataFrame:
-    """(doc_id, set_id, bands array<long>) of the documents with words. set_id: of the shingle set."""
+    """(doc_id, t1, t2, set_id, bands array<long>) of the rows with words. set_id: 128 bits of the shingle set."""
     ship(docs.sparkSession)
     small_batches(docs.sparkSession, 512)
     t = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sets, keys = [], [], []
+            at, sets, keys = [], [], []
             part, room = [], 0
-            found = [(i, shingles(x)) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            found = [(i, s) for i, s in found if len(s)]
+            found = [(i, s) for i, x in enumerate(b.column(3).to_pylist()) if len(s := shingles(x))]
             for k, (i, s) in enumerate(found):
                 part.append((i, *np.unique(s, return_counts=True)))
                 room += len(part[-1][1])
@@ -137,20 +145,20 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighting:
                     for r in range(rows):
                         key = mix(key ^ sig[:, :, r], 17 + r)
                     keys.append(key.astype(np.int64))
-                    ids += [i for i, _, _ in part]
-                    sets += [xxhash.xxh3_64_intdigest(e.tobytes() + c.tobytes() if weighting == "count" else e.tobytes()) for _, e, c in part]
+                    at += [i for i, _, _ in part]
+                    sets += [xxhash.xxh3_128_digest(e.tobytes() + c.tobytes() if weighting == "count" else e.tobytes()) for _, e, c in part]
                     part, room = [], 0
             flat = np.concatenate(keys).ravel() if keys else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * bands, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(sets, U64).astype(np.int64)), lists], ["doc_id", "set_id", "bands"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * bands, pa.int32()), pa.array(flat))
+            own = [b.column(k).take(pa.array(at, pa.int64())) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sets, pa.binary()), lists], ["doc_id", "t1", "t2", "set_id", "bands"])
 
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return own.mapInArrow(run, "doc_id long, set_id long, bands array<long>")
+    return texts_of(docs).mapInArrow(run, "doc_id long, t1 long, t2 long, set_id binary, bands array<long>")
 
 
 def _links(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     """A spanning forest of the links between the sets of one pair of blocks (or within one block)."""
-    ids, side = pdf["doc_id"].to_numpy(), pdf["side"].to_numpy()
+    ids, side = pdf["sid"].to_numpy(), pdf["side"].to_numpy()
     sets = [np.frombuffer(x, U64) for x in pdf["shingles"]]
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
@@ -190,57 +198,81 @@ def _links(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS, weighting: str = "unit", block: int = 128) -> DataFrame:
-    """(doc_id, class_id) of every distinct doc_id; class_id is the smallest doc_id of its class.
+def distinct_sets(sig: DataFrame) -> DataFrame:
+    """(sid, set_id, low, bands): one row for each shingle set; low is the smallest (doc_id, t1, t2) that has it. Checkpointed, so
+    that the number given to a set stays the same."""
+    sets = sig.groupBy("set_id").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("low"), F.first("bands").alias("bands"))
+    return checkpoint(sets).withColumn("sid", F.monotonically_increasing_id())
 
-    weighting: "unit" for sets, "count" for shingles weighted by how often they occur; verification is on the sets.
-    """
-    sig = signatures(docs, bands, rows, weighting)
-    sig = checkpoint(sig)
-    # equal sets: one representative
-    first = sig.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
-    first = checkpoint(first)
-    member = sig.select("doc_id", "set_id").join(first.select("set_id", "rep"), "set_id").select("doc_id", "rep")
-    # band groups of two or more, each document linked to the group's smallest
-    banded = first.select("rep", F.posexplode("bands").alias("band", "key"))
-    low = banded.groupBy("band", "key").agg(F.min("rep").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    star = banded.join(low, ["band", "key"]).filter("rep <> low").select("rep", "low").distinct()
-    groups = connected_components(star, "rep", "low").withColumnRenamed("node", "rep").withColumnRenamed("component", "grp")
-    # blocks of a group, and the pairs of blocks; 32 blocks at most until a block holds 4096 documents
+
+def verified_links(docs: DataFrame, sets: DataFrame, least: float, block: int) -> DataFrame:
+    """(a, b) over the numbers of sets: a spanning forest of those pairs of a candidate component whose similarity is ``least`` or more."""
+    banded = sets.select("sid", F.posexplode("bands").alias("band", "key"))
+    # band groups of two or more, each set linked to the group's smallest
+    first = banded.groupBy("band", "key").agg(F.min("sid").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    star = banded.join(first, ["band", "key"]).filter("sid <> first").select("sid", "first").distinct()
+    groups = connected_components(star, "sid", "first").withColumnRenamed("node", "sid").withColumnRenamed("component", "grp")
+    # blocks of a group, and the pairs of blocks; 32 blocks at most until a block holds LARGEST sets
     sized = groups.groupBy("grp").agg(F.count("*").alias("m"))
-    size = F.least(F.greatest(F.lit(block), F.ceil(F.col("m") / 32)), F.lit(4096))
+    size = F.least(F.greatest(F.lit(block), F.ceil(F.col("m") / 32)), F.lit(LARGEST))
     sized = sized.withColumn("blocks", F.ceil(F.col("m") / size).cast("int"))
-    placed = groups.join(sized, "grp").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = checkpoint(placed.select("rep", "grp", "blocks", "blk"))
-    text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    wanted = text.join(placed, text["doc_id"] == placed["rep"]).select("doc_id", "grp", "blocks", "blk", "text").dropDuplicates(["doc_id", "text"])
+    placed = groups.join(sized, "grp").withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    placed = placed.select("sid", "grp", "blocks", "blk").join(sets.select(F.col("sid").alias("s"), "low"), F.col("sid") == F.col("s"))
+    placed = checkpoint(placed.select("sid", "grp", "blocks", "blk", F.col("low.doc_id").alias("d"), F.col("low.t1").alias("h1"), F.col("low.t2").alias("h2")))
+    text = texts_of(docs)
+    wanted = text.join(placed, (F.col("doc_id") == F.col("d")) & (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")))
+    wanted = wanted.select("sid", "grp", "blocks", "blk", "text").dropDuplicates(["sid"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = pa.array([np.unique(shingles(x)).tobytes() for x in b.column(4).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], sets], ["doc_id", "grp", "blocks", "blk", "shingles"])
+            found = pa.array([np.unique(shingles(x)).tobytes() for x in b.column(4).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], found], ["sid", "grp", "blocks", "blk", "shingles"])
 
-    sets = wanted.mapInArrow(cut, "doc_id long, grp long, blocks int, blk int, shingles binary")
+    cuts = wanted.mapInArrow(cut, "sid long, grp long, blocks int, blk int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = sets.withColumn("other", other).select(
-        "grp", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), F.col("blk").alias("side"), "doc_id", "shingles"
-    )
-    links = pairs.groupBy("grp", "bi", "bj").applyInPandas(lambda pdf: _links(pdf, least), "a long, b long")
-    links = checkpoint(links)
+    pairs = cuts.withColumn("other", other).select("grp", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), F.col("blk").alias("side"), "sid", "shingles")
+    return checkpoint(pairs.groupBy("grp", "bi", "bj").applyInPandas(lambda pdf: _links(pdf, least), "a long, b long"))
+
+
+def _with_class(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """(set_id, low, best): best is the smallest low of the set's class."""
     classes = connected_components(links, "a", "b")
-    found = member.join(classes, member["rep"] == classes["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
-    # the smallest doc_id of a class is its representative's, as both steps keep the smallest
-    found = found.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    linked = sets.select("sid", "low").join(classes, F.col("sid") == F.col("node")).select("sid", "low", "component")
+    best = linked.groupBy("component").agg(F.min("low").alias("best"))
+    of = linked.join(best, "component").select(F.col("sid").alias("s"), "best")
+    return sets.join(of, F.col("sid") == F.col("s"), "left").select("set_id", "low", F.coalesce("best", "low").alias("best"))
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS, weighting: str = "unit", block: int = 128) -> DataFrame:
+    """(doc_id, class_id) of every distinct doc_id; class_id is the smallest doc_id of its class.
+
+    weighting: "unit" for sets, "count" for shingles weighted by how often they occur; verification is on the sets.
+    """
+    sig = checkpoint(signatures(docs, bands, rows, weighting))
+    sets = distinct_sets(sig)
+    links = verified_links(docs, sets, least, block)
+    # rows of one doc_id are one document: their sets are linked too
+    several = sig.groupBy(F.col("doc_id").alias("d")).agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).filter("x <> y").select("d")
+    held = sig.select("doc_id", "set_id").join(several, F.col("doc_id") == F.col("d")).join(sets.select("set_id", "sid"), "set_id").select("doc_id", F.col("sid").alias("b"))
+    same = held.join(held.groupBy(F.col("doc_id").alias("d")).agg(F.min("b").alias("a")), F.col("doc_id") == F.col("d")).filter("a <> b").select("a", "b").distinct()
+    classes = _with_class(sets, links.unionByName(same)).select("set_id", F.col("best.doc_id").alias("class_id"))
+    found = sig.select("doc_id", "set_id").join(classes, "set_id").groupBy(F.col("doc_id").alias("d")).agg(F.min("class_id").alias("class_id"))
     every = docs.select(docs["doc_id"].cast("long").alias("doc_id")).distinct()
-    return every.join(found.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return every.join(found, F.col("doc_id") == F.col("d"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
-    """The documents that are their class's smallest doc_id, with the columns they had; rows of null doc_id stay.
+def drop_near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS, weighting: str = "unit", block: int = 128) -> DataFrame:
+    """One row of each class of near-duplicate texts, with the columns it had: that of the smallest doc_id.
 
-    Of repeated rows of one doc_id one stays.
+    Rows are judged by their texts alone, so two texts that share a doc_id and aren't near-duplicates both stay, and no text goes
+    without one of its class that stays. Equal rows of a doc_id and text leave one. Rows of null doc_id and rows without words stay.
     """
-    classes = near_duplicates(docs, **params)
-    stay = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("__stay"))
-    kept = docs.join(stay, docs["doc_id"] == F.col("__stay"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(docs["doc_id"].isNull()))
+    sig = checkpoint(signatures(docs, bands, rows, weighting))
+    sets = distinct_sets(sig)
+    stay = _with_class(sets, verified_links(docs, sets, least, block)).filter("low = best").select(F.col("low.doc_id").alias("d"), F.col("low.t1").alias("h1"), F.col("low.t2").alias("h2"))
+    doc_id, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
+    # the row travels as one value, so columns of any name pass through
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), doc_id.alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), F.coalesce(text.rlike(WORD), F.lit(False)).alias("has_words"))
+    judged = packed.filter("doc_id IS NOT NULL AND has_words")
+    kept = judged.join(stay, (F.col("doc_id") == F.col("d")) & (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")), "left_semi").dropDuplicates(["doc_id", "t1", "t2"])
+    return kept.select("row.*").unionByName(packed.filter("doc_id IS NULL OR NOT has_words").select("row.*"))

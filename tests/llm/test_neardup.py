@@ -62,6 +62,22 @@ def test_one_of_each_class_stays(spark, rng):
     assert kept.filter("doc_id IS NULL").count() == 1
 
 
+def test_texts_that_share_an_id(spark, rng):
+    a, b, c = (words(rng, 80, 5000) for _ in range(3))
+    df = documents(spark, [(1, a), (2, a), (5, b), (5, a), (6, b), (7, c), (7, c), (8, c + " end"), (9, " "), (9, " ")])
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 7: 7, 8: 7, 9: 9}
+    kept = sorted((r["doc_id"], r["text"]) for r in neardup.drop_near_duplicates(df).collect())
+    assert kept == sorted([(1, a), (5, b), (7, c), (9, " "), (9, " ")])
+
+
+def test_blocks_of_a_component(spark, rng, monkeypatch):
+    monkeypatch.setattr(neardup, "LARGEST", 20)
+    texts = corpus(rng)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(documents(spark, texts), block=8).collect()}
+    assert got == brute(texts)
+
+
 def test_empty_table(spark):
     assert neardup.near_duplicates(documents(spark, [])).count() == 0
 
