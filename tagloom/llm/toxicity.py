@@ -76,28 +76,47 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
 
+def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in wanted, positions in the sorted keys) of what is found."""
+    if not len(keys):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = np.flatnonzero(keys[at] == wanted)
+    return hit, at[hit]
+
+
 @dataclass
 class Model:
-    """Tables over buckets, for the classes ordinary (0) and toxic (1)."""
-
-    unigram: np.ndarray  # 2 x BUCKETS, interpolated with the shared order
-    back: np.ndarray  # 2 x BUCKETS, weight of the unigram after each history
+    """The classes ordinary (0) and toxic (1): the shared counts of all buckets, and of each class what it has established."""
+
+    df: np.ndarray  # documents that hold each bucket
+    total: float  # of df and one more for each bucket
+    word: np.ndarray  # sorted established buckets
+    part: np.ndarray  # 2 x words, discounted part of the unigram
+    rest: np.ndarray  # 2, weight of the shared order in the unigram
+    history: np.ndarray  # sorted buckets that established pairs begin with
+    back: np.ndarray  # 2 x histories, weight of the unigram after each
     pairs: np.ndarray  # sorted keys h << BITS | w
     pair_p: np.ndarray  # 2 x pairs, discounted part
     weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
 
+    def unigram(self, words: np.ndarray) -> np.ndarray:
+        """2 x words, interpolated with the shared order."""
+        p = self.rest[:, None] * ((self.df[words] + 1.0) / self.total)
+        hit, at = _place(self.word, words)
+        p[:, hit] += self.part[:, at]
+        return p
+
     def difference(self, words: np.ndarray) -> np.ndarray:
         """For each word log P_toxic - log P_ordinary after the one before it."""
         if len(words) == 0:
             return np.empty(0)
-        p = self.unigram[:, words].astype(np.float64)
+        p = self.unigram(words)
         if len(words) > 1:
-            p[:, 1:] *= self.back[:, words[:-1]]
-            if len(self.pairs):
-                key = words[:-1] << BITS | words[1:]
-                at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-                hit = np.flatnonzero(self.pairs[at] == key)
-                p[:, hit + 1] += self.pair_p[:, at[hit]]
+            hit, at = _place(self.history, words[:-1])
+            p[:, hit + 1] *= self.back[:, at]
+            hit, at = _place(self.pairs, words[:-1] << BITS | words[1:])
+            p[:, hit + 1] += self.pair_p[:, at]
         return np.log(p[1]) - np.log(p[0])
 
     def features(self, words: np.ndarray) -> tuple[float, ...]:
@@ -155,17 +174,16 @@ def class_counts(pairs: DataFrame, holders: DataFrame, fewest: int) -> Counts:
 
 def fit_model(counts: Counts, df: np.ndarray) -> Model:
     """From the class counts and the shared document frequencies of all buckets."""
-    shared = (df + 1.0) / (df.sum() + BUCKETS)
-    unigram, back = np.empty((2, BUCKETS), np.float32), np.ones((2, BUCKETS), np.float32)
-    pair_p = np.zeros((2, len(counts.pair)), np.float32)
+    order = np.argsort(counts.word)
+    history = np.unique(counts.pair >> BITS)
+    at = np.searchsorted(history, counts.pair >> BITS)
+    part, pair_p, back = np.zeros((2, len(order))), np.zeros((2, len(counts.pair))), np.ones((2, len(history)))
     for c in (0, 1):
         total, n1, n2 = counts.continuations[c]
-        p = np.maximum(counts.before[c] - discount(n1, n2), 0) / max(total, 1)
-        unigram[c] = (1 - p.sum()) * shared
-        unigram[c, counts.word] += p.astype(np.float32)
+        part[c] = np.maximum(counts.before[c][order] - discount(n1, n2), 0) / max(total, 1)
         pair_p[c] = np.maximum(counts.times[c] - discount(*counts.once_twice[c]), 0) / np.maximum(counts.history[c], 1)
-        back[c] = 1 - np.bincount(counts.pair >> BITS, pair_p[c], BUCKETS)
-    return Model(unigram, np.maximum(back, 1e-6), counts.pair, pair_p)
+        back[c] -= np.bincount(at, pair_p[c], len(history))
+    return Model(df, float(df.sum(dtype=np.float64)) + BUCKETS, counts.word[order], part, 1 - part.sum(1), history, np.maximum(back, 1e-6), counts.pair, pair_p)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, ...]:
@@ -200,9 +218,18 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
         at = np.flatnonzero(df)
         for lo in range(0, len(at), 1 << 18):
             part = at[lo : lo + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(df[part])], ["bucket", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(df[part])], ["bucket", "df"])
 
-    return docs.select(docs["text"].cast("string").alias("text")).mapInArrow(run, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
+    return docs.select(docs["text"].cast("string").alias("text")).mapInArrow(run, "bucket int, df long").groupBy("bucket").agg(F.sum("df").cast("float").alias("df"))
+
+
+def gathered_frequencies(docs: DataFrame) -> np.ndarray:
+    """The same as an array over all buckets: eight bytes for each bucket reach the driver, whatever the corpus."""
+    rows = document_frequencies(docs).toArrow()
+    df = np.zeros(BUCKETS, np.float32)
+    for b in rows.to_batches():
+        df[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    return df
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
@@ -253,10 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 8000, fewest: int = 10
     part = lambda shift, size: F.shiftright("key", shift).bitwiseAND(size - 1)
     keys = checkpoint(keys.select(F.shiftright("key", 61).cast("int").alias("cls"), (part(60, 2) == 1).alias("word"), part(BITS, BUCKETS).alias("h"), part(0, BUCKETS).alias("w"), "n"))
     counts = class_counts(keys.filter("NOT word").drop("word"), keys.filter("word").select("cls", "w", "n"), fewest)
-    frequencies = document_frequencies(docs).toArrow()
-    df = np.zeros(BUCKETS, np.float32)
-    df[frequencies.column("bucket").to_numpy()] = frequencies.column("df").to_numpy()
-    model = fit_model(counts, df)
+    model = fit_model(counts, gathered_frequencies(docs))
     held = sample.filter("calibrate").select("toxic", "words")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -266,6 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 8000, fewest: int = 10
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, k]) for k in range(3))], ["toxic", "x0", "x1", "x2"])
 
     points = held.mapInArrow(measured, "toxic int, x0 double, x1 double, x2 double").toPandas().sort_values(["toxic", "x0", "x1", "x2"])
+    shared.destroy()
     model.weights = fit_logistic(points[["x0", "x1", "x2"]].to_numpy(float).reshape(-1, 3), points["toxic"].to_numpy(float))
     if len(shares) == 2:  # the sample is balanced, the labels are not
         model.weights = (*model.weights[:-1], model.weights[-1] + float(np.log(shares[1] / shares[0])))
