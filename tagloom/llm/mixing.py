@@ -10,7 +10,8 @@ doc_id and size). The running sum has two levels: hash buckets within a source,
 orders a whole source. The document on the limit is taken if that comes nearer to the target.
 
 Defined cases: null text has size 0; a source of size 0 has target 0; a null doc_id and repeated rows have a place in the
-order like any other (rows of one doc_id and size are decided together); an empty table gives no rows; other columns are ignored.
+order like any other (rows of one doc_id and size have one place, and as many of them are taken as come nearest to the target, those of
+smallest hash of the text first); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,9 +51,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 
 def sized(docs: DataFrame, text_col: str = "text", seed: int = 42) -> DataFrame:
-    """(doc_id, source, size, ord): all that the mix needs of a document; ord is its place in the seeded order."""
+    """(doc_id, source, size, tie, ord): all that the mix needs of a document; ord is its place in the seeded order, tie its text's hash."""
     size = word_count(docs[text_col])
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), size.alias("size"))
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), size.alias("size"), F.xxhash64(docs[text_col]).alias("tie"))
     return own.withColumn("ord", seeded_order(F.col("doc_id"), F.col("size"), seed))
 
 
@@ -61,8 +62,9 @@ def seeded_order(doc_id: Column, size: Column, seed: int) -> Column:
 
 
 def mix_plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, epochs: float = 2.0) -> DataFrame:
-    """One row per source: (source, source_size, target, whole, upto_ord). A document is taken ``whole`` times, and once more
-    if its ord is at most upto_ord. rows: those of sized(), read several times and so best checkpointed."""
+    """One row per source: (source, source_size, target, whole, upto_ord, part_ord, part_take). A document is taken ``whole`` times, and
+    once more if its ord is at most upto_ord, or if it is among the part_take first of several that share part_ord. rows: those of
+    sized(), read several times and so best checkpointed."""
     targets = source_targets(rows, weights, share, epochs)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumn("whole", F.floor(ratio).cast("long")).withColumn("limit", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -73,22 +75,37 @@ def mix_plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     t = targets.withColumnRenamed("source", "s")
     edges = buckets.join(t, F.col("source").eqNullSafe(F.col("s"))).filter("before < limit AND limit <= upto").select("s", F.col("bucket").alias("b"), "before", "limit")
     # only the bucket in which the limit falls has to be ordered
-    near = rows.join(edges, F.col("source").eqNullSafe(F.col("s")) & (bucket == F.col("b"))).groupBy("s", "b", "before", "limit", "ord").agg(F.sum("size").alias("size"))
+    near = rows.join(edges, F.col("source").eqNullSafe(F.col("s")) & (bucket == F.col("b"))).groupBy("s", "b", "before", "limit", "ord").agg(F.sum("size").alias("all"), F.max("size").alias("size"), F.count("*").alias("n"))
     inside = Window.partitionBy("s").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = near.withColumn("at", F.col("before") + F.sum("size").over(inside) - F.col("size") / F.lit(2.0))
-    last = near.groupBy(F.col("s").alias("edge_source")).agg(F.coalesce(F.max(F.when(F.col("at") <= F.col("limit"), F.col("ord"))), F.first("b")).alias("upto_ord"))
+    room = F.col("limit") - (F.col("before") + F.sum("all").over(inside) - F.col("all"))  # from where the first of these rows begins
+    fit = F.when(F.col("size") > 0, F.floor(room / F.col("size") + 0.5)).when(room >= 0, F.col("n")).otherwise(0)
+    near = near.withColumn("k", F.least(F.greatest(fit.cast("long"), F.lit(0)), F.col("n")))
+    part = F.max(F.when((F.col("k") > 0) & (F.col("k") < F.col("n")), F.struct("ord", "k")))
+    last = near.groupBy(F.col("s").alias("edge_source")).agg(F.coalesce(F.max(F.when(F.col("k") == F.col("n"), F.col("ord"))), F.first("b")).alias("upto_ord"), part.alias("part"))
     plan = targets.join(last, F.col("source").eqNullSafe(F.col("edge_source")), "left")
-    return plan.select("source", "source_size", "target", "whole", F.coalesce("upto_ord", F.lit("")).alias("upto_ord"))
+    return plan.select("source", "source_size", "target", "whole", F.coalesce("upto_ord", F.lit("")).alias("upto_ord"), F.col("part.ord").alias("part_ord"), F.col("part.k").alias("part_take"))
 
 
 def _copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows with ord and source, joined with their source's plan, which has one row per source.
+    """rows with source, ord and tie, joined with their source's plan, which has one row per source, and __copies.
 
     The plan is broadcast if it is found to have few rows, so that a hot source's rows stay where they are; beyond, it is a shuffled join.
     """
     p = few_rows(plan.withColumnRenamed("source", "__source"))
     both = rows.join(p, rows["source"].cast("string").eqNullSafe(p["__source"]))
-    return both.withColumn("__copies", F.col("whole") + (F.col("ord") <= F.col("upto_ord")).cast("long"))
+    whole = both.withColumn("__copies", F.col("whole") + (F.col("ord") <= F.col("upto_ord")).cast("long"))
+    if p.filter("part_ord IS NOT NULL").isEmpty():
+        return whole
+    # rows of one doc_id and size on the limit: numbered in parts by their texts' hashes, the parts by a running count
+    shared = F.coalesce(F.col("ord") == F.col("part_ord"), F.lit(False))
+    edge = whole.filter(shared).withColumn("__part", F.pmod("tie", F.lit(1024)))
+    parts = edge.groupBy(F.col("__source").alias("__s"), F.col("__part").alias("__p")).agg(F.count("*").alias("__n"))
+    running = Window.partitionBy("__s").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # 1024 rows for each source at most
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__n").over(running), F.lit(0)))
+    edge = edge.join(parts, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__part") == F.col("__p")))
+    nth = F.row_number().over(Window.partitionBy("__source", "__part").orderBy("tie"))
+    edge = edge.withColumn("__nth", nth).withColumn("__copies", F.col("whole") + (F.col("__before") + F.col("__nth") <= F.col("part_take")).cast("long"))
+    return whole.filter(~shared).unionByName(edge.select(*whole.columns))
 
 
 def mix_report(docs: DataFrame, seed: int = 42, **params) -> DataFrame:
@@ -102,6 +119,6 @@ def mix_documents(docs: DataFrame, seed: int = 42, **params) -> DataFrame:
     plan = mix_plan(checkpoint(sized(docs, seed=seed)), **params)
     order = seeded_order(docs["doc_id"].cast("long"), word_count(docs["text"]), seed)
     # the row travels as one value, so columns of any name pass through
-    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["source"].cast("string").alias("source"), order.alias("ord"))
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["source"].cast("string").alias("source"), order.alias("ord"), F.xxhash64(docs["text"]).alias("tie"))
     taken = _copies(packed, plan).filter("__copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select("row.*")

@@ -104,9 +104,9 @@ WITH d AS (
 ), p AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t
 ), k AS (
-  SELECT source, ord, sum(size) AS size, sum(sum(size)) OVER (PARTITION BY source ORDER BY ord) AS upto FROM o GROUP BY source, ord
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY ord ROWS UNBOUNDED PRECEDING) AS upto FROM o
 )
-SELECT o.doc_id, CAST(o.size AS BIGINT) AS size, p.source_size, p.target,
-       CAST(o.size * (p.whole + CASE WHEN target - whole * source_size > 0 AND k.upto - k.size / 2.0::DOUBLE <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM o JOIN p ON o.source IS NOT DISTINCT FROM p.source JOIN k ON k.source IS NOT DISTINCT FROM o.source AND k.ord = o.ord"""
+SELECT k.doc_id, CAST(k.size AS BIGINT) AS size, p.source_size, p.target,
+       CAST(k.size * (p.whole + CASE WHEN target - whole * source_size > 0 AND k.upto - k.size / 2.0::DOUBLE <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source"""
     return {"op7_chat_format": chat_sql, "op10_source_mix": mix_sql}

@@ -59,6 +59,18 @@ def test_targets_and_sampling(spark, rng):
         assert abs(taken - n * target) <= n * 3 * longest + 1e-6
 
 
+def test_rows_of_one_place_are_split(spark, rng):
+    texts = [(None, " ".join(f"w{rng.randrange(9)}" for _ in range(3))) for _ in range(400)] + [(1, words(rng, 450))]
+    df = documents(spark, texts, ["a"] * 400 + ["b"])
+    rows = mixing.mix_report(df).collect()
+    target = next(r["target"] for r in rows if r["doc_id"] is None)
+    assert target == 1856.25
+    assert abs(sum(r["taken"] for r in rows if r["doc_id"] is None) - target) <= 3
+    rows_of = lambda d: sorted(map(str, mixing.mix_documents(d).collect()))
+    assert rows_of(df) == rows_of(df.repartition(5))
+    assert sum(size(r["text"]) for r in mixing.mix_documents(df).collect()) == sum(r["taken"] for r in rows)
+
+
 def test_reruns_and_partitions_agree(spark, rng):
     texts, sources = corpus(rng)
     df = documents(spark, texts, sources)
