@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 
 def classify_coding(df: DataFrame, orf: int = 100, cpat: float = 0.38) -> DataFrame:
-    """P12. pc, nc or up from the match score, the coding potential, ORF length and CPAT score.
+    """P12. co, nc or up from the match score (null: no match), the coding potential cpc, ORF length and CPAT score.
 
-    Without a match score all of cpc, orf and cpat must agree; a score of 3 or more is that of a known gene, whose class a single
-    contrary sign leaves open; 0 to 2 needs two signs of three.
+    cpc of -1 or less is nc. cpc of 1 or more is co for a match of 3 or more, else with a long ORF or a high CPAT score. In
+    between the CPAT score has to agree with cpc's sign; for cpc 0 a low one is nc unless the match is good, and a high one co only without a match.
+    A match score below 0 has no status.
     """
-    signs = F.when(F.col("cpc") > 0, 1).otherwise(0) + F.when(F.col("orf") >= orf, 1).otherwise(0) + F.when(F.col("cpat") >= cpat, 1).otherwise(0)
-    status = (
-        F.when(F.col("match_score").isNull(), F.when(signs == 3, "pc").when(signs == 0, "nc").otherwise("up"))
-        .when(F.col("match_score") >= 3, F.when(signs >= 1, "pc").otherwise("up")).otherwise(F.when(signs >= 2, "pc").when(signs == 0, "nc").otherwise("up"))
-    )
-    return df.withColumn("signs", signs).withColumn("status", status)
+    good, none, p = F.coalesce(F.col("match_score") >= 3, F.lit(False)), F.col("match_score").isNull(), F.col("cpc")
+    low, high = F.col("cpat") < cpat, F.col("cpat") > cpat
+    strong = F.when(good | (F.col("orf") >= orf) | high, "co").otherwise("up")
+    weak = F.when(low & ((p < 0) | (p == 0) & ~good), "nc").when(high & ((p > 0) | (p == 0) & none), "co").otherwise("up")
+    return df.withColumn("status", F.when(none | (F.col("match_score") >= 0), F.when(p <= -1, "nc").when(p >= 1, strong).otherwise(weak)))
 
 
 def nat_pairs(overlaps: DataFrame, status: DataFrame) -> DataFrame:

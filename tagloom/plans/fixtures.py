@@ -43,4 +43,6 @@ def with_views(sql: str, *names: str) -> str:
     for n in names:
         order += [x for x in (*NEEDS.get(n, ()), n) if x not in order]
     parts = ", ".join(f"{n} AS ({VIEWS[n]})" for n in order)
+    if sql.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {parts}, {sql[15:]}"
     return f"WITH {parts}, {sql.lstrip()[5:]}" if sql.lstrip().upper().startswith("WITH ") else f"WITH {parts} {sql}"

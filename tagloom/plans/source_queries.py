@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import annotation as an
 from tagloom.operators import intervals as iv
+from tagloom.plans.fixtures import LIBS
 from tagloom.plans.registry import Views, query
 from tagloom.runtime import shared_dir
 from tagloom.sources import formats as fm
@@ -38,10 +39,16 @@ def io1(v: Views) -> DataFrame:
     return fm.read_fasta(v.spark, path)
 
 
-@query("IO2", "seqs", sql="SELECT name AS read_id, seq, repeat('I', length(seq)) AS qual FROM seqs WHERE seq IS NOT NULL AND name NOT LIKE '%7'")
+_Q2 = "chr(33 + (CAST(substr(name, 2) AS INT) + {i}) % 94)"
+
+
+@query("IO2", "seqs", sql="SELECT name AS read_id, seq, " + " || ".join(_Q2.format(i=i) for i in range(4)) + " || repeat('@', length(seq) - 4) AS qual FROM seqs WHERE seq IS NOT NULL AND name NOT LIKE '%7'")
 def io2(v: Views) -> DataFrame:
+    """Qualities begin with each of the 94 letters in turn, @ and + among them."""
     s = v.seqs.filter("seq IS NOT NULL")
-    path = _text(s.select(F.concat(F.lit("@"), "name", F.when(F.col("name").endswith("7"), " bad").otherwise(" ok"), F.lit("\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("seq"))).alias("value")), v)
+    letter = lambda i: F.chr(33 + (F.substr("name", F.lit(2)).cast("int") + i) % 94)
+    qual = F.concat(*[letter(i) for i in range(4)], F.repeat(F.lit("@"), F.length("seq") - 4))
+    path = _text(s.select(F.concat(F.lit("@"), "name", F.when(F.col("name").endswith("7"), " bad").otherwise(" ok"), F.lit("\n"), "seq", F.lit("\n+\n"), qual).alias("value")), v)
     return fm.read_fastq(v.spark, path, blacklist=" bad").drop("lib")
 
 
@@ -115,18 +122,23 @@ def io10(v: Views) -> DataFrame:
 
 
 def _blast(v: Views) -> DataFrame:
-    row = _tab("tag", "lib", F.lit(100.0) - F.col("abun") % 20, F.col("len") - F.col("abun") % 3, F.lit(0), F.lit(0), F.lit(1) + F.col("abun") % 3, "len", F.lit(1), F.col("len") - F.col("abun") % 3, F.lit(0.001), F.lit(40.0), "len", F.col("len") + F.col("abun") % 2, "=plus")
+    row = _tab("tag", "lib", F.lit(100.0) - F.col("abun") % 20, F.col("len") - F.col("abun") % 3, F.lit(0), F.lit(0), F.lit(1) + F.col("abun") % 3, "len", F.lit(1) + F.col("len") % 2, F.col("len") - F.col("abun") % 3, F.lit(0.001), F.lit(40.0), "len", F.col("len") + F.col("abun") % 2, "=plus")
     return fm.read_blast_tab(v.spark, _text(v.tag_position.select(row), v))
 
 
-@query("IO11", "tag_position", sql="SELECT tag AS query, lib AS subject, (100.0 - abun % 20)::DOUBLE AS pident, (len - abun % 3)::INT AS length, len::INT AS slen0 FROM tag_position")
+@query("IO11", "tag_position", sql="SELECT tag AS query, lib AS subject, (100.0 - abun % 20)::DOUBLE AS pident, (len - abun % 3)::INT AS length, 0 AS mismatch, 0 AS gapopen, (1 + abun % 3)::INT AS qstart, len::INT AS qend, (1 + len % 2)::INT AS sstart, (len - abun % 3)::INT AS send, 0.001::DOUBLE AS evalue, 40.0::DOUBLE AS bitscore, len::INT AS qlen, (len + abun % 2)::INT AS slen, 'plus' AS sstrand FROM tag_position")
 def io11(v: Views) -> DataFrame:
-    return _blast(v).select("query", "subject", "pident", "length", F.col("qlen").alias("slen0"))
+    return _blast(v)
+
+
+_P11 = """b AS (SELECT tag AS query, lib AS subject, round_even(100.0-abun%20, 0) AS pid, len-abun%3 AS length, 1+abun%3 AS qstart, len AS qend, 1+len%2 AS sstart, len-abun%3 AS send, len AS qlen, len+abun%2 AS slen FROM tag_position),
+ c AS (SELECT *, (qstart-1)-(sstart-1) AS hang5, (qlen-qend)-(slen-send) AS hang3, round_even(length*(pid/100), 0) AS m FROM b), d AS (SELECT *, length-m AS mis, qlen-length AS un, length-m+qlen-length AS tv FROM c)"""
 
 
-@query("P11", "tag_position", sql="WITH b AS (SELECT tag AS query, lib AS subject, (100.0-abun%20)::DOUBLE AS pident, len-abun%3 AS length, 1+abun%3 AS qstart, len AS qend, 1 AS sstart, len-abun%3 AS send, len AS qlen, len+abun%2 AS slen FROM tag_position), c AS (SELECT *, sstart-qstart AS hang5, (slen-send)-(qlen-qend) AS hang3, round(length*pident/100) AS m FROM b), d AS (SELECT *, length-m+qlen-length AS tv FROM c) SELECT query, subject, hang5::INT AS hang5, hang3::INT AS hang3, tv::INT AS total_var, CASE WHEN tv=0 AND hang5=0 AND hang3=0 THEN 'same' WHEN tv=0 THEN 'shifted' WHEN tv<=2 AND abs(hang5)<=2 THEN 'variant' WHEN tv<=4 THEN 'family' ELSE 'fail' END AS status FROM d")
+@query("P11", "tag_position", sql=f"""WITH {_P11} SELECT query, subject, hang5::INT AS hang5, hang3::INT AS hang3, m::INT AS match, mis::INT AS mis, un::INT AS unaligned, tv::INT AS total_var,
+ CASE WHEN CASE WHEN hang5<=2 AND hang3=0 THEN tv<=5 WHEN hang3<=2 AND hang5=0 THEN tv<=5 WHEN hang5>=1 AND hang3>=1 THEN tv<=6 ELSE false END THEN 'pass' ELSE 'fail' END AS status FROM d""")
 def p11(v: Views) -> DataFrame:
-    return fm.annotate_hits(_blast(v)).select("query", "subject", "hang5", "hang3", "total_var", "status")
+    return fm.annotate_hits(_blast(v)).select("query", "subject", "hang5", "hang3", "match", "mis", "unaligned", "total_var", "status")
 
 
 @query("IO12", "transcript", sql="SELECT trans AS isoform, '10M' AS cigar, gene, trans || '.1' AS trans, (tstart % 6)::INT AS score FROM transcript")
@@ -141,6 +153,30 @@ def io13(v: Views) -> DataFrame:
     return fm.read_target_report(v.spark, _text(v.tag_count.select(block.alias("value")), v)).select("mir", "target", F.col("score").cast("double").alias("score"), "bstart", "bend", "tar_seq")
 
 
+def _jdbc(v: Views) -> dict[str, str]:
+    """The embedded database that Spark brings, one for each query, in the memory of this machine."""
+    return {"url": f"jdbc:derby:memory:t{uuid.uuid4().hex};create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver", "dbtable": "tags"}
+
+
+@query("IO14", "tag_position", sql="SELECT tag, chr, strand, pos, len FROM tag_position WHERE chr = 2 AND strand = 'w' AND len BETWEEN 20 AND 22 AND pos BETWEEN 1000 AND 40000")
+def io14(v: Views) -> DataFrame:
+    """Written to a database, then read from it with a predicate that it takes over."""
+    o = _jdbc(v) | {"createTableColumnTypes": "tag VARCHAR(32), strand VARCHAR(1)"}
+    fm.write_jdbc(v.tag_position.select("tag", F.col("chr").cast("int").alias("chr"), "strand", "pos", F.col("len").cast("int").alias("len")).coalesce(4), o)
+    where = "chr = 2 AND strand = 'w' AND len BETWEEN 20 AND 22 AND pos BETWEEN 1000 AND 40000"
+    return fm.read_jdbc(v.spark, o, where).select("tag", "chr", "strand", "pos", "len")
+
+
+@query("IO15", "tag_count", sql="SELECT lib, tag, abun FROM tag_count WHERE lib <> 'L0' UNION ALL SELECT lib, tag, abun FROM tag_count WHERE lib = 'L3'")
+def io15(v: Views) -> DataFrame:
+    """A first write is truncated by the second, to which a third is appended."""
+    o, t = _jdbc(v), v.tag_count.coalesce(4)
+    fm.write_jdbc(t.filter("lib = 'L0'"), o)
+    fm.write_jdbc(t.filter("lib <> 'L0'"), o, "overwrite")
+    fm.write_jdbc(t.filter("lib = 'L3'"), o)
+    return fm.read_jdbc(v.spark, o)
+
+
 @query("IO16", "tag_count", sql="SELECT lib || '-miR' || CAST(abun AS STRING) AS name, 'MI' || tag AS accession, 'Oryza sativa' AS organism, 'miR' || CAST(abun AS STRING) AS generic, tag AS seq, length(tag) AS len, CASE WHEN lib <> 'L3' THEN 'plant' || lib END AS phylum FROM tag_count")
 def io16(v: Views) -> DataFrame:
     mir = F.concat(F.lit("miR"), F.col("abun").cast("string"))
@@ -149,12 +185,12 @@ def io16(v: Views) -> DataFrame:
     return fm.ingest_mirna(lines, orgs)
 
 
-@query("IO17", "signal", sql="SELECT name, count(*) AS n, round(sum(val), 6) AS total, max(idx) FILTER (val IS NULL) IS NOT NULL AS has_na FROM signal GROUP BY 1")
+@query("IO17", "signal", sql="SELECT name, array_to_string(list(coalesce(CAST(round(val*1000) AS BIGINT), -1) ORDER BY CASE WHEN name < 'U5' THEN idx ELSE -idx END), ',') AS vals FROM signal GROUP BY 1")
 def io17(v: Views) -> DataFrame:
     lists = v.signal.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "val"))), lambda p: F.coalesce(p["val"].cast("string"), F.lit("NA"))), ",").alias("list"))
     row = _tab("=1", F.lit(0), F.lit(10), "name", "=0", F.when(F.col("name") < "U5", "+").otherwise("-"), F.lit(10), "list")
     s = fm.read_signal(v.spark, _text(lists.select(row), v))
-    return s.select("name", F.size("vals").cast("long").alias("n"), F.round(F.aggregate(F.filter("vals", lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.exists("vals", lambda x: x.isNull()).alias("has_na"))
+    return s.select("name", F.array_join(F.transform("vals", lambda x: F.coalesce(F.round(x * 1000).cast("long"), F.lit(-1)).cast("string")), ",").alias("vals"))
 
 
 @query("IO18", "transcript", sql="SELECT o AS cluster, trans AS member, trans = first AS is_rep FROM (SELECT *, CAST(substr(gene, 2) AS BIGINT) AS o, min(trans) OVER (PARTITION BY gene) AS first FROM transcript)")
@@ -204,9 +240,9 @@ def io23(v: Views) -> DataFrame:
     return fm.read_counts(v.spark, _csv(wide, v))
 
 
-@query("IO24", "tag_count", sql="SELECT lib, tag, CAST(abun AS STRING) AS abun FROM tag_count WHERE lib IN ('L0','L1')")
+@query("IO24", "tag_count", sql="SELECT lib, tag, CAST(abun AS STRING) AS abun FROM tag_count")
 def io24(v: Views) -> DataFrame:
-    return fm.union_files(v.spark, [_csv(v.tag_count.filter(F.col("lib") == x), v) for x in ("L0", "L1")])
+    return fm.union_files(v.spark, [_csv(v.tag_count.filter(F.col("lib") == x), v) for x in LIBS])
 
 
 @query("IO25", "locus", sql="SELECT lib, 0.001::DOUBLE AS p, 21 AS phase, name AS value FROM locus WHERE lib IN ('click','view')")
@@ -216,18 +252,23 @@ def io25(v: Views) -> DataFrame:
     for lib in ("click", "view", "error"):
         folders.append(f"{base}/{lib}_0.001_21.list")
         v.locus.filter(F.col("lib") == lib).select(F.col("name").alias("value")).write.text(folders[-1])
-    f = lambda k: F.regexp_extract(F.input_file_name(), r"([^/_]+)_([0-9.e-]+)_(\d+)\.[^/]*/[^/]*$", k)
     # Spark writes folders: the run's name is the folder's
-    df = v.spark.read.text(folders).select(f(1).alias("lib"), f(2).try_cast("double").alias("p"), f(3).try_cast("int").alias("phase"), "value")
-    return df.filter("lib IN ('click', 'view') AND p <= 0.01 AND phase = 21")
+    return fm.select_runs(v.spark, folders, ("click", "view"), 0.01, 21)
+
 
+_P25 = """k AS (SELECT name, substr(seq, 2, 1) AS kind, seq FROM seqs WHERE seq IS NOT NULL), r AS (SELECT name, kind, CASE kind WHEN 'G' THEN substr(seq,1,20) || 'TGGAATTC' WHEN 'T' THEN substr(seq,1,10) || 'TGGAATTCTCGGG' ELSE substr(seq,1,40) || 'TGGAATTCTCGGG' END AS seq FROM k),
+ q AS (SELECT name, seq, CASE WHEN kind='A' THEN repeat('I',30) || repeat('!',23) ELSE repeat('I', length(seq)) END AS qual, kind, strpos(seq, 'TGGAATTCTCGGG') AS found FROM r),
+ c AS (SELECT *, least(CASE WHEN found > 0 THEN found-1 WHEN kind='G' THEN 20 ELSE length(seq) END, CASE WHEN kind='A' THEN 29 ELSE length(seq) END, 35) AS cut FROM q)"""
 
-@query("P25", "seqs", sql="SELECT name AS read_id, substr(seq, 1, 30) AS seq FROM seqs WHERE seq IS NOT NULL AND strpos(substr(seq,1,40) || 'TGGAATTCTCGGG', 'TGGAATTC') = 41")
+
+@query("P25", "seqs", sql=f"WITH {_P25} SELECT name AS read_id, substr(seq,1,cut) AS seq, substr(qual,1,cut) AS qual, 'L' AS lib FROM c WHERE cut >= 18")
 def p25(v: Views) -> DataFrame:
-    r = v.seqs.filter("seq IS NOT NULL").select(F.col("name").alias("read_id"), F.concat(F.substring("seq", 1, 40), F.lit("TGGAATTCTCGGG")).alias("seq"), F.lit("L").alias("lib"))
-    r = r.filter(F.instr("seq", F.lit("TGGAATTC")) == 41).withColumn("qual", F.concat(F.repeat(F.lit("I"), F.lit(30)), F.repeat(F.lit("!"), F.lit(23))))
-    t = fm.trim_reads(r, "TGGAATTCTCGGG", 20, 30, 18)
-    return t.select("read_id", F.when(F.length("seq") >= 25, F.col("seq")).alias("part")).join(v.seqs.select("name", F.substring("seq", 1, 30).alias("seq")), F.col("read_id") == F.col("name")).filter(F.col("seq").startswith(F.col("part"))).select("read_id", "seq")
+    """Reads with a low tail (A), good ones (C), an adapter that is cut off at the read's end (G) and short ones (T), by a letter."""
+    s, kind = v.seqs.filter("seq IS NOT NULL"), F.substring("seq", 2, 1)
+    read = F.when(kind == "G", F.concat(F.substring("seq", 1, 20), F.lit("TGGAATTC"))).when(kind == "T", F.concat(F.substring("seq", 1, 10), F.lit("TGGAATTCTCGGG"))).otherwise(F.concat(F.substring("seq", 1, 40), F.lit("TGGAATTCTCGGG")))
+    r = s.select(F.col("name").alias("read_id"), kind.alias("kind"), read.alias("seq"), F.lit("L").alias("lib"))
+    r = r.withColumn("qual", F.when(F.col("kind") == "A", F.concat(F.repeat(F.lit("I"), F.lit(30)), F.repeat(F.lit("!"), F.lit(23)))).otherwise(F.repeat(F.lit("I"), F.length("seq"))))
+    return fm.trim_reads(r, "TGGAATTCTCGGG", 20, 35, 18)
 
 
 @query("J28", "transcript", sql="""WITH p AS (SELECT a.trans, b.gene, CASE WHEN a.strand=b.strand THEN 'ns' ELSE 'nat' END AS kind, CAST(substr(a.trans,2) AS BIGINT) % 3 = 0 AS c1, CAST(substr(b.gene,2) AS BIGINT) % 2 = 0 AS c2
@@ -238,10 +279,16 @@ def j28(v: Views) -> DataFrame:
     return an.nat_pairs(iv.overlap_config(t, t), s)
 
 
-@query("P12", "transcript", sql="WITH x AS (SELECT trans, CASE WHEN tstart % 4 = 0 THEN NULL ELSE tend % 6 END AS m, (CASE WHEN tend % 5 - 2 > 0 THEN 1 ELSE 0 END + CASE WHEN tend % 200 >= 100 THEN 1 ELSE 0 END + CASE WHEN (tstart % 10)/10.0::DOUBLE >= 0.38 THEN 1 ELSE 0 END) AS signs FROM transcript) SELECT trans, signs, CASE WHEN m IS NULL THEN CASE WHEN signs=3 THEN 'pc' WHEN signs=0 THEN 'nc' ELSE 'up' END WHEN m>=3 THEN CASE WHEN signs>=1 THEN 'pc' ELSE 'up' END WHEN signs>=2 THEN 'pc' WHEN signs=0 THEN 'nc' ELSE 'up' END AS status FROM x")
+_P12 = """x AS (SELECT trans, CASE WHEN tstart % 4 = 0 THEN NULL ELSE tend % 6 END AS m, (tend % 9 - 4) / 2.0::DOUBLE AS cpc, tend % 200 AS orf, (tstart % 7) * 0.19::DOUBLE / 2 AS cpat FROM transcript)"""
+
+
+@query("P12", "transcript", sql=f"""WITH {_P12} SELECT trans, CASE WHEN cpc <= -1 THEN 'nc'
+ WHEN m IS NULL THEN CASE WHEN cpc >= 1 THEN CASE WHEN orf >= 100 OR cpat > 0.38 THEN 'co' ELSE 'up' END WHEN cpc <= 0 AND cpat < 0.38 THEN 'nc' WHEN cpc >= 0 AND cpat > 0.38 THEN 'co' ELSE 'up' END
+ WHEN m >= 3 THEN CASE WHEN cpc >= 1 THEN 'co' WHEN cpc > 0 AND cpat > 0.38 THEN 'co' WHEN cpc < 0 AND cpat < 0.38 THEN 'nc' ELSE 'up' END
+ WHEN cpc >= 1 THEN CASE WHEN orf >= 100 OR cpat > 0.38 THEN 'co' ELSE 'up' END WHEN cpc <= 0 AND cpat < 0.38 THEN 'nc' WHEN cpc > 0 AND cpat > 0.38 THEN 'co' ELSE 'up' END AS status FROM x""")
 def p12(v: Views) -> DataFrame:
-    x = v.transcript.select("trans", F.when(F.col("tstart") % 4 != 0, F.col("tend") % 6).alias("match_score"), (F.col("tend") % 5 - 2).alias("cpc"), (F.col("tend") % 200).alias("orf"), (F.col("tstart") % 10 / 10.0).alias("cpat"))
-    return an.classify_coding(x).select("trans", "signs", "status")
+    x = v.transcript.select("trans", F.when(F.col("tstart") % 4 != 0, F.col("tend") % 6).alias("match_score"), ((F.col("tend") % 9 - 4) / 2.0).alias("cpc"), (F.col("tend") % 200).alias("orf"), (F.col("tstart") % 7 * 0.19 / 2).alias("cpat"))
+    return an.classify_coding(x).select("trans", "status")
 
 
 @query("P26", "locus", sql="WITH x AS (SELECT name, (neglog_p*7 + lend - 13*CAST(substr(name,3) AS BIGINT) - lstart) % 97 - 48 AS d FROM locus), y AS (SELECT *, sign(d) * (abs(d) % 21) AS r FROM x) SELECT name, CASE WHEN r BETWEEN 2 AND 4 OR r+21 BETWEEN 2 AND 4 THEN 'A' WHEN -r BETWEEN 2 AND 4 OR 21-r BETWEEN 2 AND 4 THEN 'B' ELSE 'N' END AS flag FROM y")

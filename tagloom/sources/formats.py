@@ -6,7 +6,7 @@ split them. Schemas are explicit; missing values are nulls.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,13 +38,25 @@ def read_fasta_counted(spark: SparkSession, path: Paths) -> DataFrame:
 def read_fastq(spark: SparkSession, path: Paths, blacklist: str | None = None) -> DataFrame:
     """IO2. (read_id, seq, qual, lib) of four-line records; headers that match the blacklist are dropped.
 
-    A record starts at a header line after a quality line, so @ may also begin a quality line.
+    Records are split at lines that begin with @. A quality line may begin with it too: its record then lacks one, and the next
+    piece, in the file's order, is the quality. Pieces are numbered, and those few find each other by their numbers, also over the
+    border of two parts of a file. A record that a file's end cuts off has no quality; pieces without a sequence are dropped.
     """
-    r = spark.read.text(path, lineSep="\n@").withColumn("lib", _stem())
-    r = r.withColumn("p", F.split(F.regexp_replace("value", "^@", ""), "\n"))
-    # a quality line that begins with @ is cut off its record: it has no + line, and its predecessor no quality
-    r = r.filter(F.size("p") >= 3).select(F.regexp_extract(F.col("p")[0], r"^(\S+)", 1).alias("read_id"), F.col("p")[0].alias("header"), F.col("p")[1].alias("seq"), F.get("p", F.lit(3)).alias("qual"), "lib")
-    return (r.filter(~F.col("header").rlike(blacklist)) if blacklist else r).drop("header")
+    r = spark.read.text(path, lineSep="\n@").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("id"), _stem().alias("lib"))
+    # the first record of a file still has its @
+    r = r.withColumn("p", F.split("value", "\n")).withColumn("p", F.when(F.size("p") >= 3, F.split(F.regexp_replace("value", "^@", ""), "\n")).otherwise(F.col("p"))).drop("value")
+    whole = r.filter(F.size("p") >= 4).withColumn("qual", F.get("p", F.lit(3)))
+    short = r.filter(F.size("p") == 3)  # header, sequence, +
+    # where the rows of each part of a file begin, and the last row of the part before it: one row for each part
+    ends = r.groupBy("file", "part").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    ends = ends.withColumn("prior", F.lag("last").over(Window.partitionBy("file").orderBy("part"))).select(F.col("file").alias("ef"), F.col("part").alias("ep"), "first", "prior")
+    lone = r.filter(F.size("p") <= 2).join(ends, (F.col("file") == F.col("ef")) & (F.col("part") == F.col("ep")))
+    lone = lone.select(F.when(F.col("id") == F.col("first"), F.col("prior")).otherwise(F.col("id") - 1).alias("of"), F.concat(F.lit("@"), F.get("p", F.lit(0))).alias("qual"))
+    mended = short.join(lone, F.col("id") == F.col("of"), "left").drop("of")
+    cols = ["p", "lib", "qual"]
+    all_ = whole.select(*cols).unionByName(mended.select(*cols))
+    out = all_.select(F.regexp_extract(F.get("p", F.lit(0)), r"^(\S+)", 1).alias("read_id"), F.get("p", F.lit(0)).alias("header"), F.get("p", F.lit(1)).alias("seq"), "qual", "lib")
+    return (out.filter(~F.col("header").rlike(blacklist)) if blacklist else out).drop("header")
 
 
 def read_tagcounts(spark: SparkSession, path: Paths) -> DataFrame:
@@ -86,7 +98,7 @@ def read_sam(spark: SparkSession, path: Paths) -> tuple[DataFrame, DataFrame]:
     head = lines.filter(F.col("value").startswith("@"))
     f = F.split("value", "\t")
     cols = [f[i].try_cast(x.split()[1]).alias(x.split()[0]) for i, x in enumerate(SAM.split(", "))]
-    tags = F.map_from_entries(F.transform(F.slice(f, 12, 1000), lambda t: F.struct(F.substring(t, 1, 2), F.substr(t, F.lit(6)))))
+    tags = F.map_from_entries(F.transform(F.slice(f, F.lit(12), F.greatest(F.size(f) - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2), F.substr(t, F.lit(6)))))
     return lines.filter(~F.col("value").startswith("@") & (F.size(f) >= 11)).select(*cols, tags.alias("tags")), head
 
 
@@ -117,7 +129,7 @@ def read_clusters(spark: SparkSession, path: Paths) -> DataFrame:
     """IO9. Rows of phased-cluster blocks with their header's id, chromosome and range (header tokens 3, 7, 11, 13)."""
     r = spark.read.text(path, lineSep=">").filter(F.trim("value") != "").withColumn("l", F.split("value", "\n"))
     h = F.split(F.trim(F.col("l")[0]), r"\s+")
-    r = r.select(h.alias("h"), F.posexplode(F.slice("l", 2, 1_000_000)).alias("n", "row")).filter("trim(row) <> ''")
+    r = r.select(h.alias("h"), F.posexplode(F.slice("l", F.lit(2), F.size("l"))).alias("n", "row")).filter("trim(row) <> ''")
     f = F.split("row", "\t")
     part = lambda i: F.get(F.col("h"), F.lit(i))
     names = ("mchr", "strand", "pos", "tag_id", "tag", "len", "abun", "k_n", "k_k", "hits", "best_pos", "pval")
@@ -141,16 +153,18 @@ def read_blast_tab(spark: SparkSession, path: Paths) -> DataFrame:
 
 
 def annotate_hits(hits: DataFrame) -> DataFrame:
-    """P11. Overhangs, matches, mismatches, unaligned bases and total variance of hits, and the first rule that they pass."""
-    match = F.round(F.col("length") * F.col("pident") / 100).cast("int")
-    df = hits.withColumn("hang5", F.col("sstart") - F.col("qstart")).withColumn("hang3", (F.col("slen") - F.col("send")) - (F.col("qlen") - F.col("qend"))).withColumn("match", match)
+    """P11. Overhangs of the query over the subject, matches, mismatches, unaligned bases and total variance of hits, and whether they pass.
+
+    Identity and matches are rounded, halves to the even number. Up to two bases of overhang at one end, none at the other, allow
+    a total variance of 5, overhangs at both ends one of 6; all else fails.
+    """
+    df = hits.withColumn("hang5", F.col("qstart") - F.col("sstart")).withColumn("hang3", (F.col("qlen") - F.col("qend")) - (F.col("slen") - F.col("send")))
+    df = df.withColumn("match", F.bround(F.col("length") * (F.bround("pident") / 100)).cast("int"))
     df = df.withColumn("mis", F.col("length") - F.col("match")).withColumn("unaligned", F.col("qlen") - F.col("length"))
     df = df.withColumn("total_var", F.col("mis") + F.col("unaligned"))
-    rule = (
-        F.when((F.col("total_var") == 0) & (F.col("hang5") == 0) & (F.col("hang3") == 0), "same").when((F.col("total_var") == 0), "shifted")
-        .when((F.col("total_var") <= 2) & (F.abs("hang5") <= 2), "variant").when(F.col("total_var") <= 4, "family").otherwise("fail")
-    )
-    return df.withColumn("status", rule)
+    one_end = (F.col("hang5") <= 2) & (F.col("hang3") == 0) | (F.col("hang3") <= 2) & (F.col("hang5") == 0)
+    most = F.when(one_end, 5).when((F.col("hang5") >= 1) & (F.col("hang3") >= 1), 6)
+    return df.withColumn("status", F.when(F.col("total_var") <= most, "pass").otherwise("fail"))
 
 
 def read_matchannot(spark: SparkSession, path: Paths) -> DataFrame:
@@ -199,7 +213,7 @@ def read_signal(spark: SparkSession, path: Paths) -> DataFrame:
 def read_clstr(spark: SparkSession, path: Paths) -> DataFrame:
     """IO18. (cluster, member, is_rep) of sequence clusters."""
     r = spark.read.text(path, lineSep=">Cluster ").filter(F.trim("value") != "").withColumn("l", F.split("value", "\n"))
-    r = r.select(F.trim(F.col("l")[0]).try_cast("long").alias("cluster"), F.explode(F.slice("l", 2, 1_000_000)).alias("row")).filter("trim(row) <> ''")
+    r = r.select(F.trim(F.col("l")[0]).try_cast("long").alias("cluster"), F.explode(F.slice("l", F.lit(2), F.size("l"))).alias("row")).filter("trim(row) <> ''")
     return r.select("cluster", F.regexp_extract("row", r">(.+?)\.\.\.", 1).alias("member"), F.col("row").rlike(r"\*\s*$").alias("is_rep"))
 
 
@@ -256,8 +270,8 @@ def union_files(spark: SparkSession, paths: list[str], sep: str = "\t") -> DataF
 
 
 def select_runs(spark: SparkSession, path: Paths, libs: tuple[str, ...], most_p: float, phase: int) -> DataFrame:
-    """IO25. Lines of phased outputs whose file name (lib_p_phase.list) passes."""
-    f = lambda k: F.regexp_extract(F.input_file_name(), r"([^/_]+)_([0-9.e-]+)_(\d+)\.[^/]*$", k)
+    """IO25. Lines of phased outputs whose name (lib_p_phase.list), of a file or a folder of parts, passes."""
+    f = lambda k: F.regexp_extract(F.input_file_name(), r"([^/_]+)_([0-9.e-]+)_(\d+)\.[^/]*(?:/[^/]*)?$", k)
     df = _lines(spark, path).select(f(1).alias("lib"), f(2).try_cast("double").alias("p"), f(3).try_cast("int").alias("phase"), "value")
     return df.filter(F.col("lib").isin(*libs) & (F.col("p") <= most_p) & (F.col("phase") == phase))
 
