@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations, product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,10 +45,10 @@ def map_tags_exact(tags: DataFrame, seqs: DataFrame, sizes: tuple[int, ...]) ->
 
 
 def pair_columns(mir: Column, tar: Column) -> Column:
-    """Positions, 5' to 3' of the miRNA, of an aligned pair as structs (i, m, t, kind).
+    """Columns, 5' to 3' of the miRNA, of an aligned pair as structs (i, m, t, kind).
 
     tar is the target complemented and reversed to the miRNA's direction, so equal letters pair: kind M match, W wobble (A for G, C for
-    U or T), X mismatch, B gap in the miRNA, D gap in the target.
+    U or T), X mismatch, B gap in the miRNA, D gap in the target. i is the miRNA's own position, which a gap in it doesn't advance.
     """
     chars = lambda c: F.split(F.translate(F.upper(c), "U", "T"), "")
     both = F.zip_with(chars(mir), chars(tar), lambda m, t: F.struct(m.alias("m"), t.alias("t")))
@@ -54,53 +56,69 @@ def pair_columns(mir: Column, tar: Column) -> Column:
         F.when(p["m"] == "-", "B").when(p["t"] == "-", "D").when(p["m"] == p["t"], "M")
         .when((p["m"] == "G") & (p["t"] == "A") | (p["m"] == "T") & (p["t"] == "C"), "W").otherwise("X")
     )
-    return F.transform(both, lambda p, i: F.struct((i + 1).alias("i"), p["m"].alias("m"), p["t"].alias("t"), kind(p).alias("kind")))
+    place = lambda k: F.length(F.replace(F.substr(mir, F.lit(1), k), F.lit("-"), F.lit(""))) + 1
+    return F.transform(both, lambda p, k: F.struct(place(k).alias("i"), p["m"].alias("m"), p["t"].alias("t"), kind(p).alias("kind")))
 
 
 def pair_profile(pairs: DataFrame) -> DataFrame:
-    """P19. Positions of mismatches, wobbles and gaps of (id, mir, tar), and validity: no gap at 9 to 11, at most two miRNA gaps,
-    one target gap, five mismatches, and six mismatches and wobbles."""
+    """P19. Positions of mismatches, wobbles and gaps of (id, mir, tar), and validity: no miRNA gap at 9 to 11 and none in the target that
+    leaves off there, at most two miRNA gaps, one target gap, five mismatches, and six mismatches and wobbles."""
     df = pairs.withColumn("p", pair_columns(F.col("mir"), F.col("tar")))
     at = lambda k: F.transform(F.filter("p", lambda x: x["kind"] == k), lambda x: x["i"])
     df = df.select("id", "mir", "tar", "p", at("X").alias("mis"), at("W").alias("wob"), at("B").alias("mgap"), at("D").alias("tgap"))
-    mid = F.exists(F.concat("mgap", "tgap"), lambda i: i.between(9, 11))
+    mid = F.exists("mgap", lambda i: i.between(9, 11)) | F.exists("tgap", lambda i: (i + 1).between(9, 11))
     valid = ~mid & (F.size("mgap") <= 2) & (F.size("tgap") <= 1) & (F.size("mis") <= 5) & (F.size("mis") + F.size("wob") <= 6)
     return df.withColumn("valid", valid)
 
 
 def score_pairs(profiles: DataFrame, seeded: bool = False) -> DataFrame:
-    """P20. Score of a profile: mismatch 1, gap 1.5, wobble 0.5 or 1.5 next to a mismatch, 2.5 for mismatches at both 10 and 11;
-    seeded doubles positions 2 to 13."""
+    """P20. Score of a profile. Seedless: mismatch 1, gap 1.5, wobble 0.5 or 1.5 next to a mismatch, 2.5 for mismatches at both 10 and 11.
+    Seeded: mismatch 1, gap 1, wobble 0.5, each of them twice that at positions 2 to 13."""
+    total = lambda arr, f: F.aggregate(arr, F.lit(0.0), lambda a, i: a + f(i))
+    if seeded:
+        rate = lambda x: lambda i: F.when(i.between(2, 13), 2.0 * x).otherwise(x)
+        return profiles.withColumn("score", total("mis", rate(1.0)) + total("mgap", rate(1.0)) + total("tgap", rate(1.0)) + total("wob", rate(0.5)))
     joint = F.array_contains("mis", 10) & F.array_contains("mis", 11)
-    twice = lambda i: F.when(F.lit(seeded) & i.between(2, 13), 2.0).otherwise(1.0)
-    total = lambda arr, f: F.aggregate(arr, F.lit(0.0), lambda a, i: a + f(i) * twice(i))
     mis = total("mis", lambda i: F.when(joint & i.isin(10, 11), 1.25).otherwise(1.0))
     wob = total("wob", lambda i: F.when(F.array_contains("mis", i - 1) | F.array_contains("mis", i + 1), 1.5).otherwise(0.5))
-    gap = total("mgap", lambda i: F.lit(1.5)) + total("tgap", lambda i: F.lit(1.5))
-    return profiles.withColumn("score", mis + wob + gap)
+    return profiles.withColumn("score", mis + wob + 1.5 * (F.size("mgap") + F.size("tgap")))
+
+
+def _masks(k: int, most: int) -> list[int]:
+    """What to XOR on k letters of two bits each so that at most ``most`` of them change, in every way."""
+    places = [c for n in range(min(most, k) + 1) for c in combinations(range(k), n)]
+    return [sum(x << 2 * i for i, x in zip(c, xs, strict=True)) for c in places for xs in product((1, 2, 3), repeat=len(c))]
 
 
 def predict_targets(mirs: DataFrame, seqs: DataFrame, most_mis: int = 5, most_both: int = 6) -> DataFrame:
     """J22. Ungapped sites of each miRNA (name mir, mseq) on each sequence: (mir, name, at, site, score).
 
-    With at most ``most_both`` non-matches a site shares one of most_both + 1 pieces of the reverse complement exactly, so candidates are
-    an equality join of those pieces with the sequences' substrings; each is then profiled. The pieces are as even as the length allows;
-    an empty one, of a miRNA with fewer letters than pieces, is at every place. Candidates beyond the edit distance most_both, which
+    Of at most ``most_both`` non-matches one half of the site holds at most half. So each half of the reverse complement is
+    expanded to all words with so many changes, as numbers of two bits a letter, and candidates are an equality join of those with the
+    sequences' words of the same length; a miRNA gives the same number of rows whatever the sequences, and few words meet by chance.
+    Letters other than ACGT count as A on the way to the candidates, which only adds some. Candidates beyond the edit distance most_both, which
     is at most the number of non-matches, go before they are profiled.
     """
     plain = lambda c: F.translate(F.upper(c), "U", "T")
-    rc = F.reverse(F.translate(plain("mseq"), "ACGT", "TGCA"))
-    n = F.length("mseq")
-    cut = lambda k: F.floor(k * n / (most_both + 1)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(most_both)), lambda k: F.struct(cut(k).alias("off"), F.substr("rc", cut(k) + 1, cut(k + 1) - cut(k)).alias("sub")))
-    m = mirs.withColumn("rc", rc).select(F.col("name").alias("mir"), "mseq", plain("mseq").alias("mplain"), n.alias("n"), F.explode(pieces).alias("p"))
-    m = m.select("mir", "mseq", "mplain", "n", F.col("p.off").alias("off"), F.col("p.sub").alias("sub"))
-    lens = m.select(F.length("sub").alias("k")).distinct()
+    code = lambda c: F.conv(F.translate(F.regexp_replace(c, "[^ACGT]", "A"), "ACGT", "0123"), 4, 10).cast("long")
+    m = mirs.select(F.col("name").alias("mir"), "mseq", plain("mseq").alias("mplain"), F.length("mseq").alias("n")).filter("n > 0")
+    lengths = sorted(r["n"] for r in m.select("n").distinct().collect())  # miRNA lengths, a few tens at most
+    rc, half = F.reverse(F.translate("mplain", "ACGT", "TGCA")), F.floor(F.col("n") / 2).cast("int")
+    m = m.withColumn("p", F.explode(F.array(F.struct(F.lit(0).alias("off"), half.alias("k")), F.struct(half.alias("off"), (F.col("n") - half).alias("k"))))).filter("p.k > 0")
+    m = m.select("mir", "mseq", "mplain", "n", "p.off", "p.k", code(F.substr(rc, F.col("p.off") + 1, F.col("p.k"))).alias("word"))
+    wide = sorted({k for n in lengths for k in (n // 2, n - n // 2) if k})
+    if not wide:
+        wide = [1]
+    of_length = F.coalesce(*[F.when(F.col("k") == k, F.split(F.lit(",".join(map(str, _masks(k, most_both // 2)))), ",").cast("array<long>")) for k in wide])
+    m = m.withColumn("mask", F.explode(of_length)).withColumn("word", F.col("word").bitwiseXOR(F.col("mask"))).drop("mask")
     tplain = plain(F.translate(F.reverse("seq"), "ACGT", "TGCA"))  # once for each sequence; a candidate's part of it is a substring
-    spread = seqs.withColumn("tplain", tplain).repartition(max(seqs.sparkSession.sparkContext.defaultParallelism, 2))
-    subs = spread.crossJoin(F.broadcast(lens)).filter(F.length("seq") >= F.col("k"))  # as many lengths as pieces have
-    subs = subs.select("name", "seq", "tplain", F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - F.col("k") + 1), lambda i: F.struct(F.substr("seq", i, F.col("k")).alias("s"), i.alias("at")))).alias("x"))
-    cand = subs.select("name", "seq", "tplain", F.col("x.s").alias("ssub"), F.col("x.at").alias("sat")).join(m, F.col("ssub") == F.col("sub"))
+    spread = seqs.filter("seq IS NOT NULL").withColumn("tplain", tplain).repartition(max(seqs.sparkSession.sparkContext.defaultParallelism, 2))
+    starts = lambda k: F.sequence(F.lit(1), F.length("seq") - k + 1)
+    words = lambda k: F.transform(starts(k), lambda i: F.struct(F.lit(k).alias("k"), code(F.substr(plain("seq"), i, F.lit(k))).alias("word"), i.alias("at")))
+    none = F.array().cast("array<struct<k:int,word:bigint,at:int>>")
+    subs = spread.select("name", "seq", "tplain", F.explode(F.flatten(F.array(*[F.when(F.length("seq") >= k, words(k)).otherwise(none) for k in wide]))).alias("x"))
+    subs = subs.select("name", "seq", "tplain", F.col("x.k").alias("sk"), F.col("x.word").alias("sword"), F.col("x.at").alias("sat"))
+    cand = subs.join(m, (F.col("sk") == F.col("k")) & (F.col("sword") == F.col("word")))
     cand = cand.withColumn("at", F.col("sat") - F.col("off")).filter((F.col("at") >= 1) & (F.col("at") + F.col("n") - 1 <= F.length("seq")))
     near = F.levenshtein("mplain", F.substr("tplain", F.length("seq") - F.col("at") - F.col("n") + 2, F.col("n")), most_both) >= 0
     cand = cand.filter(near).select("mir", "mseq", "name", "at", F.substr("seq", F.col("at"), F.col("n")).alias("site")).distinct()
@@ -168,11 +186,11 @@ def density(mapped: DataFrame) -> DataFrame:
 
 
 def categorize_genic(dens: DataFrame) -> DataFrame:
-    """A11. 4 for one hit, 3 up to the gene's median, 2 above it, 1 for the tied and 0 for the only maximum."""
+    """A11. 4 for one hit, 3 up to the gene's median, above it 2 below the maximum, 1 for the tied and 0 for the only maximum."""
     per = dens.groupBy(F.col("gene").alias("g")).agg(F.expr("percentile(hits, 0.5)").alias("med"), F.max("hits").alias("top"))
     ties = dens.groupBy(F.col("gene").alias("g2"), F.col("hits").alias("h2")).agg(F.count("*").alias("n_same"))
     df = dens.join(per, F.col("gene") == F.col("g")).join(ties, (F.col("gene") == F.col("g2")) & (F.col("hits") == F.col("h2")))
-    cat = F.when(F.col("hits") == 1, 4).when((F.col("hits") == F.col("top")) & (F.col("n_same") == 1), 0).when(F.col("hits") == F.col("top"), 1).when(F.col("hits") > F.col("med"), 2).otherwise(3)
+    cat = F.when(F.col("hits") == 1, 4).when(F.col("hits") <= F.col("med"), 3).when(F.col("hits") != F.col("top"), 2).when(F.col("n_same") > 1, 1).otherwise(0)
     return df.select("gene", "loc", "hits", cat.alias("category"))
 
 
@@ -189,10 +207,16 @@ def category_fractions(categories: DataFrame, bases: int | Column) -> DataFrame:
     return categories.groupBy("category").agg(F.count("*").alias("n")).withColumn("fraction", F.col("n") / bases)
 
 
-def best_cleave(targets: DataFrame, cats: DataFrame, offsets: tuple[int, ...] = (9, 10, 11), reach: int = 5) -> DataFrame:
-    """W19. Per target (id, gene, tend) the best cleavage site among end - offsets: least category, most hits, then first; with
-    the abundance within reach of it and the ratio."""
-    at = targets.select("id", F.col("gene").alias("tg"), "tend", F.explode(F.array(*[F.lit(o) for o in offsets])).alias("o"))
+# Distances of cleavage sites from a target's end, and the lengths of miRNAs that have one more.
+CLEAVE, CLEAVE_LONG, LONG_MIRNAS = (9, 10, 11), (9, 10, 11, 12), (23, 24)
+
+
+def best_cleave(targets: DataFrame, cats: DataFrame, standard: bool = False, reach: int = 5) -> DataFrame:
+    """W19. Per target (id, gene, tend, mlen) the best cleavage site among end - offsets: least category, most hits, then first; with
+    the abundance within reach of it and the ratio. The offsets depend on the miRNA's length, unless ``standard``."""
+    own = F.array(*[F.lit(o) for o in CLEAVE])
+    offsets = own if standard else F.when(F.col("mlen").isin(*LONG_MIRNAS), F.array(*[F.lit(o) for o in CLEAVE_LONG])).otherwise(own)
+    at = targets.select("id", F.col("gene").alias("tg"), "tend", F.explode(offsets).alias("o"))
     hit = at.join(cats, (F.col("tg") == F.col("gene")) & (F.col("tend") - F.col("o") == F.col("loc")))
     best = hit.groupBy("id").agg(F.min(F.struct("category", (-F.col("hits")).alias("nh"), "loc", "gene")).alias("b")).select("id", F.col("b.gene").alias("bg"), F.col("b.loc").alias("site"), F.col("b.category").alias("best_cat"), (-F.col("b.nh")).alias("site_hits"))
     around = best.select("id", "bg", F.explode(F.sequence(F.col("site") - reach, F.col("site") + reach)).alias("l")).join(cats, (F.col("bg") == F.col("gene")) & (F.col("l") == F.col("loc"))).groupBy(F.col("id").alias("i")).agg(F.sum("hits").alias("window"))

@@ -53,24 +53,40 @@ def j22(v: Views) -> DataFrame:
 
 
 def _aligned(v: Views) -> DataFrame:
-    """Aligned pairs with planted differences, from sequences."""
+    """Aligned pairs with planted differences and, by a letter of the sequence, a gap in either part, from sequences."""
     mir, other = F.substring("seq", 1, 21), F.concat(F.substring("seq", 1, 4), F.translate(F.substring("seq", 5, 3), "GT", "AC"), F.substring("seq", 8, 6), F.substring("seq", 33, 3), F.substring("seq", 17, 5))
-    return v.seqs.filter("seq IS NOT NULL").select(F.col("name").alias("id"), mir.alias("mir"), other.alias("tar"))
-
-
-_AL = "al AS (SELECT name AS id, substr(seq,1,21) AS mir, substr(seq,1,4) || translate(substr(seq,5,3),'GT','AC') || substr(seq,8,6) || substr(seq,33,3) || substr(seq,17,5) AS tar FROM seqs WHERE seq IS NOT NULL), pos AS (SELECT id, mir, tar, i::INT AS i, substr(mir,i::BIGINT,1) AS m, substr(tar,i::BIGINT,1) AS t FROM al, (SELECT unnest(generate_series(1,21)) AS i)), kd AS (SELECT *, CASE WHEN m=t THEN 'M' WHEN m='G' AND t='A' OR m='T' AND t='C' THEN 'W' ELSE 'X' END AS kind FROM pos), pf AS (SELECT id, mir, tar, coalesce(list(i ORDER BY i) FILTER (kind='X'), []) AS mis, coalesce(list(i ORDER BY i) FILTER (kind='W'), []) AS wob, count(*) FILTER (kind='X')<=5 AND count(*) FILTER (kind IN ('X','W'))<=6 AS valid FROM kd GROUP BY 1, 2, 3)"
-
-
-@query("P19", "seqs", sql=f"WITH {_AL} SELECT id, array_to_string(mis, ',') AS mis, array_to_string(wob, ',') AS wob, valid FROM pf")
+    gap = lambda c, k, drop: F.concat(F.substring(c, 1, k), F.lit("-"), F.substring(c, k + 1 + drop, 21))
+    more = lambda c, k: F.concat(F.substring(c, 1, k), F.lit("T"), F.substring(c, k + 1, 21))
+    kind = F.substring("seq", 25, 2)
+    df = v.seqs.filter("seq IS NOT NULL").select(F.col("name").alias("id"), mir.alias("m"), other.alias("t"), kind.alias("kind"))
+    m = F.when(F.col("kind") == "AA", gap("m", 5, 0)).when(F.col("kind") == "AC", gap("m", 9, 0)).when(F.col("kind") == "GA", gap(gap("m", 16, 0), 5, 0)).otherwise(F.col("m"))
+    t = F.when(F.col("kind") == "AA", more("t", 5)).when(F.col("kind") == "AC", more("t", 9)).when(F.col("kind") == "GA", more(more("t", 16), 5)).when(F.col("kind") == "CC", gap("t", 15, 1)).when(F.col("kind") == "CG", gap("t", 7, 1)).otherwise(F.col("t"))
+    return df.select("id", m.alias("mir"), t.alias("tar"))
+
+
+_GAP = "substr({c},1,{k}) || '{x}' || substr({c},{j})"
+_M = "CASE kind WHEN 'AA' THEN " + _GAP.format(c="m", k=5, x="-", j=6) + " WHEN 'AC' THEN " + _GAP.format(c="m", k=9, x="-", j=10) + " WHEN 'GA' THEN substr(m,1,5) || '-' || substr(m,6,11) || '-' || substr(m,17) ELSE m END"
+_T = "CASE kind WHEN 'AA' THEN " + _GAP.format(c="t", k=5, x="T", j=6) + " WHEN 'AC' THEN " + _GAP.format(c="t", k=9, x="T", j=10) + " WHEN 'GA' THEN substr(t,1,5) || 'T' || substr(t,6,11) || 'T' || substr(t,17) WHEN 'CC' THEN " + _GAP.format(c="t", k=15, x="-", j=17) + " WHEN 'CG' THEN " + _GAP.format(c="t", k=7, x="-", j=9) + " ELSE t END"
+_LISTS = ", ".join(f"coalesce(list(i ORDER BY col) FILTER (kind='{k}'), []) AS {n}" for k, n in (("X", "mis"), ("W", "wob"), ("B", "mgap"), ("D", "tgap")))
+_AL = f"""a0 AS (SELECT name AS id, substr(seq,1,21) AS m, substr(seq,1,4) || translate(substr(seq,5,3),'GT','AC') || substr(seq,8,6) || substr(seq,33,3) || substr(seq,17,5) AS t, substr(seq,25,2) AS kind FROM seqs WHERE seq IS NOT NULL),
+ al AS (SELECT id, {_M} AS mir, {_T} AS tar FROM a0), pos AS (SELECT id, mir, tar, col, length(replace(substr(mir,1,col-1),'-',''))::INT + 1 AS i, substr(mir,col,1) AS m, substr(tar,col,1) AS t FROM (SELECT *, unnest(generate_series(1, length(mir))) AS col FROM al)),
+ kd AS (SELECT *, CASE WHEN m='-' THEN 'B' WHEN t='-' THEN 'D' WHEN m=t THEN 'M' WHEN m='G' AND t='A' OR m='T' AND t='C' THEN 'W' ELSE 'X' END AS kind FROM pos),
+ pf AS (SELECT id, mir, tar, {_LISTS}, count(*) FILTER (kind='X')<=5 AND count(*) FILTER (kind IN ('X','W'))<=6 AND count(*) FILTER (kind='B')<=2 AND count(*) FILTER (kind='D')<=1 AND count(*) FILTER (kind='B' AND i BETWEEN 9 AND 11 OR kind='D' AND i BETWEEN 8 AND 10)=0 AS valid FROM kd GROUP BY 1, 2, 3)"""
+_PARTS = ("mis", "wob", "mgap", "tgap")
+
+
+@query("P19", "seqs", sql=f"WITH {_AL} SELECT id, " + ", ".join(f"array_to_string({c}, ',') AS {c}" for c in _PARTS) + ", valid FROM pf")
 def p19(v: Views) -> DataFrame:
     p = tr.pair_profile(_aligned(v))
-    return p.select("id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("mis", "wob")], "valid")
+    return p.select("id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in _PARTS], "valid")
 
 
-_SC = "coalesce(list_sum(list_transform(mis, lambda i: CASE WHEN list_contains(mis,10) AND list_contains(mis,11) AND i IN (10,11) THEN 1.25::DOUBLE ELSE 1.0::DOUBLE END * {w})),0) + coalesce(list_sum(list_transform(wob, lambda i: CASE WHEN list_contains(mis,i-1) OR list_contains(mis,i+1) THEN 1.5::DOUBLE ELSE 0.5::DOUBLE END * {w})),0)"
+_EACH = "coalesce(list_sum(list_transform({c}, lambda i: {f})), 0)"
+_SEEDLESS = " + ".join((_EACH.format(c="mis", f="CASE WHEN list_contains(mis,10) AND list_contains(mis,11) AND i IN (10,11) THEN 1.25::DOUBLE ELSE 1.0::DOUBLE END"), _EACH.format(c="wob", f="CASE WHEN list_contains(mis,i-1) OR list_contains(mis,i+1) THEN 1.5::DOUBLE ELSE 0.5::DOUBLE END"), "1.5::DOUBLE * (len(mgap) + len(tgap))"))
+_SEEDED = " + ".join(_EACH.format(c=c, f=f"CASE WHEN i BETWEEN 2 AND 13 THEN {2 * x}::DOUBLE ELSE {x}::DOUBLE END") for c, x in (("mis", 1.0), ("mgap", 1.0), ("tgap", 1.0), ("wob", 0.5)))
 
 
-@query("P20", "seqs", sql=f"WITH {_AL} SELECT id, {_SC.format(w='1.0::DOUBLE')} AS seedless, {_SC.format(w='CASE WHEN i BETWEEN 2 AND 13 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END')} AS seeded FROM pf")
+@query("P20", "seqs", sql=f"WITH {_AL} SELECT id, {_SEEDLESS} AS seedless, {_SEEDED} AS seeded FROM pf")
 def p20(v: Views) -> DataFrame:
     p = tr.pair_profile(_aligned(v))
     a, b = tr.score_pairs(p).select("id", F.col("score").alias("seedless")), tr.score_pairs(p, seeded=True).select(F.col("id").alias("i"), F.col("score").alias("seeded"))
@@ -95,7 +111,7 @@ def p21(v: Views) -> DataFrame:
     return tr.filter_pare(df, 6, 20, 0.5).drop("vals")
 
 
-_FEAT = (("gc", "kind='M' AND m IN ('G','C')"), ("au", "kind='M' AND m IN ('A','T')"), ("wobble", "kind='W'"), ("mismatch", "kind='X'"), ("gap", "false"))
+_FEAT = (("gc", "kind='M' AND m IN ('G','C')"), ("au", "kind='M' AND m IN ('A','T')"), ("wobble", "kind='W'"), ("mismatch", "kind='X'"), ("gap", "kind IN ('B','D')"))
 
 
 @query("P22", "seqs", sql=f"WITH {_AL} SELECT id, " + ", ".join(f"count(*) FILTER ({c}) AS {n}, count(*) FILTER (({c}) AND i BETWEEN 2 AND 10) AS seed_{n}" for n, c in _FEAT) + " FROM kd GROUP BY 1")
@@ -109,7 +125,7 @@ def a28(v: Views) -> DataFrame:
 
 
 _D = "d AS (SELECT 'G' || CAST(chr * 10 + pos // 10000 % 10 AS STRING) AS gene, pos % 1000 AS loc, sum(abun)::BIGINT AS hits FROM tag_position GROUP BY 1, 2)"
-_CG = "pg AS (SELECT gene, quantile_cont(hits, 0.5) AS med, max(hits) AS top FROM d GROUP BY 1), cg AS (SELECT d.*, CASE WHEN hits=1 THEN 4 WHEN hits=top AND (SELECT count(*) FROM d e WHERE e.gene=d.gene AND e.hits=d.hits)=1 THEN 0 WHEN hits=top THEN 1 WHEN hits>med THEN 2 ELSE 3 END AS category FROM d JOIN pg USING (gene))"
+_CG = "pg AS (SELECT gene, quantile_cont(hits, 0.5) AS med, max(hits) AS top FROM d GROUP BY 1), cg AS (SELECT d.*, CASE WHEN hits=1 THEN 4 WHEN hits<=med THEN 3 WHEN hits<>top THEN 2 WHEN (SELECT count(*) FROM d e WHERE e.gene=d.gene AND e.hits=d.hits)>1 THEN 1 ELSE 0 END AS category FROM d JOIN pg USING (gene))"
 
 
 def _dens(v: Views) -> DataFrame:
@@ -137,13 +153,13 @@ def a13(v: Views) -> DataFrame:
     return tr.category_fractions(tr.categorize_genic(_dens(v)), 100000)
 
 
-_T = "tg AS (SELECT DISTINCT lib || '_' || tag || '_' || CAST(pos AS STRING) AS id, 'G' || CAST(chr * 10 + pos // 10000 % 10 AS STRING) AS gene, pos % 1000 + 10 AS tend FROM tag_position WHERE len = 20)"
-_W19 = f"{_D}, {_CG}, {_T}, h AS (SELECT tg.id, tg.gene, cg.loc AS site, cg.category, cg.hits AS site_hits, row_number() OVER (PARTITION BY tg.id ORDER BY category, hits DESC, loc) AS r FROM tg, (SELECT unnest([9,10,11]) AS o), cg WHERE cg.gene=tg.gene AND cg.loc=tg.tend-o), b AS (SELECT * FROM h WHERE r=1), w19 AS (SELECT b.id, b.gene, b.site, b.category, b.site_hits, sum(c.hits)::BIGINT AS win FROM b JOIN cg c ON c.gene=b.gene AND c.loc BETWEEN b.site-5 AND b.site+5 GROUP BY 1, 2, 3, 4, 5)"
+_T = "tg AS (SELECT DISTINCT lib || '_' || tag || '_' || CAST(pos AS STRING) AS id, 'G' || CAST(chr * 10 + pos // 10000 % 10 AS STRING) AS gene, pos % 1000 + 10 AS tend, len AS mlen FROM tag_position)"
+_W19 = f"{_D}, {_CG}, {_T}, h AS (SELECT tg.id, tg.gene, cg.loc AS site, cg.category, cg.hits AS site_hits, row_number() OVER (PARTITION BY tg.id ORDER BY category, hits DESC, loc) AS r FROM (SELECT *, unnest(CASE WHEN mlen IN (23,24) THEN [9,10,11,12] ELSE [9,10,11] END) AS o FROM tg) tg JOIN cg ON cg.gene=tg.gene AND cg.loc=tg.tend-o), b AS (SELECT * FROM h WHERE r=1), w19 AS (SELECT b.id, b.gene, b.site, b.category, b.site_hits, sum(c.hits)::BIGINT AS win FROM b JOIN cg c ON c.gene=b.gene AND c.loc BETWEEN b.site-5 AND b.site+5 GROUP BY 1, 2, 3, 4, 5)"
 
 
 def _cleave(v: Views) -> DataFrame:
     gene = F.concat(F.lit("G"), (F.col("chr") * 10 + F.floor(F.col("pos") / 10000) % 10).cast("string"))
-    t = v.tag_position.filter("len = 20").select(F.concat_ws("_", "lib", "tag", F.col("pos").cast("string")).alias("id"), gene.alias("gene"), (F.col("pos") % 1000 + 10).alias("tend")).distinct()
+    t = v.tag_position.select(F.concat_ws("_", "lib", "tag", F.col("pos").cast("string")).alias("id"), gene.alias("gene"), (F.col("pos") % 1000 + 10).alias("tend"), F.col("len").alias("mlen")).distinct()
     return tr.best_cleave(t, tr.categorize_genic(_dens(v)))
 
 
