@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.operators.islands import number_islands
+
 WIDTH = 512
 
 
@@ -218,31 +220,42 @@ def full_length(sites: DataFrame, trans: DataFrame, exons: DataFrame) -> DataFra
 
 
 def merge_annotations(genes: DataFrame, feats: DataFrame, stranded: bool = True) -> DataFrame:
-    """W13. Overlapping intervals of both sets merged, by strand if stranded; (chr, strand, mstart, mend, n), strand * without."""
+    """W13. Overlapping intervals of both sets (chr, strand, tstart, tend, name) merged, by strand if stranded: (chr, strand, mstart, mend, n,
+    genes, feats), strand * without; genes and feats are the members' names of either set, in order."""
     strand = F.col("strand") if stranded else F.lit("*")
-    rows = genes.select("chr", strand.alias("strand"), "tstart", "tend").unionByName(feats.select("chr", strand.alias("strand"), "tstart", "tend"))
-    return islands(rows, ["chr", "strand"], "tstart", "tend")
+    part = lambda df, kind: df.select("chr", strand.alias("strand"), "tstart", "tend", "name", F.lit(kind).alias("kind"))
+    rows = number_islands(part(genes, "g").unionByName(part(feats, "f")), ["chr", "strand"], "tstart", "tend", out="__i")
+    names = lambda kind: F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("name")))), ",")
+    return rows.groupBy("chr", "strand", "__i").agg(F.min("tstart").alias("mstart"), F.max("tend").alias("mend"), F.count("*").alias("n"), names("g").alias("genes"), names("f").alias("feats")).drop("__i")
 
 
 def islands(rows: DataFrame, keys: list[str], start: str, end: str, gap: int = 0) -> DataFrame:
-    """Maximal runs of intervals that overlap (or lie within gap of each other): keys, mstart, mend, n.
+    """Maximal runs of intervals that overlap (or lie within gap of each other): keys, mstart, mend, n."""
+    return number_islands(rows, keys, start, end, gap, "__i").groupBy(*keys, "__i").agg(F.min(start).alias("mstart"), F.max(end).alias("mend"), F.count("*").alias("n")).drop("__i")
+
+
+def intergenic(genes: DataFrame, least: int = 25, chroms: DataFrame | None = None) -> DataFrame:
+    """W14. (chr, strand, name, rstart, rend): regions between merged genes (name, chr, strand, tstart, tend) of a chromosome and strand, the
+    first from 1, the last open (null end), longer than ``least``. chroms: (chr) whose strands without genes are regions as a whole.
 
-    The running end is a window over a key's intervals in order, which Spark sorts with spilling.
+    On w a region is named after the gene that follows, _up, and the last after its gene, _down; on c after the gene before, _up, and the
+    first after its gene, _down.
     """
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(before.isNull() | (F.col(start) > before + gap), 1).otherwise(0)
-    numbered = rows.withColumn("__new", new).withColumn("__i", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "__i").agg(F.min(start).alias("mstart"), F.max(end).alias("mend"), F.count("*").alias("n")).drop("__i")
-
-
-def intergenic(genes: DataFrame, least: int = 25) -> DataFrame:
-    """W14. Regions between merged genes of a chromosome: the first from 1, the last open (null end), longer than ``least``."""
-    m = islands(genes, ["chr"], "tstart", "tend")
-    w = Window.partitionBy("chr").orderBy("mstart")
-    after = m.select("chr", (F.col("mend") + 1).alias("rstart"), (F.lead("mstart").over(w) - 1).alias("rend"))
-    first = m.groupBy("chr").agg((F.min("mstart") - 1).alias("rend")).select("chr", F.lit(1).cast("long").alias("rstart"), "rend")
-    return first.unionByName(after).filter(F.col("rend").isNull() | (F.col("rend") - F.col("rstart") + 1 > least))
+    m = number_islands(genes, ["chr", "strand"], "tstart", "tend", out="__i").groupBy("chr", "strand", "__i")
+    m = m.agg(F.min("tstart").alias("mstart"), F.max("tend").alias("mend"), F.min(F.struct("tstart", "name"))["name"].alias("head"), F.max(F.struct("tend", "name"))["name"].alias("tail"))
+    # the next island has the next number; numbers are dense
+    after = m.select(F.col("chr").alias("ac"), F.col("strand").alias("as_"), (F.col("__i") - 1).alias("ai"), F.col("mstart").alias("next_start"), F.col("head").alias("next_head"))
+    both = m.join(after, (F.col("chr") == F.col("ac")) & (F.col("strand") == F.col("as_")) & (F.col("__i") == F.col("ai")), "left")
+    w, last = F.col("strand") == "w", F.col("next_start").isNull()
+    name = F.when(w & last, F.concat("tail", F.lit("_down"))).when(w, F.concat("next_head", F.lit("_up"))).otherwise(F.concat("tail", F.lit("_up")))
+    between = both.select("chr", "strand", name.alias("name"), (F.col("mend") + 1).alias("rstart"), (F.col("next_start") - 1).alias("rend"))
+    first = m.filter("__i = 1").select("chr", "strand", F.concat("head", F.when(w, "_up").otherwise("_down")).alias("name"), F.lit(1).cast("long").alias("rstart"), (F.col("mstart") - 1).alias("rend"))
+    out = first.unionByName(between)
+    if chroms is not None:
+        every = chroms.select("chr", F.explode(F.array(F.lit("w"), F.lit("c"))).alias("strand")).distinct()
+        empty = every.join(genes.select("chr", "strand").distinct(), ["chr", "strand"], "left_anti")
+        out = out.unionByName(empty.select("chr", "strand", F.col("chr").cast("string").alias("name"), F.lit(1).cast("long").alias("rstart"), F.lit(None).cast("long").alias("rend")))
+    return out.filter(F.col("rend").isNull() | (F.col("rend") - F.col("rstart") + 1 > least))
 
 
 def merge_mer_clusters(tagpos: DataFrame, width: int = 500, size: int = 22, gap: int = 10) -> DataFrame:

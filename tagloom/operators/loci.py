@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators.intervals import point_join
+from tagloom.operators.islands import number_islands, number_rows
+from tagloom.runtime import ship
 
 BLOCK = 200
 LOCUS = "name string, neglog_p long, chr long, lstart long, lend long, lib string"
@@ -14,10 +16,7 @@ LOCUS = "name string, neglog_p long, chr long, lstart long, lend long, lib strin
 
 def _island(loci: DataFrame, keys: list[str]) -> DataFrame:
     """Numbers overlap islands within keys; order-dependent merging never reaches over an island's border."""
-    w = Window.partitionBy(*keys).orderBy("lstart", "lend", "name")
-    before = F.max("lend").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(before.isNull() | (F.col("lstart") >= before), 1).otherwise(0)
-    return loci.withColumn("__new", new).withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    return number_islands(loci, keys, "lstart", "lend", -1, "island")  # intervals that only touch don't overlap
 
 
 def _dice(a, b) -> float:
@@ -33,7 +32,9 @@ def _by_island(pdf: pd.DataFrame, one) -> pd.DataFrame:
 def self_merge(loci: DataFrame, most: float = 0.45) -> DataFrame:
     """W11. Within a library, of loci that overlap by more than ``most`` the best p stays (the longer of equals, then the first).
 
-    Greedy from the best locus on: a locus goes if a kept one overlaps it. A task takes blocks of BLOCK overlap islands.
+    Greedy from the best locus on: a locus goes if a kept one overlaps it, so no two that stay overlap, and each that goes is overlapped by
+    a better one that stays. That is the intent of taking the best of each group of overlapping loci; where loci overlap in chains
+    it doesn't depend on the order of the rows. A task takes blocks of BLOCK overlap islands.
     """
 
     def one(rows: list) -> list:
@@ -43,6 +44,7 @@ def self_merge(loci: DataFrame, most: float = 0.45) -> DataFrame:
                 kept.append(r)
         return kept
 
+    ship(loci.sparkSession)
     rows = _island(loci, ["lib", "chr"]).withColumn("block", F.floor(F.col("island") / BLOCK))
     return rows.groupBy("lib", "chr", "block").applyInPandas(lambda pdf: _by_island(pdf, one), LOCUS)
 
@@ -61,6 +63,7 @@ def merge_libraries(loci: DataFrame, most: float = 0.25) -> DataFrame:
                 kept[best] = r
         return kept
 
+    ship(loci.sparkSession)
     rows = _island(loci, ["chr"]).withColumn("block", F.floor(F.col("island") / BLOCK))
     return rows.groupBy("chr", "block").applyInPandas(lambda pdf: _by_island(pdf, one), LOCUS)
 
@@ -73,13 +76,13 @@ def best_cluster(rows: DataFrame) -> DataFrame:
 def enumerate_loci(loci: DataFrame, prefix: str = "Phas") -> DataFrame:
     """W21. Loci numbered by zero-padded chromosome name, start and name.
 
-    Numbers come from a running count of loci per chromosome plus a rank inside it, so no task orders all loci.
+    Numbers come from running counts of loci per chromosome and per block of it plus a rank inside the block, so no task orders all loci.
     """
     df = loci.withColumn("ckey", F.lpad(F.lower(F.col("chr").cast("string")), 8, "0"))
     per = df.groupBy("ckey").agg(F.count("*").alias("n"))
     per = per.select(F.col("ckey").alias("k"), (F.sum("n").over(Window.orderBy("ckey")) - F.col("n")).alias("before"))
-    w = Window.partitionBy("ckey").orderBy("lstart", "name")
-    return df.withColumn("nth", F.row_number().over(w)).join(per, F.col("ckey") == F.col("k")).select("name", F.concat(F.lit(f"{prefix}-"), (F.col("before") + F.col("nth")).cast("string")).alias("phas_id"), "ckey", "lstart")
+    numbered = number_rows(df, ["ckey"], "lstart", ["name"], "nth")
+    return numbered.join(per, F.col("ckey") == F.col("k")).select("name", F.concat(F.lit(f"{prefix}-"), (F.col("before") + F.col("nth")).cast("string")).alias("phas_id"), "ckey", "lstart")
 
 
 def pick_cutoff(loci: DataFrame, want: int, perc: float = 0.25) -> DataFrame:
@@ -87,18 +90,18 @@ def pick_cutoff(loci: DataFrame, want: int, perc: float = 0.25) -> DataFrame:
     return loci.groupBy("lib").agg(F.min(F.when(F.col("neglog_p") >= want, F.col("neglog_p"))).alias("cutoff"), F.expr(f"percentile_disc({perc}) WITHIN GROUP (ORDER BY neglog_p)").alias("nearest"))
 
 
-def summarize_loci(members: DataFrame, tag_count: DataFrame, libs: tuple[str, ...], rl: int = 21) -> DataFrame:
-    """A17. Per locus the library sums, total, size ratio (other sizes to rl), best tag's share and the top two tags.
-
-    members: (name, tag), repeats allowed.
-    """
+def summarize_loci(members: DataFrame, tag_count: DataFrame, libs: tuple[str, ...], rl: int = 21, safe: tuple[float, int, int] | None = None) -> DataFrame:
+    """A17. Per locus the library sums, total, size ratio (share of size rl, two decimals), best tag's share, the top two tags, and the best
+    k of its members. members: (name, tag, k), repeats allowed. safe: (largest best tag's share, least k, least total) that a locus must keep to."""
     m = members.select("name", "tag").distinct().join(tag_count, "tag")
     per_tag = m.groupBy("name", "tag").agg(F.sum("abun").alias("abun"))
     order = Window.partitionBy("name").orderBy(F.desc("abun"), "tag")
     top = per_tag.withColumn("nth", F.row_number().over(order)).filter("nth <= 2").groupBy("name").agg(F.max(F.when(F.col("nth") == 1, F.col("tag"))).alias("tag1"), F.max(F.when(F.col("nth") == 2, F.col("tag"))).alias("tag2"), F.max("abun").alias("top_abun"))
     sums = m.groupBy("name").agg(*[F.coalesce(F.sum(F.when(F.col("lib") == x, F.col("abun"))), F.lit(0)).alias(x) for x in libs], F.sum("abun").alias("total"), F.coalesce(F.sum(F.when(F.length("tag") == rl, F.col("abun"))), F.lit(0)).alias("phased"))
-    both = sums.join(top.withColumnRenamed("name", "n"), F.col("name") == F.col("n"))
-    return both.select("name", *libs, "total", F.try_divide(F.col("total") - F.col("phased"), F.col("phased")).alias("size_ratio"), (F.col("top_abun") / F.col("total")).alias("max_tag_ratio"), "tag1", "tag2")
+    best = members.groupBy(F.col("name").alias("bn")).agg(F.max("k").alias("best_k"))
+    both = sums.join(top.withColumnRenamed("name", "n"), F.col("name") == F.col("n")).join(best, F.col("name") == F.col("bn"))
+    out = both.select("name", *libs, "total", F.round(F.try_divide(F.col("phased"), F.col("total")), 2).alias("size_ratio"), (F.col("top_abun") / F.col("total")).alias("max_tag_ratio"), "tag1", "tag2", "best_k")
+    return out.filter((F.col("max_tag_ratio") <= safe[0]) & (F.col("best_k") >= safe[1]) & (F.col("total") >= safe[2])) if safe else out
 
 
 def precursor_ratio(loci: DataFrame, tagpos: DataFrame) -> DataFrame:

@@ -138,26 +138,46 @@ def _islands(src: str, keys: str, s: str, e: str, gap: int = 0) -> str:
     return f"x AS ({src}), y AS (SELECT *, CASE WHEN {s} <= max({e}) OVER (PARTITION BY {keys} ORDER BY {s}, {e} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} THEN 0 ELSE 1 END AS nw FROM x), z AS (SELECT *, sum(nw) OVER (PARTITION BY {keys} ORDER BY {s}, {e} ROWS UNBOUNDED PRECEDING) AS i FROM y), isl AS (SELECT {keys}, min({s}) AS mstart, max({e}) AS mend, count(*) AS n FROM z GROUP BY {keys}, i)"
 
 
-_FEATS = "SELECT chr, strand, tstart, tend FROM transcript UNION ALL SELECT chr, CASE WHEN neglog_p > 3 THEN 'w' ELSE 'c' END, lstart, lend FROM locus WHERE lib = 'click'"
+_FEATS = "SELECT chr, strand, tstart, tend, trans AS name, 'g' AS kind FROM transcript UNION ALL SELECT chr, CASE WHEN neglog_p > 3 THEN 'w' ELSE 'c' END, lstart, lend, name, 'f' FROM locus"
 
 
 def _feats(v: Views) -> DataFrame:
-    return v.locus.filter("lib = 'click'").select("chr", F.when(F.col("neglog_p") > 3, "w").otherwise("c").alias("strand"), F.col("lstart").alias("tstart"), F.col("lend").alias("tend"))
+    return v.locus.select("chr", F.when(F.col("neglog_p") > 3, "w").otherwise("c").alias("strand"), F.col("lstart").alias("tstart"), F.col("lend").alias("tend"), "name")
 
 
-@query("W13", "transcript", "locus", sql=f"WITH {_islands(_FEATS, 'chr, strand', 'tstart', 'tend')} SELECT chr, strand, mstart, mend, n FROM isl")
+def _merged(src: str, keys: str) -> str:
+    """Islands with the members' names."""
+    names = ", ".join(f"coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (kind='{k}'), '') AS {c}" for k, c in (("g", "genes"), ("f", "feats")))
+    return f"{_islands(src, keys, 'tstart', 'tend')}, mrg AS (SELECT {keys}, min(tstart) AS mstart, max(tend) AS mend, count(*) AS n, {names} FROM z GROUP BY {keys}, i)"
+
+
+def _named(v: Views) -> DataFrame:
+    return v.transcript.withColumn("name", F.col("trans"))
+
+
+@query("W13", "transcript", "locus", sql=f"WITH {_merged(_FEATS, 'chr, strand')} SELECT chr, strand, mstart, mend, n, genes, feats FROM mrg")
 def w13(v: Views) -> DataFrame:
-    return iv.merge_annotations(v.transcript, _feats(v))
+    return iv.merge_annotations(_named(v), _feats(v))
 
 
-@query("W13_unstranded", "transcript", "locus", sql=f"WITH w13 AS ({_FEATS}), {_islands('SELECT chr, tstart, tend FROM w13', 'chr', 'tstart', 'tend')} SELECT chr, '*' AS strand, mstart, mend, n FROM isl")
+@query("W13_unstranded", "transcript", "locus", sql=f"WITH w13 AS ({_FEATS}), {_merged('SELECT chr, tstart, tend, name, kind FROM w13', 'chr')} SELECT chr, '*' AS strand, mstart, mend, n, genes, feats FROM mrg")
 def w13u(v: Views) -> DataFrame:
-    return iv.merge_annotations(v.transcript, _feats(v), stranded=False)
+    return iv.merge_annotations(_named(v), _feats(v), stranded=False)
+
+
+_W14 = f"""WITH {_islands("SELECT chr, strand, tstart, tend, trans AS name FROM transcript WHERE NOT (chr = 3 AND strand = 'w')", 'chr, strand', 'tstart', 'tend')},
+ m AS (SELECT chr, strand, i, min(tstart) AS s, max(tend) AS e, arg_min(name, (tstart, name)) AS head, arg_max(name, (tend, name)) AS tail FROM z GROUP BY 1, 2, 3),
+ l AS (SELECT *, lead(s) OVER o AS ns, lead(head) OVER o AS nh FROM m WINDOW o AS (PARTITION BY chr, strand ORDER BY i)),
+ r AS (SELECT chr, strand, CASE WHEN strand='w' AND ns IS NULL THEN tail || '_down' WHEN strand='w' THEN nh || '_up' ELSE tail || '_up' END AS name, e+1 AS rstart, ns-1 AS rend FROM l
+  UNION ALL SELECT chr, strand, head || CASE WHEN strand='w' THEN '_up' ELSE '_down' END, 1, s-1 FROM m WHERE i=1
+  UNION ALL SELECT chr, strand, CAST(chr AS STRING), 1, NULL FROM (SELECT DISTINCT chr FROM transcript), (SELECT unnest(['w','c']) AS strand) WHERE (chr, strand) NOT IN (SELECT (chr, strand) FROM m))
+ SELECT * FROM r WHERE rend IS NULL OR rend-rstart+1 > 25"""
 
 
-@query("W14", "transcript", sql=f"WITH {_islands('SELECT chr, tstart, tend FROM transcript', 'chr', 'tstart', 'tend')}, r AS (SELECT chr, mend+1 AS rstart, lead(mstart) OVER (PARTITION BY chr ORDER BY mstart)-1 AS rend FROM isl UNION ALL SELECT chr, 1, min(mstart)-1 FROM isl GROUP BY chr) SELECT * FROM r WHERE rend IS NULL OR rend-rstart+1 > 25")
+@query("W14", "transcript", sql=_W14)
 def w14(v: Views) -> DataFrame:
-    return iv.intergenic(v.transcript)
+    """Genes of all chromosomes and strands but one strand, which so is a region as a whole."""
+    return iv.intergenic(_named(v).filter("NOT (chr = 3 AND strand = 'w')"), chroms=v.transcript.select("chr").distinct())
 
 
 _W15 = "SELECT chr, min(pos) AS s, max(pos+len-1) AS e FROM tag_position WHERE len = 22 GROUP BY chr, floor((pos-1)/500.0)"

@@ -93,9 +93,9 @@ def a34(v: Views) -> DataFrame:
     return ph.degradome_sites(v.tag_position)
 
 
-@query("A35", "tag_position", sql=f"WITH {_ALL7} SELECT cut, count(DISTINCT (chr, cl)) AS n_clusters, count(*) AS n_phased, count(*) * 1.0::DOUBLE AS scaled FROM w7 GROUP BY 1")
+@query("A35", "tag_position", sql=f"WITH {_ALL7} SELECT cut, count(DISTINCT (chr, cl)) AS n_clusters, count(*) AS n_phased, count(*) * (10000000.0::DOUBLE / 4000000) AS scaled FROM w7 GROUP BY 1")
 def a35(v: Views) -> DataFrame:
-    return ph.run_summary(ph.phased_clusters(_best(v), CUTS))
+    return ph.run_summary(ph.phased_clusters(_best(v), CUTS), total=4_000_000)
 
 
 _J33 = f"""b AS (SELECT name, chr, lstart AS cstart, lend AS cend FROM locus), s AS (SELECT chr, strand, pos, sum(abun)::BIGINT AS abun FROM tag_position GROUP BY 1, 2, 3),
@@ -113,6 +113,13 @@ def j33(v: Views) -> DataFrame:
     return ph.degradome_support(b, s, RL)
 
 
+@query("A35_support", "tag_position", "locus", sql=f"WITH {_J33} SELECT l.neglog_p AS cut, count(*) FILTER (k.support IN ('h2','ups','dws')) AS supported, count(*) FILTER (k.support NOT IN ('h2','ups','dws')) AS unsupported FROM locus l JOIN k ON k.name=l.name GROUP BY 1")
+def a35_support(v: Views) -> DataFrame:
+    b = v.locus.select("name", "chr", F.col("lstart").alias("cstart"), F.col("lend").alias("cend"))
+    s = v.tag_position.groupBy("chr", "strand", "pos").agg(F.sum("abun").alias("abun"))
+    return ph.support_summary(v.locus.select(F.col("neglog_p").alias("cut"), "name"), ph.degradome_support(b, s, RL).select("name", "support"))
+
+
 @query("W10", "locus", "tag_position", sql="WITH c AS (SELECT l.name, t.lib AS cluster, count(DISTINCT t.pos) AS k, sum(t.abun)::BIGINT AS abun FROM locus l JOIN tag_position t ON t.chr=l.chr AND t.pos BETWEEN lstart AND lend GROUP BY 1, 2) SELECT name, cluster, k, abun FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY k DESC, abun DESC, cluster) AS r FROM c) WHERE r = 1")
 def w10(v: Views) -> DataFrame:
     return lc.best_cluster(_members(v).groupBy("name", F.col("tlib").alias("cluster")).agg(F.countDistinct("pos").alias("k"), F.sum("abun").alias("abun")))
@@ -134,9 +141,12 @@ def w12(v: Views) -> DataFrame:
     return lc.merge_libraries(v.locus)
 
 
-@query("A17", "tag_count", "locus", sql="WITH m AS (SELECT DISTINCT l.name, t.tag FROM locus l JOIN tag_position t ON t.chr=l.chr AND t.pos BETWEEN lstart AND lend), j AS (SELECT m.name, c.* FROM m JOIN tag_count c ON c.tag=m.tag), p AS (SELECT name, tag, sum(abun)::BIGINT AS abun FROM j GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY abun DESC, tag) AS nth FROM p), s AS (SELECT name, " + ", ".join(f"coalesce(sum(CASE WHEN lib='{x}' THEN abun END),0)::BIGINT AS \"{x}\"" for x in LIBS) + ", sum(abun)::BIGINT AS total, coalesce(sum(CASE WHEN length(tag)=21 THEN abun END),0)::BIGINT AS phased FROM j GROUP BY 1) SELECT s.name, " + ", ".join(f'"{x}"' for x in LIBS) + ", total, (total-phased)::DOUBLE/nullif(phased,0) AS size_ratio, a.abun::DOUBLE/total AS max_tag_ratio, a.tag AS tag1, b.tag AS tag2 FROM s JOIN r a ON a.name=s.name AND a.nth=1 LEFT JOIN r b ON b.name=s.name AND b.nth=2")
+_BINNED = "(SELECT *, unnest(generate_series(lstart // 512, lend // 512)) AS bin FROM locus) l JOIN tag_position t ON t.chr=l.chr AND t.pos // 512 = l.bin AND t.pos BETWEEN lstart AND lend"
+
+
+@query("A17", "tag_count", "locus", sql=f"WITH mk AS (SELECT l.name, t.tag, max(t.abun % 23) AS k FROM {_BINNED} GROUP BY 1, 2), j AS (SELECT mk.name, c.* FROM mk JOIN tag_count c ON c.tag=mk.tag), p AS (SELECT name, tag, sum(abun)::BIGINT AS abun FROM j GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY abun DESC, tag) AS nth FROM p), s AS (SELECT name, " + ", ".join(f"coalesce(sum(CASE WHEN lib='{x}' THEN abun END),0)::BIGINT AS \"{x}\"" for x in LIBS) + ", sum(abun)::BIGINT AS total, coalesce(sum(CASE WHEN length(tag)=21 THEN abun END),0)::BIGINT AS phased FROM j GROUP BY 1), bk AS (SELECT name, max(k) AS best_k FROM mk GROUP BY 1), o AS (SELECT s.name, " + ", ".join(f'"{x}"' for x in LIBS) + ", total, round(phased::DOUBLE/total, 2) AS size_ratio, a.abun::DOUBLE/total AS max_tag_ratio, a.tag AS tag1, b.tag AS tag2, best_k FROM s JOIN bk ON bk.name=s.name JOIN r a ON a.name=s.name AND a.nth=1 LEFT JOIN r b ON b.name=s.name AND b.nth=2) SELECT * FROM o WHERE max_tag_ratio <= 0.9 AND best_k >= 8 AND total >= 30")
 def a17(v: Views) -> DataFrame:
-    return lc.summarize_loci(_members(v), v.tag_count, LIBS, RL)
+    return lc.summarize_loci(_members(v).select("name", "tag", (F.col("abun") % 23).alias("k")), v.tag_count, LIBS, RL, safe=(0.9, 8, 30))
 
 
 @query("A18", "tag_position", "transcript", sql="WITH p AS (SELECT x.trans AS name, t.tag, sum(t.abun)::BIGINT AS abun FROM transcript x JOIN tag_position t ON t.chr=x.chr AND t.pos BETWEEN tstart AND tend GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY abun DESC, tag) AS nth FROM p) SELECT name, sum(abun)::BIGINT AS total, sum(CASE WHEN nth=1 THEN abun END)::DOUBLE/sum(abun) AS ratio1, sum(CASE WHEN nth<=2 THEN abun END)::DOUBLE/sum(abun) AS ratio2 FROM r GROUP BY 1")
