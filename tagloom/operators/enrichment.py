@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators.intervals import point_join
 
 
+def seeded(*cols: Column | str, seed: int) -> Column:
+    """32 hexadecimal digits that depend on the columns and the seed alone, so plans and retries agree: a place in a random order."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]).cast("binary"))
+
+
 def uniform(*cols: Column | str, seed: int) -> Column:
-    """A number in [0, 1) that depends on the columns and the seed alone, so plans and retries agree."""
-    return F.pmod(F.xxhash64(*[F.col(c) if isinstance(c, str) else c for c in cols], F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    """The same as a number in [0, 1), from the first 13 digits."""
+    return F.conv(F.substring(seeded(*cols, seed=seed), 1, 13), 16, 10).cast("long") / float(1 << 52)
 
 
 def methylation_bins(calls: DataFrame, width: int) -> DataFrame:
@@ -46,7 +51,7 @@ def interval_rank(probes: DataFrame, width: int) -> DataFrame:
 
 def population_rank(probes: DataFrame, n: int, seed: int) -> DataFrame:
     """W5. Rank of each probe among n sampled ones of its track and itself, divided by n + 1. The sample is n rows per track."""
-    order = Window.partitionBy("track").orderBy(uniform("probe", seed=seed), "probe")
+    order = Window.partitionBy("track").orderBy(seeded("probe", seed=seed), "probe")
     s = probes.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= n).select(F.col("track").alias("st"), F.col("fc").alias("sfc"))
     lists = s.groupBy("st").agg(F.collect_list("sfc").alias("fcs"))
     both = probes.join(lists, F.col("track") == F.col("st"))
@@ -65,7 +70,7 @@ def enrichment(probes: DataFrame, width: int, weight: float, n: int, seed: int)
     i = interval_rank(probes, width).select("probe", "track", F.col("rel").alias("ri"))
     r = population_rank(probes, 100, seed).select(F.col("probe").alias("p2"), F.col("track").alias("t2"), F.col("rel").alias("rp"))
     w = i.join(r, (F.col("probe") == F.col("p2")) & (F.col("track") == F.col("t2"))).select("probe", "track", (F.col("ri") * weight / 10 + F.col("rp") * (1 - weight / 10)).alias("score"))
-    order = Window.partitionBy("track").orderBy(uniform("probe", seed=seed + 1), "probe")
+    order = Window.partitionBy("track").orderBy(seeded("probe", seed=seed + 1), "probe")
     s = w.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= n).groupBy(F.col("track").alias("st")).agg(F.collect_list("score").alias("random"))
     e = w.join(s, F.col("track") == F.col("st")).select("probe", "track", (F.size(F.filter("random", lambda x: x <= F.col("score"))) / F.size("random")).alias("p"))
     return e.groupBy("probe").agg(fisher_combined(F.array_sort(F.collect_list("p"))).alias("p"), F.count("*").alias("n_tracks"))
@@ -99,14 +104,19 @@ def balanced_samples(pos: DataFrame, neg: DataFrame, size: int, samples: int, se
     """S8. For each sample size / 2 rows of either kind, by seeded order: (sample, kind, name)."""
     both = pos.select("name", F.lit("pos").alias("kind")).unionByName(neg.select("name", F.lit("neg").alias("kind")))
     df = both.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    order = Window.partitionBy("sample", "kind").orderBy(uniform("name", "sample", seed=seed), "name")
+    order = Window.partitionBy("sample", "kind").orderBy(seeded("name", "sample", seed=seed), "name")
     return df.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= size // 2).select("sample", "kind", "name")
 
 
-def random_seqs(spark: SparkSession, size: int, n: int, seed: int) -> DataFrame:
-    """P13. n distinct random sequences of a size."""
-    letters = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.substr(F.lit("ACGT"), (F.floor(uniform(F.col("id"), i, seed=seed) * 4) + 1).cast("int"), F.lit(1))), "")
-    return spark.range(2 * n).select("id", letters.alias("seq")).groupBy("seq").agg(F.min("id").alias("id")).orderBy("id").limit(n).select("seq")
+def random_seqs(names: DataFrame, size: int, seed: int) -> DataFrame:
+    """P13. A random sequence of a size for each distinct name: (name, seq), from digests of name and seed. Names whose sequences
+    agree share one, the smallest keeps it and the others draw again from a second digest; equal ones among those are left out."""
+    n = names.select("name").distinct()
+    draw = lambda turn: F.substring(F.concat(*[F.translate(seeded("name", F.lit(turn), F.lit(k), seed=seed), "0123456789abcdef", "ACGTACGTACGTACGT") for k in range((size + 31) // 32)]), 1, size)
+    first = n.withColumn("seq", draw(0)).withColumn("nth", F.row_number().over(Window.partitionBy("seq").orderBy("name")))
+    kept = first.filter("nth = 1").select("name", "seq")
+    again = first.filter("nth > 1").select("name", draw(1).alias("seq")).groupBy("seq").agg(F.min("name").alias("name")).select("name", "seq")
+    return kept.unionByName(again.join(kept.select("seq"), "seq", "left_anti").select("name", "seq"))
 
 
 def merge_signal(a: DataFrame, b: DataFrame, how: str = "mean") -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,15 +28,31 @@ def cluster_transcripts(exons: DataFrame, prefix: str = "M") -> DataFrame:
     return every.join(comp, F.col("trans") == F.col("node"), "left").select("trans", F.concat(F.lit(prefix), F.coalesce("component", "trans")).alias("cluster"))
 
 
-def rank_tracks(probes: DataFrame) -> DataFrame:
-    """W3. Rank of each probe in its track by fold change, and its best rank over tracks."""
-    r = probes.withColumn("rank", F.row_number().over(Window.partitionBy("track").orderBy(F.desc("fc"), "probe")))
-    return r.withColumn("best", F.min("rank").over(Window.partitionBy("probe"))).select("probe", "track", "fc", "rank", "best")
+def rank_tracks(probes: DataFrame, order: list[tuple[str, str]] | None = None) -> DataFrame:
+    """W3. Rank of each probe in its track, and its best rank over tracks. order: (column, asc or desc), by default fold change from
+    the largest down; [("p", "asc"), ("fc", "desc")] ranks by p first. Equal ones are ordered by probe.
+
+    Ranks are running counts: probes per distinct value of the order, over blocks of values, so no task holds a track.
+    """
+    order = order or [("fc", "desc")]
+    cols = [c for c, _ in order]
+    signed = F.struct(*[(F.col(c) if d == "asc" else -F.col(c)).cast("double").alias(f"o{i}") for i, (c, d) in enumerate(order)])
+    df = probes.withColumn("__o", signed).withColumn("__first", F.col("__o.o0"))
+    edges = df.groupBy(F.col("track").alias("__t")).agg(F.min("__first").alias("__lo"), F.max("__first").alias("__hi"))
+    df = df.join(edges, F.col("track") == F.col("__t"))
+    df = df.withColumn("__b", F.least(F.floor((F.col("__first") - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300)) * 1024), F.lit(1023)))
+    prior = Window.partitionBy("__t").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # 1024 rows per track at most
+    counts = df.groupBy("__t", "__b").agg(F.count("*").alias("__k")).select(F.col("__t").alias("__ct"), F.col("__b").alias("__cb"), F.coalesce(F.sum("__k").over(prior), F.lit(0)).alias("__base"))
+    nth = F.row_number().over(Window.partitionBy("track", "__b").orderBy("__o", "probe"))
+    r = df.join(counts, (F.col("track") == F.col("__ct")) & (F.col("__b") == F.col("__cb"))).withColumn("rank", F.col("__base") + nth)
+    best = r.groupBy(F.col("probe").alias("__p")).agg(F.min("rank").alias("best"))
+    return r.join(best, F.col("probe") == F.col("__p")).select("probe", "track", *cols, "rank", "best")
 
 
 def cpm(counts: DataFrame) -> DataFrame:
-    """S9. Counts per million of each sample's total."""
-    return counts.withColumn("cpm", F.col("cnt") * 1e6 / F.sum("cnt").over(Window.partitionBy("sample")))
+    """S9. Counts per million of each sample's total; totals are one row per sample."""
+    total = counts.groupBy(F.col("sample").alias("ts")).agg(F.sum("cnt").alias("tn"))
+    return counts.join(total, F.col("sample") == F.col("ts")).withColumn("cpm", F.col("cnt") * 1e6 / F.col("tn")).drop("ts", "tn")
 
 
 def filter_expressed(counts: DataFrame, least: float, samples: int) -> DataFrame:
@@ -46,6 +61,44 @@ def filter_expressed(counts: DataFrame, least: float, samples: int) -> DataFrame
     return cpm(counts.join(good, "gene", "left_semi"))
 
 
+def filter_by_expr(counts: DataFrame, groups: dict[str, str], least: int = 10, least_total: int = 15, large: int = 10, share: float = 0.7) -> DataFrame:
+    """S9, the filterByExpr rule. Genes whose cpm reaches ``least`` reads of a median library in as many samples as the smallest group
+    has (of groups above ``large``, a share of what exceeds it), and that have ``least_total`` reads in all. groups: sample to group."""
+    sizes = [list(groups.values()).count(g) for g in set(groups.values())]
+    n = min(sizes)
+    need = n if n <= large else large + (n - large) * share
+    own = counts.filter(F.col("sample").isin(*groups))
+    middle = own.groupBy("sample").agg(F.sum("cnt").alias("n")).agg(F.expr("percentile(n, 0.5)").alias("mid"))  # one row per sample, then one
+    x = cpm(own).crossJoin(F.broadcast(middle)).groupBy("gene").agg(F.count_if(F.col("cpm") >= least * 1e6 / F.col("mid")).alias("k"), F.sum("cnt").alias("total"))
+    good = x.filter((F.col("k") >= need - 1e-14) & (F.col("total") >= least_total - 1e-14)).select("gene")
+    return cpm(counts.join(good, "gene", "left_semi"))
+
+
+def quantiles(df: DataFrame, group: str, value: str, at: tuple[float, ...], out: str = "q") -> DataFrame:
+    """(group, out): linearly interpolated quantiles of each group, as an array.
+
+    A group's distinct values are counted first and summed over blocks of the value's order by range, so no task holds a whole group:
+    each quantile looks up two order statistics in running counts.
+    """
+    per = df.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("__g"), F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__k"))
+    edges = per.groupBy("__g").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__k").alias("__n"))
+    place = F.least(F.floor((F.col("__v") - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300)) * 1024), F.lit(1023))
+    per = per.join(edges.withColumnRenamed("__g", "__eg"), F.col("__g") == F.col("__eg")).drop("__eg").withColumn("__b", place)
+    blocks = per.groupBy("__g", "__b").agg(F.sum("__k").alias("__bk"))
+    prior = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # 1024 rows per group at most
+    blocks = blocks.select(F.col("__g").alias("__bg"), F.col("__b").alias("__bb"), F.coalesce(F.sum("__bk").over(prior), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy("__g", "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    per = per.join(blocks, (F.col("__g") == F.col("__bg")) & (F.col("__b") == F.col("__bb"))).withColumn("__upto", F.col("__base") + F.sum("__k").over(inside))
+    parts = []
+    for k, q in enumerate(at):
+        want = (F.col("__n") - 1) * q
+        for name, i in (("lo", F.floor(want)), ("hi", F.ceil(want))):
+            parts.append(F.min(F.when(F.col("__upto") > i, F.col("__v"))).alias(f"__{name}{k}"))
+    found = per.groupBy("__g", "__n").agg(*parts)
+    value_at = lambda k, q: F.col(f"__lo{k}") + (F.col(f"__hi{k}") - F.col(f"__lo{k}")) * ((F.col("__n") - 1) * q - F.floor((F.col("__n") - 1) * q))
+    return found.select(F.col("__g").alias(group), F.array(*[value_at(k, q) for k, q in enumerate(at)]).alias(out))
+
+
 def tmm_factors(counts: DataFrame, reference: str, log_trim: float = 0.3, sum_trim: float = 0.05) -> DataFrame:
     """S10. Trimmed mean of M-values against a reference sample, scaled to geometric mean 1."""
     n = counts.groupBy("sample").agg(F.sum("cnt").alias("n"))
@@ -54,7 +107,8 @@ def tmm_factors(counts: DataFrame, reference: str, log_trim: float = 0.3, sum_tr
     both = c.join(r, F.col("gene") == F.col("rg"))
     x, y = F.col("cnt") / F.col("n"), F.col("rc") / F.col("rn")
     both = both.withColumn("m", F.log2(x / y)).withColumn("a", (F.log2(x) + F.log2(y)) / 2).withColumn("v", (F.col("n") - F.col("cnt")) / F.col("n") / F.col("cnt") + (F.col("rn") - F.col("rc")) / F.col("rn") / F.col("rc"))
-    q = both.groupBy(F.col("sample").alias("qs")).agg(F.expr(f"percentile(m, array({log_trim}, {1 - log_trim}))").alias("qm"), F.expr(f"percentile(a, array({sum_trim}, {1 - sum_trim}))").alias("qa"))
+    qm = quantiles(both, "sample", "m", (log_trim, 1 - log_trim), "qm").withColumnRenamed("sample", "qs")
+    q = qm.join(quantiles(both, "sample", "a", (sum_trim, 1 - sum_trim), "qa"), F.col("qs") == F.col("sample")).drop("sample")
     kept = both.join(q, F.col("sample") == F.col("qs")).filter("m BETWEEN qm[0] AND qm[1] AND a BETWEEN qa[0] AND qa[1]")
     f = kept.groupBy("sample").agg((F.sum(F.col("m") / F.col("v")) / F.sum(1 / F.col("v"))).alias("lf"))
     return f.withColumn("factor", F.pow(F.lit(2.0), F.col("lf") - F.avg("lf").over(Window.partitionBy()))).select("sample", "factor")  # one row per sample
@@ -78,27 +132,26 @@ def classify_fc(c: Column | str) -> Column:
 
 
 def diff_test(counts: DataFrame, group_a: tuple[str, ...], group_b: tuple[str, ...], dispersion: float = 0.1) -> DataFrame:
-    """S11. Per gene log2 fold change of mean cpm (+ 0.5) and the p of a negative-binomial likelihood-ratio test of given dispersion."""
-    sizes = counts.groupBy("sample").agg(F.sum("cnt").alias("n"))
-    c = counts.filter(F.col("sample").isin(*group_a, *group_b)).join(sizes, "sample").withColumn("grp", F.when(F.col("sample").isin(*group_b), 1).otherwise(0))
-    shape = {0: len(group_a), 1: len(group_b)}
+    """S11. Per gene log2 fold change of mean cpm (+ 0.5) and the p of a negative-binomial likelihood-ratio test of given dispersion.
 
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        def fit(rows: pd.DataFrame) -> float:
-            rate = rows["cnt"].sum() / rows["n"].sum()
-            mu, y = np.maximum(rate * rows["n"].to_numpy(float), 1e-12), rows["cnt"].to_numpy(float)
-            r = 1 / dispersion
-            return float((y * np.log(mu / (mu + r)) + r * np.log(r / (mu + r))).sum())
+    The rate of a group is its reads of the gene over its libraries' sizes; likelihoods are sums over the gene's samples. A gene
+    without a sample of either group has p 1.
+    """
+    sizes = counts.groupBy("sample").agg(F.sum("cnt").alias("n"))
+    c = counts.filter(F.col("sample").isin(*group_a, *group_b)).join(sizes, "sample").withColumn("in_b", F.col("sample").isin(*group_b))
+    of = lambda x, b: F.sum(F.when(F.col("in_b") == b, F.col(x)))
+    share = lambda b: F.coalesce(F.sum(F.when(F.col("in_b") == b, F.col("cnt") * 1e6 / F.col("n"))), F.lit(0.0)) / len(group_b if b else group_a)
+    per = c.groupBy(F.col("gene").alias("g")).agg((of("cnt", False) / of("n", False)).alias("ra"), (of("cnt", True) / of("n", True)).alias("rb"), (F.sum("cnt") / F.sum("n")).alias("r0"), share(False).alias("ma"), share(True).alias("mb"))
+    r = 1 / dispersion
 
-        out = []
-        for gene, rows in pdf.groupby("gene"):
-            parts = [rows[rows["grp"] == g] for g in (0, 1)]
-            mean = [(p["cnt"] * 1e6 / p["n"]).sum() / shape[g] for g, p in enumerate(parts)]
-            lr = 2 * (sum(fit(p) for p in parts if len(p)) - fit(rows)) if all(len(p) for p in parts) else 0.0
-            out.append((gene, math.log2((mean[1] + 0.5) / (mean[0] + 0.5)), math.erfc(math.sqrt(max(lr, 0.0) / 2))))
-        return pd.DataFrame(out, columns=["gene", "logfc", "p"])
+    def likelihood(rate: Column) -> Column:
+        mu = F.greatest(rate * F.col("n"), F.lit(1e-12))
+        return F.sum(F.col("cnt") * F.log(mu / (mu + r)) + r * F.log(r / (mu + r)))
 
-    return c.withColumn("part", F.pmod(F.xxhash64("gene"), F.lit(200))).groupBy("part").applyInPandas(test, "gene string, logfc double, p double")
+    own = F.when(F.col("in_b"), F.col("rb")).otherwise(F.col("ra"))
+    fit = c.join(per, F.col("gene") == F.col("g")).groupBy("gene").agg((2 * (likelihood(own) - likelihood(F.col("r0")))).alias("lr"), F.first("ra").alias("ra"), F.first("rb").alias("rb"), F.first("ma").alias("ma"), F.first("mb").alias("mb"))
+    lr = F.when(F.col("ra").isNotNull() & F.col("rb").isNotNull(), F.greatest("lr", F.lit(0.0))).otherwise(0.0)
+    return fit.select("gene", F.log2((F.col("mb") + 0.5) / (F.col("ma") + 0.5)).alias("logfc"), normal_tail(F.sqrt(lr)).alias("p"))
 
 
 def log_counts(counts: DataFrame) -> DataFrame:
@@ -124,6 +177,25 @@ def spearman(values: DataFrame, feature: str = "gene", sample: str = "sample", v
     return pearson(ranked, feature, sample, "rk")
 
 
+def correlation_p(r: Column, n: Column) -> Column:
+    """S12. Two-sided p of a correlation r of n pairs: the tail of Student's t with n - 2 degrees of freedom, by its finite sum.
+
+    The sum has n / 2 terms, as coefficients that follow from one another; null below three pairs.
+    """
+    v, r2 = n - 2, F.least(r * r, F.lit(1.0))
+    # with t = r * sqrt(v / (1 - r^2)): sin and cos of the angle whose tangent is t / sqrt(v)
+    sin, cos2 = F.abs(r), 1 - r2
+    odd = F.pmod(v, F.lit(2)) == 1
+    start = F.struct(F.lit(1.0).alias("c"), F.lit(1.0).alias("s"))
+    steps = F.sequence(F.lit(1).cast("long"), F.greatest(F.floor((v - F.when(odd, 3).otherwise(2)) / 2), F.lit(1)).cast("long"))
+    most = F.floor((v - F.when(odd, 3).otherwise(2)) / 2)
+    step = lambda a, k: F.when(k > most, a).otherwise(F.struct((a["c"] * cos2 * F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))).alias("c"), (a["s"] + a["c"] * cos2 * F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))).alias("s")))
+    total = F.aggregate(steps, start, step)["s"]
+    angle = F.asin(F.least(sin, F.lit(1.0)))
+    inside = F.when(v == 1, 2 / math.pi * angle).when(odd, 2 / math.pi * (angle + sin * F.sqrt(cos2) * total)).otherwise(sin * total)
+    return F.when(v >= 1, F.greatest(1 - inside, F.lit(0.0)))
+
+
 def pca(matrix: DataFrame, columns: tuple[str, ...], k: int, scale: bool = True) -> tuple[DataFrame, list[float], np.ndarray]:
     """S13. Scores as a column, explained variance and loadings, by Spark ML."""
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -187,7 +259,7 @@ def sc_cluster(points: DataFrame, features: str, k: int, seed: int = 1) -> DataF
 def sc_markers(values: DataFrame, clusters: DataFrame, least_pct: float = 0.1, least_fc: float = 0.1) -> DataFrame:
     """S18. Per cluster and gene the Wilcoxon rank sum against all other cells, by mid-ranks with the zeros of absent values.
 
-    (cluster, gene, pct1, pct2, logfc, auc, p), for positive genes only. values: cell, gene, v > 0; clusters: cell, cluster.
+    (cluster, gene, pct1, pct2, logfc, auc, z, p), for positive genes only. values: cell, gene, v > 0; clusters: cell, cluster.
     """
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n1"))
     total = clusters.agg(F.count("*").alias("n"))
@@ -209,21 +281,26 @@ def sc_markers(values: DataFrame, clusters: DataFrame, least_pct: float = 0.1, l
     z = (F.abs(u - F.col("n1") * F.col("n2") / 2.0) - 0.5) / sd
     g = g.withColumn("z", z).withColumn("pct1", F.col("k1") / F.col("n1")).withColumn("pct2", (F.col("nz") - F.col("k1")) / F.col("n2"))
     g = g.withColumn("logfc", F.log2(F.col("s1") / F.col("n1") + 1) - F.log2((F.col("s") - F.col("s1")) / F.col("n2") + 1))
-    return g.filter((F.greatest("pct1", "pct2") >= least_pct) & (F.col("logfc") >= least_fc)).select("cluster", "gene", "pct1", "pct2", "logfc", "auc", normal_tail(F.col("z")).alias("p"))
+    return g.filter((F.greatest("pct1", "pct2") >= least_pct) & (F.col("logfc") >= least_fc)).select("cluster", "gene", "pct1", "pct2", "logfc", "auc", "z", normal_tail(F.col("z")).alias("p"))
+
+
+# The coefficients of the published approximation of the complementary error function, from the constant term on.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 
 
 def normal_tail(z: Column) -> Column:
-    """Two-sided tail of the standard normal, by the usual rational approximation (error below 2e-7)."""
+    """Two-sided tail of the standard normal (relative error below 1.2e-7)."""
     x = F.greatest(z, F.lit(0.0)) / math.sqrt(2)
-    t = 1 / (1 + 0.3275911 * x)
-    # The coefficients of the published approximation.
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return poly * F.exp(-x * x)
+    t = 1 / (1 + 0.5 * x)
+    poly = F.lit(ERFC[-1])
+    for c in ERFC[-2::-1]:
+        poly = poly * t + c
+    return F.least(t * F.exp(poly - x * x), F.lit(1.0))
 
 
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """S19. Quartiles and whiskers (last values within 1.5 interquartile ranges)."""
-    q = df.groupBy(F.col(group).alias("qg")).agg(F.expr(f"percentile({value}, array(0.25, 0.5, 0.75))").alias("q"))
+    q = quantiles(df, group, value, (0.25, 0.5, 0.75)).withColumnRenamed(group, "qg")
     both = df.join(q, F.col(group) == F.col("qg")).withColumn("iqr", F.col("q")[2] - F.col("q")[0])
     inside = lambda f: f(F.when(F.col(value).between(F.col("q")[0] - 1.5 * F.col("iqr"), F.col("q")[2] + 1.5 * F.col("iqr")), F.col(value)))
     return both.groupBy(group).agg(F.count(value).alias("n"), F.first(F.col("q")[0]).alias("q1"), F.first(F.col("q")[1]).alias("med"), F.first(F.col("q")[2]).alias("q3"), inside(F.min).alias("low"), inside(F.max).alias("high"))

@@ -5,11 +5,12 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions import seq
-from tagloom.operators import annotation, expression, intervals, loci, phasing, tags, targets
+from tagloom.operators import annotation, expression, intervals, islands, loci, phasing, tags, targets
 from tagloom.plans.components import connected_components
 from tagloom.sources import formats
 
@@ -58,8 +59,10 @@ def test_dice_is_the_set_formula(spark):
 
 def test_intergenic_and_genes_cover_the_chromosome(spark):
     genes = spark.createDataFrame([("1", "w", 100, 200), ("1", "w", 150, 400), ("1", "c", 1000, 1100)], "chr string, strand string, tstart long, tend long")
-    got = rows(intervals.intergenic(genes, 0).fillna(-1))
-    assert got == [("1", 1, 99), ("1", 401, 999), ("1", 1101, -1)]
+    genes = genes.withColumn("name", F.concat(F.lit("g"), F.col("tstart").cast("string")))
+    more = spark.createDataFrame([("1",), ("2",)], "chr string")
+    got = rows(intervals.intergenic(genes, 0, more).fillna(-1))
+    assert got == [("1", "c", "g1000_down", 1, 999), ("1", "c", "g1000_up", 1101, -1), ("1", "w", "g100_up", 1, 99), ("1", "w", "g150_down", 401, -1), ("2", "c", "2", 1, -1), ("2", "w", "2", 1, -1)]
 
 
 def test_reverse_complement_is_its_own_inverse(spark):
@@ -86,7 +89,10 @@ def test_perfect_register(spark):
 def test_categories(spark):
     d = spark.createDataFrame([("g", i, h) for i, h in enumerate([1, 2, 3, 4, 9])] + [("h", 0, 5), ("h", 1, 5), ("h", 2, 2)], "gene string, loc long, hits long")
     got = {(r["gene"], r["loc"]): r["category"] for r in targets.categorize_genic(d).collect()}
-    assert got == {("g", 0): 4, ("g", 1): 3, ("g", 2): 3, ("g", 3): 2, ("g", 4): 0, ("h", 0): 1, ("h", 1): 1, ("h", 2): 3}
+    assert got == {("g", 0): 4, ("g", 1): 3, ("g", 2): 3, ("g", 3): 2, ("g", 4): 0, ("h", 0): 3, ("h", 1): 3, ("h", 2): 3}
+    d = spark.createDataFrame([("one", 0, 5), ("two", 0, 4), ("two", 1, 4), ("tied", 0, 2), ("tied", 1, 3), ("tied", 2, 2), ("tied", 3, 9), ("tied", 4, 9)], "gene string, loc long, hits long")
+    got = {(r["gene"], r["loc"]): r["category"] for r in targets.categorize_genic(d).collect()}
+    assert got == {("one", 0): 3, ("two", 0): 3, ("two", 1): 3, ("tied", 0): 3, ("tied", 1): 3, ("tied", 2): 3, ("tied", 3): 1, ("tied", 4): 1}
 
 
 def test_pair_profile_gaps_and_scores(spark):
@@ -98,6 +104,59 @@ def test_pair_profile_gaps_and_scores(spark):
     assert got["wob"]["wob"] == [4] and got["wob"]["mis"] == [5] and got["wob"]["score"] == 2.5
 
 
+def test_pair_positions_are_the_mirnas_own(spark):
+    m, gap5 = "ACGTACGTACGTACGTACGTA", "ACGTA-CGTACGTACGTACGTA"
+    changed = lambda s, *at: "".join({"A": "C", "C": "A", "G": "C", "T": "G", "-": "-"}[c] if k in at else c for k, c in enumerate(s))
+    pairs = [("after_gap", gap5, changed("ACGTATCGTACGTACGTACGTA", 11)), ("seeded", m, changed(m, 9, 10)), ("target8", m, m[:7] + "-" + m[8:]), ("target11", m, m[:10] + "-" + m[11:]), ("end", m, changed(m, 0, 13)), ("gaps", m[:4] + "-" + m[4:], m[:4] + "A" + m[4:])]
+    prof = targets.pair_profile(spark.createDataFrame(pairs, "id string, mir string, tar string"))
+    got = {r["id"]: r for r in prof.collect()}
+    assert got["after_gap"]["mis"] == [11] and got["after_gap"]["mgap"] == [6]
+    assert not got["target8"]["valid"] and got["target11"]["valid"] and got["target11"]["tgap"] == [11]
+    seeded = {r["id"]: r["score"] for r in targets.score_pairs(prof, seeded=True).collect()}
+    assert (seeded["seeded"], seeded["end"], seeded["gaps"]) == (4.0, 2.0, 2.0)
+
+
+def test_coding_status_by_table(spark):
+    rows_ = [("a", None, -1.0, 500, 0.9, "nc"), ("b", None, 1.0, 100, 0.1, "co"), ("c", None, 1.5, 10, 0.5, "co"), ("d", None, 1.0, 10, 0.1, "up"), ("e", None, 0.0, 10, 0.1, "nc"), ("f", None, 0.0, 10, 0.5, "co"), ("g", None, 0.5, 10, 0.1, "up")]
+    rows_ += [("h", 3, 1.0, 10, 0.1, "co"), ("i", 3, -1.0, 500, 0.9, "nc"), ("j", 4, 0.0, 500, 0.9, "up"), ("k", 4, 0.0, 10, 0.1, "up"), ("l", 3, -0.5, 10, 0.1, "nc"), ("m", 3, 0.5, 10, 0.9, "co")]
+    rows_ += [("n", 2, 1.0, 10, 0.1, "up"), ("o", 0, 0.0, 10, 0.9, "up"), ("p", 1, 0.0, 10, 0.1, "nc"), ("q", 2, 0.5, 10, 0.9, "co"), ("r", 0, -2.0, 900, 0.9, "nc"), ("s", 3, 0.5, 10, 0.38, "up")]
+    df = spark.createDataFrame([r[:5] for r in rows_], "trans string, match_score int, cpc double, orf int, cpat double")
+    assert {r["trans"]: r["status"] for r in annotation.classify_coding(df).collect()} == {r[0]: r[5] for r in rows_}
+
+
+def test_islands_over_block_borders(spark):
+    rng = random.Random(8)
+    pts = [(rng.choice("ab"), a := rng.randrange(3000), a + rng.choice((0, 5, 40, 700))) for _ in range(120)]
+    df = spark.createDataFrame(pts, "chr string, s long, e long")
+    for gap in (-1, 0, 30):
+        want = set()
+        for c in "ab":
+            top, n = None, 0
+            for s, e in sorted(p[1:] for p in pts if p[0] == c):
+                n += top is None or s > top + gap
+                top = e if top is None else max(top, e)
+                want.add((c, s, e, n))
+        for width in (64, 1 << 16):
+            assert {tuple(r) for r in islands.number_islands(df, ["chr"], "s", "e", gap, width=width).select("chr", "s", "e", "island").collect()} == want
+    got = islands.number_rows(df, ["chr"], "s", ["e"], "n", width=100).collect()
+    for c in "ab":
+        assert [(r["s"], r["e"]) for r in sorted((r for r in got if r["chr"] == c), key=lambda r: r["n"])] == sorted(p[1:] for p in pts if p[0] == c)
+
+
+def test_quantiles_are_exact(spark):
+    r = random.Random(2)
+    vals = [(g, float(r.choice((r.randrange(9), r.randrange(10**6), r.random())))) for g in "xy" for _ in range(150)] + [("one", 3.0)]
+    got = {x["g"]: x["q"] for x in expression.quantiles(spark.createDataFrame(vals, "g string, v double"), "g", "v", (0.0, 0.05, 0.3, 0.5, 1.0)).collect()}
+    for g in ("x", "y", "one"):
+        assert got[g] == pytest.approx(np.quantile([v for k, v in vals if k == g], (0.0, 0.05, 0.3, 0.5, 1.0)))
+
+
+def test_normal_tail(spark):
+    z = [0.0, 0.3, 1.0, 2.5, 5.0, 12.0]
+    got = spark.createDataFrame([(x,) for x in z], "z double").select(expression.normal_tail(F.col("z")).alias("p")).collect()
+    assert [r["p"] for r in got] == pytest.approx([math.erfc(x / math.sqrt(2)) for x in z], rel=2e-7)
+
+
 def test_rebuild_alignment(spark):
     df = spark.createDataFrame([("a", "ACGTAC", "2M1I3M", "ACTAC"), ("b", "ACTAC", "2M1D3M", "ACGTAC")], "id string, seq string, cigar string, target string")
     assert rows(targets.rebuild_alignment(df)) == [("a", "ACGTAC", "AC-TAC"), ("b", "AC-TAC", "ACGTAC")]
@@ -271,3 +330,70 @@ def test_streamed_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.sql("SELECT lib, tag, abun FROM tagcounts")) == [("L0", "ACG", 3), ("L0", "TTT", 1), ("L1", "ACG", 4)]
+
+
+def _dice(a, b):
+    return 2 * max(0, min(a[4], b[4]) - max(a[3], b[3])) / (a[4] - a[3] + b[4] - b[3])
+
+
+def test_locus_merges_against_plain_loops(spark):
+    """Chains of loci that overlap their neighbours only, with equal and different p, in random order."""
+    rng = random.Random(6)
+    loci_ = []
+    for k in range(60):
+        at = 1000 * (k // 6) + rng.randrange(3000) if k % 2 else 70 * k
+        loci_.append((f"n{k}", rng.randrange(1, 4), rng.randrange(1, 3), at, at + rng.choice((100, 120, 150)), rng.choice("ab")))
+    df = spark.createDataFrame(loci_, loci.LOCUS)
+    kept = []
+    for r in sorted(loci_, key=lambda r: (r[5], r[2], -r[1], r[3] - r[4], r[3], r[0])):
+        if all(k[5] != r[5] or k[2] != r[2] or _dice(r, k) <= 0.45 for k in kept):
+            kept.append(r)
+    assert rows(loci.self_merge(df)) == sorted(kept)
+    want = []
+    for c in (1, 2):
+        mine: list = []
+        for r in sorted((r for r in loci_ if r[2] == c), key=lambda r: (r[5], r[3], r[4], r[0])):
+            best = max(range(len(mine)), key=lambda i: (_dice(r, mine[i]), -i), default=-1)
+            if best < 0 or _dice(r, mine[best]) <= 0.25:
+                mine.append(r)
+            elif r[4] - r[3] > mine[best][4] - mine[best][3]:
+                mine[best] = r
+        want += mine
+    assert rows(loci.merge_libraries(df)) == sorted(want)
+
+
+def test_correlation_p(spark):
+    """Against the numerical integral of Student's density."""
+
+    def tail(r, n):
+        v = n - 2
+        t, c = abs(r) * math.sqrt(v / (1 - r * r)), math.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2)) / math.sqrt(v * math.pi)
+        x = np.linspace(0, t, 200001)
+        y = c * (1 + x * x / v) ** (-(v + 1) / 2)
+        return 1 - 2 * float(((y[1:] + y[:-1]) / 2 * np.diff(x)).sum())
+
+    cases = [(0.5, 10), (-0.3, 3), (0.2, 4), (0.2, 5), (0.05, 400), (-0.1, 301), (0.9, 6)]
+    df = spark.createDataFrame(cases, "r double, n long")
+    got = {(r["r"], r["n"]): r["p"] for r in df.withColumn("p", expression.correlation_p(F.col("r"), F.col("n"))).collect()}
+    for r, n in cases:
+        assert got[(r, n)] == pytest.approx(tail(r, n), abs=1e-7), (r, n)
+
+
+@pytest.mark.parametrize("size", ["60", "97", "4m"])
+def test_fastq_qualities_that_begin_with_at(spark, tmp_path, size):
+    rng = random.Random(3)
+    want, text = [], []
+    for k in range(120):
+        n = rng.randrange(1, 30)
+        read, qual = "".join(rng.choices("ACGT", k=n)), rng.choice("@+AI") + "".join(chr(33 + rng.randrange(94)) for _ in range(n - 1))
+        want.append((f"r{k}", read, qual))
+        text.append(f"@r{k} x\n{read}\n+\n{qual}\n")
+    (tmp_path / "lib7.fastq").write_text("".join(text) + "@cut off\nACGT")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = rows(formats.read_fastq(spark, str(tmp_path / "lib7.fastq")).select("read_id", "seq", "qual"))
+        trimmed = formats.trim_reads(formats.read_fastq(spark, str(tmp_path)), "TTTTTTTT", 2, 100, 1).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted(want) and trimmed > 0
