@@ -28,9 +28,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests, one machine), a folder of our own."""
+    """The folder that spark.checkpoint.dir names; where it is unset a folder of our own, on a local master only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = getattr(spark.sparkContext, "_tagloom_checkpoints", None) or tempfile.mkdtemp(prefix="tagloom-ck-")
         spark.sparkContext._tagloom_checkpoints = named
     if spark.sparkContext.getCheckpointDir() is None:
@@ -51,9 +53,10 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Bounds the rows of an Arrow batch, since one text may be very long."""
+def small_batches(spark: SparkSession, rows: int = 1024, size: int = 1 << 26) -> None:
+    """Bounds the rows and the bytes of an Arrow batch, since one text may be very long. Both are settings of the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 FEW = 10_000
