@@ -98,33 +98,31 @@ def _pieces(texts: list[str | None], width: int = WIDTH) -> Iterator[tuple[list[
             room += len(x)
 
 
-def mark_windows(parts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
-    """For each context, which of its windows also stand at another place in any of the contexts."""
+def mark_windows(parts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, start, end) of the runs of windows that also stand at another place in any of the contexts: the bytes they cover."""
     sizes = np.array([len(x) for x in parts])
-    t = np.zeros(int(sizes.sum()) + len(parts) + 1, np.uint16)
     starts = np.cumsum(np.r_[0, sizes[:-1] + 1])
-    for s, x in zip(starts.tolist(), parts, strict=True):
-        t[s : s + len(x)] = np.frombuffer(x, np.uint8)
-        t[s : s + len(x)] += 2
-        t[s + len(x)] = 1  # between contexts; no window reaches over it
+    which = np.repeat(np.arange(len(parts)), sizes)
+    t = np.zeros(int(sizes.sum()) + len(parts) + 1, np.uint16)
+    t[starts + sizes] = 1  # between contexts; no window reaches over it
+    at = np.arange(len(which)) + which
+    t[at] = np.frombuffer(b"".join(parts), np.uint8)
+    t[at] += 2
     used = np.bincount(t, minlength=258) > 0
     dense = (np.cumsum(used) - 1).astype(np.uint16)[t]
     sa = suffix_array(dense, int(used.sum()), width)
     # windows alone have room for width bytes, so none but windows share them
     start = np.zeros(len(t), bool)
-    for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
-        start[s : s + n - width + 1] = True
+    start[at[at - starts[which] <= sizes[which] - width]] = True
     same = common_prefixes(dense, sa, width, start) >= width
     twice = same.copy()
     before = np.full(len(t), -1, np.int64)
     before[sa[1:]] = sa[:-1]
     twice[before[same]] = True
-    return [twice[s : s + n - width + 1] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-
-
-def _runs(flags: np.ndarray, lo: int, width: int) -> list[tuple[int, int]]:
-    edge = np.diff(np.r_[0, flags.astype(np.int8), 0])
-    return [(lo + int(a), lo + int(b) - 1 + width) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
+    edge = np.diff(np.r_[0, twice.astype(np.int8), 0])
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+    own = np.searchsorted(starts, first, side="right") - 1
+    return own, first - starts[own], last - starts[own] + width
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -162,8 +160,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         room = 0
 
         def emit(part: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-            out = [(rid, a, z) for (_, rid, lo, _), flags in zip(part, mark_windows([x[3] for x in part], width), strict=True) if flags.any() for a, z in _runs(flags, lo, width)]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32())], ["rid", "start", "end"])
+            own, start, end = mark_windows([x[3] for x in part], width)
+            rid, lo = np.array([x[1] for x in part], np.int64)[own], np.array([x[2] for x in part], np.int64)[own]
+            return pa.RecordBatch.from_arrays([pa.array(rid), pa.array((lo + start).astype(np.int32)), pa.array((lo + end).astype(np.int32))], ["rid", "start", "end"])
 
         for b in batches:
             for fp, rid, lo, x in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 
-NARROW = 1024
+NARROW = 512
 
 
 def _by_char(j: np.ndarray, chars: np.ndarray, queues: list[list[np.ndarray]]) -> None:
@@ -96,59 +96,80 @@ def classify(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return small, lms.astype(np.int32)
 
 
-def ranks_by_doubling(names: np.ndarray, most: int) -> np.ndarray:
-    """The rank of each suffix of a string of names by its first ``most`` names at least; ties in text order."""
+def ranks_by_tripling(names: np.ndarray, most: int) -> np.ndarray:
+    """The rank of each suffix of a string of names by its first ``most`` names at least; equal ones in any order.
+
+    Each round packs three ranks into one key and so triples the names that are covered.
+    """
+    n = len(names)
     rank, k = names.astype(np.int64), 1
     while True:
-        after = np.zeros(len(rank), np.int64)
-        after[:-k] = rank[k:] + 1 if k < len(rank) else 0
-        key = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.empty(len(rank), np.int64)
-        new[order] = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
-        k *= 2
-        if k >= most or k >= len(rank) or new[order[-1]] == len(rank) - 1:
-            out = np.empty(len(rank), np.int64)
-            out[order] = np.arange(len(rank))
+        base = int(rank.max()) + 2
+        key = rank
+        for step in (k, 2 * k):
+            if base > (1 << 62) // (int(key.max()) + 1):  # three don't fit in one: number the pairs first
+                key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+            after = np.zeros(n, np.int64)
+            if step < n:
+                after[: n - step] = rank[step:] + 1
+            key = key * base + after
+        order = np.argsort(key)
+        ordered = key[order]
+        new = np.empty(n, np.int64)
+        new[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
+        k *= 3
+        if k >= most or k >= n or new[order[-1]] == n - 1:
+            out = np.empty(n, np.int64)
+            out[order] = np.arange(n)
             return out
         rank = new
 
 
+def lms_names(t: np.ndarray, small: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
+    """The ranks of the LMS substrings, in text order; equal substrings have one.
+
+    A substring is compared by characters and types up to the LMS position that ends it, six at a time: of two that agree that far,
+    neither is longer, since its end would be an LMS position of the other too. Characters are below 512.
+    """
+    n = len(t)
+    letter = t.astype(np.int64) << 1 | small
+    length = np.minimum(np.r_[lms[1:], n - 1] + 1, n) - lms
+    rank = np.zeros(len(lms), np.int64)
+    at, open_ = 0, np.arange(len(lms))
+    while len(open_):
+        key = np.zeros(len(open_), np.int64)
+        place, size = lms[open_].astype(np.int64) + at, length[open_] - at
+        for k in range(6):
+            key = key << 10 | np.where(k < size, letter[np.minimum(place + k, n - 1)], 0)
+        # ranks stay apart: those of one group so far take numbers from the group's first on
+        group = rank[open_]
+        order = np.lexsort((key, group)) if at else np.argsort(key)
+        g, x = group[order], key[order]
+        new = np.r_[True, (g[1:] != g[:-1]) | (x[1:] != x[:-1])]
+        first = np.flatnonzero(new)
+        begin = np.r_[True, g[1:] != g[:-1]]
+        nth = np.arange(len(order))
+        rank[open_[order]] = g + np.maximum.accumulate(np.where(new, nth, 0)) - np.maximum.accumulate(np.where(begin, nth, 0))
+        several = np.repeat(np.diff(np.r_[first, len(order)]) > 1, np.diff(np.r_[first, len(order)]))
+        at += 6
+        open_ = np.sort(open_[order[several]])
+        open_ = open_[length[open_] > at] if at < depth else open_[:0]
+    return np.unique(rank, return_inverse=True)[1]
+
+
 def suffix_array(t: np.ndarray, k: int, depth: int) -> np.ndarray:
     """Suffixes of t in the order of their first ``depth`` characters at least. The last character must be smallest, and only there."""
-    n = len(t)
     small, lms = classify(t)
     if len(lms) > 1:
-        _, smaller = induce(t, small, lms, k)
-        is_lms = np.zeros(n, bool)
-        is_lms[lms] = True
-        order = np.concatenate([x[::-1] for x in smaller])
-        order = order[is_lms[order]]
-        # LMS substrings reach to the next LMS position; equal neighbours get one name
-        ends = np.full(n, n, np.int64)
-        ends[lms[:-1]] = lms[1:]
-        length = np.minimum(ends[order] + 1, n) - order
-        differs = np.ones(len(order), bool)
-        differs[1:] = length[1:] != length[:-1]
-        look = np.flatnonzero(~differs)
-        at = 0
-        while len(look):
-            look = look[length[look] > at]
-            same = t[order[look] + at] == t[order[look - 1] + at]
-            differs[look[~same]] = True
-            look = look[same]
-            at += 1
-        name = np.empty(n, np.int64)
-        name[order] = np.cumsum(differs) - 1
-        names = name[lms]
+        names = lms_names(t, small, lms, depth)
         several = int(names.max()) + 1
         if several == len(lms):
-            lms = order
+            lms = lms[np.argsort(names)]
         elif several <= NARROW < len(lms):
             lms = lms[suffix_array(names.astype(np.uint16), several, depth // 2 + 1)]
         else:
             out = np.empty(len(lms), np.int32)
-            out[ranks_by_doubling(names, depth // 2 + 1)] = lms
+            out[ranks_by_tripling(names, depth // 2 + 1)] = lms
             lms = out
     return induce(t, small, lms.astype(np.int32), k)[0]
 
@@ -156,25 +177,47 @@ def suffix_array(t: np.ndarray, k: int, depth: int) -> np.ndarray:
 def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """The permuted array: for each position the common prefix, at most ``most``, with the suffix before it in sa.
 
-    Eight characters are compared at a time, over the positions that still agree. wanted: a mask of positions to look at;
-    others are 0.
+    In text order neighbouring positions mostly have neighbouring partners, and then each prefix is one longer than the next
+    position's (or ends here at a difference). So only the last positions of such runs are compared, four characters at a time.
+    wanted: a mask of positions to look at; others are 0.
     """
     n = len(t)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
+    look = before >= 0 if wanted is None else (before >= 0) & wanted
+    at = np.flatnonzero(look)
+    if not len(at):
+        return np.zeros(n, np.int32)
+    came = before[at]
+    last = np.r_[(at[1:] != at[:-1] + 1) | (came[1:] != came[:-1] + 1), True]
+    stop = t[at] != t[came]
+    out = np.zeros(len(at), np.int64)
+    ends = np.flatnonzero(last & ~stop)
+    out[ends] = _compare(t, at[ends], came[ends], most)
+    # the next stop or run end of each position; what it has is one shorter for each step towards it
+    next_ = np.minimum.accumulate(np.where(stop | last, np.arange(len(at)), len(at))[::-1])[::-1]
+    full = np.zeros(n, np.int32)
+    full[at] = np.minimum(out[next_] + next_ - np.arange(len(at)), most)
+    return full
+
+
+def _compare(t: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """The common prefix of the suffixes at a and b, at most ``most``, for many pairs."""
+    n, wide = len(t), 4  # four characters of sixteen bits in a word
     room = np.zeros(n + most + 8, np.uint64)
     room[:n] = t
     word = room.copy()
-    for s in (1, 2, 4):
-        word[:-s] |= word[s:] << np.uint64(8 * s)
-    out = np.zeros(n, np.int32)
-    at = np.flatnonzero(before >= 0 if wanted is None else (before >= 0) & wanted)
-    for k in range(0, most, 8):
-        x = word[at + k] ^ word[before[at] + k]
+    for s in (1, 2):
+        word[:-s] |= word[s:] << np.uint64(16 * s)
+    out = np.full(len(a), most, np.int64)
+    left = np.arange(len(a))
+    for k in range(0, most, wide):
+        x = word[a[left] + k] ^ word[b[left] + k]
         same = x == 0
-        rest = at[~same]
+        rest = left[~same]
         low = x[~same] & (~x[~same] + np.uint64(1))
-        out[rest] = np.minimum(k + (np.log2(low.astype(np.float64)).astype(np.int32) >> 3), most)
-        at = at[same]
-    out[at] = most
+        out[rest] = np.minimum(k + (np.log2(low.astype(np.float64)).astype(np.int64) >> 4), most)
+        left = left[same]
+        if not len(left):
+            break
     return out
