@@ -38,6 +38,15 @@ def test_against_brute_force(spark, rng):
     assert got == brute(texts)
 
 
+@pytest.mark.parametrize("share", [1, 3, 40])
+def test_frequent_grams_are_exact_too(spark, rng, monkeypatch, share):
+    monkeypatch.setattr(repeats, "SHARE", share)
+    texts = corpus(rng)
+    got = sorted((tuple(r) for r in repeats.remove_repeats(documents(spark, texts)).collect()), key=str)
+    assert got == brute(texts)
+    assert repeats.frequent_grams(spark.createDataFrame([(i % 7,) for i in range(70)] + [(9,)] * 60, "fp long"), share).count() <= 2 * share
+
+
 def test_wide_groups_are_exact_too(spark, rng, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP", 300)
     texts = corpus(rng)
