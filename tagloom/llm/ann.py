@@ -6,6 +6,8 @@ each vector a rank in it. A query looks at the vectors whose rank is at most W a
 ranks and the queries that reach into it meet in one task, which keeps each query's nearest few; merging those over blocks and
 orders gives the result. Distances are those of the original vectors, in double precision.
 
+Blocks have a fixed number of ranks, and a block with many queries is dealt to several tasks, so no task grows with the data.
+
 W is fitted: for a bounded sample of queries (``pilot``) the true neighbours are found by brute force, and W is
 what covers a share ``aim`` of them in at least one order. Clustered vectors so get narrow windows, unstructured ones wide
 windows. Every vector is indexed.
@@ -40,8 +42,9 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v) of the vectors that take part, as doubles; adding zero makes both zeros one."""
-    v = vectors.select(vectors[id_col].cast("long").alias("id"), F.transform(vectors[vec_col], lambda x: x.cast("double") + F.lit(0.0)).alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
+    """(id, v) of the vectors that take part, as floats if they are stored so, else as doubles; adding zero makes both zeros one."""
+    kind = "float" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+    v = vectors.select(vectors[id_col].cast("long").alias("id"), F.transform(vectors[vec_col], lambda x: x.cast(kind) + F.lit(0.0).cast(kind)).alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     return v.filter(F.forall("v", fine) & F.exists("v", lambda x: x != 0.0)).distinct()
 
@@ -60,7 +63,7 @@ def orderings(rows: DataFrame, dims: int, curves: int, target: int, box: tuple[l
                 keys = hilbert_keys(cells, BITS)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array([k.tobytes() for k in keys], pa.binary()), b.column(0), b.column(1)], ["curve", "key", "rep", "v"])
 
-    return rows.select("rep", "v").mapInArrow(run, "curve int, key binary, rep long, v array<double>")
+    return rows.select("rep", "v").mapInArrow(run, f"curve int, key binary, rep long, v {rows.schema['v'].dataType.simpleString()}")
 
 
 def projection(dims: int, target: int, curve: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +99,9 @@ def _ranked(ordered: DataFrame, curves: int) -> tuple[DataFrame, int]:
     total = int(counts["n"].sum()) // curves
     if not total:
         return numbered.withColumn("rank", F.col("row")).drop("part", "row"), 0
-    table = F.create_map(*[F.lit(int(x)) for pair in zip(counts["part"], offsets, strict=True) for x in pair])
-    rank = F.element_at(table, F.col("part")) + F.col("row") - F.col("curve") * F.lit(total)
+    before = dict(zip(counts["part"].tolist(), offsets.tolist(), strict=True))
+    table = F.array(*[F.lit(int(before.get(k, 0))) for k in range(max(before) + 1)])  # by partition number
+    rank = F.get(table, F.col("part")) + F.col("row") - F.col("curve") * F.lit(total)
     return numbered.withColumn("rank", rank.cast("long")).drop("part", "row"), total
 
 
@@ -146,12 +150,12 @@ def _fit_window(rows: DataFrame, ranked: DataFrame, queries: DataFrame, total: i
 
 
 def nearest_neighbours(
-    vectors: DataFrame, k: int = 10, every: int = 100, curves: int = 8, target: int = 6, aim: float = 0.96, pilot: int = 64, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding"
+    vectors: DataFrame, k: int = 10, every: int = 100, curves: int = 16, target: int = 8, aim: float = 0.96, pilot: int = 64, seed: int = 11, block: int = 2048, asked_at_once: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     ship(spark)
-    small_batches(spark, 4096)
+    small_batches(spark)
     own = checkpoint(usable(vectors, id_col, vec_col))
     longest = own.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dims")).first()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -168,12 +172,13 @@ def nearest_neighbours(
     asked = own.filter(F.col("id") % every == 0)
     queries = checkpoint(asked.join(members.select(F.col("v").alias("w"), "rep"), F.col("v") == F.col("w")).groupBy(F.col("rep").alias("qrep")).agg(F.first("v").alias("qv"), F.collect_list("id").alias("qids")))
     w = _fit_window(reps, ranked, queries, total, k, aim, pilot, seed)
-    block = max(256, w // 2)
-    placed = ranked.withColumn("block", F.floor(F.col("rank") / block).cast("int"))
+    # the queries that reach into a block, on average, in parts of a bounded number; the block goes to each part
+    asked_for = queries.count() * (2 * w + block) / max(total, 1)
+    parts = max(1, -int(-asked_for // asked_at_once))
+    placed = ranked.select(F.col("curve").alias("xc"), F.floor(F.col("rank") / block).cast("int").alias("xb"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("xp"), F.col("rank").alias("xrank"), F.col("rep").alias("xrep"), F.col("v").alias("xv"))
     reach = ranked.select("curve", "rank", "rep").join(queries.select("qrep", "qv"), F.col("rep") == F.col("qrep")).drop("rep")
     blocks = F.sequence(F.floor((F.col("rank") - w) / block).cast("int"), F.floor((F.col("rank") + w) / block).cast("int"))
-    reach = reach.select(F.col("curve").alias("c"), F.col("rank").alias("qrank"), "qrep", "qv", F.explode(blocks).alias("b"))
-    placed = placed.select(F.col("curve").alias("xc"), F.col("block").alias("xb"), F.col("rank").alias("xrank"), F.col("rep").alias("xrep"), F.col("v").alias("xv"))
+    reach = reach.select(F.col("curve").alias("c"), F.pmod(F.xxhash64("qrep"), F.lit(parts)).cast("int").alias("p"), F.col("rank").alias("qrank"), "qrep", "qv", F.explode(blocks).alias("b"))
 
     def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
@@ -187,7 +192,7 @@ def nearest_neighbours(
             out.append(pd.DataFrame({"qrep": part["qrep"].to_numpy()[i], "rep": xid[j], "d": d}))
         return pd.concat(out)
 
-    found = reach.groupBy("c", "b").cogroup(placed.groupBy("xc", "xb")).applyInPandas(search, "qrep long, rep long, d double")
+    found = reach.groupBy("c", "b", "p").cogroup(placed.groupBy("xc", "xb", "xp")).applyInPandas(search, "qrep long, rep long, d double")
     best = found.groupBy("qrep", "rep").agg(F.min("d").alias("d"))
     best = best.withColumn("nth", F.row_number().over(Window.partitionBy("qrep").orderBy("d", "rep"))).filter(F.col("nth") <= k + 1).drop("nth")
     full = best.join(members.select("rep", "ids"), "rep").join(queries.select(F.col("qrep").alias("r"), "qids"), F.col("qrep") == F.col("r"))

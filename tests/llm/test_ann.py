@@ -39,6 +39,13 @@ def test_recall_and_distances(spark):
     assert hit >= 0.9 * 150
 
 
+def test_small_blocks_and_parts_find_the_same(spark):
+    r = np.random.RandomState(4)
+    df = frame(spark, list(enumerate(r.randn(600, 8).tolist())))
+    rows = lambda **k: sorted(map(tuple, ann.nearest_neighbours(df, every=10, **k).collect()))
+    assert rows() == rows(block=50, asked_at_once=7)
+
+
 def test_equal_vectors_ties_and_unusable_ones(spark):
     same = [(i, [1.0, 0.0, 0.0]) for i in range(0, 60)]
     other = [(100, [0.0, 1.0, 0.0]), (201, [0.0, 0.9, 0.0])]
