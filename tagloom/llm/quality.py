@@ -1,12 +1,13 @@
 """Quality rules: base rules on counted statistics, then robust multivariate outliers.
 
 Every text is read once for its statistics. For each language and source a minimum-covariance-determinant estimate is
-fitted to transformed statistic vectors of all its documents that pass the base rules: from a robust start (median and
-scaled MAD of each component), concentration steps take mean and covariance of the h nearest documents by the distance so
-far. Each step is a grouped percentile and a grouped sum of moments, so a hot source is pre-aggregated in all tasks and
-only one row per group meets in one place; the groups' rows are broadcast to the documents if there are few of them. A document is rejected if its squared Mahalanobis distance under the final,
-consistency-corrected estimate is above the cut. Groups smaller than ``least`` documents borrow the estimate of all documents,
-and the covariance is ridged, so a group of equal documents rejects nothing by rounding.
+fitted to transformed statistic vectors of all its documents that pass the base rules. From three deterministic starts (medians and scaled
+MADs; mean and covariance; directions from the median) concentration steps take mean and covariance of the h nearest documents by the
+distance so far, until no determinant falls; of each group's three ends the one of smallest determinant is kept. A step is a count of rounded distances
+and a grouped sum of moments, so a hot source is pre-aggregated in all tasks and only rows per group meet in one
+place; the groups' rows are broadcast to the documents if there are few of them. Counts are exact, so verdicts don't depend on the
+partitioning. A document is rejected if its squared Mahalanobis distance under the consistency-corrected estimate is above the
+cut. Groups lean on the estimate of all documents by a fixed weight, and the covariance is ridged, so a group of equal documents rejects nothing by rounding.
 
 Defined cases: a null text has no words and fails the base rules; null language and null source are groups of their own;
 repeated rows count each; a table without documents gives no rows; other columns are ignored. Statistics cover whole texts.
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.runtime import checkpoint, few_rows, ship, small_batches
@@ -114,67 +115,122 @@ def _distance(center: str = "center", inverse: str = "inverse") -> Column:
     return total
 
 
+def _quantile(df: DataFrame, keys: list[str], step: str, share: float, out: str) -> DataFrame:
+    """(keys, out): the step (a whole number) below which ``share`` of each key's rows lie, the last one included.
+
+    Rows are counted per step first, so a key's window sees its distinct steps alone, and counts don't depend on the partitioning.
+    """
+    per = df.groupBy(*keys, F.col(step).alias("__s")).agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*keys)
+    per = per.withColumn("__upto", F.sum("__n").over(w.orderBy("__s"))).withColumn("__all", F.sum("__n").over(w))
+    return per.groupBy(*keys).agg(F.min(F.when(F.col("__upto") >= F.ceil(F.col("__all") * share), F.col("__s"))).alias(out))
+
+
+#: steps of a distance: 1 / LOG_STEPS of a doubling
+LOG_STEPS = 128
+
+
+def _log_step(d: Column) -> Column:
+    return F.floor(F.log2(F.greatest(d, F.lit(1e-12))) * LOG_STEPS).cast("int")
+
+
 def _moments(df: DataFrame) -> DataFrame:
     p = len(FEATURES)
     sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)]
     sums += [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]
-    return df.groupBy("grp").agg(F.count("*").alias("n"), *sums)
+    return df.groupBy("start", "grp").agg(F.count("*").alias("n"), *sums)
+
 
+def _estimate(moments: DataFrame, ridge: float, prior: float) -> DataFrame:
+    """(start, grp, center, inverse, logdet): one row per start and group, in batches.
 
-def _estimate(moments: DataFrame, ridge: float) -> DataFrame:
-    """(grp, center, inverse) from the moments: one row per group, in batches."""
+    A group's mean and covariance are those of its own documents and, with the weight of ``prior`` documents, those of all: a
+    small group leans on the whole, a large one on itself, and nothing changes at a size.
+    """
     p = len(FEATURES)
+    names = [c for c in moments.columns if c not in ("start", "grp")]
+    pool = moments.filter("grp = ''").select(F.col("start").alias("ps"), *[F.col(c).alias(f"p_{c}") for c in names])  # one row per start
+    both = moments.join(F.broadcast(pool), F.col("start") == F.col("ps"))
+
+    def own(row: dict, mark: str) -> tuple[float, np.ndarray, np.ndarray]:
+        n = max(row[f"{mark}n"], 1)
+        mean = np.array([row[f"{mark}s{i}"] for i in range(p)]) / n
+        cov = np.zeros((p, p))
+        for i in range(p):
+            for j in range(i, p):
+                cov[i, j] = cov[j, i] = row[f"{mark}s{i}_{j}"] / n - mean[i] * mean[j]
+        return n, mean, cov
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for row in b.to_dict("records"):
-                n = max(row["n"], 1)
-                mean = np.array([row[f"s{i}"] for i in range(p)]) / n
-                cov = np.zeros((p, p))
-                for i in range(p):
-                    for j in range(i, p):
-                        cov[i, j] = cov[j, i] = row[f"s{i}_{j}"] / n - mean[i] * mean[j]
-                out.append((row["grp"], mean.tolist(), np.linalg.inv(cov + ridge * np.eye(p)).ravel().tolist()))
-            yield pd.DataFrame(out, columns=["grp", "center", "inverse"])
-
-    return moments.mapInPandas(run, "grp string, center array<double>, inverse array<double>")
+                n, mean, cov = own(row, "")
+                if row["grp"]:
+                    _, whole, spread = own(row, "p_")
+                    mean, cov = (n * mean + prior * whole) / (n + prior), (n * cov + prior * spread) / (n + prior)
+                cov = cov + ridge * np.eye(p)
+                out.append((row["start"], row["grp"], mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
+            yield pd.DataFrame(out, columns=["start", "grp", "center", "inverse", "logdet"])
+
+    return both.mapInPandas(run, "start int, grp string, center array<double>, inverse array<double>, logdet double")
+
+
+def _starts(fit: DataFrame, ridge: float) -> DataFrame:
+    """(start, grp, center, inverse): three deterministic estimates to begin from. 0: medians and scaled MADs; 1: mean and covariance of
+    all; 2: medians, and the covariance of directions from them (each document one unit long in MADs), which far ones don't stretch."""
+    p, grid = len(FEATURES), 512
+    long = fit.select("grp", F.posexplode(F.array(*FEATURES)).alias("k", "x"))
+    mid = _quantile(long.withColumn("step", F.round(F.col("x") * grid).cast("int")), ["grp", "k"], "step", 0.5, "m")
+    mid = few_rows(mid.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda v: v["m"] / float(grid)).alias("mid")))
+    off = fit.join(mid, "grp").select("grp", F.posexplode(F.array(*[F.abs(F.col(f) - F.col("mid")[i]) for i, f in enumerate(FEATURES)])).alias("k", "x"))
+    mad = _quantile(off.withColumn("step", F.round(F.col("x") * grid).cast("int")), ["grp", "k"], "step", 0.5, "m")
+    mad = mad.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda v: F.sqrt(F.pow(v["m"] / float(grid) * 1.4826, 2) + ridge)).alias("mad"))
+    scale = few_rows(mid.join(mad, "grp"))
+    zero = F.lit(0.0)
+    diagonal = scale.select(F.lit(0).alias("start"), "grp", F.col("mid").alias("center"), F.array(*[F.pow(F.col("mad")[i], -2.0) if i == j else zero for i in range(p) for j in range(p)]).alias("inverse"))
+    plain = _estimate(_moments(fit.withColumn("start", F.lit(1))), ridge, 0.0).drop("logdet")
+    unit = fit.join(scale, "grp").withColumn("z", F.array(*[(F.col(f) - F.col("mid")[i]) / F.col("mad")[i] for i, f in enumerate(FEATURES)]))
+    unit = unit.withColumn("len", F.greatest(F.sqrt(F.aggregate("z", zero, lambda acc, v: acc + v * v)), F.lit(1e-9)))
+    turned = unit.select(F.lit(2).alias("start"), "grp", *[(F.col("z")[i] / F.col("len") * F.col("mad")[i] * float(np.sqrt(p))).alias(f) for i, f in enumerate(FEATURES)])
+    signs = _estimate(_moments(turned), ridge, 0.0).select("start", F.col("grp").alias("g"), "inverse")
+    signs = signs.join(scale, F.col("g") == F.col("grp")).select("start", "grp", F.col("mid").alias("center"), "inverse")
+    return diagonal.unionByName(plain).unionByName(signs)
 
 
-def quality_verdicts(docs: DataFrame, keep_share: float = 0.75, steps: int = 3, cut: float = 60.0, least: int = 50, ridge: float = 2.5e-3) -> DataFrame:
+def quality_verdicts(docs: DataFrame, keep_share: float = 0.75, most_steps: int = 8, cut: float = 60.0, prior: float = 50.0, ridge: float = 2.5e-3) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance).
 
-    keep_share: h as a share of a group. cut: the squared distance above which a document goes; chi-square with five
-    degrees of freedom has its 0.99999 quantile at 31, and skewed clean statistics need room above it. ridge: added to
-    each variance.
+    keep_share: h as a share of a group. most_steps: concentration steps at most; fewer if no determinant falls any more. cut: the squared
+    distance above which a document goes; chi-square with five degrees of freedom has its 0.99999 quantile at 31, and skewed
+    clean statistics need room above it. prior: how many documents' weight all documents have in a group's estimate. ridge: added to each variance.
     """
     p = len(FEATURES)
     stats = text_statistics(docs)
     failed = (F.col("n_words") < LEAST_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MOST_REPEATED) * F.col("n_words"))
-    stats = checkpoint(with_features(stats.withColumn("base_failed", failed)))
     named = lambda c: F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(c)))
-    own = F.concat_ws("\x1f", named("lang"), named("source"))
-    good = stats.filter("NOT base_failed")
-    sizes = good.groupBy(own.alias("own")).agg(F.count("*").alias("size"))
-    keyed = stats.withColumn("own", own).join(few_rows(sizes), "own", "left").withColumn("grp", F.when(F.col("size") >= least, F.col("own")).otherwise(F.lit("")))
-    keyed = checkpoint(keyed.drop("own", "size"))
-    # the pooled group holds every document, so that small groups have an estimate to borrow
-    fit = keyed.filter("NOT base_failed").select("grp", *FEATURES).withColumn("grp", F.explode(F.array_distinct(F.array(F.col("grp"), F.lit("")))))
-    middle = few_rows(fit.groupBy("grp").agg(*[F.percentile_approx(f, 0.5, 2000).alias(f"m_{f}") for f in FEATURES]))
-    spread = fit.join(middle, "grp").groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{f}")), 0.5, 2000).alias(f"d_{f}") for f in FEATURES])
-    start = middle.join(spread, "grp")
-    diagonal = [F.lit(1.0) / (F.pow(F.col(f"d_{f}") * 1.4826, 2) + ridge) for f in FEATURES]
-    zero = F.lit(0.0)
-    est = few_rows(start.select("grp", F.array(*[F.col(f"m_{f}") for f in FEATURES]).alias("center"), F.array(*[diagonal[i] if i == j else zero for i in range(p) for j in range(p)]).alias("inverse")))
-    for _ in range(steps):
-        far = fit.join(est, "grp").withColumn("d", _distance()).select("grp", "d", *FEATURES)
-        border = few_rows(far.groupBy("grp").agg(F.percentile_approx("d", keep_share, 2000).alias("border")))
-        near = far.join(border, "grp").filter("d <= border")
-        est = few_rows(_estimate(_moments(near), ridge))
-    # consistency: scaled so that the median distance is that of a chi-square with p degrees of freedom
+    stats = with_features(stats.withColumn("base_failed", failed)).withColumn("grp", F.concat_ws("\x1f", named("lang"), named("source")))
+    keyed = checkpoint(stats.drop("lang", "source"))
+    # the pooled group holds every document
+    fit = keyed.filter("NOT base_failed").select("grp", *FEATURES).withColumn("grp", F.explode(F.array(F.col("grp"), F.lit(""))))
+    est, logdet = few_rows(_starts(fit, ridge)), None
+    for _ in range(most_steps):
+        far = fit.join(est, "grp").withColumn("step", _log_step(_distance())).select("start", "grp", "step", *FEATURES)
+        border = few_rows(_quantile(far, ["start", "grp"], "step", keep_share, "border"))
+        near = far.join(border, ["start", "grp"]).filter("step <= border")
+        new = few_rows(_estimate(_moments(near), ridge, prior))
+        est = new
+        now = new.agg(F.sum(F.round("logdet", 6)), F.count("*")).first()  # one row
+        if now == logdet:
+            break
+        logdet = now
+    # of the starts the one that has led to the smallest determinant; then consistency: scaled so that the median distance
+    # is that of a chi-square with p degrees of freedom
+    best = few_rows(est.groupBy("grp").agg(F.min(F.struct("logdet", "start", "center", "inverse")).alias("b")).select("grp", "b.center", "b.inverse"))
     typical = p * (1 - 2 / (9 * p)) ** 3
-    scale = fit.join(est, "grp").groupBy("grp").agg(F.greatest(F.percentile_approx(_distance(), 0.5, 2000) / F.lit(typical), F.lit(1.0)).alias("scale"))
-    final = few_rows(est.join(scale, "grp").select(F.col("grp").alias("g"), "center", "inverse", "scale"))
+    half = _quantile(fit.join(best, "grp").select("grp", _log_step(_distance()).alias("step")), ["grp"], "step", 0.5, "half")
+    scale = half.select("grp", F.greatest(F.pow(F.lit(2.0), F.col("half") / float(LOG_STEPS)) / F.lit(typical), F.lit(1.0)).alias("scale"))
+    final = few_rows(best.join(scale, "grp").select(F.col("grp").alias("g"), "center", "inverse", "scale"))
     judged = keyed.join(final, keyed["grp"] == F.col("g"), "left").withColumn("distance", _distance() / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

@@ -38,6 +38,23 @@ def test_outliers_go_and_clean_documents_stay(spark, rng):
     assert [by[i]["base_failed"] for i in (2000, 2001, 2002)] == [True] * 3 and not any(kept[i] for i in (2000, 2001, 2002))
 
 
+def test_masked_outliers_need_a_robust_start(spark, rng):
+    """A fifth of a group is alike and far away: mean and covariance of all would hide it."""
+    clean = [(i, words(rng, rng.randint(80, 200), 10**4)) for i in range(240)]
+    bad = [(1000 + i, " ".join(f"## | $$ {rng.randrange(10**6)}" for _ in range(30))) for i in range(60)]
+    df = documents(spark, clean + bad)
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(df).collect()}
+    assert sum(kept[i] for i, _ in clean) >= 236 and not any(kept[i] for i, _ in bad)
+    again = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(df.repartition(7)).collect()}
+    assert again == kept
+
+
+def test_small_groups_lean_on_all(spark, rng):
+    texts = [(i, words(rng, rng.randint(60, 300), 10**4)) for i in range(200)] + [(900, "### $$ | " * 3 + words(rng, 60, 10**4)), (901, words(rng, 100, 10**4))]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(documents(spark, texts, ["big"] * 200 + ["lone", "single"])).collect()}
+    assert got[901] and sum(got[i] for i in range(200)) >= 197
+
+
 def test_small_and_equal_groups(spark, rng):
     df = documents(spark, [(i, "the same ten words over and over but never more " + str(i % 2)) for i in range(60)], ["a"] * 55 + [None] * 5)
     assert quality.quality_verdicts(df).filter("kept").count() == 60
