@@ -76,10 +76,10 @@ def tag_hits(tagpos: DataFrame) -> DataFrame:
 
 
 def cluster_abundance(loci: DataFrame, tagpos: DataFrame, sizes: tuple[int, ...] = (21, 22)) -> DataFrame:
-    """A7. Per locus the abundance of each size divided by the tag's hits, and the number of tag rows."""
+    """A7. Per locus and size the abundance divided by the tag's hits, and the number of tag rows."""
     hits = tag_hits(tagpos)
     hit = _in_loci(loci, tagpos.filter(F.col("len").isin(*sizes))).join(hits, F.col("tag") == F.col("htag"))
-    return hit.groupBy("name").agg(*[F.coalesce(F.sum(F.when(F.col("len") == s, F.col("abun") / F.col("hits"))), F.lit(0.0)).alias(f"norm{s}") for s in sizes], F.count("*").alias("n_tags"))
+    return hit.groupBy("name").agg(*[F.coalesce(F.sum(F.when(F.col("len") == s, F.col("abun") / F.col("hits"))), F.lit(0.0)).alias(f"norm{s}") for s in sizes], *[F.count_if(F.col("len") == s).alias(f"n{s}") for s in sizes])
 
 
 def bin_counts(tagpos: DataFrame, width: int = 500, size: int = 22, least: int = 1) -> DataFrame:
@@ -270,12 +270,14 @@ def transcripts_from_exons(exons: DataFrame) -> DataFrame:
     return exons.groupBy("chr", "strand", "trans").agg(F.min("xstart").alias("tstart"), F.max("xend").alias("tend"), F.count("*").alias("n_exons"))
 
 
-def collapse_isoforms(trans: DataFrame) -> DataFrame:
-    """A22. Per gene, chromosome and strand the overlapping isoforms merged, with their number and names."""
-    w = Window.partitionBy("gene", "chr", "strand").orderBy("tstart", "tend", "trans")
-    before = F.max("tend").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = trans.withColumn("__new", F.when(before.isNull() | (F.col("tstart") > before), 1).otherwise(0)).withColumn("__i", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("gene", "chr", "strand", "__i").agg(F.min("tstart").alias("mstart"), F.max("tend").alias("mend"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("trans")), ",").alias("isoforms")).drop("__i")
+def collapse_isoforms(trans: DataFrame, most_score: int = 2) -> DataFrame:
+    """A22. Of transcripts (gene, trans, chr, strand, tstart, tend, score, coding) whose match score isn't above ``most_score``, so that have no
+    annotated gene: per gene, chromosome, strand and coding status the overlapping isoforms merged, with their number, names and best
+    score; an isoform that overlaps no other is a row of its own (kind uniq, else merged). Isoforms that only touch don't overlap."""
+    keys = ["gene", "chr", "strand", "coding"]
+    rows = number_islands(trans.filter(F.col("score") <= most_score), keys, "tstart", "tend", -1, "__i")
+    out = rows.groupBy(*keys, "__i").agg(F.min("tstart").alias("mstart"), F.max("tend").alias("mend"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("trans")), ",").alias("isoforms"), F.max("score").alias("best_score"))
+    return out.drop("__i").withColumn("kind", F.when(F.col("n") > 1, "merged").otherwise("uniq"))
 
 
 def gene_promoters(trans: DataFrame, length: int = 500) -> DataFrame:

@@ -154,7 +154,7 @@ def best_trigger(triggers: DataFrame, preferred: tuple[str, ...], most: int = 3)
 
 
 def greedy_matching(pairs: DataFrame, order: list, a: str = "a", b: str = "b", few: int | None = None) -> DataFrame:
-    """W18. Greedy choice of pairs in a total order, each member used once (a and b are two roles of the same names).
+    """W18. Greedy choice of pairs in a total order, each member used once (a and b are two roles of the same names; a pair may be of one with itself).
 
     Pairs that are the best of both their members are chosen at once; their members' other pairs go; until none is left. On a total
     order that is what the one-by-one choice gives. Each round chooses the best pair of all at least, so it ends; a chain of dependent
@@ -163,7 +163,7 @@ def greedy_matching(pairs: DataFrame, order: list, a: str = "a", b: str = "b", f
     from tagloom.runtime import FEW, checkpoint
 
     few = FEW if few is None else few
-    left = checkpoint(pairs.withColumn("__o", F.struct(*order)).filter(F.col(a) != F.col(b)))
+    left = checkpoint(pairs.withColumn("__o", F.struct(*order)).filter(F.col(a).isNotNull() & F.col(b).isNotNull()))
     chosen, schema = left.limit(0), left.schema
     rounds = 0
     while left.limit(few + 1).count() > few:
@@ -187,6 +187,14 @@ def greedy_matching(pairs: DataFrame, order: list, a: str = "a", b: str = "b", f
     return chosen.unionByName(left.sparkSession.createDataFrame(last, schema)).drop("__o")
 
 
+def inverted_repeats(pairs: DataFrame, foldback: bool = False, least_len: int = 180, least_identity: float = 85.0, share: float = 0.7) -> DataFrame:
+    """W18. The best pairs by bit score of (a, b, pident, length, bitscore, alen, blen), each transcript in one pair: alignments of enough
+    length, also relative to the shorter transcript, and identity. foldback: pairs of a transcript with itself alone."""
+    good = pairs.filter((F.col("length") >= least_len) & (F.col("pident") >= least_identity) & (F.col("length") >= share * F.least("alen", "blen")))
+    good = good.filter(F.col("a") == F.col("b")) if foldback else good
+    return greedy_matching(good, [(-F.col("bitscore")).alias("s"), F.col("a"), F.col("b"), F.col("length"), F.col("pident")])
+
+
 def unique_placement(names: DataFrame, places: DataFrame) -> DataFrame:
     """W16. Each name, in order, takes its first place that no earlier name has. names: (name, ord); places: (name, place, pord).
 

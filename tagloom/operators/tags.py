@@ -87,6 +87,14 @@ def merge_tables(attr: DataFrame, fpkm: DataFrame, counts: DataFrame, key: str)
     return attr.join(fpkm, key, "full").join(counts, key, "full")
 
 
+def annotate_results(results: DataFrame, annots: DataFrame, key: str, annot_key: str, entry: str) -> DataFrame:
+    """J27. Results with their annotations, all results kept; of several rows with one entry id the first by key stays, rows without one all do."""
+    both = results.join(annots, F.col(key) == F.col(annot_key), "left").drop(annot_key)
+    cols = both.columns
+    first = both.filter(F.col(entry).isNotNull()).groupBy(entry).agg(F.min(F.struct(key, *[c for c in cols if c not in (key, entry)])).alias("__r"))
+    return first.select(*[F.col(entry) if c == entry else F.col(f"__r.{c}").alias(c) for c in cols]).unionByName(both.filter(F.col(entry).isNull()))
+
+
 def merge_strands(cluster: DataFrame) -> DataFrame:
     """J30. Abundance of c tags, moved by 3, added to w tags of one name, position and size; unmatched c tags kept."""
     at = F.when(F.col("strand") == "c", F.col("pos") + 3).otherwise(F.col("pos"))

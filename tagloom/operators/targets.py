@@ -159,16 +159,18 @@ def filter_pare(df: DataFrame, most: float, least: float, ratio: float, column:
 
 
 def pair_features(profiles: DataFrame) -> DataFrame:
-    """P22. Totals of a pair's kinds and bases, whole and in the seed (2 to 10)."""
+    """P22. Totals of a pair's kinds and bases, whole and in the seed (2 to 10), its number of columns, and position by position the pair's kind
+    and base (kinds: one letter for each column; bases: the miRNA's)."""
     count = lambda f: F.size(F.filter("p", f))
     in_seed = lambda x: x["i"].between(2, 10)
     gc = lambda x: (x["kind"] == "M") & x["m"].isin("G", "C")
     au = lambda x: (x["kind"] == "M") & x["m"].isin("A", "T")
     both = lambda f, g: lambda x: f(x) & g(x)
     cols = []
-    for name, f in (("gc", gc), ("au", au), ("wobble", lambda x: x["kind"] == "W"), ("mismatch", lambda x: x["kind"] == "X"), ("gap", lambda x: x["kind"].isin("B", "D"))):
+    for name, f in (("gc", gc), ("au", au), ("wobble", lambda x: x["kind"] == "W"), ("mismatch", lambda x: x["kind"] == "X"), ("bulge", lambda x: x["kind"] == "D"), ("gap", lambda x: x["kind"] == "B")):
         cols += [count(f).alias(name), count(both(f, in_seed)).alias(f"seed_{name}")]
-    return profiles.select("id", *cols)
+    line = lambda field: F.array_join(F.transform("p", lambda x: x[field]), "")
+    return profiles.select("id", *cols, F.size("p").alias("columns"), line("kind").alias("kinds"), line("m").alias("bases"))
 
 
 def pair_profile_table(profiles: DataFrame) -> DataFrame:

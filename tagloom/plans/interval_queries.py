@@ -37,7 +37,7 @@ def a5(v: Views) -> DataFrame:
 _HITS = "h AS (SELECT tag, count(DISTINCT (chr, strand, pos)) AS hits FROM tag_position GROUP BY tag)"
 
 
-@query("A7", "tag_position", "locus", sql=f"WITH {_HITS} SELECT l.name, round(coalesce(sum(CASE WHEN len=21 THEN abun::DOUBLE/hits END),0), 6) AS norm21, round(coalesce(sum(CASE WHEN len=22 THEN abun::DOUBLE/hits END),0), 6) AS norm22, count(*) AS n_tags {_JOIN} JOIN h ON h.tag = t.tag WHERE len IN (21,22) GROUP BY 1")
+@query("A7", "tag_position", "locus", sql=f"WITH {_HITS} SELECT l.name, round(coalesce(sum(CASE WHEN len=21 THEN abun::DOUBLE/hits END),0), 6) AS norm21, round(coalesce(sum(CASE WHEN len=22 THEN abun::DOUBLE/hits END),0), 6) AS norm22, count(*) FILTER (len=21) AS n21, count(*) FILTER (len=22) AS n22 {_JOIN} JOIN h ON h.tag = t.tag WHERE len IN (21,22) GROUP BY 1")
 def a7(v: Views) -> DataFrame:
     return iv.cluster_abundance(v.locus, v.tag_position).withColumns({c: F.round(c, 6) for c in ("norm21", "norm22")})
 
@@ -135,7 +135,7 @@ def j29(v: Views) -> DataFrame:
 
 
 def _islands(src: str, keys: str, s: str, e: str, gap: int = 0) -> str:
-    return f"x AS ({src}), y AS (SELECT *, CASE WHEN {s} <= max({e}) OVER (PARTITION BY {keys} ORDER BY {s}, {e} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} THEN 0 ELSE 1 END AS nw FROM x), z AS (SELECT *, sum(nw) OVER (PARTITION BY {keys} ORDER BY {s}, {e} ROWS UNBOUNDED PRECEDING) AS i FROM y), isl AS (SELECT {keys}, min({s}) AS mstart, max({e}) AS mend, count(*) AS n FROM z GROUP BY {keys}, i)"
+    return f"x AS ({src}), y AS (SELECT *, CASE WHEN {s} <= max({e}) OVER (PARTITION BY {keys} ORDER BY {s}, {e} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + ({gap}) THEN 0 ELSE 1 END AS nw FROM x), z AS (SELECT *, sum(nw) OVER (PARTITION BY {keys} ORDER BY {s}, {e} ROWS UNBOUNDED PRECEDING) AS i FROM y), isl AS (SELECT {keys}, min({s}) AS mstart, max({e}) AS mend, count(*) AS n FROM z GROUP BY {keys}, i)"
 
 
 _FEATS = "SELECT chr, strand, tstart, tend, trans AS name, 'g' AS kind FROM transcript UNION ALL SELECT chr, CASE WHEN neglog_p > 3 THEN 'w' ELSE 'c' END, lstart, lend, name, 'f' FROM locus"
@@ -193,14 +193,14 @@ def a19(v: Views) -> DataFrame:
     return iv.transcripts_from_exons(v.exon)
 
 
-_ISO = "SELECT 'G' || CAST(CAST(floor(tstart/5000.0) AS BIGINT) AS STRING) AS gene, trans, chr, strand, tstart, tend FROM transcript"
+_ISO = "SELECT 'G' || CAST(CAST(floor(tstart/5000.0) AS BIGINT) AS STRING) AS gene, trans, chr, strand, tstart, tend, tend % 5 AS score, tstart % 3 > 0 AS coding FROM transcript WHERE tend % 5 <= 2"
 
 
 def _iso(v: Views) -> DataFrame:
-    return v.transcript.withColumn("gene", F.concat(F.lit("G"), F.floor(F.col("tstart") / 5000).cast("string")))
+    return v.transcript.withColumn("gene", F.concat(F.lit("G"), F.floor(F.col("tstart") / 5000).cast("string"))).withColumn("score", F.col("tend") % 5).withColumn("coding", F.col("tstart") % 3 > 0)
 
 
-@query("A22", "transcript", sql=f"WITH x AS ({_ISO}), y AS (SELECT *, CASE WHEN tstart <= max(tend) OVER (PARTITION BY gene, chr, strand ORDER BY tstart, tend, trans ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM x), z AS (SELECT *, sum(nw) OVER (PARTITION BY gene, chr, strand ORDER BY tstart, tend, trans ROWS UNBOUNDED PRECEDING) AS i FROM y) SELECT gene, chr, strand, min(tstart) AS mstart, max(tend) AS mend, count(*) AS n, string_agg(trans, ',' ORDER BY trans) AS isoforms FROM z GROUP BY gene, chr, strand, i")
+@query("A22", "transcript", sql=f"WITH {_islands(_ISO, 'gene, chr, strand, coding', 'tstart', 'tend', -1)} SELECT gene, chr, strand, coding, min(tstart) AS mstart, max(tend) AS mend, count(*) AS n, string_agg(trans, ',' ORDER BY trans) AS isoforms, max(score) AS best_score, CASE WHEN count(*) > 1 THEN 'merged' ELSE 'uniq' END AS kind FROM z GROUP BY gene, chr, strand, coding, i")
 def a22(v: Views) -> DataFrame:
     return iv.collapse_isoforms(_iso(v))
 

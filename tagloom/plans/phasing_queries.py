@@ -195,9 +195,11 @@ def w16(v: Views) -> DataFrame:
 
 @query("W18", "transcript")
 def w18(v: Views) -> DataFrame:
-    n = F.substr("trans", F.lit(2)).cast("long")
-    pairs = v.transcript.select(F.col("trans").alias("a"), F.explode(F.array(*[F.struct(F.concat(F.lit("T"), ((n * k + 11 * k) % 1500).cast("string")).alias("b"), ((n * 37 * k) % 500).alias("score")) for k in (3, 5)])).alias("x")).select("a", "x.b", "x.score")
-    return lc.greedy_matching(pairs, [(-F.col("score")).alias("s"), F.col("a"), F.col("b")])
+    n, size = F.substr("trans", F.lit(2)).cast("long"), F.col("tend") - F.col("tstart")
+    partner = lambda k: F.struct(F.concat(F.lit("T"), ((n * k + 11 * k) % 1500).cast("string")).alias("b"), ((n * 37 * k) % 500).alias("bitscore"), (80 + (n * k) % 20).cast("double").alias("pident"), (150 + (n * 13 * k) % 400).alias("length"))
+    pairs = v.transcript.select(F.col("trans").alias("a"), size.alias("alen"), F.explode(F.array(*[partner(k) for k in (1, 3, 5)])).alias("x")).select("a", "alen", "x.b", "x.bitscore", "x.pident", "x.length")
+    own = v.transcript.select(F.col("trans").alias("b_"), size.alias("blen"))
+    return lc.inverted_repeats(pairs.join(own, F.col("b") == F.col("b_")).drop("b_"), least_len=180)
 
 
 @query("W21", "locus", sql="SELECT name, 'Phas-' || CAST(row_number() OVER (ORDER BY lpad(CAST(chr AS STRING), 8, '0'), lstart, name) AS STRING) AS phas_id, lpad(CAST(chr AS STRING), 8, '0') AS ckey, lstart FROM locus")

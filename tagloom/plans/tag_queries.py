@@ -73,6 +73,13 @@ def j27(v: Views) -> DataFrame:
     return tg.merge_tables(of(0), of(1), of(2), "gene")
 
 
+@query("J27_left", "expr", "transcript", sql="WITH r AS (SELECT gene, cnt FROM expr WHERE sample='S0'), a AS (SELECT DISTINCT 'G' || CAST(CAST(substr(trans,2) AS BIGINT) % 300 AS STRING) AS ens, CAST(substr(trans,2) AS BIGINT) % 170 AS entrez FROM transcript), m AS (SELECT r.*, a.entrez FROM r LEFT JOIN a ON a.ens=r.gene) SELECT gene, cnt, entrez FROM (SELECT *, row_number() OVER (PARTITION BY entrez ORDER BY gene, cnt) AS nth FROM m WHERE entrez IS NOT NULL) WHERE nth=1 UNION ALL SELECT * FROM m WHERE entrez IS NULL")
+def j27_left(v: Views) -> DataFrame:
+    n = F.substr("trans", F.lit(2)).cast("long")
+    a = v.transcript.select(F.concat(F.lit("G"), (n % 300).cast("string")).alias("ens"), (n % 170).alias("entrez")).distinct()
+    return tg.annotate_results(v.expr.filter("sample = 'S0'").select("gene", "cnt"), a, "gene", "ens", "entrez")
+
+
 @query("J30", "tag_position", sql="SELECT lib AS name, pos + CASE WHEN strand='c' THEN 3 ELSE 0 END AS pos, len, sum(abun)::BIGINT AS abun, max(CASE WHEN strand='w' THEN 1 ELSE 0 END) AS has_w FROM tag_position GROUP BY 1, 2, 3")
 def j30(v: Views) -> DataFrame:
     return tg.merge_strands(v.tag_position.withColumnRenamed("lib", "name"))

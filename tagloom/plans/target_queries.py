@@ -111,10 +111,10 @@ def p21(v: Views) -> DataFrame:
     return tr.filter_pare(df, 6, 20, 0.5).drop("vals")
 
 
-_FEAT = (("gc", "kind='M' AND m IN ('G','C')"), ("au", "kind='M' AND m IN ('A','T')"), ("wobble", "kind='W'"), ("mismatch", "kind='X'"), ("gap", "kind IN ('B','D')"))
+_FEAT = (("gc", "kind='M' AND m IN ('G','C')"), ("au", "kind='M' AND m IN ('A','T')"), ("wobble", "kind='W'"), ("mismatch", "kind='X'"), ("bulge", "kind='D'"), ("gap", "kind='B'"))
 
 
-@query("P22", "seqs", sql=f"WITH {_AL} SELECT id, " + ", ".join(f"count(*) FILTER ({c}) AS {n}, count(*) FILTER (({c}) AND i BETWEEN 2 AND 10) AS seed_{n}" for n, c in _FEAT) + " FROM kd GROUP BY 1")
+@query("P22", "seqs", sql=f"WITH {_AL} SELECT id, " + ", ".join(f"count(*) FILTER ({c}) AS {n}, count(*) FILTER (({c}) AND i BETWEEN 2 AND 10) AS seed_{n}" for n, c in _FEAT) + ", count(*) AS columns, string_agg(kind, '' ORDER BY col) AS kinds, string_agg(m, '' ORDER BY col) AS bases FROM kd GROUP BY 1")
 def p22(v: Views) -> DataFrame:
     return tr.pair_features(tr.pair_profile(_aligned(v)))
 
