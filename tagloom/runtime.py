@@ -27,6 +27,22 @@ def ship(spark: SparkSession) -> None:
     sc._tagloom_shipped = True
 
 
+def ship_file(spark: SparkSession, path: str) -> None:
+    """Sends a file to the executors once for each application; shipped_file() finds it there."""
+    sc = spark.sparkContext
+    sent = getattr(sc, "_tagloom_files", set())
+    if path not in sent:
+        sc.addFile(path)
+        sc._tagloom_files = sent | {path}
+
+
+def shipped_file(path: str) -> str:
+    """In a task: where the file is, at its own place or where it was sent to."""
+    from pyspark import SparkFiles
+
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; where it is unset a folder of our own, on a local master only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
