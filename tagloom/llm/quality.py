@@ -3,7 +3,7 @@
 Every text is read once for its statistics. For each language and source a minimum-covariance-determinant estimate is
 fitted to transformed statistic vectors of all its documents that pass the base rules. From three deterministic starts (medians and scaled
 MADs; mean and covariance; directions from the median) concentration steps take mean and covariance of the h nearest documents by the
-distance so far, until no determinant falls; of each group's three ends the one of smallest determinant is kept. A step is a count of rounded distances
+distance so far, until the determinants hardly fall; of each group's three ends the one of smallest determinant is kept. A step is a count of rounded distances
 and a grouped sum of moments, so a hot source is pre-aggregated in all tasks and only rows per group meet in one
 place; the groups' rows are broadcast to the documents if there are few of them. Counts are exact, so verdicts don't depend on the
 partitioning. A document is rejected if its squared Mahalanobis distance under the consistency-corrected estimate is above the
@@ -15,7 +15,7 @@ repeated rows count each; a table without documents gives no rows; other columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.runtime import checkpoint, few_rows, ship, small_batches
+from tagloom.runtime import FEW, checkpoint, ship, small_batches
 
 # The classes of characters and the limits of the base rules.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -150,7 +150,7 @@ def _estimate(moments: DataFrame, ridge: float, prior: float) -> DataFrame:
     p = len(FEATURES)
     names = [c for c in moments.columns if c not in ("start", "grp")]
     pool = moments.filter("grp = ''").select(F.col("start").alias("ps"), *[F.col(c).alias(f"p_{c}") for c in names])  # one row per start
-    both = moments.join(F.broadcast(pool), F.col("start") == F.col("ps"))
+    both = moments.join(F.broadcast(pool), F.col("start") == F.col("ps"))  # three rows at most
 
     def own(row: dict, mark: str) -> tuple[float, np.ndarray, np.ndarray]:
         n = max(row[f"{mark}n"], 1)
@@ -176,17 +176,17 @@ def _estimate(moments: DataFrame, ridge: float, prior: float) -> DataFrame:
     return both.mapInPandas(run, "start int, grp string, center array<double>, inverse array<double>, logdet double")
 
 
-def _starts(fit: DataFrame, ridge: float) -> DataFrame:
+def _starts(fit: DataFrame, ridge: float, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(start, grp, center, inverse): three deterministic estimates to begin from. 0: medians and scaled MADs; 1: mean and covariance of
     all; 2: medians, and the covariance of directions from them (each document one unit long in MADs), which far ones don't stretch."""
     p, grid = len(FEATURES), 512
     long = fit.select("grp", F.posexplode(F.array(*FEATURES)).alias("k", "x"))
     mid = _quantile(long.withColumn("step", F.round(F.col("x") * grid).cast("int")), ["grp", "k"], "step", 0.5, "m")
-    mid = few_rows(mid.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda v: v["m"] / float(grid)).alias("mid")))
+    mid = small(checkpoint(mid.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda v: v["m"] / float(grid)).alias("mid"))))
     off = fit.join(mid, "grp").select("grp", F.posexplode(F.array(*[F.abs(F.col(f) - F.col("mid")[i]) for i, f in enumerate(FEATURES)])).alias("k", "x"))
     mad = _quantile(off.withColumn("step", F.round(F.col("x") * grid).cast("int")), ["grp", "k"], "step", 0.5, "m")
     mad = mad.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda v: F.sqrt(F.pow(v["m"] / float(grid) * 1.4826, 2) + ridge)).alias("mad"))
-    scale = few_rows(mid.join(mad, "grp"))
+    scale = small(checkpoint(mid.join(mad, "grp")))
     zero = F.lit(0.0)
     diagonal = scale.select(F.lit(0).alias("start"), "grp", F.col("mid").alias("center"), F.array(*[F.pow(F.col("mad")[i], -2.0) if i == j else zero for i in range(p) for j in range(p)]).alias("inverse"))
     plain = _estimate(_moments(fit.withColumn("start", F.lit(1))), ridge, 0.0).drop("logdet")
@@ -198,10 +198,11 @@ def _starts(fit: DataFrame, ridge: float) -> DataFrame:
     return diagonal.unionByName(plain).unionByName(signs)
 
 
-def quality_verdicts(docs: DataFrame, keep_share: float = 0.75, most_steps: int = 8, cut: float = 60.0, prior: float = 50.0, ridge: float = 2.5e-3) -> DataFrame:
+def quality_verdicts(docs: DataFrame, keep_share: float = 0.75, most_steps: int = 6, settled: float = 1e-3, cut: float = 60.0, prior: float = 50.0, ridge: float = 2.5e-3) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance).
 
-    keep_share: h as a share of a group. most_steps: concentration steps at most; fewer if no determinant falls any more. cut: the squared
+    keep_share: h as a share of a group. most_steps: concentration steps at most; they end once the logarithms of all determinants together fall
+    by less than the share ``settled`` in a step. cut: the squared
     distance above which a document goes; chi-square with five degrees of freedom has its 0.99999 quantile at 31, and skewed
     clean statistics need room above it. prior: how many documents' weight all documents have in a group's estimate. ridge: added to each variance.
     """
@@ -213,24 +214,25 @@ def quality_verdicts(docs: DataFrame, keep_share: float = 0.75, most_steps: int
     keyed = checkpoint(stats.drop("lang", "source"))
     # the pooled group holds every document
     fit = keyed.filter("NOT base_failed").select("grp", *FEATURES).withColumn("grp", F.explode(F.array(F.col("grp"), F.lit(""))))
-    est, logdet = few_rows(_starts(fit, ridge)), None
+    # one row for each group and start: broadcast if they are found to be few
+    few = fit.select("grp").distinct().limit(FEW // 3 + 1).count() <= FEW // 3
+    small = F.broadcast if few else lambda df: df
+    est, logdet = small(checkpoint(_starts(fit, ridge, small))), None
     for _ in range(most_steps):
         far = fit.join(est, "grp").withColumn("step", _log_step(_distance())).select("start", "grp", "step", *FEATURES)
-        border = few_rows(_quantile(far, ["start", "grp"], "step", keep_share, "border"))
-        near = far.join(border, ["start", "grp"]).filter("step <= border")
-        new = few_rows(_estimate(_moments(near), ridge, prior))
-        est = new
-        now = new.agg(F.sum(F.round("logdet", 6)), F.count("*")).first()  # one row
-        if now == logdet:
+        near = far.join(small(_quantile(far, ["start", "grp"], "step", keep_share, "border")), ["start", "grp"]).filter("step <= border")
+        est = small(checkpoint(_estimate(_moments(near), ridge, prior)))
+        now = est.agg(F.sum("logdet")).first()[0]  # one row
+        if now is None or logdet is not None and logdet - now < settled * abs(now):
             break
         logdet = now
     # of the starts the one that has led to the smallest determinant; then consistency: scaled so that the median distance
     # is that of a chi-square with p degrees of freedom
-    best = few_rows(est.groupBy("grp").agg(F.min(F.struct("logdet", "start", "center", "inverse")).alias("b")).select("grp", "b.center", "b.inverse"))
+    best = small(checkpoint(est.groupBy("grp").agg(F.min(F.struct("logdet", "start", "center", "inverse")).alias("b")).select("grp", "b.center", "b.inverse")))
     typical = p * (1 - 2 / (9 * p)) ** 3
     half = _quantile(fit.join(best, "grp").select("grp", _log_step(_distance()).alias("step")), ["grp"], "step", 0.5, "half")
     scale = half.select("grp", F.greatest(F.pow(F.lit(2.0), F.col("half") / float(LOG_STEPS)) / F.lit(typical), F.lit(1.0)).alias("scale"))
-    final = few_rows(best.join(scale, "grp").select(F.col("grp").alias("g"), "center", "inverse", "scale"))
+    final = small(checkpoint(best.join(scale, "grp").select(F.col("grp").alias("g"), "center", "inverse", "scale")))
     judged = keyed.join(final, keyed["grp"] == F.col("g"), "left").withColumn("distance", _distance() / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

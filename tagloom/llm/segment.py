@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tagloom.llm.pieces import PAIRS_KEPT, SPACE, Vocabulary, vocabulary
-from tagloom.runtime import ship, small_batches
+from tagloom.runtime import ship, ship_file, shipped_file, small_batches
 
 CACHE = 120_000  # pre-tokens in each of two generations
 INFINITE = float("inf")
@@ -188,10 +188,11 @@ def decode(ids: list[int], v: Vocabulary) -> str:
 def encode_column(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     """(doc_id, ids, n_pieces, n_byte_pieces, ids_sha256, round_trip) of each row."""
     ship(docs.sparkSession)
+    ship_file(docs.sparkSession, model)
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = machine(model)
+        m = machine(shipped_file(model))
         byte_like = np.zeros(len(m.v.names), bool)
         if m.v.fallback:
             byte_like[m.v.bytes] = True
@@ -221,10 +222,11 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
 def decode_column(coded: DataFrame, model: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids); null ids decode to an empty text."""
     ship(coded.sparkSession)
+    ship_file(coded.sparkSession, model)
     small_batches(coded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model)
+        v = vocabulary(shipped_file(model))
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decode(x or [], v) for x in b.column(1).to_pylist()])], ["doc_id", "text"])
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tagloom.llm.pieces import Vocabulary, vocabulary
-from tagloom.runtime import ship, small_batches
+from tagloom.runtime import ship, ship_file, shipped_file, small_batches
 
 NODES = 1_000_000
 
@@ -108,10 +108,11 @@ def trie(model: str) -> Trie:
 def count_tokens(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     """(doc_id, n_pretokens, n_tokens) of each row."""
     ship(docs.sparkSession)
+    ship_file(docs.sparkSession, model)
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = trie(model)
+        t = trie(shipped_file(model))
         for b in batches:
             pre, tokens = [], []
             for text in b.column(1).to_pylist():

@@ -297,8 +297,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 8000, fewest: int = 10
     return model
 
 
-def apply_model(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the columns score and predicted added after all of its own."""
+def apply_model(docs: DataFrame, model: Model, added: tuple[str, str] = ("__score", "__predicted")) -> DataFrame:
+    """docs with the score and what it predicts added, under the names given, after all columns of its own."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index("text")
@@ -309,11 +309,11 @@ def apply_model(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             x = np.array([m.features(words_of(t)) for t in b.column(at).to_pylist()]).reshape(-1, 3)
             score = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -700, 700)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*names, "__score", "__predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*names, *added])
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType()), T.StructField("__predicted", T.IntegerType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(added[0], T.DoubleType()), T.StructField(added[1], T.IntegerType())]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
@@ -326,4 +326,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """The documents that are not predicted toxic, with the columns they had."""
-    return apply_model(docs, train(docs, labels, **params)).filter("__predicted = 0").drop("__score", "__predicted")
+    longest = max(map(len, docs.columns))
+    score, predicted = (f"__{x}".ljust(longest + 1, "_") for x in ("score", "predicted"))  # longer than any name that docs has
+    return apply_model(docs, train(docs, labels, **params), (score, predicted)).filter(F.col(predicted) == 0).drop(score, predicted)

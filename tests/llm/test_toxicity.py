@@ -45,6 +45,7 @@ def test_edges(spark, rng):
     got = toxicity.score_toxicity(docs, lab).collect()
     assert len(got) == len(texts) and all(r["score"] is not None for r in got)
     assert [r["held_out"] for r in got if r["doc_id"] is None] == [None]
+    docs = docs.withColumn("__score", F.lit(1)).withColumn("__predicted", F.lit("x"))
     kept = toxicity.drop_toxic(docs, lab)
     assert kept.columns == docs.columns and 0 < kept.count() < len(texts)
 
