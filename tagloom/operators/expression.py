@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators.intervals import bin_join
@@ -206,6 +206,12 @@ def pca(matrix: DataFrame, columns: tuple[str, ...], k: int, scale: bool = True)
     return model.transform(df).drop("raw", "scaled"), list(model.explainedVariance), model.pc.toArray()
 
 
+def loadings(model_pc: np.ndarray, variance: list[float], columns: tuple[str, ...], spark: SparkSession) -> DataFrame:
+    """S13. (column, pc, loading, explained) of a fitted PCA: as many rows as columns times components."""
+    rows = [(c, k + 1, float(model_pc[i, k]), float(variance[k])) for i, c in enumerate(columns) for k in range(model_pc.shape[1])]
+    return spark.createDataFrame(rows, "column string, pc int, loading double, explained double")
+
+
 def sc_qc(cells: DataFrame, least_cells: int = 3, least_genes: int = 5, most_genes: int = 2500, most_mt: float = 50.0, mt: str = "g1") -> DataFrame:
     """S14. Genes in enough cells, then cells within the gene and mitochondrial limits: (cell, n_genes, total, percent_mt)."""
     genes = cells.groupBy("gene").agg(F.count("*").alias("k")).filter(F.col("k") >= least_cells).select("gene")
@@ -250,7 +256,7 @@ def sc_scale(values: DataFrame, n_cells: int | None = None) -> DataFrame:
 
 
 def sc_cluster(points: DataFrame, features: str, k: int, seed: int = 1) -> DataFrame:
-    """S17. k-means clusters of points in a vector column."""
+    """S17. k-means clusters of points in a vector column, such as cells on their principal components."""
     from pyspark.ml.clustering import KMeans
 
     return KMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster").fit(points).transform(points)

@@ -216,6 +216,12 @@ def s13(v: Views) -> DataFrame:
     return scores.select("gene", *[F.round(F.abs(vector_to_array("pcs")[k]), 6).alias(f"pc{k + 1}") for k in range(2)])
 
 
+@query("S13_loadings", "expr")
+def s13_loadings(v: Views) -> DataFrame:
+    _, variance, pc = ex.pca(_wide(v), SAMPLES, 2)
+    return ex.loadings(pc, variance, SAMPLES, v.spark).withColumn("loading", F.round(F.abs("loading"), 6)).withColumn("explained", F.round("explained", 6))
+
+
 @query("S14", "cell", sql="WITH g AS (SELECT gene FROM cell GROUP BY 1 HAVING count(*) >= 3), a AS (SELECT cell, count(*) AS n_genes, sum(cnt)::BIGINT AS total, 100.0::DOUBLE*sum(CASE WHEN gene LIKE 'g1%' THEN cnt ELSE 0 END)/sum(cnt) AS percent_mt FROM cell WHERE gene IN (SELECT gene FROM g) GROUP BY 1) SELECT * FROM a WHERE n_genes >= 5 AND n_genes < 2500 AND percent_mt < 50")
 def s14(v: Views) -> DataFrame:
     return ex.sc_qc(v.cell)
@@ -242,11 +248,11 @@ def _clusters(v: Views) -> DataFrame:
 
 @query("S17", "cell")
 def s17(v: Views) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-
-    wide = ex.sc_lognorm(v.cell).groupBy("cell").agg(*[F.coalesce(F.sum(F.when(F.col("gene") == f"g{k}", F.col("v"))), F.lit(0.0)).alias(f"g{k}") for k in range(60)])
-    points = VectorAssembler(inputCols=[f"g{k}" for k in range(60)], outputCol="x").transform(wide)
-    return ex.sc_cluster(points, "x", 4).select("cell", "cluster")
+    """Cells clustered on the first ten principal components of their genes."""
+    genes = tuple(f"g{k}" for k in range(60))
+    wide = ex.sc_lognorm(v.cell).groupBy("cell").agg(*[F.coalesce(F.sum(F.when(F.col("gene") == g, F.col("v"))), F.lit(0.0)).alias(g) for g in genes])
+    points, _, _ = ex.pca(wide, genes, 10, scale=False)
+    return ex.sc_cluster(points, "pcs", 4).select("cell", "cluster")
 
 
 _S18 = """x AS (SELECT *, ln(1 + 10000.0::DOUBLE*cnt/sum(cnt) OVER (PARTITION BY cell)) AS v FROM cell), cl AS (SELECT DISTINCT cell, cell % 3 AS cluster FROM cell), ge AS (SELECT DISTINCT gene FROM x),

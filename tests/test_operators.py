@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions import seq
-from tagloom.operators import annotation, expression, intervals, islands, loci, phasing, tags, targets
+from tagloom.operators import annotation, enrichment, expression, intervals, islands, loci, phasing, tags, targets
 from tagloom.plans.components import connected_components
 from tagloom.sources import formats
 
@@ -397,3 +397,65 @@ def test_fastq_qualities_that_begin_with_at(spark, tmp_path, size):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == sorted(want) and trimmed > 0
+
+
+def test_principal_components_and_clusters(spark):
+    r = np.random.RandomState(1)
+    centers = np.array([[9.0, 0, 0, 0], [0, 9, 0, 0], [0, 0, 9, 0]])
+    x = np.vstack([c + r.randn(30, 4) for c in centers])
+    df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(x)], "cell int, g0 double, g1 double, g2 double, g3 double")
+    scored, variance, pc = expression.pca(df, ("g0", "g1", "g2", "g3"), 2, scale=False)
+    u, d, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert variance == pytest.approx((d**2 / (d**2).sum())[:2]) and abs(pc) == pytest.approx(abs(vt[:2].T), abs=1e-9)
+    rows_ = sorted(scored.collect(), key=lambda r: r["cell"])
+    assert np.abs([r["pcs"].toArray() for r in rows_]) == pytest.approx(np.abs(u[:, :2] * d[:2]), abs=1e-9)
+    table = expression.loadings(pc, variance, ("g0", "g1", "g2", "g3"), spark)
+    assert table.count() == 8 and table.filter("pc = 1").agg(F.sum(F.col("loading") * F.col("loading"))).first()[0] == pytest.approx(1)
+    got = {r["cell"]: r["cluster"] for r in expression.sc_cluster(scored, "pcs", 3).collect()}
+    assert [len({got[i] for i in range(30 * k, 30 * k + 30)}) for k in range(3)] == [1, 1, 1] and len(set(got.values())) == 3
+
+
+def test_variable_genes_against_a_fit(spark):
+    r = np.random.RandomState(5)
+    counts = r.poisson(r.gamma(1.0, 4.0, 25)[None] * r.gamma(2.0, 0.5, (80, 25)))
+    df = spark.createDataFrame([(i, f"g{j}", int(c)) for (i, j), c in np.ndenumerate(counts) if c], "cell int, gene string, cnt long")
+    mean, var = counts.mean(0), counts.var(0, ddof=1)
+    fit = np.polyfit(np.log10(mean), np.log10(var), 2)
+    want = dict(zip((f"g{j}" for j in range(25)), var / 10 ** np.polyval(fit, np.log10(mean)), strict=True))
+    got = expression.sc_hvg(df, 10).collect()
+    assert [x["gene"] for x in got] == sorted(want, key=lambda g: -want[g])[:10]
+    assert all(x["std_var"] == pytest.approx(want[x["gene"]], rel=1e-4) for x in got)
+
+
+def test_differential_test_against_a_loop(spark):
+    r = random.Random(9)
+    data = [(f"g{j}", f"S{k}", r.randrange(1, 40) * (3 if j % 3 == 0 and k > 2 else 1)) for j in range(12) for k in range(6) if r.random() < 0.9]
+    df = spark.createDataFrame(data, "gene string, sample string, cnt long")
+    size = {s: sum(c for _, t, c in data if t == s) for _, s, _ in data}
+
+    def loglik(rows_):
+        rate = sum(c for _, c in rows_) / sum(size[s] for s, _ in rows_)
+        return sum(c * math.log(rate * size[s] / (rate * size[s] + 10)) + 10 * math.log(10 / (rate * size[s] + 10)) for s, c in rows_)
+
+    for row in expression.diff_test(df, ("S0", "S1", "S2"), ("S3", "S4", "S5")).collect():
+        own = [(s, c) for g, s, c in data if g == row["gene"]]
+        a, b = [x for x in own if x[0] < "S3"], [x for x in own if x[0] >= "S3"]
+        lr = 2 * (loglik(a) + loglik(b) - loglik(own)) if a and b else 0.0
+        assert row["p"] == pytest.approx(math.erfc(math.sqrt(max(lr, 0) / 2)), rel=1e-6)
+        mean = [sum(c * 1e6 / size[s] for s, c in x) / 3 for x in (a, b)]
+        assert row["logfc"] == pytest.approx(math.log2((mean[1] + 0.5) / (mean[0] + 0.5)))
+
+
+def test_random_sequences_are_distinct(spark):
+    names = spark.range(300).select(F.col("id").cast("string").alias("name"))
+    got = [r["seq"] for r in enrichment.random_seqs(names, 40, 3).collect()]
+    assert len(set(got)) == 300 and all(len(x) == 40 and set(x) <= set("ACGT") for x in got)
+    few = [r["seq"] for r in enrichment.random_seqs(names, 4, 3).collect()]
+    assert len(few) == len(set(few)) > 100
+
+
+def test_inverted_repeats_keep_to_their_filters(spark):
+    rows_ = [("a", "b", 90.0, 200, 50, 250, 250), ("a", "c", 90.0, 200, 60, 250, 400), ("b", "d", 80.0, 200, 90, 250, 250), ("e", "e", 99.0, 200, 40, 220, 220), ("d", "b", 85.0, 180, 30, 260, 250), ("f", "g", 99.0, 179, 99, 200, 200), ("h", "i", 99.0, 190, 99, 280, 300)]
+    df = spark.createDataFrame(rows_, "a string, b string, pident double, length long, bitscore long, alen long, blen long")
+    assert rows(loci.inverted_repeats(df).select("a", "b")) == [("a", "c"), ("d", "b"), ("e", "e")]
+    assert rows(loci.inverted_repeats(df, foldback=True).select("a", "b")) == [("e", "e")]
