@@ -267,17 +267,31 @@ def sc_markers(values: DataFrame, clusters: DataFrame, least_pct: float = 0.1, l
 
     (cluster, gene, pct1, pct2, logfc, auc, z, p), for positive genes only. values: cell, gene, v > 0; clusters: cell, cluster.
     """
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n1"))
-    total = clusters.agg(F.count("*").alias("n"))
+    return _markers(values, clusters.withColumn("scope", F.lit("")), least_pct, least_fc).drop("scope")
+
+
+def sc_markers_pairwise(values: DataFrame, clusters: DataFrame, least_pct: float = 0.1, least_fc: float = 0.1) -> DataFrame:
+    """S18 within each pair of clusters: (cluster, other, and what sc_markers gives). A cell takes part in as many pairs as there are other clusters."""
+    c = clusters.select("cluster").distinct()  # a few tens
+    pairs = c.join(c.withColumnRenamed("cluster", "other"), F.col("cluster") != F.col("other")).select(F.col("cluster").alias("c"), F.least("cluster", "other").alias("a"), F.greatest("cluster", "other").alias("b"))
+    scoped = clusters.join(pairs, F.col("cluster") == F.col("c")).select("cell", "cluster", F.struct("a", "b").alias("scope"))
+    out = _markers(values, scoped, least_pct, least_fc)
+    return out.select("cluster", F.when(F.col("cluster") == F.col("scope.a"), F.col("scope.b")).otherwise(F.col("scope.a")).alias("other"), *[x for x in out.columns if x not in ("scope", "cluster")])
+
+
+def _markers(values: DataFrame, clusters: DataFrame, least_pct: float, least_fc: float) -> DataFrame:
+    """Markers within each scope of (cell, cluster, scope)."""
+    sizes = clusters.groupBy("scope", "cluster").agg(F.count("*").alias("n1"))
+    total = clusters.groupBy("scope").agg(F.count("*").alias("n"))  # one row per scope
     x = values.filter("v > 0").join(clusters, "cell")
-    per = x.groupBy(F.col("gene").alias("pg"), F.col("v").alias("pv")).agg(F.count("*").alias("k"))
-    w = Window.partitionBy("pg")
+    per = x.groupBy(F.col("scope").alias("ps"), F.col("gene").alias("pg"), F.col("v").alias("pv")).agg(F.count("*").alias("k"))
+    w = Window.partitionBy("ps", "pg")
     per = per.withColumn("upto", F.sum("k").over(w.orderBy("pv"))).withColumn("nz", F.sum("k").over(w)).withColumn("ties", F.sum(F.pow("k", 3) - F.col("k")).over(w))
-    x = x.join(per, (F.col("gene") == F.col("pg")) & (F.col("v") == F.col("pv"))).crossJoin(F.broadcast(total))  # one row
+    x = x.join(per, (F.col("scope") == F.col("ps")) & (F.col("gene") == F.col("pg")) & (F.col("v") == F.col("pv"))).drop("ps", "pg", "pv").join(total, "scope")
     x = x.withColumn("rk", F.col("n") - F.col("nz") + F.col("upto") - (F.col("k") - 1) / 2)
-    g = x.groupBy("cluster", "gene").agg(F.sum("rk").alias("rs"), F.count("*").alias("k1"), F.sum(F.expm1("v")).alias("s1"), F.first("nz").alias("nz"), F.first("n").alias("n"), F.first("ties").alias("ties"))
-    whole = x.groupBy(F.col("gene").alias("wg")).agg(F.sum(F.expm1("v")).alias("s"))
-    g = g.join(sizes, "cluster").join(whole, F.col("gene") == F.col("wg")).withColumn("n2", F.col("n") - F.col("n1"))
+    g = x.groupBy("scope", "cluster", "gene").agg(F.sum("rk").alias("rs"), F.count("*").alias("k1"), F.sum(F.expm1("v")).alias("s1"), F.first("nz").alias("nz"), F.first("n").alias("n"), F.first("ties").alias("ties"))
+    whole = x.groupBy("scope", "gene").agg(F.sum(F.expm1("v")).alias("s"))
+    g = g.join(sizes, ["scope", "cluster"]).join(whole, ["scope", "gene"]).withColumn("n2", F.col("n") - F.col("n1"))
     zeros = F.col("n") - F.col("nz")
     rs = F.col("rs") + (F.col("n1") - F.col("k1")) * (zeros + 1) / 2
     u = rs - F.col("n1") * (F.col("n1") + 1) / 2
@@ -287,7 +301,7 @@ def sc_markers(values: DataFrame, clusters: DataFrame, least_pct: float = 0.1, l
     z = (F.abs(u - F.col("n1") * F.col("n2") / 2.0) - 0.5) / sd
     g = g.withColumn("z", z).withColumn("pct1", F.col("k1") / F.col("n1")).withColumn("pct2", (F.col("nz") - F.col("k1")) / F.col("n2"))
     g = g.withColumn("logfc", F.log2(F.col("s1") / F.col("n1") + 1) - F.log2((F.col("s") - F.col("s1")) / F.col("n2") + 1))
-    return g.filter((F.greatest("pct1", "pct2") >= least_pct) & (F.col("logfc") >= least_fc)).select("cluster", "gene", "pct1", "pct2", "logfc", "auc", "z", normal_tail(F.col("z")).alias("p"))
+    return g.filter((F.greatest("pct1", "pct2") >= least_pct) & (F.col("logfc") >= least_fc)).select("scope", "cluster", "gene", "pct1", "pct2", "logfc", "auc", "z", normal_tail(F.col("z")).alias("p"))
 
 
 # The coefficients of the published approximation of the complementary error function, from the constant term on.

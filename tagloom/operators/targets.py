@@ -152,6 +152,25 @@ def rebuild_alignment(df: DataFrame) -> DataFrame:
     return df.withColumn("x", F.aggregate(steps, start, step)).select("id", F.col("x.m").alias("mir"), F.col("x.t").alias("tar"))
 
 
+def target_from_md(df: DataFrame) -> DataFrame:
+    """P18. (id, seq, cigar, target) from (id, seq, cigar, md): the part of the reference that a read covers. In the MD tag a number copies so many
+    bases of the read, which inserted ones are no part of, a letter is the reference's at a mismatch, and ^ begins deleted ones."""
+    steps = F.zip_with(F.regexp_extract_all("cigar", F.lit(r"(\d+)[MIDX=]"), F.lit(1)), F.regexp_extract_all("cigar", F.lit(r"\d+([MIDX=])"), F.lit(1)), lambda n, o: F.struct(n.cast("int").alias("n"), o.alias("o")))
+    plain = F.aggregate(
+        steps, F.struct(F.lit("").alias("s"), F.lit(1).alias("i")),
+        lambda a, s: F.struct(F.concat(a["s"], F.when(s["o"].isin("M", "X", "="), F.substr("seq", a["i"], s["n"])).otherwise("")).alias("s"), (a["i"] + F.when(s["o"] != "D", s["n"]).otherwise(0)).alias("i")),
+    )["s"]
+    parts = F.regexp_extract_all("md", F.lit(r"(\d+|\^[A-Z]+|[A-Z])"), F.lit(1))
+
+    def step(a: Column, x: Column) -> Column:
+        n = F.coalesce(x.try_cast("int"), F.lit(0))
+        own = F.when(x.startswith("^"), F.substr(x, F.lit(2))).when(x.rlike("^[A-Z]"), x).otherwise(F.substr("__plain", a["i"], n))
+        return F.struct(F.concat(a["t"], own).alias("t"), (a["i"] + F.when(x.startswith("^"), 0).when(x.rlike("^[A-Z]"), 1).otherwise(n)).alias("i"))
+
+    start = F.struct(F.lit("").alias("t"), F.lit(1).alias("i"))
+    return df.withColumn("__plain", plain).select("id", "seq", "cigar", F.aggregate(parts, start, step)["t"].alias("target"))
+
+
 def filter_pare(df: DataFrame, most: float, least: float, ratio: float, column: str = "vals") -> DataFrame:
     """P21. Rows of score up to most whose small-window sum reaches least and ratio to the large sum; columns alternate small, large."""
     part = lambda odd: F.aggregate(F.filter(column, lambda x, i: i % 2 == odd), F.lit(0.0), lambda a, x: a + x)

@@ -255,19 +255,30 @@ def s17(v: Views) -> DataFrame:
     return ex.sc_cluster(points, "pcs", 4).select("cell", "cluster")
 
 
-_S18 = """x AS (SELECT *, ln(1 + 10000.0::DOUBLE*cnt/sum(cnt) OVER (PARTITION BY cell)) AS v FROM cell), cl AS (SELECT DISTINCT cell, cell % 3 AS cluster FROM cell), ge AS (SELECT DISTINCT gene FROM x),
- f AS (SELECT ge.gene, cl.cell, cl.cluster, coalesce(x.v, 0) AS v FROM ge CROSS JOIN cl LEFT JOIN x ON x.gene=ge.gene AND x.cell=cl.cell),
- r AS (SELECT *, (rank() OVER (PARTITION BY gene ORDER BY v) + (count(*) OVER (PARTITION BY gene, v) - 1)/2.0)::DOUBLE AS rk, count(*) OVER (PARTITION BY gene) AS n FROM f),
- t AS (SELECT gene, sum(exp(v)-1) AS s, count(*) FILTER (v>0) AS nz FROM f GROUP BY 1),
- ti AS (SELECT gene, sum(k*k*k-k)::DOUBLE AS ties FROM (SELECT gene, count(*)::DOUBLE AS k FROM f GROUP BY gene, v) GROUP BY 1),
- g AS (SELECT cluster, gene, count(*) AS n1, max(n) AS n, sum(rk) AS rs, count(*) FILTER (v>0) AS k1, sum(exp(v)-1) AS s1 FROM r GROUP BY 1, 2)
- SELECT cluster, gene, k1::DOUBLE/n1 AS pct1, (nz-k1)::DOUBLE/(n-n1) AS pct2, round(log2(s1/n1+1)-log2((s-s1)/(n-n1)+1), 6) AS logfc, round((rs-n1*(n1+1)/2.0)/(n1*(n-n1)), 6) AS auc, round((abs(rs-n1*(n1+1)/2.0-n1*(n-n1)/2.0)-0.5)/sqrt(n1*(n-n1)/12.0::DOUBLE*((n+1)-ties/(n*(n-1)::DOUBLE))), 5) AS z FROM g JOIN t USING (gene) JOIN ti USING (gene)
+def _s18(pairs: bool) -> str:
+    scope = "cl AS (SELECT cell, cluster, least(cluster, other) || '|' || greatest(cluster, other) AS scope FROM c0 JOIN (SELECT unnest([0,1,2]) AS other) ON other<>cluster)" if pairs else "cl AS (SELECT *, '' AS scope FROM c0)"
+    return f"""x AS (SELECT *, ln(1 + 10000.0::DOUBLE*cnt/sum(cnt) OVER (PARTITION BY cell)) AS v FROM cell), c0 AS (SELECT DISTINCT cell, cell % 3 AS cluster FROM cell), {scope}, ge AS (SELECT DISTINCT gene FROM x),
+ f AS (SELECT cl.scope, ge.gene, cl.cell, cl.cluster, coalesce(x.v, 0) AS v FROM ge CROSS JOIN cl LEFT JOIN x ON x.gene=ge.gene AND x.cell=cl.cell),
+ r AS (SELECT *, (rank() OVER (PARTITION BY scope, gene ORDER BY v) + (count(*) OVER (PARTITION BY scope, gene, v) - 1)/2.0)::DOUBLE AS rk, count(*) OVER (PARTITION BY scope, gene) AS n FROM f),
+ t AS (SELECT scope, gene, sum(exp(v)-1) AS s, count(*) FILTER (v>0) AS nz FROM f GROUP BY 1, 2), ti AS (SELECT scope, gene, sum(k*k*k-k)::DOUBLE AS ties FROM (SELECT scope, gene, count(*)::DOUBLE AS k FROM f GROUP BY scope, gene, v) GROUP BY 1, 2),
+ g AS (SELECT scope, cluster, gene, count(*) AS n1, max(n) AS n, sum(rk) AS rs, count(*) FILTER (v>0) AS k1, sum(exp(v)-1) AS s1 FROM r GROUP BY 1, 2, 3)
+ SELECT cluster, {"CASE WHEN CAST(cluster AS STRING)=split_part(scope, '|', 1) THEN split_part(scope, '|', 2) ELSE split_part(scope, '|', 1) END::BIGINT AS other, " if pairs else ""}gene, k1::DOUBLE/n1 AS pct1, (nz-k1)::DOUBLE/(n-n1) AS pct2, round(log2(s1/n1+1)-log2((s-s1)/(n-n1)+1), 6) AS logfc, round((rs-n1*(n1+1)/2.0)/(n1*(n-n1)), 6) AS auc,
+ round((abs(rs-n1*(n1+1)/2.0-n1*(n-n1)/2.0)-0.5)/sqrt(n1*(n-n1)/12.0::DOUBLE*((n+1)-ties/(n*(n-1)::DOUBLE))), 5) AS z FROM g JOIN t USING (scope, gene) JOIN ti USING (scope, gene)
  WHERE k1 > 0 AND greatest(k1::DOUBLE/n1, (nz-k1)::DOUBLE/(n-n1)) >= 0.1 AND log2(s1/n1+1)-log2((s-s1)/(n-n1)+1) >= 0.1"""
 
 
-@query("S18", "cell", sql=f"SELECT *, {_tail('z')} AS p FROM (WITH {_S18})")
+def _rounded(markers: DataFrame) -> DataFrame:
+    return markers.withColumns({"logfc": F.round("logfc", 6), "auc": F.round("auc", 6), "z": F.round("z", 5)}).withColumn("p", F.round(ex.normal_tail(F.col("z")), 5))
+
+
+@query("S18", "cell", sql=f"SELECT *, {_tail('z')} AS p FROM (WITH {_s18(False)})")
 def s18(v: Views) -> DataFrame:
-    return ex.sc_markers(ex.sc_lognorm(v.cell), _clusters(v)).select("cluster", "gene", "pct1", "pct2", F.round("logfc", 6).alias("logfc"), F.round("auc", 6).alias("auc"), F.round("z", 5).alias("z")).withColumn("p", F.round(ex.normal_tail(F.col("z")), 5))
+    return _rounded(ex.sc_markers(ex.sc_lognorm(v.cell), _clusters(v)))
+
+
+@query("S18_pairs", "cell", sql=f"SELECT *, {_tail('z')} AS p FROM (WITH {_s18(True)})")
+def s18_pairs(v: Views) -> DataFrame:
+    return _rounded(ex.sc_markers_pairwise(ex.sc_lognorm(v.cell), _clusters(v)))
 
 
 @query("S19", "expr", sql="WITH q AS (SELECT sample, quantile_cont(cnt, 0.25) AS q1, quantile_cont(cnt, 0.5) AS med, quantile_cont(cnt, 0.75) AS q3, count(*) AS n FROM expr GROUP BY 1) SELECT e.sample, n, q1, med, q3, min(cnt) AS low, max(cnt) AS high FROM expr e JOIN q USING (sample) WHERE cnt BETWEEN q1-1.5*(q3-q1) AND q3+1.5*(q3-q1) GROUP BY 1, 2, 3, 4, 5")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators import annotation as an
@@ -71,6 +71,22 @@ def io5(v: Views) -> DataFrame:
     return fm.read_gtf(v.spark, _text(v.exon.select(row), v))
 
 
+_GTF = {"ensembl": "E", "rocket": "R", "pasa": "P", "trinity": "T", "pacbio": "P"}
+
+
+@query("IO5_dialects", "exon", sql=" UNION ALL ".join(f"SELECT '{d}' AS dialect, 'g' || trans AS gene, trans, xstart, '{f}' AS flag FROM exon" for d, f in _GTF.items()))
+def io5_dialects(v: Views) -> DataFrame:
+    """The same exons in the attributes of each dialect."""
+    quoted = lambda gene: F.concat(F.lit('gene_id "'), gene, F.lit('"; transcript_id "'), "trans", F.lit('";'))
+    gene = F.concat(F.lit("g"), "trans")
+    attrs = {d: quoted(gene) for d in _GTF} | {"pacbio": quoted(F.concat(gene, F.lit(".7"))), "trinity": F.concat(F.lit("ID="), "trans", F.lit(".p1;Name="), gene, F.lit("|x;Target=1"))}
+    parts = []
+    for d, a in attrs.items():
+        row = _tab("chr", "=src", "=cDNA_match" if d == "trinity" else "=exon", "xstart", "xend", "=.", F.translate("strand", "wc", "+-"), "=.", a)
+        parts.append(fm.read_gtf(v.spark, _text(v.exon.select(row), v), d).select(F.lit(d).alias("dialect"), "gene", "trans", "xstart", "flag"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
+
+
 def _sam(v: Views) -> DataFrame:
     flag = F.when(F.col("abun") % 5 == 0, 4).when(F.col("strand") == "c", 16).when(F.col("abun") % 7 == 0, 256).otherwise(0)
     row = _tab("tag", flag, "chr", "pos", "abun", F.concat(F.col("len").cast("string"), F.lit("M")), "=*", F.lit(0), F.lit(0), "tag", "=*", "=NM:i:0")
@@ -240,6 +256,20 @@ def io23(v: Views) -> DataFrame:
     return fm.read_counts(v.spark, _csv(wide, v))
 
 
+@query("IO23_10x", "cell", sql="SELECT CAST(cell AS STRING) AS cell, gene, cnt FROM cell")
+def io23_10x(v: Views) -> DataFrame:
+    """A sparse matrix with its files of names, numbered in their order."""
+    c = v.cell
+    number = lambda col: c.select(F.col(col).alias("n")).distinct().withColumn("no", F.row_number().over(Window.orderBy("n")))  # noqa: E731  as many as names
+    genes, cells = number("gene"), number("cell")
+    body = c.join(genes, F.col("gene") == genes["n"]).select("cell", F.col("no").alias("i"), "cnt").join(cells, F.col("cell") == cells["n"]).select("i", F.col("no").alias("j"), "cnt")
+    sizes = body.agg(F.concat_ws(" ", F.max("i"), F.max("j"), F.count("*")).alias("value"))
+    head = v.spark.range(1).select(F.lit("%%MatrixMarket matrix coordinate integer general").alias("value"))
+    names = lambda df: _text(df.coalesce(1).sortWithinPartitions("no").select(F.col("n").cast("string").alias("value")), v)
+    m = _text(head.unionByName(sizes).unionByName(body.select(F.concat_ws(" ", "i", "j", "cnt").alias("value"))), v)
+    return fm.read_10x(v.spark, m, names(genes), names(cells))
+
+
 @query("IO24", "tag_count", sql="SELECT lib, tag, CAST(abun AS STRING) AS abun FROM tag_count")
 def io24(v: Views) -> DataFrame:
     return fm.union_files(v.spark, [_csv(v.tag_count.filter(F.col("lib") == x), v) for x in LIBS])

@@ -104,6 +104,13 @@ def p18(v: Views) -> DataFrame:
     return tr.rebuild_alignment(df)
 
 
+@query("P18_md", "seqs", sql="WITH s AS (SELECT name, seq, translate(substr(seq,3,1),'ACGT','CGTA') AS tb, substr(seq,22,1) IN ('A','C') AS gapped FROM seqs WHERE seq IS NOT NULL) SELECT name AS id, CASE WHEN gapped THEN substr(seq,1,12) || '--' || substr(seq,13,9) ELSE substr(seq,1,21) END AS mir, CASE WHEN gapped THEN substr(seq,1,2) || tb || substr(seq,4,2) || '-' || substr(seq,7,6) || 'AC' || substr(seq,13,9) ELSE substr(seq,1,2) || tb || substr(seq,4,17) || 'N' END AS tar FROM s")
+def p18_md(v: Views) -> DataFrame:
+    gapped, tb = F.substring("seq", 22, 1).isin("A", "C"), F.translate(F.substring("seq", 3, 1), "ACGT", "CGTA")
+    df = v.seqs.filter("seq IS NOT NULL").select(F.col("name").alias("id"), F.substring("seq", 1, 21).alias("seq"), F.when(gapped, "5M1I6M2D9M").otherwise("21M").alias("cigar"), F.when(gapped, F.concat(F.lit("2"), tb, F.lit("8^AC9"))).otherwise(F.concat(F.lit("2"), tb, F.lit("17N0"))).alias("md"))
+    return tr.rebuild_alignment(tr.target_from_md(df))
+
+
 @query("P21", "tag_position", sql="WITH s AS (SELECT tag, count(*) AS score, sum(CASE WHEN lib IN ('L0','L2') THEN abun ELSE 0 END)::DOUBLE AS small, sum(CASE WHEN lib IN ('L1','L3') THEN abun ELSE 0 END)::DOUBLE AS large FROM tag_position GROUP BY 1) SELECT * FROM s WHERE score <= 6 AND small >= 20 AND small >= 0.5*large")
 def p21(v: Views) -> DataFrame:
     of = lambda x: F.sum(F.when(F.col("lib") == x, F.col("abun")).otherwise(0)).cast("double")

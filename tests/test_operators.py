@@ -459,3 +459,19 @@ def test_inverted_repeats_keep_to_their_filters(spark):
     df = spark.createDataFrame(rows_, "a string, b string, pident double, length long, bitscore long, alen long, blen long")
     assert rows(loci.inverted_repeats(df).select("a", "b")) == [("a", "c"), ("d", "b"), ("e", "e")]
     assert rows(loci.inverted_repeats(df, foldback=True).select("a", "b")) == [("e", "e")]
+
+
+def test_streams_sum_windows_behind_a_watermark(spark, tmp_path):
+    from tagloom.streaming import counts
+
+    schema = "ts timestamp, lib string, abun long"
+    feed = [[("2024-01-01 00:00:10", "a", 2), ("2024-01-01 00:00:50", "a", 3), ("2024-01-01 00:01:10", "b", 5)], [("2024-01-01 00:09:00", "a", 7)], [("2024-01-01 00:00:20", "a", 100), ("2024-01-01 00:20:00", "a", 1)], [("2024-01-01 00:30:00", "a", 1)]]
+    src = tmp_path / "in"
+    src.mkdir()
+    for k, batch in enumerate(feed):
+        (src / f"{k}.csv").write_text("".join(f"{a},{b},{c}\n" for a, b, c in batch))
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).csv(str(src))
+    q = counts.stream_windowed(events, "ts", "1 minute", "2 minutes").writeStream.format("memory").queryName("windowed").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(str(r["start"])[11:16], r["lib"]): r["abun"] for r in spark.table("windowed").collect()}
+    assert got[("00:00", "a")] == 5 and got[("00:01", "b")] == 5 and got[("00:09", "a")] == 7
