@@ -98,7 +98,7 @@ class Model:
     back: np.ndarray  # 2 x histories, weight of the unigram after each
     pairs: np.ndarray  # sorted keys h << BITS | w
     pair_p: np.ndarray  # 2 x pairs, discounted part
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
+    weights: tuple[float, ...] = (0.0, 0.0, 0.0)
 
     def unigram(self, words: np.ndarray) -> np.ndarray:
         """2 x words, interpolated with the shared order."""
@@ -120,12 +120,11 @@ class Model:
         return np.log(p[1]) - np.log(p[0])
 
     def features(self, words: np.ndarray) -> tuple[float, ...]:
-        """The length-normalised difference, no word counting for more than MOST; the logarithm of the part of it above MARGIN,
-        which the word-by-word noise of ordinary texts rarely reaches; and the same part not normalised."""
+        """Two values for each word on average: the difference, no word counting for more than MOST, and the logarithm of the part of it above
+        MARGIN, which the word-by-word noise of ordinary texts rarely reaches."""
         d = np.clip(self.difference(words), -MOST, MOST)
         n = max(len(d), 1)
-        above = float(np.maximum(d - MARGIN, 0.0).sum())
-        return float(d.sum()) / n, float(np.log(above / n + 1e-3)), float(np.log1p(above))
+        return float(d.sum()) / n, float(np.log(float(np.maximum(d - MARGIN, 0.0).sum()) / n + 1e-3))
 
 
 def discount(n1: int, n2: int) -> float:
@@ -286,12 +285,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 8000, fewest: int = 10
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([shared.value.features(np.asarray(w.values, np.int64) if w.is_valid else np.empty(0, np.int64)) for w in b.column(1)]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, k]) for k in range(3))], ["toxic", "x0", "x1", "x2"])
+            x = np.array([shared.value.features(np.asarray(w.values, np.int64) if w.is_valid else np.empty(0, np.int64)) for w in b.column(1)]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, k]) for k in range(2))], ["toxic", "x0", "x1"])
 
-    points = held.mapInArrow(measured, "toxic int, x0 double, x1 double, x2 double").toPandas().sort_values(["toxic", "x0", "x1", "x2"])
+    points = held.mapInArrow(measured, "toxic int, x0 double, x1 double").toPandas().sort_values(["toxic", "x0", "x1"])
     shared.destroy()
-    model.weights = fit_logistic(points[["x0", "x1", "x2"]].to_numpy(float).reshape(-1, 3), points["toxic"].to_numpy(float))
+    model.weights = fit_logistic(points[["x0", "x1"]].to_numpy(float).reshape(-1, 2), points["toxic"].to_numpy(float))
     if len(shares) == 2:  # the sample is balanced, the labels are not
         model.weights = (*model.weights[:-1], model.weights[-1] + float(np.log(shares[1] / shares[0])))
     return model
@@ -307,7 +306,7 @@ def apply_model(docs: DataFrame, model: Model, added: tuple[str, str] = ("__scor
         m = shared.value
         w = np.array(m.weights)
         for b in batches:
-            x = np.array([m.features(words_of(t)) for t in b.column(at).to_pylist()]).reshape(-1, 3)
+            x = np.array([m.features(words_of(t)) for t in b.column(at).to_pylist()]).reshape(-1, 2)
             score = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -700, 700)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*names, *added])
 
