@@ -169,8 +169,9 @@ def nearest_neighbours(
     members = checkpoint(members)
     reps = members.select("rep", "v")
     ranked, total = _ranked(orderings(reps, dims, curves, target, _box(reps, dims, curves, target, seed), seed), curves)
-    asked = own.filter(F.col("id") % every == 0)
-    queries = checkpoint(asked.join(members.select(F.col("v").alias("w"), "rep"), F.col("v") == F.col("w")).groupBy(F.col("rep").alias("qrep")).agg(F.first("v").alias("qv"), F.collect_list("id").alias("qids")))
+    asked = own.filter(F.col("id") % every == 0).join(members.select(F.col("v").alias("w"), "rep"), F.col("v") == F.col("w"))
+    asked = checkpoint(asked.select(F.col("id").alias("query_id"), F.col("rep").alias("qrep")))
+    queries = checkpoint(reps.join(asked.select(F.col("qrep").alias("rep")).distinct(), "rep").select(F.col("rep").alias("qrep"), F.col("v").alias("qv")))
     w = _fit_window(reps, ranked, queries, total, k, aim, pilot, seed)
     # the queries that reach into a block, on average, in parts of a bounded number; the block goes to each part
     asked_for = queries.count() * (2 * w + block) / max(total, 1)
@@ -195,8 +196,8 @@ def nearest_neighbours(
     found = reach.groupBy("c", "b", "p").cogroup(placed.groupBy("xc", "xb", "xp")).applyInPandas(search, "qrep long, rep long, d double")
     best = found.groupBy("qrep", "rep").agg(F.min("d").alias("d"))
     best = best.withColumn("nth", F.row_number().over(Window.partitionBy("qrep").orderBy("d", "rep"))).filter(F.col("nth") <= k + 1).drop("nth")
-    full = best.join(members.select("rep", "ids"), "rep").join(queries.select(F.col("qrep").alias("r"), "qids"), F.col("qrep") == F.col("r"))
-    full = full.select(F.explode("qids").alias("query_id"), "ids", "d").select("query_id", F.explode("ids").alias("vec_id"), F.col("d").alias("score")).filter("query_id <> vec_id")
+    full = best.join(members.select("rep", "ids"), "rep").join(asked.withColumnRenamed("qrep", "r"), F.col("qrep") == F.col("r"))
+    full = full.select("query_id", F.explode("ids").alias("vec_id"), F.col("d").alias("score")).filter("query_id <> vec_id")
     full = full.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return full.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
