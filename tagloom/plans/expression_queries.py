@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tagloom.operators import enrichment as en
 from tagloom.operators import expression as ex
 from tagloom.plans.registry import Views, query
+from tagloom.runtime import checkpoint
 
 SAMPLES = tuple(f"S{k}" for k in range(6))
 
@@ -155,12 +156,12 @@ def s10(v: Views) -> DataFrame:
 
 
 def _tail(z: str) -> str:
-    """The operator's approximation of the two-sided normal tail, rounded."""
+    """The operator's approximation of the two-sided normal tail."""
     x = f"(greatest({z}, 0) / sqrt(2.0::DOUBLE))"
     t, poly = f"(1 / (1 + 0.5::DOUBLE * {x}))", f"{ex.ERFC[-1]}::DOUBLE"
     for c in ex.ERFC[-2::-1]:
         poly = f"({poly} * {t} + ({c}::DOUBLE))"
-    return f"round(least({t} * exp({poly} - {x} * {x}), 1.0::DOUBLE), 5)"
+    return f"least({t} * exp({poly} - {x} * {x}), 1.0::DOUBLE)"
 
 
 _LIK = "sum(cnt * ln(greatest({r}*n, 1e-12)/(greatest({r}*n, 1e-12)+10)) + 10 * ln(10/(greatest({r}*n, 1e-12)+10)))"
@@ -175,10 +176,10 @@ def _s11() -> str:
  h AS (SELECT gene, logfc, {_tail("z")} AS p FROM g), k AS (SELECT p, count(*) AS k FROM h GROUP BY 1), w AS (SELECT p, p * sum(k) OVER () / sum(k) OVER (ORDER BY p) AS raw FROM k), q AS (SELECT p, least(min(raw) OVER (ORDER BY p DESC), 1.0) AS fdr FROM w)"""
 
 
-@query("S11", "expr", sql=f"WITH {_s11()} SELECT gene, round(logfc, 6) AS logfc, h.p, round(fdr, 5) AS fdr, CASE WHEN round(logfc, 6) >= 1 THEN 'up' WHEN round(logfc, 6) <= -1 THEN 'down' ELSE 'unchanged' END AS change FROM h JOIN q ON q.p=h.p")
+@query("S11", "expr", sql=f"WITH {_s11()} SELECT gene, round(logfc, 6) AS logfc, round(h.p, 5) AS p, round(fdr, 5) AS fdr, CASE WHEN round(logfc, 6) >= 1 THEN 'up' WHEN round(logfc, 6) <= -1 THEN 'down' ELSE 'unchanged' END AS change FROM h JOIN q ON q.p=h.p")
 def s11(v: Views) -> DataFrame:
-    t = ex.diff_test(v.expr, SAMPLES[:3], SAMPLES[3:]).select("gene", F.round("logfc", 6).alias("logfc"), F.round("p", 5).alias("p"))
-    return ex.bh_adjust(t).withColumn("fdr", F.round("fdr", 5)).withColumn("change", ex.classify_fc("logfc"))
+    t = checkpoint(ex.diff_test(v.expr, SAMPLES[:3], SAMPLES[3:]).withColumn("logfc", F.round("logfc", 6)))  # joined by p: computed once
+    return ex.bh_adjust(t).withColumns({"p": F.round("p", 5), "fdr": F.round("fdr", 5)}).withColumn("change", ex.classify_fc("logfc"))
 
 
 @query("S9_by_expr", "expr", sql="WITH t AS (SELECT sample, sum(cnt)::DOUBLE AS n FROM expr GROUP BY 1), m AS (SELECT median(n) AS mid FROM t), c AS (SELECT e.*, cnt*1e6::DOUBLE/n AS cpm FROM expr e JOIN t ON t.sample=e.sample), g AS (SELECT gene FROM c, m GROUP BY 1 HAVING count(*) FILTER (cpm >= 10*1e6/mid) >= 3 AND sum(cnt) >= 15), k AS (SELECT * FROM expr WHERE gene IN (SELECT gene FROM g)) SELECT *, cnt*1e6::DOUBLE/sum(cnt) OVER (PARTITION BY sample) AS cpm FROM k")
@@ -271,12 +272,12 @@ def _rounded(markers: DataFrame) -> DataFrame:
     return markers.withColumns({"logfc": F.round("logfc", 6), "auc": F.round("auc", 6), "z": F.round("z", 5)}).withColumn("p", F.round(ex.normal_tail(F.col("z")), 5))
 
 
-@query("S18", "cell", sql=f"SELECT *, {_tail('z')} AS p FROM (WITH {_s18(False)})")
+@query("S18", "cell", sql=f"SELECT *, round({_tail('z')}, 5) AS p FROM (WITH {_s18(False)})")
 def s18(v: Views) -> DataFrame:
     return _rounded(ex.sc_markers(ex.sc_lognorm(v.cell), _clusters(v)))
 
 
-@query("S18_pairs", "cell", sql=f"SELECT *, {_tail('z')} AS p FROM (WITH {_s18(True)})")
+@query("S18_pairs", "cell", sql=f"SELECT *, round({_tail('z')}, 5) AS p FROM (WITH {_s18(True)})")
 def s18_pairs(v: Views) -> DataFrame:
     return _rounded(ex.sc_markers_pairwise(ex.sc_lognorm(v.cell), _clusters(v)))
 
