@@ -41,9 +41,9 @@ def j2(v: Views) -> DataFrame:
     return tg.compare_libs(c.filter("lib = 'L0'").select("tag", "abun"), c.filter("lib = 'L1'").select("tag", "abun"))
 
 
-@query("J13", "tag_count", sql="SELECT DISTINCT tag, chr, strand, pos AS pstart, pos+len-1 AS pend FROM tag_position WHERE tag IN (SELECT c.tag FROM tag_count c WHERE c.lib='L2')")
+@query("J13", "tag_count", sql="SELECT DISTINCT tag, chr, strand, pos AS pstart, pos+len-1 AS pend FROM tag_position WHERE tag IN (SELECT c.tag FROM tag_count c)")
 def j13(v: Views) -> DataFrame:
-    return tg.tags_to_positions(v.tag_count.filter("lib = 'L2'"), v.tag_position)
+    return tg.tags_to_positions(v.tag_count, v.tag_position)
 
 
 @query("J14", "tag_count", sql="WITH t AS (SELECT DISTINCT tag FROM tag_count), x AS (SELECT t.tag, coalesce(a.abun,0) AS test, coalesce(b.abun,0) AS ctrl FROM t LEFT JOIN tag_count a ON a.tag=t.tag AND a.lib='L0' LEFT JOIN tag_count b ON b.tag=t.tag AND b.lib='L1') SELECT *, CASE WHEN ctrl>0 THEN test::DOUBLE/ctrl ELSE (test-ctrl)::DOUBLE END AS ratio FROM x")
@@ -126,9 +126,9 @@ def p6(v: Views) -> DataFrame:
     return tg.crop_tags(v.tag_count, 19, 20)
 
 
-@query("P7", "tag_count", sql="SELECT lib, tag, unnest(generate_series(1, abun))::INT AS copy FROM tag_count WHERE lib = 'L0'")
+@query("P7", "tag_count", sql="SELECT lib, tag, unnest(generate_series(1, abun))::INT AS copy FROM tag_count")
 def p7(v: Views) -> DataFrame:
-    return tg.expand_tags(v.tag_count.filter("lib = 'L0'"))
+    return tg.expand_tags(v.tag_count)
 
 
 @query("P9", "seqs", sql="SELECT name, '5p' AS \"end\", substr(seq,1,40) AS part FROM seqs UNION ALL SELECT name, '3p', substr(seq,41) FROM seqs")

@@ -12,7 +12,7 @@ from tagloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PART = "A1 A3 A5 A9 A11 A17 A22 A31 J1 J3 J6 J9 J10 J18 J19 J21 J23 J24 J28 J33 P1 P12 P16 P18 P20 P26 W6 W9 W14 W19 W21 W22 S3 S10 S12 S18 SO3 IO1 IO2 IO6 IO9 IO12 IO18 IO23".split()
+PART = "A1 A21 P11 P25 S4 S5 S11 IO5_dialects A3 A5 A9 A11 A17 A22 A31 J1 J3 J6 J9 J10 J18 J19 J21 J23 J24 J28 J33 P1 P12 P16 P18 P20 P26 W6 W9 W14 W19 W21 W22 S3 S10 S12 S18 SO3 IO1 IO2 IO6 IO9 IO12 IO18 IO23".split()
 ALL = sorted(catalog.oracle_sql())
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
