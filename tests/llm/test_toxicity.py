@@ -66,3 +66,48 @@ def test_distributions_sum_to_one(spark, rng):
     for c in (0, 1):
         mine = m.pairs >> toxicity.BITS == m.history[0]
         assert abs(m.pair_p[c][mine].sum() + m.back[c][0] * p[c] - 1) < 1e-3
+
+
+def test_probabilities_against_plain_loops(spark, rng):
+    """Counts, continuation counts, discounts and both interpolations, from dictionaries."""
+    texts = {c: [[rng.randrange(6 + 3 * c) for _ in range(rng.randint(2, 14))] for _ in range(12)] for c in (0, 1)}
+    pairs, holders = {}, {}
+    for c, docs in texts.items():
+        for w in docs:
+            for a, b in zip(w, w[1:]):  # noqa: B905
+                pairs[c, a, b] = pairs.get((c, a, b), 0) + 1
+            for x in set(w):
+                holders[c, x] = holders.get((c, x), 0) + 1
+    p = spark.createDataFrame([(*k, n) for k, n in pairs.items()], "cls int, h long, w long, n long")
+    d = spark.createDataFrame([(*k, n) for k, n in holders.items()], "cls int, w long, n long")
+    df = np.zeros(toxicity.BUCKETS, np.float32)
+    df[:9] = np.arange(9) + 1
+    fewest = 3
+    m = toxicity.fit_model(toxicity.class_counts(p, d, fewest), df)
+
+    def discount(counts):
+        n1, n2 = counts.count(1), counts.count(2)
+        return n1 / (n1 + 2 * n2) if n1 and n2 else 0.75
+
+    cont = {}
+    for c in (0, 1):
+        for w in {w for k, _, w in pairs if k == c}:
+            cont[c, w] = min(sum((k, x) == (c, w) for k, _, x in pairs), holders[c, w])
+    known = {w for _, w in cont if cont.get((0, w), 0) + cont.get((1, w), 0) >= fewest}
+    good = {(h, w) for _, h, w in pairs if {h, w} <= known and pairs.get((0, h, w), 0) + pairs.get((1, h, w), 0) >= fewest}
+
+    def prob(c, h, w):
+        own = {x: n for (k, x), n in cont.items() if k == c}
+        part = {x: max(own.get(x, 0) - discount(list(own.values())), 0) / sum(own.values()) for x in known}
+        uni = part.get(w, 0) + (1 - sum(part.values())) * (df[w] + 1) / (df.sum() + toxicity.BUCKETS)
+        if h is None:
+            return uni
+        times = {(a, b): n for (k, a, b), n in pairs.items() if k == c}
+        seen = sum(n for (a, _), n in times.items() if a == h)
+        two = {(a, b): max(times.get((a, b), 0) - discount(list(times.values())), 0) / max(seen, 1) for a, b in good if a == h}
+        return two.get((h, w), 0) + (max(1 - sum(two.values()), 1e-6)) * uni
+
+    for _ in range(40):
+        w = [rng.randrange(10) for _ in range(6)]
+        want = [np.log(prob(1, h, x)) - np.log(prob(0, h, x)) for h, x in zip([None, *w], w)]  # noqa: B905
+        assert np.allclose(m.difference(np.array(w)), want, atol=1e-5), w
