@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 import statistics
 
@@ -465,11 +466,12 @@ def test_streams_sum_windows_behind_a_watermark(spark, tmp_path):
     from tagloom.streaming import counts
 
     schema = "ts timestamp, lib string, abun long"
-    feed = [[("2024-01-01 00:00:10", "a", 2), ("2024-01-01 00:00:50", "a", 3), ("2024-01-01 00:01:10", "b", 5)], [("2024-01-01 00:09:00", "a", 7)], [("2024-01-01 00:00:20", "a", 100), ("2024-01-01 00:20:00", "a", 1)], [("2024-01-01 00:30:00", "a", 1)]]
+    feed = [[("2024-01-01 00:00:10", "a", 2), ("2024-01-01 00:00:50", "a", 3), ("2024-01-01 00:01:10", "b", 5)], [("2024-01-01 00:09:00", "a", 7)], [("2024-01-01 00:10:00", "b", 1)], [("2024-01-01 00:00:20", "a", 100), ("2024-01-01 00:20:00", "a", 1)], [("2024-01-01 00:30:00", "a", 1)]]
     src = tmp_path / "in"
     src.mkdir()
     for k, batch in enumerate(feed):
         (src / f"{k}.csv").write_text("".join(f"{a},{b},{c}\n" for a, b, c in batch))
+        os.utime(src / f"{k}.csv", (1_700_000_000 + 60 * k,) * 2)  # read in this order
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).csv(str(src))
     q = counts.stream_windowed(events, "ts", "1 minute", "2 minutes").writeStream.format("memory").queryName("windowed").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
