@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import ann, chat, mixing, neardup, quality, repeats, secrets, segment, tokencount, toxicity
+from tagloom.llm import ann, audit, chat, mixing, neardup, quality, repeats, secrets, segment, tokencount, toxicity
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -65,8 +65,12 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(audit.document_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_scan, op2_toxicity, op3_hilbert_neighbours, op4_sentencepiece, op5_minhash_neardup, op6_suffix_dedup, op7_chat_format, op8_token_counts, op9_quality_rules, op10_source_mix)
+    own = (op1_secret_scan, op2_toxicity, op3_hilbert_neighbours, op4_sentencepiece, op5_minhash_neardup, op6_suffix_dedup, op7_chat_format, op8_token_counts, op9_quality_rules, op10_source_mix, op13_filter_audit)
     return {f.__name__: f for f in own}
 
 
@@ -109,4 +113,31 @@ WITH d AS (
 SELECT k.doc_id, CAST(k.size AS BIGINT) AS size, p.source_size, p.target,
        CAST(k.size * (p.whole + CASE WHEN target - whole * source_size > 0 AND k.upto - k.size / 2.0::DOUBLE <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source"""
-    return {"op7_chat_format": chat_sql, "op10_source_mix": mix_sql}
+    audit_sql = """
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), f AS (
+  SELECT doc_id, part, CASE WHEN len(words) < 200 THEN 1 ELSE 0 END AS a, CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 1 ELSE 0 END AS b,
+         CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) THEN 1 ELSE 0 END AS c,
+         CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 1 ELSE 0 END AS d, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 1 ELSE 0 END AS e,
+         CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1 ELSE 0 END AS good,
+         CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 1 ELSE 0 END AS toxic
+  FROM d
+), m AS (
+  SELECT part, a, b, c, d, e, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL
+), l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), o AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM l p, l q, l r, l s, l t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+), steps AS (SELECT filter_order, CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS step FROM o), w AS (
+  SELECT m.*, filter_order, step, substr(filter_order, step, 1) AS filter,
+         (a = 1 AND contains(left(filter_order, step - 1), 'A')) OR (b = 1 AND contains(left(filter_order, step - 1), 'B')) OR (c = 1 AND contains(left(filter_order, step - 1), 'C'))
+         OR (d = 1 AND contains(left(filter_order, step - 1), 'D')) OR (e = 1 AND contains(left(filter_order, step - 1), 'E')) AS gone
+  FROM m, steps
+), v AS (SELECT *, CASE filter WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END = 1 AS fails FROM w), r AS (
+  SELECT part, filter_order, step, filter, CAST(sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END) AS BIGINT) AS removed,
+         CAST(sum(CASE WHEN gone AND fails THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN fails AND a + b + c + d + e = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+         CAST(sum(CASE WHEN NOT gone AND fails THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN NOT gone AND fails THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM v GROUP BY part, filter_order, step, filter
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r"""
+    return {"op7_chat_format": chat_sql, "op10_source_mix": mix_sql, "op13_filter_audit": audit_sql}
