@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import ann, audit, chat, mixing, neardup, quality, repeats, secrets, segment, spelling, tokencount, toxicity
+from tagloom.llm import ann, audit, chat, html_text, mixing, neardup, quality, repeats, secrets, segment, spelling, tokencount, toxicity
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -69,12 +69,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(spelling.count_words(table(spark, sf_dir, "documents"), drop_every=97))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(audit.document_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_scan, op2_toxicity, op3_hilbert_neighbours, op4_sentencepiece, op5_minhash_neardup, op6_suffix_dedup, op7_chat_format, op8_token_counts, op9_quality_rules, op10_source_mix, op11_spelling_variants, op13_filter_audit)
+    own = (op1_secret_scan, op2_toxicity, op3_hilbert_neighbours, op4_sentencepiece, op5_minhash_neardup, op6_suffix_dedup, op7_chat_format, op8_token_counts, op9_quality_rules, op10_source_mix, op11_spelling_variants, op12_html_extraction, op13_filter_audit)
     return {f.__name__: f for f in own}
 
 
