@@ -243,14 +243,14 @@ def intergenic(genes: DataFrame, least: int = 25, chroms: DataFrame | None = Non
     """
     m = number_islands(genes, ["chr", "strand"], "tstart", "tend", out="__i").groupBy("chr", "strand", "__i")
     m = m.agg(F.min("tstart").alias("mstart"), F.max("tend").alias("mend"), F.min(F.struct("tstart", "name"))["name"].alias("head"), F.max(F.struct("tend", "name"))["name"].alias("tail"))
-    # the next island has the next number; numbers are dense
-    after = m.select(F.col("chr").alias("ac"), F.col("strand").alias("as_"), (F.col("__i") - 1).alias("ai"), F.col("mstart").alias("next_start"), F.col("head").alias("next_head"))
-    both = m.join(after, (F.col("chr") == F.col("ac")) & (F.col("strand") == F.col("as_")) & (F.col("__i") == F.col("ai")), "left")
-    w, last = F.col("strand") == "w", F.col("next_start").isNull()
-    name = F.when(w & last, F.concat("tail", F.lit("_down"))).when(w, F.concat("next_head", F.lit("_up"))).otherwise(F.concat("tail", F.lit("_up")))
-    between = both.select("chr", "strand", name.alias("name"), (F.col("mend") + 1).alias("rstart"), (F.col("next_start") - 1).alias("rend"))
-    first = m.filter("__i = 1").select("chr", "strand", F.concat("head", F.when(w, "_up").otherwise("_down")).alias("name"), F.lit(1).cast("long").alias("rstart"), (F.col("mstart") - 1).alias("rend"))
-    out = first.unionByName(between)
+    # numbers are dense: an island ends the region before it and begins the one of its own number
+    left, right = F.struct("mend", "tail"), F.struct("mstart", "head")
+    ends = F.array(F.struct(F.col("__i").alias("i"), left.alias("l"), F.when(F.lit(False), right).alias("r")), F.struct((F.col("__i") - 1).alias("i"), F.when(F.lit(False), left).alias("l"), right.alias("r")))
+    gaps = m.select("chr", "strand", F.explode(ends).alias("e")).groupBy("chr", "strand", "e.i").agg(F.max("e.l").alias("l"), F.max("e.r").alias("r"))
+    w, first, last = F.col("strand") == "w", F.col("l").isNull(), F.col("r").isNull()
+    up, down, head, tail = F.lit("_up"), F.lit("_down"), F.col("r.head"), F.col("l.tail")
+    name = F.when(first, F.concat(head, F.when(w, up).otherwise(down))).when(w & last, F.concat(tail, down)).when(w, F.concat(head, up)).otherwise(F.concat(tail, up))
+    out = gaps.select("chr", "strand", name.alias("name"), F.coalesce(F.col("l.mend") + 1, F.lit(1).cast("long")).alias("rstart"), (F.col("r.mstart") - 1).alias("rend"))
     if chroms is not None:
         every = chroms.select("chr", F.explode(F.array(F.lit("w"), F.lit("c"))).alias("strand")).distinct()
         empty = every.join(genes.select("chr", "strand").distinct(), ["chr", "strand"], "left_anti")

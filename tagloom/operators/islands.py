@@ -1,8 +1,9 @@
-"""Islands of positions and intervals, numbered without a chromosome ever meeting in one task.
+"""Islands of positions and intervals, numbered without a chromosome ever meeting in one task, and windows over blocks with a halo.
 
 Coordinates are cut in blocks of a fixed width. Running ends and counts are windows inside a block; what a block hands on to the next
 (the largest end so far, the number of islands so far) is one row per block, and only those rows meet per key: their
-number is that of the genome's blocks, whatever the number of intervals.
+number is that of the genome's blocks, whatever the number of intervals. Rows are shuffled once, by key and block: windows and joins
+share that partitioning. Keys travel as one struct, in which nulls are equal.
 """
 
 from __future__ import annotations
@@ -13,33 +14,56 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 16
 
 
-def _attach(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
-    """df with the columns of table, which has one row for each value of ``on`` (null-safe)."""
-    t = table.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(on)], *[c for c in table.columns if c not in on])
-    both = df.join(t, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(on)], "left")
-    return both.drop(*[f"__k{i}" for i in range(len(on))])
+def _blocked(rows: DataFrame, keys: list[str], pos: str, width: int) -> DataFrame:
+    return rows.withColumn("__key", F.struct(*keys) if keys else F.struct(F.lit(0))).withColumn("__block", F.floor(F.col(pos) / width))
+
+
+def _attach(df: DataFrame, table: DataFrame) -> DataFrame:
+    """df with the columns of table, which has a row for each of df's keys and blocks."""
+    t = table.withColumnRenamed("__key", "__tk").withColumnRenamed("__block", "__tb")
+    return df.join(t, (F.col("__key") == F.col("__tk")) & (F.col("__block") == F.col("__tb"))).drop("__tk", "__tb")
 
 
 def number_islands(rows: DataFrame, keys: list[str], start: str, end: str, gap: int = 0, out: str = "island", width: int = BLOCK) -> DataFrame:
     """rows with the number, from 1 in each key, of the island that they belong to: a new one begins where an interval starts more than
-    gap after every end before it (in order of start and end). For points, start and end are the same column."""
-    on = [*keys, "__block"]
-    df = rows.withColumn("__block", F.floor(F.col(start) / width))
-    prior = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
-    tops = df.groupBy(*on).agg(F.max(end).alias("__top")).withColumn("__carry", F.max("__top").over(prior)).drop("__top")
-    inside = Window.partitionBy(*on).orderBy(start, end)
-    before = F.greatest(F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("__carry"))
-    df = _attach(df, tops, on).withColumn("__new", F.when(before.isNull() | (F.col(start) > before + gap), 1).otherwise(0))
+    gap after every end before it (in order of start and end). For points, start and end are the same column. Rows without a start are dropped."""
+    df = _blocked(rows.filter(F.col(start).isNotNull()), keys, start, width)
+    inside = Window.partitionBy("__key", "__block").orderBy(start, end)
+    before = F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("__new", F.when(before.isNull() | (F.col(start) > before + gap), 1).otherwise(0))
+    # one row per block: where its own islands start (at most one for each place of the block), and its largest end
+    blocks = df.groupBy("__key", "__block").agg(F.max(end).alias("__top"), F.collect_list(F.when(F.col("__new") == 1, F.col(start))).alias("__starts"))
+    prior = Window.partitionBy("__key").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("__carry", F.max("__top").over(prior))
+    # the block's first islands may go on with one from before
+    merged = F.when(F.col("__carry").isNull(), 0).otherwise(F.size(F.filter("__starts", lambda s: s <= F.col("__carry") + gap)))
+    blocks = blocks.withColumn("__merged", merged).withColumn("__base", F.coalesce(F.sum(F.size("__starts") - F.col("__merged")).over(prior), F.lit(0)))
     df = df.withColumn("__nth", F.sum("__new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    counts = df.groupBy(*on).agg(F.sum("__new").alias("__own")).withColumn("__base", F.coalesce(F.sum("__own").over(prior), F.lit(0))).drop("__own")
-    return _attach(df, counts, on).withColumn(out, F.col("__base") + F.col("__nth")).drop("__block", "__carry", "__new", "__nth", "__base")
+    df = _attach(df, blocks.select("__key", "__block", "__merged", "__base"))
+    return df.withColumn(out, F.col("__base") + F.greatest(F.col("__nth") - F.col("__merged"), F.lit(0))).drop("__key", "__block", "__new", "__nth", "__merged", "__base")
 
 
 def number_rows(rows: DataFrame, keys: list[str], pos: str, order: list[str], out: str, width: int = BLOCK) -> DataFrame:
     """rows with their row number, from 1 in each key, in the order of pos, then ``order``."""
-    on = [*keys, "__block"]
-    df = rows.withColumn("__block", F.floor(F.col(pos) / width))
-    prior = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
-    counts = df.groupBy(*on).agg(F.count("*").alias("__own")).withColumn("__base", F.coalesce(F.sum("__own").over(prior), F.lit(0))).drop("__own")
-    nth = F.row_number().over(Window.partitionBy(*on).orderBy(pos, *order))
-    return _attach(df, counts, on).withColumn(out, F.col("__base") + nth).drop("__block", "__base")
+    df = _blocked(rows, keys, pos, width).withColumn("__block", F.coalesce("__block", F.lit(-(1 << 62))))
+    prior = Window.partitionBy("__key").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    counts = df.groupBy("__key", "__block").agg(F.count("*").alias("__own")).withColumn("__base", F.coalesce(F.sum("__own").over(prior), F.lit(0))).drop("__own")
+    nth = F.row_number().over(Window.partitionBy("__key", "__block").orderBy(pos, *order))
+    return _attach(df.withColumn("__nth", nth), counts).withColumn(out, F.col("__base") + F.col("__nth")).drop("__key", "__block", "__nth", "__base")
+
+
+def count_per(rows: DataFrame, keys: list[str], pos: str, out: str, width: int = BLOCK) -> DataFrame:
+    """rows with the number of rows of their keys, however many: counted per block, and handed back per block."""
+    df = _blocked(rows, keys, pos, width)
+    counts = df.groupBy("__key", "__block").agg(F.count("*").alias("__own"))
+    counts = counts.select("__key", "__block", F.sum("__own").over(Window.partitionBy("__key")).alias(out))
+    return _attach(df, counts).drop("__key", "__block")
+
+
+def with_halo(rows: DataFrame, pos: str, reach: int, width: int = BLOCK) -> DataFrame:
+    """Each row in its block (__block) and in those whose border it is within ``reach`` of. __own marks the row's own block: a window over a
+    block that looks no further than reach is whole for those rows."""
+    width = max(width, 4 * reach)
+    own = F.floor(F.col(pos) / width)
+    every = F.sequence(F.floor((F.col(pos) - reach) / width), F.floor((F.col(pos) + reach) / width))
+    return rows.withColumn("__block", F.explode(every)).withColumn("__own", F.col("__block") == own)

@@ -15,7 +15,7 @@ _W6 = "g AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY chr ORDER BY
 _W8 = f"""o AS (SELECT DISTINCT chr, cluster, strand, pos, pos + CASE WHEN strand='c' THEN 3 ELSE 0 END AS reg FROM w6),
  w8 AS (SELECT a.chr, a.cluster, a.strand, a.pos, a.reg,
   count(CASE WHEN a.strand='w' AND (b.strand='w' AND b.pos BETWEEN a.pos AND a.pos+{11 * RL - 1} OR b.strand='c' AND b.pos BETWEEN a.pos-2 AND a.pos+{11 * RL - 3})
-               OR a.strand='c' AND (b.strand='w' AND b.pos BETWEEN a.pos-{11 * RL - 3} AND a.pos+2 OR b.strand='c' AND b.pos BETWEEN a.pos-{11 * RL - 1} AND a.pos) THEN 1 END) AS n,
+               OR a.strand='c' AND (b.strand='w' AND b.pos BETWEEN a.pos-{11 * RL - 1} AND a.pos OR b.strand='c' AND b.pos > 2 AND b.pos BETWEEN a.pos-{11 * RL - 3} AND a.pos+2) THEN 1 END) AS n,
   count(CASE WHEN (a.reg-b.reg) % {RL} = 0 AND (a.strand='w' AND (b.strand='w' AND b.reg BETWEEN a.reg AND a.reg+{10 * RL} OR b.strand='c' AND b.reg BETWEEN a.reg+{RL} AND a.reg+{11 * RL})
                OR a.strand='c' AND (b.strand='c' AND b.reg BETWEEN a.reg-{10 * RL} AND a.reg OR b.strand='w' AND b.reg BETWEEN a.reg-{11 * RL} AND a.reg-{RL})) THEN 1 END) AS k
  FROM o a JOIN o b ON a.chr=b.chr AND a.cluster=b.cluster GROUP BY 1, 2, 3, 4, 5)"""

@@ -87,6 +87,57 @@ def test_perfect_register(spark):
     assert (best["n"], best["k"]) == (22, 22)
 
 
+def register_loop(occupied, rl):
+    """n, k and the best anchor of each position by going through the places of its cycles."""
+    here = {(c, st, p) for c, st, p in occupied}
+    scored, out = {}, {}
+    for c, st, p in occupied:
+        if st == "w":
+            n = sum((c, "w", i) in here for i in range(p, p + 11 * rl)) + sum((c, "c", i) in here for i in range(p - 2, p + 11 * rl - 2))
+            k = sum((c, "w", p + j * rl) in here for j in range(11)) + sum((c, "c", p - 3 + j * rl) in here for j in range(1, 12))
+            members = [(c, "w", p + j * rl) for j in range(11)] + [(c, "c", p - 3 + j * rl) for j in range(1, 12)]
+        else:
+            first = max(1, p - 11 * rl + 1)  # no cycle begins before the chromosome
+            n = sum((c, "w", i) in here for i in range(first, p + 1)) + sum((c, "c", i) in here for i in range(first + 2, p + 3))
+            k = sum((c, "c", p - j * rl) in here for j in range(11)) + sum((c, "w", p + 3 - j * rl) in here for j in range(1, 12))
+            members = [(c, "c", p - j * rl) for j in range(11)] + [(c, "w", p + 3 - j * rl) for j in range(1, 12)]
+        scored[c, st, p] = (n, k)
+        for m in members:
+            if m in here:
+                out.setdefault(m, []).append(((n * 7 + k * 3) % 11 / 10, p, st, n, k))
+    return scored, {m: min(v) for m, v in out.items()}
+
+
+@pytest.mark.parametrize("rl", [21, 24])
+def test_registers_against_loops_in_dense_clusters(spark, rl):
+    rng = random.Random(rl)
+    sites = {(c, rng.choice("wc"), rng.randrange(1, 300)) for c in (1, 2) for _ in range(120)} | {(1, s, 9000 + rl * rng.randrange(400) + rng.choice((0, 0, 0, -3, 5))) for s in "wc" for _ in range(300)}
+    sites = sorted(sites | {(2, "c", 1), (2, "c", 2), (2, "c", 3), (2, "w", 1)})
+    df = spark.createDataFrame([("t", rl, c, s, p, "L0", 5) for c, s, p in sites], "tag string, len int, chr int, strand string, pos long, lib string, abun long")
+    occ = phasing.occupied(phasing.presplit(df))
+    counts, best = register_loop([(r["chr"], r["strand"], r["pos"]) for r in occ.collect()], rl)
+    for width in (1200, 1 << 16):  # clusters that are longer than a block, and shorter
+        got = phasing.register_counts(occ, rl, width)
+        assert {(r["chr"], r["strand"], r["pos"]): (r["n"], r["k"]) for r in got.collect()} == counts
+        scored = got.withColumn("p", F.pmod(F.col("n") * 7 + F.col("k") * 3, F.lit(11)) / 10)
+        mine = {(r["chr"], r["strand"], r["pos"]): (r["best_p"], r["best_pos"], r["best_strand"], r["n"], r["k"]) for r in phasing.assign_best_p(scored, rl, width).collect()}
+        assert mine == best
+    assert "cluster" not in str(phasing.register_counts(occ, rl)._jdf.queryExecution().analyzed()).split("Window [")[1].split("]")[1]
+
+
+def test_first_places_of_a_chromosome(spark):
+    rl = 21
+    occ = spark.createDataFrame([(1, 1, "c", p, p + 3) for p in (1, 2, 3, 200, 231, 400)] + [(1, 1, "w", p, p) for p in (1, 2)], "chr int, cluster int, strand string, pos long, reg long")
+    n = {(r["strand"], r["pos"]): r["n"] for r in phasing.register_counts(occ, rl).collect()}
+    # from 200 and 231 the cycles would begin before the chromosome or at its first place, so that c places 1 and 2 lie before them
+    assert n["c", 200] == 4 and n["c", 231] == 5 and n["c", 3] == 3 and n["c", 1] == 2 and n["w", 1] == 6
+
+
+def test_counts_of_keys_that_span_blocks(spark):
+    df = spark.createDataFrame([(None if k % 3 else "x", k * 50) for k in range(100)], "key string, pos long")
+    assert {(r["key"], r["n"]) for r in islands.count_per(df, ["key"], "pos", "n", width=256).collect()} == {(None, 66), ("x", 34)}
+
+
 def test_categories(spark):
     d = spark.createDataFrame([("g", i, h) for i, h in enumerate([1, 2, 3, 4, 9])] + [("h", 0, 5), ("h", 1, 5), ("h", 2, 2)], "gene string, loc long, hits long")
     got = {(r["gene"], r["loc"]): r["category"] for r in targets.categorize_genic(d).collect()}
@@ -139,6 +190,9 @@ def test_islands_over_block_borders(spark):
                 want.add((c, s, e, n))
         for width in (64, 1 << 16):
             assert {tuple(r) for r in islands.number_islands(df, ["chr"], "s", "e", gap, width=width).select("chr", "s", "e", "island").collect()} == want
+    nulls = df.withColumn("chr", F.when(F.col("chr") == "a", F.col("chr")))  # a null key is a key
+    same = lambda d: sorted((r["s"], r["e"], r["island"]) for r in islands.number_islands(d, ["chr"], "s", "e", width=64).collect())
+    assert same(nulls) == same(df)
     got = islands.number_rows(df, ["chr"], "s", ["e"], "n", width=100).collect()
     for c in "ab":
         assert [(r["s"], r["e"]) for r in sorted((r for r in got if r["chr"] == c), key=lambda r: r["n"])] == sorted(p[1:] for p in pts if p[0] == c)
