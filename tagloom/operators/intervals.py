@@ -48,13 +48,15 @@ def _tags(tagpos: DataFrame) -> DataFrame:
     return tagpos.select("tag", "len", F.col("chr").alias("tchr"), F.col("strand").alias("tstrand"), "pos", F.col("lib").alias("tlib"), "abun")
 
 
-def _in_loci(loci: DataFrame, tagpos: DataFrame) -> DataFrame:
-    return point_join(_tags(tagpos), loci.select("name", "chr", "lstart", "lend"), [("tchr", "chr")], "pos", ("lstart", "lend"))
+def _in_loci(loci: DataFrame, tagpos: DataFrame, stranded: bool = False) -> DataFrame:
+    own = ["strand"] if stranded else []
+    return point_join(_tags(tagpos), loci.select("name", "chr", "lstart", "lend", *own), [("tchr", "chr"), *[("tstrand", c) for c in own]], "pos", ("lstart", "lend"))
 
 
-def coord_abundance(loci: DataFrame, tagpos: DataFrame, libs: tuple[str, ...], main: tuple[int, ...] = (21, 22), noise: tuple[int, ...] = (20, 23, 24)) -> DataFrame:
-    """A3. Per locus and library the abundance of main and noise sizes, and main / (main + noise): 0 without main, else 1 without noise."""
-    hit = _in_loci(loci, tagpos.filter(F.col("len").isin(*main, *noise)))
+def coord_abundance(loci: DataFrame, tagpos: DataFrame, libs: tuple[str, ...], main: tuple[int, ...] = (21, 22), noise: tuple[int, ...] = (20, 23, 24), stranded: bool = False) -> DataFrame:
+    """A3. Per locus and library the abundance of main and noise sizes, and main / (main + noise): 0 without main, else 1 without noise.
+    stranded: of the tags on the locus's own strand only (loci have a strand then)."""
+    hit = _in_loci(loci, tagpos.filter(F.col("len").isin(*main, *noise)), stranded)
     size = lambda lib, sizes: F.sum(F.when((F.col("tlib") == lib) & F.col("len").isin(*sizes), F.col("abun")))
     sums = hit.groupBy(F.col("name").alias("n")).agg(*[f(lib, s).alias(f"{k}_{lib}") for lib in libs for f, k, s in ((size, "main", main), (size, "noise", noise))])
     both = loci.join(sums, F.col("name") == F.col("n"), "left").drop("n")
@@ -160,9 +162,17 @@ def dice_join(a: DataFrame, b: DataFrame, least: float = 0.45) -> DataFrame:
     return both.filter(F.col("d") >= least).select("name_a", "name_b", F.round("d", 2).alias("ratio"))
 
 
-def match_clusters(loci: DataFrame, clusters: DataFrame, members: DataFrame, least: float = 0.99) -> DataFrame:
-    """J8. Members of the clusters whose range matches a locus. clusters: name, chr, lstart, lend; members: cluster and any columns."""
-    pairs = dice_join(loci, clusters, least)
+def match_ends(a: DataFrame, b: DataFrame) -> DataFrame:
+    """J8. Pairs (name_a, name_b, ratio) of loci of one chromosome with the same start and end."""
+    y = b.select(F.col("name").alias("name_b"), F.col("chr").alias("cb"), F.col("lstart").alias("sb"), F.col("lend").alias("eb"))
+    both = a.join(y, (F.col("chr") == F.col("cb")) & (F.col("lstart") == F.col("sb")) & (F.col("lend") == F.col("eb")))
+    return both.select(F.col("name").alias("name_a"), "name_b", F.lit(1.0).alias("ratio"))
+
+
+def match_clusters(loci: DataFrame, clusters: DataFrame, members: DataFrame, least: float | None = 0.99) -> DataFrame:
+    """J8. Members of the clusters whose range matches a locus, with a Dice overlap of ``least`` (0.99 close, 0.5 fuzzy) or, for None, at both
+    ends exactly. clusters: name, chr, lstart, lend; members: cluster and any columns."""
+    pairs = match_ends(loci, clusters) if least is None else dice_join(loci, clusters, least)
     return pairs.join(members, F.col("name_b") == F.col("cluster")).drop("name_b")
 
 
@@ -270,14 +280,15 @@ def transcripts_from_exons(exons: DataFrame) -> DataFrame:
     return exons.groupBy("chr", "strand", "trans").agg(F.min("xstart").alias("tstart"), F.max("xend").alias("tend"), F.count("*").alias("n_exons"))
 
 
-def collapse_isoforms(trans: DataFrame, most_score: int = 2) -> DataFrame:
-    """A22. Of transcripts (gene, trans, chr, strand, tstart, tend, score, coding) whose match score isn't above ``most_score``, so that have no
-    annotated gene: per gene, chromosome, strand and coding status the overlapping isoforms merged, with their number, names and best
-    score; an isoform that overlaps no other is a row of its own (kind uniq, else merged). Isoforms that only touch don't overlap."""
+def collapse_isoforms(trans: DataFrame, most_score: int = 1) -> DataFrame:
+    """A22. Transcripts (gene, trans, chr, strand, tstart, tend, score, coding): per gene, chromosome, strand and coding status the overlapping
+    isoforms merged, with their number, names and best score; an isoform that overlaps no other is a row of its own (kind uniq, else merged).
+    What has a best match score above ``most_score`` is an annotated gene and goes, its isoforms of lower score with it. Isoforms that only touch
+    don't overlap."""
     keys = ["gene", "chr", "strand", "coding"]
-    rows = number_islands(trans.filter(F.col("score") <= most_score), keys, "tstart", "tend", -1, "__i")
+    rows = number_islands(trans, keys, "tstart", "tend", -1, "__i")
     out = rows.groupBy(*keys, "__i").agg(F.min("tstart").alias("mstart"), F.max("tend").alias("mend"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("trans")), ",").alias("isoforms"), F.max("score").alias("best_score"))
-    return out.drop("__i").withColumn("kind", F.when(F.col("n") > 1, "merged").otherwise("uniq"))
+    return out.drop("__i").filter(F.col("best_score") <= most_score).withColumn("kind", F.when(F.col("n") > 1, "merged").otherwise("uniq"))
 
 
 def gene_promoters(trans: DataFrame, length: int = 500) -> DataFrame:

@@ -105,7 +105,8 @@ def summarize_loci(members: DataFrame, tag_count: DataFrame, libs: tuple[str, ..
 
 
 def precursor_ratio(loci: DataFrame, tagpos: DataFrame) -> DataFrame:
-    """A18. Shares of the first, and of the first two, distinct tags in all abundance of an interval (name, chr, lstart, lend)."""
+    """A18. Shares of the first, and of the first two, distinct tags in all abundance of an interval (name, chr, lstart, lend). A precursor's arms
+    are intervals of one name: a tag counts in each arm it lies in, what lies in the loop in none."""
     t = tagpos.select("tag", F.col("chr").alias("tchr"), "pos", "abun")
     hit = point_join(t, loci.select("name", "chr", "lstart", "lend"), [("tchr", "chr")], "pos", ("lstart", "lend"))
     per = hit.groupBy("name", "tag").agg(F.sum("abun").alias("abun"))
@@ -114,6 +115,14 @@ def precursor_ratio(loci: DataFrame, tagpos: DataFrame) -> DataFrame:
     return agg.select("name", "total", (F.col("a1") / F.col("total")).alias("ratio1"), (F.col("a2") / F.col("total")).alias("ratio2"))
 
 
+def precursor_arms(precursors: DataFrame) -> DataFrame:
+    """A18. (name, chr, lstart, lend) of both arms of precursors (name, chr, pstart, start5, end5, start3, end3), whose fold-back is given relative to
+    pstart, counted from 0. A precursor without a fold-back has no arms."""
+    arm = lambda s, e: F.struct((F.col("pstart") + F.col(s)).alias("lstart"), (F.col("pstart") + F.col(e)).alias("lend"))
+    both = precursors.select("name", "chr", F.explode(F.array(arm("start5", "end5"), arm("start3", "end3"))).alias("a"))
+    return both.select("name", "chr", "a.lstart", "a.lend").filter("lstart <= lend")
+
+
 def cross_species_clusters(members: DataFrame) -> DataFrame:
     """A32. Clusters with more than one species, first member of each. members: cluster, member, species."""
     per = members.groupBy("cluster", "species").agg(F.min("member").alias("member"))
@@ -131,13 +140,13 @@ def classify_pairs(names: DataFrame, pairs: DataFrame, isoforms: DataFrame) -> D
     return both.select("name", F.when(F.col("p").isNotNull(), "paired").when(F.col("iso").isNotNull(), "isoform").otherwise("neither").alias("kind"))
 
 
-def find_triggers(sites: DataFrame, loci: DataFrame, phase: int) -> DataFrame:
-    """J18. Cleavage sites at a register position of a locus's head (w sites) or tail (c sites), within five cycles.
+def find_triggers(sites: DataFrame, loci: DataFrame, phase: int, first: int = -5, last: int = 7) -> DataFrame:
+    """J18. Cleavage sites at a register position of a locus's head (w sites) or tail (c sites), from five cycles before to seven after.
 
     Class 0 exact, 1 off by one (dicer), 2 off by two (strand); the best class stays for each site and locus. Loci are exploded to
     their allowed positions, so the match is an equality join. sites: (site, chr, strand, pos).
     """
-    cycles = F.explode(F.sequence(F.lit(-5), F.lit(5))).alias("idx")
+    cycles = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("idx")
     ends = F.explode(F.array(F.struct(F.lit("w").alias("s"), F.col("lstart").alias("at")), F.struct(F.lit("c").alias("s"), F.col("lend").alias("at")))).alias("e")
     off = F.explode(F.array(*[F.struct(F.lit(abs(o)).alias("cls"), F.lit(o).alias("o")) for o in (0, -1, 1, -2, 2)])).alias("off")
     allowed = loci.select("name", F.col("chr").alias("lchr"), ends, "lstart", "lend").select("name", "lchr", "e", cycles).select("name", "lchr", "e", "idx", off)

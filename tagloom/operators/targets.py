@@ -133,19 +133,26 @@ def filter_mismatch_at(profiles: DataFrame, positions: tuple[int, ...]) -> DataF
     return profiles.filter(F.arrays_overlap(F.concat("mis", "wob"), F.array(*[F.lit(p) for p in positions])))
 
 
+def cigar_steps() -> Column:
+    """The steps (n, o) of the column cigar that read bases or target bases take part in: all but H, N and P."""
+    part = lambda p: F.regexp_extract_all("cigar", F.lit(p), F.lit(1))
+    return F.zip_with(part(r"(\d+)[MIDSX=]"), part(r"\d+([MIDSX=])"), lambda n, o: F.struct(n.cast("int").alias("n"), o.alias("o")))
+
+
 def rebuild_alignment(df: DataFrame) -> DataFrame:
     """P18. Gapped miRNA and target strings from (id, seq, cigar, target): I a gap in the target, D a gap in the miRNA.
 
-    The CIGAR's steps are folded over both strings; target is the reference part that the alignment covers.
+    The CIGAR's steps are folded over both strings; target is the reference part that the alignment covers, without skipped bases (N). Clipped
+    bases of the read (S) are passed over; those that are cut off (H), skipped bases and padding (P) are in neither string.
     """
-    steps = F.zip_with(F.regexp_extract_all("cigar", F.lit(r"(\d+)[MIDX=]"), F.lit(1)), F.regexp_extract_all("cigar", F.lit(r"\d+([MIDX=])"), F.lit(1)), lambda n, o: F.struct(n.cast("int").alias("n"), o.alias("o")))
+    steps = cigar_steps()
     start = F.struct(F.lit("").alias("m"), F.lit("").alias("t"), F.lit(1).alias("i"), F.lit(1).alias("j"))
 
     def step(a: Column, s: Column) -> Column:
-        n, seq_on, tar_on = s["n"], s["o"] != "D", s["o"] != "I"
-        gap = F.repeat(F.lit("-"), n)
+        n, clip, seq_on, tar_on = s["n"], s["o"] == "S", s["o"] != "D", ~s["o"].isin("I", "S")
+        gap = F.when(clip, "").otherwise(F.repeat(F.lit("-"), n))
         return F.struct(
-            F.concat(a["m"], F.when(seq_on, F.substr("seq", a["i"], n)).otherwise(gap)).alias("m"), F.concat(a["t"], F.when(tar_on, F.substr("target", a["j"], n)).otherwise(gap)).alias("t"),
+            F.concat(a["m"], F.when(seq_on & ~clip, F.substr("seq", a["i"], n)).otherwise(gap)).alias("m"), F.concat(a["t"], F.when(tar_on, F.substr("target", a["j"], n)).otherwise(gap)).alias("t"),
             (a["i"] + F.when(seq_on, n).otherwise(0)).alias("i"), (a["j"] + F.when(tar_on, n).otherwise(0)).alias("j"),
         )
 
@@ -155,9 +162,8 @@ def rebuild_alignment(df: DataFrame) -> DataFrame:
 def target_from_md(df: DataFrame) -> DataFrame:
     """P18. (id, seq, cigar, target) from (id, seq, cigar, md): the part of the reference that a read covers. In the MD tag a number copies so many
     bases of the read, which inserted ones are no part of, a letter is the reference's at a mismatch, and ^ begins deleted ones."""
-    steps = F.zip_with(F.regexp_extract_all("cigar", F.lit(r"(\d+)[MIDX=]"), F.lit(1)), F.regexp_extract_all("cigar", F.lit(r"\d+([MIDX=])"), F.lit(1)), lambda n, o: F.struct(n.cast("int").alias("n"), o.alias("o")))
     plain = F.aggregate(
-        steps, F.struct(F.lit("").alias("s"), F.lit(1).alias("i")),
+        cigar_steps(), F.struct(F.lit("").alias("s"), F.lit(1).alias("i")),
         lambda a, s: F.struct(F.concat(a["s"], F.when(s["o"].isin("M", "X", "="), F.substr("seq", a["i"], s["n"])).otherwise("")).alias("s"), (a["i"] + F.when(s["o"] != "D", s["n"]).otherwise(0)).alias("i")),
     )["s"]
     parts = F.regexp_extract_all("md", F.lit(r"(\d+|\^[A-Z]+|[A-Z])"), F.lit(1))
@@ -306,11 +312,16 @@ def extract_seqs(chunks: DataFrame, coords: DataFrame, size: int = 1 << 16, flan
 
 
 def transcript_seqs(chunks: DataFrame, exons: DataFrame, size: int = 1 << 16) -> DataFrame:
-    """J24. Exons (trans, chr, strand, xstart, xend) stitched in order, reverse-complemented on c."""
+    """J24. Exons (trans, chr, strand, xstart, xend) stitched in order, reverse-complemented on c. A transcript of unknown strand (null, or neither w nor c)
+    is given in both orientations, the complement as trans_rc."""
     own = exons.select(F.struct("trans", "strand", "xstart", "xend").alias("id"), "chr", F.lit("w").alias("strand"), F.col("xstart").alias("istart"), F.col("xend").alias("iend"))
     x = extract_seqs(chunks, own, size).select("id.trans", "id.strand", "id.xstart", "id.xend", "seq")
     full = x.groupBy("trans", "strand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("xstart", "xend", "seq"))), lambda p: p["seq"]), "").alias("seq"))
-    return full.select("trans", F.when(F.col("strand") == "c", F.reverse(F.translate("seq", "ACGT", "TGCA"))).otherwise(F.col("seq")).alias("seq"))
+    other = F.reverse(F.translate("seq", "ACGT", "TGCA"))
+    row = lambda name, seq: F.struct(name.alias("trans"), seq.alias("seq"))
+    same, back = row(F.col("trans"), F.col("seq")), row(F.col("trans"), other)
+    ways = F.when(F.col("strand") == "w", F.array(same)).when(F.col("strand") == "c", F.array(back)).otherwise(F.array(same, row(F.concat("trans", F.lit("_rc")), other)))
+    return full.select(F.explode(ways).alias("x")).select("x.*")
 
 
 def promoters(chunks: DataFrame, genes: DataFrame, length: int, size: int = 1 << 16) -> DataFrame:

@@ -20,6 +20,12 @@ def a3(v: Views) -> DataFrame:
     return iv.coord_abundance(v.locus, v.tag_position, LIBS)
 
 
+@query("A3_stranded", "tag_position", "transcript", sql=f"WITH s AS (SELECT l.trans, {_A3} FROM transcript l JOIN tag_position t ON t.chr = l.chr AND t.strand = l.strand AND t.pos BETWEEN tstart AND tend WHERE len BETWEEN 20 AND 24 GROUP BY l.trans) SELECT l.trans AS name, l.chr, tstart AS lstart, tend AS lend, {_A3R} FROM transcript l LEFT JOIN s ON s.trans = l.trans")
+def a3_stranded(v: Views) -> DataFrame:
+    loci = v.transcript.select(F.col("trans").alias("name"), "chr", "strand", F.col("tstart").alias("lstart"), F.col("tend").alias("lend"))
+    return iv.coord_abundance(loci, v.tag_position, LIBS, stranded=True)
+
+
 _SIZES = (20, 21, 22, 23, 24)
 _JOIN = "FROM locus l JOIN tag_position t ON t.chr = l.chr AND t.pos BETWEEN lstart AND lend"
 
@@ -103,10 +109,21 @@ def j7(v: Views) -> DataFrame:
     return iv.dice_join(*_sides(v))
 
 
-@query("J8", "locus", "tag_position", sql=f"WITH {_SIDES}, m AS (SELECT 'PH' || CAST(pos % 10000 AS STRING) AS cluster, tag, pos FROM tag_position WHERE len = 21) SELECT a.name AS name_a, round({_DICE}, 2) AS ratio, m.cluster, m.tag, m.pos {_AB} JOIN m ON m.cluster = b.name WHERE {_DICE} >= 0.5")
+_MEM = "m AS (SELECT 'PH' || CAST(pos % 10000 AS STRING) AS cluster, tag, pos FROM tag_position)"
+
+
+@query("J8", "locus", "tag_position", sql=f"WITH {_SIDES}, {_MEM} SELECT a.name AS name_a, round({_DICE}, 2) AS ratio, m.cluster, m.tag, m.pos {_AB} JOIN m ON m.cluster = b.name WHERE {_DICE} >= 0.5")
 def j8(v: Views) -> DataFrame:
-    members = v.tag_position.filter("len = 21").select(F.concat(F.lit("PH"), (F.col("pos") % 10000).cast("string")).alias("cluster"), "tag", "pos")
-    return iv.match_clusters(*_sides(v), members, 0.5)
+    return iv.match_clusters(*_sides(v), _cluster_members(v), 0.5)
+
+
+def _cluster_members(v: Views) -> DataFrame:
+    return v.tag_position.select(F.concat(F.lit("PH"), (F.col("pos") % 10000).cast("string")).alias("cluster"), "tag", "pos")
+
+
+@query("J8_exact", "locus", "tag_position", sql=f"WITH {_SIDES}, {_MEM} SELECT a.name AS name_a, 1.0::DOUBLE AS ratio, m.cluster, m.tag, m.pos FROM a JOIN (SELECT name, chr, lstart, lend FROM locus) b ON b.chr=a.chr AND b.lstart=a.lstart AND b.lend=a.lend JOIN m ON m.cluster = b.name")
+def j8_exact(v: Views) -> DataFrame:
+    return iv.match_clusters(_sides(v)[0], v.locus, _cluster_members(v), None)
 
 
 @query("J9", "locus", sql=f"WITH {_SIDES}, m AS (SELECT a.name AS name_a, b.name AS name_b, greatest(a.lstart,b.lstart) AS block_start, least(a.lend,b.lend)-greatest(a.lstart,b.lstart) AS block_len {_AB} WHERE {_DICE} >= 0.25) SELECT * FROM m UNION ALL SELECT name, NULL, NULL, NULL FROM a WHERE name NOT IN (SELECT name_a FROM m) UNION ALL SELECT NULL, name, NULL, NULL FROM b WHERE name NOT IN (SELECT name_b FROM m)")
@@ -193,14 +210,14 @@ def a19(v: Views) -> DataFrame:
     return iv.transcripts_from_exons(v.exon)
 
 
-_ISO = "SELECT 'G' || CAST(CAST(floor(tstart/5000.0) AS BIGINT) AS STRING) AS gene, trans, chr, strand, tstart, tend, tend % 5 AS score, tstart % 3 > 0 AS coding FROM transcript WHERE tend % 5 <= 2"
+_ISO = "SELECT 'G' || CAST(CAST(floor(tstart/5000.0) AS BIGINT) AS STRING) AS gene, trans, chr, strand, tstart, tend, tend % 5 AS score, tstart % 3 > 0 AS coding FROM transcript"
 
 
 def _iso(v: Views) -> DataFrame:
     return v.transcript.withColumn("gene", F.concat(F.lit("G"), F.floor(F.col("tstart") / 5000).cast("string"))).withColumn("score", F.col("tend") % 5).withColumn("coding", F.col("tstart") % 3 > 0)
 
 
-@query("A22", "transcript", sql=f"WITH {_islands(_ISO, 'gene, chr, strand, coding', 'tstart', 'tend', -1)} SELECT gene, chr, strand, coding, min(tstart) AS mstart, max(tend) AS mend, count(*) AS n, string_agg(trans, ',' ORDER BY trans) AS isoforms, max(score) AS best_score, CASE WHEN count(*) > 1 THEN 'merged' ELSE 'uniq' END AS kind FROM z GROUP BY gene, chr, strand, coding, i")
+@query("A22", "transcript", sql=f"WITH {_islands(_ISO, 'gene, chr, strand, coding', 'tstart', 'tend', -1)} SELECT gene, chr, strand, coding, min(tstart) AS mstart, max(tend) AS mend, count(*) AS n, string_agg(trans, ',' ORDER BY trans) AS isoforms, max(score) AS best_score, CASE WHEN count(*) > 1 THEN 'merged' ELSE 'uniq' END AS kind FROM z GROUP BY gene, chr, strand, coding, i HAVING max(score) <= 1")
 def a22(v: Views) -> DataFrame:
     return iv.collapse_isoforms(_iso(v))
 

@@ -154,6 +154,13 @@ def a18(v: Views) -> DataFrame:
     return lc.precursor_ratio(v.transcript.select(F.col("trans").alias("name"), "chr", F.col("tstart").alias("lstart"), F.col("tend").alias("lend")), v.tag_position)
 
 
+@query("A18_arms", "tag_position", "transcript", sql="WITH x AS (SELECT trans, chr, tstart AS s, tstart+20+tstart%60 AS e FROM transcript UNION ALL SELECT trans, chr, tend-20-tend%60 AS s, tend AS e FROM transcript), p AS (SELECT x.trans AS name, t.tag, sum(t.abun)::BIGINT AS abun FROM x JOIN tag_position t ON t.chr=x.chr AND t.pos BETWEEN s AND e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY abun DESC, tag) AS nth FROM p) SELECT name, sum(abun)::BIGINT AS total, sum(CASE WHEN nth=1 THEN abun END)::DOUBLE/sum(abun) AS ratio1, sum(CASE WHEN nth<=2 THEN abun END)::DOUBLE/sum(abun) AS ratio2 FROM r GROUP BY 1")
+def a18_arms(v: Views) -> DataFrame:
+    size = F.col("tend") - F.col("tstart")
+    p = v.transcript.select(F.col("trans").alias("name"), "chr", F.col("tstart").alias("pstart"), F.lit(0).alias("start5"), (20 + F.col("tstart") % 60).alias("end5"), (size - 20 - F.col("tend") % 60).alias("start3"), size.alias("end3"))
+    return lc.precursor_ratio(lc.precursor_arms(p), v.tag_position)
+
+
 @query("A32", "locus", sql="WITH m AS (SELECT lstart // 3000 AS cluster, name AS member, lib AS species FROM locus), p AS (SELECT cluster, species, min(member) AS member FROM m GROUP BY 1, 2), n AS (SELECT cluster, count(*) AS n_species FROM p GROUP BY 1 HAVING count(*) > 1) SELECT p.*, n_species FROM p JOIN n USING (cluster)")
 def a32(v: Views) -> DataFrame:
     return lc.cross_species_clusters(v.locus.select(F.floor(F.col("lstart") / 3000).alias("cluster"), F.col("name").alias("member"), F.col("lib").alias("species")))
@@ -167,20 +174,20 @@ def a33(v: Views) -> DataFrame:
     return lc.classify_pairs(t.select("name"), pairs, t)
 
 
-_OFF = "(SELECT unnest([0,-1,1,-2,2]) AS o), (SELECT unnest(generate_series(-5,5)) AS idx)"
+_OFF = "(SELECT unnest([0,-1,1,-2,2]) AS o), (SELECT unnest(generate_series(-5,7)) AS idx)"
 
 
-@query("J18", "tag_position", "locus", sql=f"WITH s AS (SELECT DISTINCT lib || '_' || CAST(pos AS STRING) || '_' || strand || CAST(chr AS STRING) AS site, chr, strand, pos FROM tag_position WHERE len = 21), c AS (SELECT s.site, l.name, abs(o) AS cls, idx, row_number() OVER (PARTITION BY s.site, l.name ORDER BY abs(o), abs(idx), idx) AS r FROM locus l, {_OFF}, s WHERE s.chr=l.chr AND s.pos = CASE WHEN s.strand='w' THEN lstart ELSE lend END + idx*{RL} + o) SELECT site, name, cls, idx FROM c WHERE r = 1")
+@query("J18", "tag_position", "locus", sql=f"WITH s AS (SELECT DISTINCT lib || '_' || CAST(pos AS STRING) || '_' || strand || CAST(chr AS STRING) AS site, chr, strand, pos FROM tag_position), c AS (SELECT s.site, l.name, abs(o) AS cls, idx, row_number() OVER (PARTITION BY s.site, l.name ORDER BY abs(o), abs(idx), idx) AS r FROM locus l, {_OFF}, s WHERE s.chr=l.chr AND s.pos = CASE WHEN s.strand='w' THEN lstart ELSE lend END + idx*{RL} + o) SELECT site, name, cls, idx FROM c WHERE r = 1")
 def j18(v: Views) -> DataFrame:
     return lc.find_triggers(_sites(v), v.locus, RL)
 
 
 def _sites(v: Views) -> DataFrame:
     site = F.concat(F.col("lib"), F.lit("_"), F.col("pos").cast("string"), F.lit("_"), F.col("strand"), F.col("chr").cast("string"))
-    return v.tag_position.filter("len = 21").select(site.alias("site"), "chr", "strand", "pos").distinct()
+    return v.tag_position.select(site.alias("site"), "chr", "strand", "pos").distinct()
 
 
-@query("W17", "tag_position", "locus", sql=f"WITH s AS (SELECT DISTINCT lib || '_' || CAST(pos AS STRING) || '_' || strand || CAST(chr AS STRING) AS site, chr, strand, pos FROM tag_position WHERE len = 21), c AS (SELECT s.site, l.name, idx, row_number() OVER (PARTITION BY s.site, l.name ORDER BY abs(o), abs(idx), idx) AS r FROM locus l, {_OFF}, s WHERE s.chr=l.chr AND s.pos = CASE WHEN s.strand='w' THEN lstart ELSE lend END + idx*{RL} + o), f AS (SELECT *, substr(site,1,2) AS family FROM c WHERE r=1 AND abs(idx)<=3), g AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN family='L1' THEN 0 ELSE 1 END, abs(idx), site, idx) AS q FROM f) SELECT name, site, family, idx FROM g WHERE q=1")
+@query("W17", "tag_position", "locus", sql=f"WITH s AS (SELECT DISTINCT lib || '_' || CAST(pos AS STRING) || '_' || strand || CAST(chr AS STRING) AS site, chr, strand, pos FROM tag_position), c AS (SELECT s.site, l.name, idx, row_number() OVER (PARTITION BY s.site, l.name ORDER BY abs(o), abs(idx), idx) AS r FROM locus l, {_OFF}, s WHERE s.chr=l.chr AND s.pos = CASE WHEN s.strand='w' THEN lstart ELSE lend END + idx*{RL} + o), f AS (SELECT *, substr(site,1,2) AS family FROM c WHERE r=1 AND abs(idx)<=3), g AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN family='L1' THEN 0 ELSE 1 END, abs(idx), site, idx) AS q FROM f) SELECT name, site, family, idx FROM g WHERE q=1")
 def w17(v: Views) -> DataFrame:
     return lc.best_trigger(lc.find_triggers(_sites(v), v.locus, RL).withColumn("family", F.substring("site", 1, 2)), ("L1",))
 

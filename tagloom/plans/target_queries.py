@@ -104,6 +104,12 @@ def p18(v: Views) -> DataFrame:
     return tr.rebuild_alignment(df)
 
 
+@query("P18_clips", "seqs", sql="SELECT name AS id, substr(seq,4,10) || '--' || substr(seq,14,4) || substr(seq,18,2) AS mir, substr(seq,4,16) || '--' AS tar FROM seqs WHERE seq IS NOT NULL")
+def p18_clips(v: Views) -> DataFrame:
+    df = v.seqs.filter("seq IS NOT NULL").select(F.col("name").alias("id"), F.substring("seq", 1, 21).alias("seq"), F.lit("5H3S10M2D4M100N2I2S").alias("cigar"), F.substring("seq", 4, 16).alias("target"))
+    return tr.rebuild_alignment(df)
+
+
 @query("P18_md", "seqs", sql="WITH s AS (SELECT name, seq, translate(substr(seq,3,1),'ACGT','CGTA') AS tb, substr(seq,22,1) IN ('A','C') AS gapped FROM seqs WHERE seq IS NOT NULL) SELECT name AS id, CASE WHEN gapped THEN substr(seq,1,12) || '--' || substr(seq,13,9) ELSE substr(seq,1,21) END AS mir, CASE WHEN gapped THEN substr(seq,1,2) || tb || substr(seq,4,2) || '-' || substr(seq,7,6) || 'AC' || substr(seq,13,9) ELSE substr(seq,1,2) || tb || substr(seq,4,17) || 'N' END AS tar FROM s")
 def p18_md(v: Views) -> DataFrame:
     gapped, tb = F.substring("seq", 22, 1).isin("A", "C"), F.translate(F.substring("seq", 3, 1), "ACGT", "CGTA")
@@ -236,6 +242,13 @@ def j24(v: Views) -> DataFrame:
     return tr.transcript_seqs(tr.chunk_genome(v.seqs, _SIZE), ex, _SIZE)
 
 
+@query("J24_unstranded", "seqs", sql=f"WITH {_IVL}, s AS (SELECT id, strand, substr(seq,5,11) || substr(seq,35,10) AS x FROM i) SELECT id AS trans, x AS seq FROM s UNION ALL SELECT id || '_rc' AS trans, reverse(translate(x,'ACGT','TGCA')) AS seq FROM s WHERE strand = 'w' UNION ALL SELECT id || '_rc', reverse(translate(x,'ACGT','TGCA')) FROM s WHERE strand = 'c'")
+def j24_unstranded(v: Views) -> DataFrame:
+    parts = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((35, 44), (5, 15))]))
+    ex = _ivl(v).select(F.col("id").alias("trans"), "chr", F.when(F.col("strand") == "w", ".").alias("strand"), parts.alias("x")).select("trans", "chr", "strand", F.col("x.a").alias("xstart"), F.col("x.b").alias("xend"))
+    return tr.transcript_seqs(tr.chunk_genome(v.seqs, _SIZE), ex, _SIZE)
+
+
 @query("J25", "seqs", sql=f"WITH {_IVL}, p AS (SELECT id, strand, seq, CASE WHEN strand='w' THEN greatest(istart-20,1) ELSE 81 END AS s, CASE WHEN strand='w' THEN istart-1 ELSE 96 END AS e FROM i) SELECT id, CASE WHEN strand='c' THEN reverse(translate(substr(seq,s::BIGINT,(e-s+1)::BIGINT),'ACGT','TGCA')) ELSE substr(seq,s::BIGINT,(e-s+1)::BIGINT) END AS seq FROM p")
 def j25(v: Views) -> DataFrame:
     g = _ivl(v).select(F.col("id").alias("gene"), "chr", "strand", F.col("istart").alias("tstart"), F.lit(80).alias("tend"))

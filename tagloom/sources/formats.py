@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 Paths = str | list[str]
 
@@ -21,16 +20,22 @@ def _stem() -> Column:
     return F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]+)*$", 1)
 
 
+def _records(spark: SparkSession, path: Paths) -> DataFrame:
+    """Records that begin with > at a line's start, without it: > may occur within a line."""
+    r = spark.read.text(path, lineSep="\n>")
+    return r.withColumn("value", F.regexp_replace("value", "^>", "")).filter(F.trim("value") != "")  # the first of a file still has it
+
+
 def read_fasta(spark: SparkSession, path: Paths) -> DataFrame:
     """IO1. (name, seq): first token of the header, lines joined, empty records dropped."""
-    r = spark.read.text(path, lineSep=">").filter(F.trim("value") != "")
+    r = _records(spark, path)
     body = F.regexp_replace(F.substr("value", F.length(F.substring_index("value", "\n", 1)) + 1), r"\s", "")
     return r.select(F.regexp_extract("value", r"^(\S+)", 1).alias("name"), body.alias("seq")).filter("seq <> ''")
 
 
 def read_fasta_counted(spark: SparkSession, path: Paths) -> DataFrame:
     """IO1. Records and empty ones, per file."""
-    r = spark.read.text(path, lineSep=">").withColumn("file", F.input_file_name()).filter(F.trim("value") != "")
+    r = _records(spark, path).withColumn("file", F.input_file_name())
     body = F.regexp_replace(F.substr("value", F.length(F.substring_index("value", "\n", 1)) + 1), r"\s", "")
     return r.groupBy("file").agg(F.count("*").alias("records"), F.count_if(body == "").alias("empty"))
 
@@ -43,6 +48,7 @@ def read_fastq(spark: SparkSession, path: Paths, blacklist: str | None = None) -
     border of two parts of a file. A record that a file's end cuts off has no quality; pieces without a sequence are dropped.
     """
     r = spark.read.text(path, lineSep="\n@").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("id"), _stem().alias("lib"))
+    r = r.withColumn("value", F.regexp_replace("value", r"\r(?=\n|\z)", ""))
     # the first record of a file still has its @
     r = r.withColumn("p", F.split("value", "\n")).withColumn("p", F.when(F.size("p") >= 3, F.split(F.regexp_replace("value", "^@", ""), "\n")).otherwise(F.col("p"))).drop("value")
     whole = r.filter(F.size("p") >= 4).withColumn("qual", F.get("p", F.lit(3)))
@@ -127,7 +133,7 @@ def read_map(spark: SparkSession, path: Paths) -> DataFrame:
 
 def read_clusters(spark: SparkSession, path: Paths) -> DataFrame:
     """IO9. Rows of phased-cluster blocks with their header's id, chromosome and range (header tokens 3, 7, 11, 13)."""
-    r = spark.read.text(path, lineSep=">").filter(F.trim("value") != "").withColumn("l", F.split("value", "\n"))
+    r = _records(spark, path).withColumn("l", F.split("value", "\r?\n"))
     h = F.split(F.trim(F.col("l")[0]), r"\s+")
     r = r.select(h.alias("h"), F.posexplode(F.slice("l", F.lit(2), F.size("l"))).alias("n", "row")).filter("trim(row) <> ''")
     f = F.split("row", "\t")
@@ -249,19 +255,27 @@ def read_counts(spark: SparkSession, path: Paths) -> DataFrame:
     return wide.unpivot([gene], samples, "sample", "cnt").select(F.col(gene).alias("gene"), "sample", F.col("cnt").try_cast("long").alias("cnt"))
 
 
-def read_10x(spark: SparkSession, matrix: str, genes: str, cells: str) -> DataFrame:
-    """IO23. A MatrixMarket matrix with its names: (cell, gene, cnt). The first line that isn't a comment gives the sizes."""
-    m = spark.read.csv(matrix, sep=" ", comment="%", schema="i long, j long, cnt long")
+def numbered_lines(spark: SparkSession, path: Paths) -> DataFrame:
+    """(number, value): lines numbered from 1 in the order of files' names and of places within them. Each part of a file is counted by
+    itself; a running sum over the parts, one row each, says where its numbers begin, so no task holds more than a part."""
+    r = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("id"))
+    parts = r.groupBy(F.col("file").alias("pf"), F.col("part").alias("pp")).agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("pf", "pp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    both = r.join(F.broadcast(parts), (F.col("file") == F.col("pf")) & (F.col("part") == F.col("pp")))
+    return both.select((F.col("before") + F.col("id") - F.col("first") + 1).alias("number"), "value")
 
-    def names(path: str, out: str) -> DataFrame:
-        rows = spark.read.csv(path, sep="\t", schema=T.StructType([T.StructField(out, T.StringType())])).coalesce(1)  # in file order; at most a few ten thousand lines
-        return rows.withColumn("row", F.monotonically_increasing_id() + 1)
 
+def read_10x(spark: SparkSession, matrix: str, genes: str, cells: str) -> DataFrame:
+    """IO23. A MatrixMarket matrix with its names: (cell, gene, cnt). The first line that isn't a comment gives the sizes; a name is the first
+    column of the line with its number. A path may be a folder, whose files follow each other by name."""
+    m = numbered_lines(spark, matrix).filter(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    sizes = m.agg(F.min("number").alias("sizes_at"))  # one row
+    f = F.split(F.trim("value"), r"\s+")
+    at = lambda k: F.get(f, F.lit(k)).try_cast("long")
+    body = m.crossJoin(F.broadcast(sizes)).filter("number > sizes_at").select(at(0).alias("i"), at(1).alias("j"), at(2).alias("cnt"))
+    names = lambda path, out: numbered_lines(spark, path).select("number", F.split("value", "\t")[0].alias(out))
     g, c = names(genes, "gene"), names(cells, "cell")
-    sizes = m.agg(F.max("i").alias("mi"), F.max("j").alias("mj"), (F.count("*") - 1).alias("entries"))
-    # one row; the sizes line holds both largest numbers and the number of entries
-    body = m.crossJoin(F.broadcast(sizes)).filter("NOT (i = mi AND j = mj AND cnt = entries)")
-    return body.join(g, F.col("i") == g["row"]).join(c, F.col("j") == c["row"]).select("cell", "gene", "cnt")
+    return body.join(g, F.col("i") == g["number"]).join(c, F.col("j") == c["number"]).select("cell", "gene", "cnt")
 
 
 def union_files(spark: SparkSession, paths: list[str], sep: str = "\t") -> DataFrame:

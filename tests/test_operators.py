@@ -359,6 +359,61 @@ def test_fasta_and_sam_edges(spark, tmp_path):
     assert head.count() == 1 and sorted(r["flag"] for r in kept.collect()) == [0, 16] and un.count() == 1
 
 
+def test_records_are_cut_at_a_line_start(spark, tmp_path):
+    (tmp_path / "a.fa").write_bytes(b">s1 a>b x\r\nACG\r\n>s2\nG>T\nC\n")
+    assert rows(formats.read_fasta(spark, str(tmp_path / "a.fa"))) == [("s1", "ACG"), ("s2", "G>TC")]
+    (tmp_path / "c.txt").write_text(">cluster id c>1 a b chr 2 x y from 5 to 9\n2\tw\t6\tt\tAC\t21\t3\t1\t2\t4\t5\t0.5\n")
+    assert [(r["cluster"], r["chr"], r["cend"], r["pos"]) for r in formats.read_clusters(spark, str(tmp_path / "c.txt")).collect()] == [("c>1", "2", 9, 6)]
+
+
+def test_fastq_with_carriage_returns(spark, tmp_path):
+    (tmp_path / "a.fq").write_bytes(b"@r1 x\r\nACGT\r\n+\r\nIIII\r\n@r2\r\nGG\r\n+\r\n@I\r\n")
+    assert rows(formats.read_fastq(spark, str(tmp_path / "a.fq")).select("read_id", "seq", "qual")) == [("r1", "ACGT", "IIII"), ("r2", "GG", "@I")]
+
+
+def test_10x_entry_like_the_sizes_line(spark, tmp_path):
+    (tmp_path / "m.mtx").write_text("%%MatrixMarket\n%\n2 2 2\n1 1 5\n2 2 2\n")
+    (tmp_path / "g.tsv").write_text("ga\tGene A\ngb\tGene B\n")
+    (tmp_path / "c.tsv").write_text("c1\nc2\n")
+    assert rows(formats.read_10x(spark, *(str(tmp_path / x) for x in ("m.mtx", "g.tsv", "c.tsv")))) == [("c1", "ga", 5), ("c2", "gb", 2)]
+
+
+def test_lines_keep_their_order_over_many_parts(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"n{k}.txt").write_text("".join(f"{k}-{i}\n" for i in range(2000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        lines = formats.numbered_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 10
+        assert [r["value"] for r in lines.orderBy("number").collect()] == [f"{k}-{i}" for k in range(3) for i in range(2000)]
+        assert rows(lines.agg(F.min("number"), F.max("number"), F.countDistinct("number"))) == [(1, 6000, 6000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_an_annotated_gene_goes_with_all_its_isoforms(spark):
+    t = [("g", "t1", 1, "w", 10, 90, 5, True), ("g", "t2", 1, "w", 50, 120, 0, True), ("g", "t3", 1, "w", 500, 600, 1, True), ("h", "t4", 1, "w", 10, 90, 1, True), ("h", "t5", 1, "w", 80, 95, -1, True), ("h", "t6", 1, "w", 95, 99, 2, False)]
+    got = intervals.collapse_isoforms(spark.createDataFrame(t, "gene string, trans string, chr int, strand string, tstart long, tend long, score int, coding boolean"))
+    assert rows(got.select("gene", "isoforms", "mstart", "mend", "best_score", "kind")) == [("g", "t3", 500, 600, 1, "uniq"), ("h", "t4,t5", 10, 95, 1, "merged")]
+
+
+def test_triggers_up_to_seven_cycles_in(spark):
+    locus = spark.createDataFrame([("p", 1, 1000, 3000)], "name string, chr int, lstart long, lend long")
+    sites = spark.createDataFrame([(f"w{i}", 1, "w", 1000 + 21 * i) for i in (-6, -5, 7, 8)] + [("c7", 1, "c", 3000 + 147), ("dicer", 1, "w", 1000 + 21 * 6 - 1), ("strand", 1, "c", 3000 - 21 + 2)], "site string, chr int, strand string, pos long")
+    assert rows(loci.find_triggers(sites, locus, 21).select("site", "cls", "idx")) == [("c7", 0, 7), ("dicer", 1, 6), ("strand", 2, -1), ("w-5", 0, -5), ("w7", 0, 7)]
+
+
+def test_clips_take_read_bases_but_no_place(spark):
+    df = spark.createDataFrame([("a", "TTACGTACGG", "3H2S2M1I3M2S", "ACTAC"), ("b", "ACTACGG", "2M1D3M5N2S1P", "ACGTAC")], "id string, seq string, cigar string, target string")
+    assert rows(targets.rebuild_alignment(df)) == [("a", "ACGTAC", "AC-TAC"), ("b", "AC-TAC", "ACGTAC")]
+
+
+def test_precursor_counts_both_arms(spark):
+    p = spark.createDataFrame([("m", 1, 100, 0, 20, 60, 80), ("none", 1, 100, None, None, None, None)], "name string, chr int, pstart long, start5 long, end5 long, start3 long, end3 long")
+    t = spark.createDataFrame([("a", 1, 110, 6), ("b", 1, 165, 3), ("loop", 1, 140, 50), ("c", 1, 180, 1)], "tag string, chr int, pos long, abun long")
+    assert rows(loci.precursor_ratio(loci.precursor_arms(p), t)) == [("m", 10, 0.6, 0.9)]
+
+
 def test_10x(spark, tmp_path):
     (tmp_path / "m.mtx").write_text("%%MatrixMarket\n3 2 3\n1 1 5\n3 1 2\n2 2 1\n")
     (tmp_path / "g.tsv").write_text("ga\ngb\ngc\n")
