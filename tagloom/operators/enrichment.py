@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.operators.expression import quantiles
 from tagloom.operators.intervals import point_join
 
 
@@ -91,7 +92,7 @@ def coverage_thresholds(regions: DataFrame, points: DataFrame) -> DataFrame:
     r = regions.select("name", "it", F.col("chr").alias("rchr"), "rstart", "rend")
     n = point_join(points, r, [("chr", "rchr")], "pos", ("rstart", "rend")).groupBy(F.col("name").alias("n"), F.col("it").alias("i")).agg(F.count("*").alias("k"))
     k = r.join(n, (F.col("name") == F.col("n")) & (F.col("it") == F.col("i")), "left").select("it", F.coalesce("k", F.lit(0)).alias("k"))
-    per = k.groupBy("it").agg(F.expr("percentile(k, array(0.95, 0.05))").alias("q"))
+    per = quantiles(k, "it", "k", (0.95, 0.05))  # then one row for each iteration
     return per.agg(F.avg(F.col("q")[0]).alias("mean95"), F.avg(F.col("q")[1]).alias("mean5"), F.expr("percentile(q[0], 0.5)").alias("med95"), F.expr("percentile(q[1], 0.5)").alias("med5"))
 
 

@@ -2,31 +2,98 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.operators.intervals import point_join
-from tagloom.operators.islands import number_islands, number_rows
-from tagloom.runtime import ship
+from tagloom.operators.intervals import bin_join, dice, point_join
+from tagloom.operators.islands import number_rows
+from tagloom.runtime import checkpoint, ship
+
+LOCUS = ["name", "neglog_p", "chr", "lstart", "lend", "lib"]
+SHARE = 4096  # loci of one block of a merge
+
+
+def _numbered(loci: DataFrame, order: list) -> DataFrame:
+    """Loci numbered along their chromosome (near), in blocks of SHARE neighbours, with the columns k0, k1, ... of the rule's order. Loci have both ends."""
+    near = number_rows(loci, ["chr"], "lstart", ["lend", "lib", "name", "neglog_p"], "near")
+    return near.withColumn("block", F.floor(F.col("near") / SHARE)).withColumns({f"k{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate([*order, "near"])})
 
-BLOCK = 200
-LOCUS = "name string, neglog_p long, chr long, lstart long, lend long, lib string"
 
+def _in_order(pdf: pd.DataFrame) -> tuple[list[tuple], list[int]]:
+    """The order's values of each row, and the rows' places in it."""
+    keys = list(zip(*[pdf[c].tolist() for c in pdf.columns if re.fullmatch(r"k\d", c)], strict=True))
+    return keys, sorted(range(len(keys)), key=keys.__getitem__)
 
-def _island(loci: DataFrame, keys: list[str]) -> DataFrame:
-    """Numbers overlap islands within keys; order-dependent merging never reaches over an island's border."""
-    return number_islands(loci, keys, "lstart", "lend", -1, "island")  # intervals that only touch don't overlap
+
+def _conflicts(loci: DataFrame, keys: list[str], most: float) -> DataFrame:
+    """(chr, u, v, blocks of both): pairs of loci of one key that overlap by more than ``most``."""
+    side = lambda x: loci.select(*[F.col(k).alias(f"{k}_{x}") for k in keys], F.col("near").alias(x), F.col("block").alias(f"block_{x}"), F.col("lstart").alias(f"s{x}"), F.col("lend").alias(f"e{x}"))
+    both = bin_join(side("u"), side("v"), [(f"{k}_u", f"{k}_v") for k in keys], ("su", "eu"), ("sv", "ev"))
+    good = (F.col("u") != F.col("v")) & (dice(F.col("su"), F.col("eu"), F.col("sv"), F.col("ev")) > most)
+    return both.filter(good).select(F.col("chr_u").alias("chr"), "u", "v", "block_u", "block_v")
+
+
+def _replay(loci: DataFrame, conflicts: DataFrame, one: Callable[[pd.DataFrame], list], hops: int) -> DataFrame:
+    """Loci with what an order-dependent rule decides about each (say): ``one`` goes through a block's loci in order and says it for the block's own, of
+    which it gets, besides, the loci of other blocks that may matter to it (those in conflict with one of its own, or with one in conflict with
+    one, for two hops) with what their blocks said last.
+
+    Blocks are replayed until none says anything new. What a locus is told depends on earlier ones alone, so by induction over the order the last
+    sayings are those of the one-by-one rule, and a round settles at least all that depends on one border more. A task holds one block and its neighbours.
+    """
+    out = conflicts.filter("block_u <> block_v").select("chr", F.col("block_u").alias("for"), F.col("v").alias("near"))
+    if hops > 1:
+        link = conflicts.select(F.col("chr").alias("c"), "u", F.col("v").alias("further"))
+        out = out.unionByName(out.join(link, (F.col("chr") == F.col("c")) & (F.col("near") == F.col("u"))).select("chr", "for", F.col("further").alias("near")))
+        across = conflicts.filter("block_u = block_v").select("chr", F.col("block_u").alias("for"), "v")  # one's own neighbour, and its neighbour outside
+        out = out.unionByName(across.join(link, (F.col("chr") == F.col("c")) & (F.col("v") == F.col("u"))).select("chr", "for", F.col("further").alias("near")))
+    at = loci.select(F.col("chr").alias("c"), F.col("near").alias("n"), "block")
+    halo = out.distinct().join(at, (F.col("chr") == F.col("c")) & (F.col("near") == F.col("n")) & (F.col("for") != F.col("block")))
+    halo = checkpoint(halo.select(F.col("chr").alias("hc"), F.col("near").alias("hn"), "for"))
+    said = loci.withColumn("say", F.lit(None).cast("string"))
+    schema = said.schema
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf["say"] = one(pdf)
+        return pdf[pdf["own"]].drop(columns=["own", "for"])[[f.name for f in schema.fields]]
+
+    some = halo.limit(1).count() > 0
+    while True:
+        own = said.withColumn("for", F.col("block")).withColumn("own", F.lit(True))
+        if some:
+            around = said.join(halo, (F.col("chr") == F.col("hc")) & (F.col("near") == F.col("hn"))).drop("hc", "hn").withColumn("own", F.lit(False))
+            own = own.unionByName(around)
+        now = checkpoint(own.groupBy("chr", "for").applyInPandas(run, schema))
+        before = said.select(F.col("chr").alias("c"), F.col("near").alias("n"), F.col("say").alias("was"))
+        done = not some or now.join(before, (F.col("chr") == F.col("c")) & (F.col("near") == F.col("n"))).filter("NOT was <=> say").isEmpty()
+        said = now
+        if done:
+            return said
 
 
 def _dice(a, b) -> float:
-    return 2.0 * max(0, min(a.lend, b.lend) - max(a.lstart, b.lstart)) / ((a.lend - a.lstart) + (b.lend - b.lstart))
+    shared = min(a.lend, b.lend) - max(a.lstart, b.lstart)
+    return 2.0 * shared / ((a.lend - a.lstart) + (b.lend - b.lstart)) if shared > 0 else 0.0
 
 
-def _by_island(pdf: pd.DataFrame, one) -> pd.DataFrame:
-    """one over each island's rows of a block of islands."""
-    kept = [r for _, rows in pdf.groupby("island", sort=True) for r in one(list(rows.itertuples(index=False)))]
-    return pd.DataFrame(kept, columns=pdf.columns)[["name", "neglog_p", "chr", "lstart", "lend", "lib"]]
+def _earlier(rows: list, most: float, same: str | None) -> list[list[int]]:
+    """For each of the rows, which are in order, the places of the earlier ones that it overlaps by more than ``most``: by a sweep over their starts."""
+    by_start = sorted(range(len(rows)), key=lambda i: rows[i].lstart)
+    out: list[list[int]] = [[] for _ in rows]
+    open_: list[int] = []
+    for i in by_start:
+        r = rows[i]
+        open_ = [j for j in open_ if rows[j].lend > r.lstart]
+        for j in open_:
+            if (same is None or getattr(rows[j], same) == getattr(r, same)) and _dice(r, rows[j]) > most:
+                out[max(i, j)].append(min(i, j))
+        open_.append(i)
+    return out
 
 
 def self_merge(loci: DataFrame, most: float = 0.45) -> DataFrame:
@@ -34,38 +101,71 @@ def self_merge(loci: DataFrame, most: float = 0.45) -> DataFrame:
 
     Greedy from the best locus on: a locus goes if a kept one overlaps it, so no two that stay overlap, and each that goes is overlapped by
     a better one that stays. That is the intent of taking the best of each group of overlapping loci; where loci overlap in chains
-    it doesn't depend on the order of the rows. A task takes blocks of BLOCK overlap islands.
+    it doesn't depend on the order of the rows. Blocks of neighbours are judged in parallel, as _replay says.
     """
+    ship(loci.sparkSession)
+    rows = checkpoint(_numbered(loci.select(*LOCUS), [-F.col("neglog_p"), F.col("lstart") - F.col("lend"), F.col("lstart"), F.col("name")]))
 
-    def one(rows: list) -> list:
-        kept: list = []
-        for r in sorted(rows, key=lambda r: (-r.neglog_p, r.lstart - r.lend, r.lstart, r.name)):
-            if all(_dice(r, k) <= most for k in kept):
-                kept.append(r)
-        return kept
+    def one(pdf: pd.DataFrame) -> list:
+        _, place = _in_order(pdf)
+        rows = list(pdf.iloc[place].itertuples(index=False))
+        said = [None] * len(rows)
+        for i, before in enumerate(_earlier(rows, most, "lib")):
+            said[i] = rows[i].say if not rows[i].own else "goes" if any(said[j] == "stays" for j in before) else "stays"
+        return _back(said, place)
 
-    ship(loci.sparkSession)
-    rows = _island(loci, ["lib", "chr"]).withColumn("block", F.floor(F.col("island") / BLOCK))
-    return rows.groupBy("lib", "chr", "block").applyInPandas(lambda pdf: _by_island(pdf, one), LOCUS)
+    return _replay(rows, _conflicts(rows, ["lib", "chr"], most), one, 1).filter("say = 'stays'").select(*LOCUS)
 
 
 def merge_libraries(loci: DataFrame, most: float = 0.25) -> DataFrame:
     """W12. Libraries folded in the order of their names: a locus that overlaps none kept by more than ``most`` is added, else the
-    longer of it and the kept one it overlaps most stays. A task takes blocks of BLOCK overlap islands."""
-
-    def one(rows: list) -> list:
-        kept: list = []
-        for r in sorted(rows, key=lambda r: (r.lib, r.lstart, r.lend, r.name)):
-            best = max(range(len(kept)), key=lambda i: (_dice(r, kept[i]), -i), default=-1)
-            if best < 0 or _dice(r, kept[best]) <= most:
-                kept.append(r)
-            elif r.lend - r.lstart > kept[best].lend - kept[best].lstart:
-                kept[best] = r
-        return kept
+    longer of it and the kept one it overlaps most (the one added first, of equals) stays.
 
+    A locus says that it goes, or the place of the locus that was added first of those that followed each other in its own. Blocks of neighbours are folded
+    in parallel, as _replay says: what a locus meets is in conflict with it, and what may have replaced that, in conflict with what it meets.
+    """
     ship(loci.sparkSession)
-    rows = _island(loci, ["chr"]).withColumn("block", F.floor(F.col("island") / BLOCK))
-    return rows.groupBy("chr", "block").applyInPandas(lambda pdf: _by_island(pdf, one), LOCUS)
+    rows = checkpoint(_numbered(loci.select(*LOCUS), ["lib", "lstart", "lend", "name"]))
+
+    def one(pdf: pd.DataFrame) -> list:
+        keys, place = _in_order(pdf)
+        rows = list(pdf.iloc[place].itertuples(index=False))
+        said: list[str | None] = [None] * len(rows)
+        holder: dict[str, int] = {}  # of each place in the result: who has it
+        at: dict[int, str] = {}
+        for i, before in enumerate(_earlier(rows, most, None)):
+            r = rows[i]
+            if not r.own:
+                said[i] = r.say
+            else:
+                met = [j for j in before if j in at]
+                best = max(met, key=lambda j: _dice(r, rows[j]), default=None)
+                if best is not None:
+                    tied = [j for j in met if _dice(r, rows[j]) == _dice(r, rows[best])]
+                    best = min(tied, key=lambda j: tuple(json.loads(at[j])))
+                if best is None:
+                    said[i] = json.dumps(keys[place[i]])  # a new place, named by who is added to it
+                elif r.lend - r.lstart > rows[best].lend - rows[best].lstart:
+                    said[i] = at[best]
+                else:
+                    said[i] = "goes"
+            if said[i] is not None and said[i] != "goes":
+                if (old := holder.get(said[i])) is not None:
+                    at.pop(old, None)
+                holder[said[i]] = i
+                at[i] = said[i]
+        return _back(said, place)
+
+    done = _replay(rows, _conflicts(rows, ["chr"], most), one, 2).filter("say <> 'goes'")
+    last = done.groupBy("chr", "say").agg(F.max(F.struct("k0", "k1", "k2", "k3", "k4", *[c for c in LOCUS if c != "chr"])).alias("x"))
+    return last.select(*[F.col("chr") if c == "chr" else F.col(f"x.{c}").alias(c) for c in LOCUS])
+
+
+def _back(said: list, place: list[int]) -> list:
+    out = [None] * len(said)
+    for s, i in zip(said, place, strict=True):
+        out[i] = s
+    return out
 
 
 def best_cluster(rows: DataFrame) -> DataFrame:
@@ -162,38 +262,57 @@ def best_trigger(triggers: DataFrame, preferred: tuple[str, ...], most: int = 3)
     return best.select("name", "b.site", "b.family", "b.idx")
 
 
-def greedy_matching(pairs: DataFrame, order: list, a: str = "a", b: str = "b", few: int | None = None) -> DataFrame:
+def greedy_matching(pairs: DataFrame, order: list, a: str = "a", b: str = "b") -> DataFrame:
     """W18. Greedy choice of pairs in a total order, each member used once (a and b are two roles of the same names; a pair may be of one with itself).
 
-    Pairs that are the best of both their members are chosen at once; their members' other pairs go; until none is left. On a total
-    order that is what the one-by-one choice gives. Each round chooses the best pair of all at least, so it ends; a chain of dependent
-    choices takes a round for each link. Once no more than ``few`` pairs are left (runtime.FEW), they are chosen one by one on the driver.
+    Each round finds the best two pairs of every member. A pair that is the best of both its members is chosen, whatever else there is. One that has a
+    single better pair beside it is chosen if that one isn't; such pairs point at each other in chains, which doubling resolves in a number of steps that
+    grows with the logarithm of their length. Members of chosen pairs leave with all their pairs. A round chooses the best pair of all at least, so it ends;
+    chains, the case of many dependent choices, take one round.
     """
-    from tagloom.runtime import FEW, checkpoint
-
-    few = FEW if few is None else few
-    left = checkpoint(pairs.withColumn("__o", F.struct(*order)).filter(F.col(a).isNotNull() & F.col(b).isNotNull()))
-    chosen, schema = left.limit(0), left.schema
+    left = checkpoint(pairs.withColumn("__o", F.struct(*order)).filter(F.col(a).isNotNull() & F.col(b).isNotNull()).dropDuplicates(["__o"]))
+    chosen = left.limit(0)
     rounds = 0
-    while left.limit(few + 1).count() > few:
-        both = left.select(F.col(a).alias("m"), "__o").unionByName(left.select(F.col(b).alias("m"), "__o"))
-        best = both.groupBy("m").agg(F.min("__o").alias("bo"))
-        top = left.join(best.select(F.col("m").alias("ma"), F.col("bo").alias("oa")), F.col(a) == F.col("ma")).join(best.select(F.col("m").alias("mb"), F.col("bo").alias("ob")), F.col(b) == F.col("mb"))
-        top = checkpoint(top.filter("__o = oa AND __o = ob").select(*left.columns).dropDuplicates(["__o"]))
+    while not left.isEmpty():
+        both = left.select(F.col(a).alias("m"), "__o").unionByName(left.filter(F.col(a) != F.col(b)).select(F.col(b).alias("m"), "__o"))
+        # the two best of each member; partial sorts of two rows in every task
+        two = both.groupBy("m").agg(F.min("__o").alias("first"))
+        second = both.join(two, "m").filter(F.col("__o") > F.col("first")).groupBy("m").agg(F.min("__o").alias("second"))
+        two = checkpoint(two.join(second.withColumnRenamed("m", "m2"), F.col("m") == F.col("m2"), "left").drop("m2"))
+        of = lambda x: two.select(F.col("m").alias(f"m{x}"), F.col("first").alias(f"f{x}"), F.col("second").alias(f"s{x}"))
+        seen = left.join(of("a"), F.col(a) == F.col("ma")).join(of("b"), F.col(b) == F.col("mb"))
+        best_a, best_b = F.col("__o") == F.col("fa"), F.col("__o") == F.col("fb")
+        next_a, next_b = F.coalesce(F.col("__o") == F.col("sa"), F.lit(False)), F.coalesce(F.col("__o") == F.col("sb"), F.lit(False))
+        # the only better pair beside it
+        up = F.when(best_a & next_b, F.col("fb")).when(next_a & best_b, F.col("fa")).when(next_a & next_b & (F.col("fa") == F.col("fb")), F.col("fa"))
+        seen = checkpoint(seen.withColumn("__up", up).filter((best_a & best_b) | F.col("__up").isNotNull()).select(*left.columns, "__up"))
+        top = seen.filter("__up IS NULL")
         if top.isEmpty():
             raise RuntimeError("greedy_matching: no pair is the best of both its members; the order must be total")
-        chosen = chosen.unionByName(top)
+        won = resolve_chains(seen.filter("__up IS NOT NULL").select("__o", "__up"), top.select("__o"))
+        taken = seen.join(won.withColumnRenamed("__o", "__w"), F.col("__o") == F.col("__w"), "left_semi").drop("__up").unionByName(top.drop("__up"))
+        taken = checkpoint(taken)
+        chosen = chosen.unionByName(taken)
         rounds += 1
-        if rounds % 50 == 0:  # a long chain: keeps the plan short
+        if rounds % 20 == 0:  # keeps the plan short
             chosen = checkpoint(chosen)
-        used = top.select(F.explode(F.array(a, b)).alias("u")).distinct()
+        used = taken.select(F.explode(F.array(a, b)).alias("u")).distinct()
         left = checkpoint(left.join(used, F.col(a) == F.col("u"), "left_anti").join(used, F.col(b) == F.col("u"), "left_anti"))
-    taken, last = set(), []
-    for r in left.orderBy("__o").collect():  # at most few rows
-        if r[a] not in taken and r[b] not in taken:
-            taken |= {r[a], r[b]}
-            last.append(r)
-    return chosen.unionByName(left.sparkSession.createDataFrame(last, schema)).drop("__o")
+    return chosen.drop("__o")
+
+
+def resolve_chains(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(__o) of links (__o, __up) at an even distance from a root (__o): a link holds if what it points at doesn't, and roots hold. Links that lead to no
+    root are left open. Distances come by pointer doubling: each step joins every open link with the one it points at."""
+    at = checkpoint(links.withColumn("odd", F.lit(True)))
+    while True:
+        far = at.select(F.col("__o").alias("__n"), F.col("__up").alias("further"), F.col("odd").alias("more"))
+        step = at.join(far, F.col("__up") == F.col("__n"), "left")
+        step = checkpoint(step.select("__o", F.coalesce("further", "__up").alias("__up"), F.when(F.col("__n").isNotNull(), F.col("odd") != F.col("more")).otherwise(F.col("odd")).alias("odd"), F.col("__n").isNotNull().alias("went")))
+        at = step.drop("went")
+        if step.filter("went").isEmpty():
+            break
+    return at.filter("NOT odd").join(roots.withColumnRenamed("__o", "__r"), F.col("__up") == F.col("__r"), "left_semi").select("__o")
 
 
 def inverted_repeats(pairs: DataFrame, foldback: bool = False, least_len: int = 180, least_identity: float = 85.0, share: float = 0.7) -> DataFrame:
@@ -207,7 +326,7 @@ def inverted_repeats(pairs: DataFrame, foldback: bool = False, least_len: int =
 def unique_placement(names: DataFrame, places: DataFrame) -> DataFrame:
     """W16. Each name, in order, takes its first place that no earlier name has. names: (name, ord); places: (name, place, pord).
 
-    Rounds as in greedy_matching, over the (name order, place order) of the pairs.
+    That is greedy_matching by (name order, place order).
     """
     pairs = places.join(names, "name").select(F.concat(F.lit("n:"), "name").alias("a"), F.concat(F.lit("p:"), "place").alias("b"), "name", "place", "ord", "pord")
     return greedy_matching(pairs, [F.col("ord"), F.col("name"), F.col("pord"), F.col("place")]).select("name", "place")

@@ -7,6 +7,9 @@ from itertools import combinations, product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.functions.seq import base_count
+from tagloom.operators.expression import quantiles
+
 
 def match_validated(pred: DataFrame, valid: DataFrame, keys: list[str]) -> DataFrame:
     """J17. Predictions with whether a validated one has the same keys (null-safe)."""
@@ -223,15 +226,23 @@ def categorize_genic(dens: DataFrame) -> DataFrame:
 
 def categorize_intergenic(dens: DataFrame) -> DataFrame:
     """A12. By percentiles of all hits above 2: up to 2 hits 4, up to the median 3, to the 75th 2, to the 90th 1, else 0."""
-    q = dens.filter("hits > 2").agg(F.expr("percentile(hits, array(0.5, 0.75, 0.9))").alias("q"))
-    df = dens.crossJoin(F.broadcast(q))  # one row
+    q = quantiles(dens.filter("hits > 2").withColumn("__all", F.lit(1)), "__all", "hits", (0.5, 0.75, 0.9)).groupBy().agg(F.first("q").alias("q"))
+    df = dens.crossJoin(F.broadcast(q))  # one row, of nulls without hits above 2
     cat = F.when(F.col("hits") <= 2, 4).when(F.col("hits") <= F.col("q")[0], 3).when(F.col("hits") <= F.col("q")[1], 2).when(F.col("hits") <= F.col("q")[2], 1).otherwise(0)
     return df.select("gene", "loc", "hits", cat.alias("category"))
 
 
-def category_fractions(categories: DataFrame, bases: int | Column) -> DataFrame:
-    """A13. Positions per category and their share of the eligible bases."""
-    return categories.groupBy("category").agg(F.count("*").alias("n")).withColumn("fraction", F.col("n") / bases)
+def eligible_bases(seqs: DataFrame, margin: int = 0) -> DataFrame:
+    """One row (bases): the unambiguous bases of all sequences (P23), inside the margins."""
+    return seqs.agg(F.sum(base_count(F.col("seq"), margin)).alias("bases"))
+
+
+def category_fractions(categories: DataFrame, bases: int | DataFrame) -> DataFrame:
+    """A13. Positions per category and their share of the eligible bases: a number, or the one row of eligible_bases."""
+    per = categories.groupBy("category").agg(F.count("*").alias("n"))
+    if isinstance(bases, int):
+        return per.withColumn("fraction", F.col("n") / bases)
+    return per.crossJoin(F.broadcast(bases)).select("category", "n", (F.col("n") / F.col("bases")).alias("fraction"))
 
 
 # Distances of cleavage sites from a target's end, and the lengths of miRNAs that have one more.

@@ -144,7 +144,7 @@ def w12(v: Views) -> DataFrame:
 _BINNED = "(SELECT *, unnest(generate_series(lstart // 512, lend // 512)) AS bin FROM locus) l JOIN tag_position t ON t.chr=l.chr AND t.pos // 512 = l.bin AND t.pos BETWEEN lstart AND lend"
 
 
-@query("A17", "tag_count", "locus", sql=f"WITH mk AS (SELECT l.name, t.tag, max(t.abun % 23) AS k FROM {_BINNED} GROUP BY 1, 2), j AS (SELECT mk.name, c.* FROM mk JOIN tag_count c ON c.tag=mk.tag), p AS (SELECT name, tag, sum(abun)::BIGINT AS abun FROM j GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY abun DESC, tag) AS nth FROM p), s AS (SELECT name, " + ", ".join(f"coalesce(sum(CASE WHEN lib='{x}' THEN abun END),0)::BIGINT AS \"{x}\"" for x in LIBS) + ", sum(abun)::BIGINT AS total, coalesce(sum(CASE WHEN length(tag)=21 THEN abun END),0)::BIGINT AS phased FROM j GROUP BY 1), bk AS (SELECT name, max(k) AS best_k FROM mk GROUP BY 1), o AS (SELECT s.name, " + ", ".join(f'"{x}"' for x in LIBS) + ", total, round(phased::DOUBLE/total, 2) AS size_ratio, a.abun::DOUBLE/total AS max_tag_ratio, a.tag AS tag1, b.tag AS tag2, best_k FROM s JOIN bk ON bk.name=s.name JOIN r a ON a.name=s.name AND a.nth=1 LEFT JOIN r b ON b.name=s.name AND b.nth=2) SELECT * FROM o WHERE max_tag_ratio <= 0.9 AND best_k >= 8 AND total >= 30")
+@query("A17", "tag_count", "locus", sql=f"WITH mk AS MATERIALIZED (SELECT l.name, t.tag, max(t.abun % 23) AS k FROM {_BINNED} GROUP BY 1, 2), tc AS MATERIALIZED (SELECT tag, lib, abun FROM tag_count), j AS MATERIALIZED (SELECT mk.name, tc.lib, tc.tag, tc.abun FROM mk JOIN tc ON tc.tag=mk.tag), p AS (SELECT name, tag, sum(abun)::BIGINT AS abun FROM j GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY abun DESC, tag) AS nth FROM p), s AS (SELECT name, " + ", ".join(f"coalesce(sum(CASE WHEN lib='{x}' THEN abun END),0)::BIGINT AS \"{x}\"" for x in LIBS) + ", sum(abun)::BIGINT AS total, coalesce(sum(CASE WHEN length(tag)=21 THEN abun END),0)::BIGINT AS phased FROM j GROUP BY 1), bk AS (SELECT name, max(k) AS best_k FROM mk GROUP BY 1), o AS (SELECT s.name, " + ", ".join(f'"{x}"' for x in LIBS) + ", total, round(phased::DOUBLE/total, 2) AS size_ratio, a.abun::DOUBLE/total AS max_tag_ratio, a.tag AS tag1, b.tag AS tag2, best_k FROM s JOIN bk ON bk.name=s.name JOIN r a ON a.name=s.name AND a.nth=1 LEFT JOIN r b ON b.name=s.name AND b.nth=2) SELECT * FROM o WHERE max_tag_ratio <= 0.9 AND best_k >= 8 AND total >= 30")
 def a17(v: Views) -> DataFrame:
     return lc.summarize_loci(_members(v).select("name", "tag", (F.col("abun") % 23).alias("k")), v.tag_count, LIBS, RL, safe=(0.9, 8, 30))
 
@@ -174,10 +174,12 @@ def a33(v: Views) -> DataFrame:
     return lc.classify_pairs(t.select("name"), pairs, t)
 
 
-_OFF = "(SELECT unnest([0,-1,1,-2,2]) AS o), (SELECT unnest(generate_series(-5,7)) AS idx)"
+_J18 = f"""s AS (SELECT DISTINCT lib || '_' || CAST(pos AS STRING) || '_' || strand || CAST(chr AS STRING) AS site, chr, strand, pos FROM tag_position), e AS (SELECT name, chr, 'w' AS ls, lstart AS head FROM locus UNION ALL SELECT name, chr, 'c' AS ls, lend AS head FROM locus),
+ al AS (SELECT name, chr, ls, idx, o, head + idx*{RL} + o AS p FROM e, (SELECT unnest([0,-1,1,-2,2]) AS o), (SELECT unnest(generate_series(-5,7)) AS idx)),
+ c AS (SELECT s.site, al.name, abs(o) AS cls, idx, row_number() OVER (PARTITION BY s.site, al.name ORDER BY abs(o), abs(idx), idx) AS r FROM s JOIN al ON s.chr=al.chr AND s.strand=al.ls AND s.pos=al.p)"""
 
 
-@query("J18", "tag_position", "locus", sql=f"WITH s AS (SELECT DISTINCT lib || '_' || CAST(pos AS STRING) || '_' || strand || CAST(chr AS STRING) AS site, chr, strand, pos FROM tag_position), c AS (SELECT s.site, l.name, abs(o) AS cls, idx, row_number() OVER (PARTITION BY s.site, l.name ORDER BY abs(o), abs(idx), idx) AS r FROM locus l, {_OFF}, s WHERE s.chr=l.chr AND s.pos = CASE WHEN s.strand='w' THEN lstart ELSE lend END + idx*{RL} + o) SELECT site, name, cls, idx FROM c WHERE r = 1")
+@query("J18", "tag_position", "locus", sql=f"WITH {_J18} SELECT site, name, cls, idx FROM c WHERE r = 1")
 def j18(v: Views) -> DataFrame:
     return lc.find_triggers(_sites(v), v.locus, RL)
 
@@ -187,7 +189,7 @@ def _sites(v: Views) -> DataFrame:
     return v.tag_position.select(site.alias("site"), "chr", "strand", "pos").distinct()
 
 
-@query("W17", "tag_position", "locus", sql=f"WITH s AS (SELECT DISTINCT lib || '_' || CAST(pos AS STRING) || '_' || strand || CAST(chr AS STRING) AS site, chr, strand, pos FROM tag_position), c AS (SELECT s.site, l.name, idx, row_number() OVER (PARTITION BY s.site, l.name ORDER BY abs(o), abs(idx), idx) AS r FROM locus l, {_OFF}, s WHERE s.chr=l.chr AND s.pos = CASE WHEN s.strand='w' THEN lstart ELSE lend END + idx*{RL} + o), f AS (SELECT *, substr(site,1,2) AS family FROM c WHERE r=1 AND abs(idx)<=3), g AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN family='L1' THEN 0 ELSE 1 END, abs(idx), site, idx) AS q FROM f) SELECT name, site, family, idx FROM g WHERE q=1")
+@query("W17", "tag_position", "locus", sql=f"WITH {_J18}, f AS (SELECT *, substr(site,1,2) AS family FROM c WHERE r=1 AND abs(idx)<=3), g AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN family='L1' THEN 0 ELSE 1 END, abs(idx), site, idx) AS q FROM f) SELECT name, site, family, idx FROM g WHERE q=1")
 def w17(v: Views) -> DataFrame:
     return lc.best_trigger(lc.find_triggers(_sites(v), v.locus, RL).withColumn("family", F.substring("site", 1, 2)), ("L1",))
 

@@ -161,9 +161,12 @@ def a12(v: Views) -> DataFrame:
     return tr.categorize_intergenic(_dens(v))
 
 
-@query("A13", "tag_position", sql=f"WITH {_D}, {_CG} SELECT category, count(*) AS n, count(*)::DOUBLE/100000 AS fraction FROM cg GROUP BY 1")
+_BASES = "bs AS (SELECT sum(length(regexp_replace(seq, '[^ACGT]', '', 'g')))::DOUBLE AS bases FROM seqs)"
+
+
+@query("A13", "tag_position", "seqs", sql=f"WITH {_D}, {_CG}, {_BASES} SELECT category, count(*) AS n, count(*)/max(bases) AS fraction FROM cg, bs GROUP BY 1")
 def a13(v: Views) -> DataFrame:
-    return tr.category_fractions(tr.categorize_genic(_dens(v)), 100000)
+    return tr.category_fractions(tr.categorize_genic(_dens(v)), tr.eligible_bases(v.seqs))
 
 
 _T = "tg AS (SELECT DISTINCT lib || '_' || tag || '_' || CAST(pos AS STRING) AS id, 'G' || CAST(chr * 10 + pos // 10000 % 10 AS STRING) AS gene, pos % 1000 + 10 AS tend, len AS mlen FROM tag_position)"
@@ -181,20 +184,20 @@ def w19(v: Views) -> DataFrame:
     return _cleave(v)
 
 
-_S2 = f"{_W19}, sc AS (SELECT id, substr(id,1,2) AS mir, category, site_hits::DOUBLE/win AS ratio, (site % 9) / 2.0::DOUBLE AS score FROM w19), fr AS (SELECT category, count(*)::DOUBLE/100000 AS fraction FROM cg GROUP BY 1), s2 AS (SELECT sc.*, CASE WHEN score=floor(score) THEN count(*) OVER (PARTITION BY mir, score) ELSE count(*) OVER (PARTITION BY mir, floor(score)) END AS n FROM sc), s2p AS (SELECT s2.*, 1.0::DOUBLE-pow(1.0::DOUBLE-coalesce(fraction,0), n) AS p FROM s2 LEFT JOIN fr ON fr.category=s2.category)"
+_S2 = f"{_W19}, sc AS (SELECT id, substr(id,1,11) AS mir, category, site_hits::DOUBLE/win AS ratio, (site % 9) / 2.0::DOUBLE AS score FROM w19), {_BASES}, fr AS (SELECT category, count(*)/max(bases) AS fraction FROM cg, bs GROUP BY 1), s2 AS (SELECT sc.*, CASE WHEN score=floor(score) THEN count(*) OVER (PARTITION BY mir, score) ELSE count(*) OVER (PARTITION BY mir, floor(score)) END AS n FROM sc), s2p AS (SELECT s2.*, 1.0::DOUBLE-pow(1.0::DOUBLE-coalesce(fraction,0), n) AS p FROM s2 LEFT JOIN fr ON fr.category=s2.category)"
 
 
 def _pvals(v: Views) -> DataFrame:
-    t = _cleave(v).select("id", F.substring("id", 1, 2).alias("mir"), "category", "ratio", (F.col("site") % 9 / 2.0).alias("score"))
-    return tr.cleavage_p(t, tr.category_fractions(tr.categorize_genic(_dens(v)), 100000))
+    t = _cleave(v).select("id", F.substring("id", 1, 11).alias("mir"), "category", "ratio", (F.col("site") % 9 / 2.0).alias("score"))
+    return tr.cleavage_p(t, tr.category_fractions(tr.categorize_genic(_dens(v)), tr.eligible_bases(v.seqs)))
 
 
-@query("S2", "tag_position", sql=f"WITH {_S2} SELECT id, mir, category, ratio, score, n, round(p, 9) AS p FROM s2p")
+@query("S2", "tag_position", "seqs", sql=f"WITH {_S2} SELECT id, mir, category, ratio, score, n, round(p, 9) AS p FROM s2p")
 def s2(v: Views) -> DataFrame:
     return _pvals(v).withColumn("p", F.round("p", 9))
 
 
-@query("S3", "tag_position", sql=f"WITH {_S2} SELECT id, category, score, n, round(p/ratio, 7) AS corr_p FROM s2p WHERE p/nullif(ratio,0) <= 0.25 AND ratio >= 0.25 AND category <> 4")
+@query("S3", "tag_position", "seqs", sql=f"WITH {_S2} SELECT id, category, score, n, round(p/ratio, 7) AS corr_p FROM s2p WHERE p/nullif(ratio,0) <= 0.25 AND ratio >= 0.25 AND category <> 4")
 def s3(v: Views) -> DataFrame:
     return tr.filter_validated(_pvals(v)).select("id", "category", "score", "n", F.round("corr_p", 7).alias("corr_p"))
 

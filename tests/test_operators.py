@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom import runtime
 from tagloom.functions import seq
 from tagloom.operators import annotation, enrichment, expression, intervals, islands, loci, phasing, tags, targets
 from tagloom.plans.components import connected_components
@@ -279,13 +280,34 @@ def test_unique_placement_of_a_long_chain(spark):
     assert rows(loci.unique_placement(names, places)) == sorted((f"n{i}", f"p{i}") for i in range(n))
 
 
-def test_greedy_matching_in_rounds_and_at_once_agree(spark):
+@pytest.mark.parametrize("kind", ["tree", "dense", "self", "star"])
+def test_greedy_matching_of_other_shapes(spark, kind):
     rng = random.Random(6)
-    pairs = spark.createDataFrame([(f"n{i}", f"n{rng.randrange(i)}", rng.randrange(50)) for i in range(1, 60)], "a string, b string, s long")
+    pairs = {
+        "tree": [(f"n{i}", f"n{rng.randrange(i)}", rng.randrange(50)) for i in range(1, 80)],
+        "dense": [(f"n{i}", f"n{j}", rng.randrange(5)) for i in range(12) for j in range(12) if i != j],
+        "self": [(f"n{i}", f"n{rng.choice((i, i + 1))}", rng.randrange(9)) for i in range(60)],
+        "star": [("hub", f"n{i}", rng.randrange(99)) for i in range(60)] + [(f"n{i}", f"m{i}", rng.randrange(99)) for i in range(60)],
+    }[kind]
+    used, want = set(), []
+    for a, b, s in sorted(set(pairs), key=lambda p: (-p[2], p[0], p[1])):
+        if not used & {a, b}:
+            used |= {a, b}
+            want.append((a, b, s))
+    df = spark.createDataFrame(pairs, "a string, b string, s long")
     order = [(-F.col("s")).alias("o"), F.col("a"), F.col("b")]
-    want = rows(loci.greedy_matching(pairs, order))
-    assert want == rows(loci.greedy_matching(pairs, order, few=0)) == rows(loci.greedy_matching(pairs, order, few=20))
-    assert loci.greedy_matching(pairs.limit(0), order).count() == 0
+    assert rows(loci.greedy_matching(df, order)) == sorted(want)
+    assert loci.greedy_matching(df.limit(0), order).count() == 0
+
+
+def test_a_chain_of_a_hundred_thousand_choices(spark, monkeypatch):
+    """Pairs (i, i + 1) in order of i: every second one is chosen, after all before it. Counted: the copies that rounds and doublings write."""
+    n, written = 100_000, []
+    monkeypatch.setattr(loci, "checkpoint", lambda df: written.append(1) or runtime.checkpoint(df))
+    pairs = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = loci.greedy_matching(pairs, [F.col("a")]).agg(F.count("*"), F.sum("a"), F.max(F.col("a") % 2)).first()
+    assert tuple(got) == (n // 2, sum(range(0, n, 2)), 0)
+    assert len(written) < 40
 
 
 def test_components_raise_if_unfinished(spark):
@@ -446,21 +468,13 @@ def _dice(a, b):
     return 2 * max(0, min(a[4], b[4]) - max(a[3], b[3])) / (a[4] - a[3] + b[4] - b[3])
 
 
-def test_locus_merges_against_plain_loops(spark):
-    """Chains of loci that overlap their neighbours only, with equal and different p, in random order."""
-    rng = random.Random(6)
-    loci_ = []
-    for k in range(60):
-        at = 1000 * (k // 6) + rng.randrange(3000) if k % 2 else 70 * k
-        loci_.append((f"n{k}", rng.randrange(1, 4), rng.randrange(1, 3), at, at + rng.choice((100, 120, 150)), rng.choice("ab")))
-    df = spark.createDataFrame(loci_, loci.LOCUS)
+def merges_by_loop(loci_):
     kept = []
     for r in sorted(loci_, key=lambda r: (r[5], r[2], -r[1], r[3] - r[4], r[3], r[0])):
-        if all(k[5] != r[5] or k[2] != r[2] or _dice(r, k) <= 0.45 for k in kept):
+        if all(k[5] != r[5] or k[2] != r[2] or _dice(r, k) <= 0.45 for k in kept[-200:]):
             kept.append(r)
-    assert rows(loci.self_merge(df)) == sorted(kept)
-    want = []
-    for c in (1, 2):
+    merged = []
+    for c in sorted({r[2] for r in loci_}):
         mine: list = []
         for r in sorted((r for r in loci_ if r[2] == c), key=lambda r: (r[5], r[3], r[4], r[0])):
             best = max(range(len(mine)), key=lambda i: (_dice(r, mine[i]), -i), default=-1)
@@ -468,8 +482,41 @@ def test_locus_merges_against_plain_loops(spark):
                 mine.append(r)
             elif r[4] - r[3] > mine[best][4] - mine[best][3]:
                 mine[best] = r
-        want += mine
-    assert rows(loci.merge_libraries(df)) == sorted(want)
+        merged += mine
+    return sorted(kept), sorted(merged)
+
+
+MERGED = "name string, neglog_p long, chr long, lstart long, lend long, lib string"
+
+
+@pytest.mark.parametrize("share", [5, 16, 4096])
+def test_locus_merges_against_plain_loops(spark, monkeypatch, share):
+    """Chains of loci that overlap their neighbours only, with equal and different p, in random order, in blocks of several sizes."""
+    monkeypatch.setattr(loci, "SHARE", share)
+    rng = random.Random(6)
+    loci_ = []
+    for k in range(90):
+        at = 1000 * (k // 6) + rng.randrange(3000) if k % 2 else 70 * k
+        loci_.append((f"n{k}", rng.randrange(1, 4), rng.randrange(1, 3), at, at + rng.choice((100, 120, 150, 400)), rng.choice("ab")))
+    kept, merged = merges_by_loop(loci_)
+    df = spark.createDataFrame(loci_, MERGED)
+    assert rows(loci.self_merge(df)) == kept
+    assert rows(loci.merge_libraries(df)) == merged
+
+
+def test_one_island_over_many_blocks(spark, monkeypatch):
+    """A single island in which each locus waits for the one before it, cut into ten blocks."""
+    monkeypatch.setattr(loci, "SHARE", 60)
+    rng = random.Random(9)
+    loci_ = [(f"n{k:04d}", 1000 - k, 1, 40 * k, 40 * k + 100 + rng.randrange(3), "ab"[k % 7 == 0]) for k in range(600)]
+    df = spark.createDataFrame(loci_, MERGED)
+    best = sorted(loci_, key=lambda r: (r[5], -r[1]))
+    kept: list = []
+    for r in best:
+        if all(k[5] != r[5] or _dice(r, k) <= 0.45 for k in kept[-5:]):
+            kept.append(r)
+    assert rows(loci.self_merge(df)) == sorted(kept) and 150 < len(kept) < 450
+    assert rows(loci.merge_libraries(df)) == merges_by_loop(loci_)[1]
 
 
 def test_correlation_p(spark):
