@@ -131,7 +131,8 @@ def _members(v: Views) -> DataFrame:
     return _in_loci(v.locus, v.tag_position)
 
 
-@query("W11", "locus")
+# rounds: what has no better one left is chosen, and what it rules out goes
+@query("W11", "locus", sql="WITH RECURSIVE n AS (SELECT *, row_number() OVER (ORDER BY neglog_p DESC, lstart - lend, lstart, name) AS o FROM locus), b AS (SELECT *, unnest(generate_series(lstart // 512, lend // 512)) AS bin FROM n), c AS MATERIALIZED (SELECT DISTINCT x.o AS worse, y.o AS better FROM b x JOIN b y ON x.lib=y.lib AND x.chr=y.chr AND x.bin=y.bin AND y.o < x.o AND 2.0::DOUBLE * greatest(0, least(x.lend, y.lend) - greatest(x.lstart, y.lstart)) / (x.lend - x.lstart + y.lend - y.lstart) > 0.45), r AS (SELECT 0 AS turn, o, false AS won FROM n UNION ALL SELECT turn + 1, o, NOT waits FROM (WITH keep AS (SELECT turn, o FROM r WHERE NOT won AND o NOT IN (SELECT c.worse FROM c JOIN r w ON w.o = c.better WHERE w.won)) SELECT k.turn, k.o, k.o IN (SELECT c.worse FROM c JOIN keep k2 ON k2.o = c.better) AS waits FROM keep k)) SELECT name, neglog_p, chr, lstart, lend, lib FROM n WHERE o IN (SELECT o FROM r WHERE won)")
 def w11(v: Views) -> DataFrame:
     return lc.self_merge(v.locus)
 
@@ -194,7 +195,19 @@ def w17(v: Views) -> DataFrame:
     return lc.best_trigger(lc.find_triggers(_sites(v), v.locus, RL).withColumn("family", F.substring("site", 1, 2)), ("L1",))
 
 
-@query("W16", "transcript")
+def _matching(pairs: str) -> str:
+    """Rounds over pairs (a, b, o), numbered in order: the best of both its members is chosen, and its members' other pairs go."""
+    return f"""{pairs}, r AS (SELECT 0 AS turn, a, b, o, false AS won FROM p UNION ALL SELECT turn + 1, a, b, o, o = best_a AND o = best_b FROM (
+   WITH keep AS (SELECT turn, a, b, o FROM r WHERE NOT won AND a NOT IN (SELECT a FROM r WHERE won UNION ALL SELECT b FROM r WHERE won) AND b NOT IN (SELECT a FROM r WHERE won UNION ALL SELECT b FROM r WHERE won)),
+     best AS (SELECT m, min(o) AS o FROM (SELECT a AS m, o FROM keep UNION ALL SELECT b, o FROM keep) GROUP BY 1)
+   SELECT k.*, x.o AS best_a, y.o AS best_b FROM keep k JOIN best x ON x.m = k.a JOIN best y ON y.m = k.b))"""
+
+
+_P16 = "s AS (SELECT trans AS name, CAST(substr(trans,2) AS BIGINT) AS n, unnest([0,1,2]) AS k FROM transcript), p AS (SELECT 'n:' || name AS a, 'p:p' || CAST((n*7 + k*13) % 997 AS STRING) AS b, row_number() OVER (ORDER BY n, name, k, 'p' || CAST((n*7 + k*13) % 997 AS STRING)) AS o FROM s)"
+_P18 = "t AS (SELECT trans, CAST(substr(trans,2) AS BIGINT) AS n, tend - tstart AS size FROM transcript), s AS (SELECT trans AS a, n, size AS alen, unnest([1,3,5]) AS k FROM t), q AS (SELECT a, alen, 'T' || CAST((n*k + 11*k) % 1500 AS STRING) AS b, (n*37*k) % 500 AS bitscore, (80 + (n*k) % 20)::DOUBLE AS pident, 150 + (n*13*k) % 400 AS length FROM s), p AS (SELECT q.*, t.size AS blen, row_number() OVER (ORDER BY bitscore DESC, a, b, length, pident) AS o FROM q JOIN t ON t.trans = q.b WHERE length >= 180 AND pident >= 85 AND length >= 0.7::DOUBLE * least(alen, t.size))"
+
+
+@query("W16", "transcript", sql=f"WITH RECURSIVE {_matching(_P16)} SELECT substr(a, 3) AS name, substr(b, 3) AS place FROM r WHERE won")
 def w16(v: Views) -> DataFrame:
     n = F.substr("trans", F.lit(2)).cast("long")
     names = v.transcript.select(F.col("trans").alias("name"), n.alias("ord"))
@@ -202,7 +215,7 @@ def w16(v: Views) -> DataFrame:
     return lc.unique_placement(names, places)
 
 
-@query("W18", "transcript")
+@query("W18", "transcript", sql=f"WITH RECURSIVE {_matching(_P18)} SELECT p.a, alen, p.b, bitscore, pident, length, blen FROM p JOIN r ON r.o = p.o WHERE won")
 def w18(v: Views) -> DataFrame:
     n, size = F.substr("trans", F.lit(2)).cast("long"), F.col("tend") - F.col("tstart")
     partner = lambda k: F.struct(F.concat(F.lit("T"), ((n * k + 11 * k) % 1500).cast("string")).alias("b"), ((n * 37 * k) % 500).alias("bitscore"), (80 + (n * k) % 20).cast("double").alias("pident"), (150 + (n * 13 * k) % 400).alias("length"))
