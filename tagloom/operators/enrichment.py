@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.operators.dominance import count_dominating, value_ranks
 from tagloom.operators.expression import quantiles
 from tagloom.operators.intervals import point_join
+from tagloom.runtime import checkpoint, few_rows
 
 
 def seeded(*cols: Column | str, seed: int) -> Column:
@@ -39,15 +41,32 @@ def probe_coords(results: DataFrame, anno: DataFrame) -> DataFrame:
 
 def interval_rank(probes: DataFrame, width: int) -> DataFrame:
     """W4. Rank by fold change among the track's probes within width of the probe's start, on coordinates laid end to end by chromosome
-    and closed to a ring, so intervals at an end reach into the neighbour; rank / number."""
-    ends = probes.groupBy(F.col("chr").alias("echr")).agg((F.max("pend") + 1).alias("len"))
+    and closed to a ring, so intervals at an end reach into the neighbour; rank / number.
+
+    What lies in an interval is what lies before its end less what lies before its start, so each probe asks twice for counts of places and
+    values, on each turn of the ring that its interval reaches; count_dominating answers without pairs. Rows without a track, a place or a fold change
+    have no rank.
+    """
+    p = probes.filter("track IS NOT NULL AND chr IS NOT NULL AND pstart IS NOT NULL AND fc IS NOT NULL")
+    ends = p.groupBy(F.col("chr").alias("echr")).agg((F.max("pend") + 1).alias("len"))
     ends = ends.withColumn("off", F.sum("len").over(Window.orderBy("echr")) - F.col("len")).withColumn("ring", F.sum("len").over(Window.partitionBy()))  # one row per chromosome
-    p = probes.join(F.broadcast(ends), F.col("chr") == F.col("echr")).withColumn("at", F.col("off") + F.col("pstart"))
-    ring = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    other = p.withColumn("turn", ring).select(F.col("track").alias("otrack"), F.col("fc").alias("ofc"), (F.col("at") + F.col("ring") * F.col("turn")).alias("oat"))
-    own = p.select("probe", "track", "fc", (F.col("at") - width).alias("lo"), (F.col("at") + width).alias("hi"))
-    both = point_join(other, own, [("otrack", "track")], "oat", ("lo", "hi"), width=max(width, 512))
-    return both.groupBy("probe", "track").agg((F.count_if(F.col("ofc") > F.col("fc")) + 1).alias("rank"), F.count("*").alias("n")).withColumn("rel", F.col("rank") / F.col("n"))
+    p = p.join(few_rows(ends), F.col("chr") == F.col("echr")).select("probe", "track", "fc", (F.col("off") + F.col("pstart")).alias("x"), "ring")
+    p = value_ranks(p, "track", "fc", ["x", "probe"])
+    sizes = p.groupBy(F.col("track").alias("t")).agg(F.count("*").alias("m"))  # one row per track
+    p = checkpoint(p.join(few_rows(sizes), F.col("track") == F.col("t")).drop("t"))
+    turn = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("turn")
+    end = lambda shift, edge, sign: F.struct((F.col("x") + shift).alias("x"), F.lit(edge).alias("edge"), F.lit(sign).alias("sign"))
+    ask = p.select("track", "vrank", "above", "m", "ring", F.explode(F.array(end(-width, 0, -1), end(width, 2, 1))).alias("e"))
+    ask = ask.select("track", "vrank", "above", "m", "ring", "e", turn).select("track", "vrank", "above", "m", "ring", (F.col("e.x") - F.col("turn") * F.col("ring")).alias("x"), "e.edge", "e.sign", "turn")
+    # before the ring nothing lies, behind it all
+    out = ask.filter("x >= ring").groupBy("track", "vrank").agg(F.sum(F.col("sign") * F.col("m")).alias("n"), F.sum(F.col("sign") * F.col("above")).alias("larger"))
+    # a question's number: its probe's vrank, which is distinct in the track, its turn and its end
+    real = ask.filter("x >= 0 AND x < ring").withColumn("id", F.col("vrank") * 6 + (F.col("turn") + 1) * 2 + (F.col("sign") + 1) / 2)
+    got = count_dominating(p, real, "track").withColumn("sign", F.when(F.col("id") % 2 == 1, 1).otherwise(-1))
+    got = got.groupBy("track", F.floor(F.col("id") / 6).alias("vrank")).agg(F.sum(F.col("sign") * F.col("before")).alias("n"), F.sum(F.col("sign") * F.col("n")).alias("larger"))
+    every = out.unionByName(got).groupBy(F.col("track").alias("t"), F.col("vrank").alias("v")).agg(F.sum("n").alias("n"), F.sum("larger").alias("larger"))
+    both = p.join(every, (F.col("track") == F.col("t")) & (F.col("vrank") == F.col("v")))
+    return both.select("probe", "track", (F.col("larger") + 1).alias("rank"), "n").withColumn("rel", F.col("rank") / F.col("n"))
 
 
 def population_rank(probes: DataFrame, n: int, seed: int) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.operators import enrichment as en
 from tagloom.operators import expression as ex
+from tagloom.operators.islands import number_rows
 from tagloom.plans.registry import Views, query
 from tagloom.runtime import checkpoint
 
@@ -101,8 +102,7 @@ _S4 = """q AS (SELECT 'Q' || CAST(row_number() OVER (PARTITION BY track ORDER BY
 @query("S4", "probe", sql=f"WITH {_S4} SELECT probe, round(greatest(least(f, 1 - 1e-15), 1e-15), 7) AS p, k AS n_tracks FROM c")
 def s4(v: Views) -> DataFrame:
     """The k-th probe of each track, by place, is the shared probe Qk: every row is kept, once in its track."""
-    nth = F.row_number().over(Window.partitionBy("track").orderBy("pstart", "probe"))
-    shared = v.probe.withColumn("probe", F.concat(F.lit("Q"), nth.cast("string")))
+    shared = number_rows(v.probe, ["track"], "pstart", ["probe"], "nth").withColumn("probe", F.concat(F.lit("Q"), F.col("nth").cast("string"))).drop("nth")
     return en.enrichment(shared, 5_000_000, 5.0, 500, 3).withColumn("p", F.round("p", 7))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tagloom import runtime
 from tagloom.functions import seq
-from tagloom.operators import annotation, enrichment, expression, intervals, islands, loci, phasing, tags, targets
+from tagloom.operators import annotation, dominance, enrichment, expression, intervals, islands, loci, phasing, tags, targets
 from tagloom.plans.components import connected_components
 from tagloom.sources import formats
 
@@ -519,6 +519,31 @@ def test_one_island_over_many_blocks(spark, monkeypatch):
     assert rows(loci.merge_libraries(df)) == merges_by_loop(loci_)[1]
 
 
+def test_counts_of_values_by_bits():
+    rng = np.random.default_rng(4)
+    for n, m in ((0, 3), (1, 5), (70, 200), (257, 300)):
+        values, first, below = rng.integers(0, max(n, 1), n), rng.integers(0, n + 1, m), rng.integers(0, n + 3, m)
+        assert dominance.count_below(values, first, below).tolist() == [int((values[:k] < v).sum()) for k, v in zip(first, below, strict=True)]
+
+
+@pytest.mark.parametrize("side", [3, 16, 4096])
+@pytest.mark.parametrize("width", [30, 900, 5000])
+def test_interval_ranks_against_loops(spark, monkeypatch, side, width):
+    """Tied fold changes and places, one track of many probes, intervals that reach around the ring, in blocks of several sizes."""
+    monkeypatch.setattr(dominance, "SIDE", side)
+    rng = random.Random(side)
+    probes = [(f"p{k}", rng.choice("aaaab"), c := rng.randrange(1, 4), a := rng.randrange(1, 400 * c), a + 5, rng.choice((rng.random(), 0.5))) for k in range(150)] + [("one", "c", 1, 7, 9, 1.0)]
+    lens = {c: max(p[4] for p in probes if p[2] == c) + 1 for c in (1, 2, 3)}
+    off, ring = {1: 0, 2: lens[1], 3: lens[1] + lens[2]}, sum(lens.values())
+    want = []
+    for p in probes:
+        x = off[p[2]] + p[3]
+        near = [q for q in probes if q[1] == p[1] for t in (-1, 0, 1) if abs(off[q[2]] + q[3] + t * ring - x) <= width]
+        want.append((p[0], p[1], sum(q[5] > p[5] for q in near) + 1, len(near)))
+    df = spark.createDataFrame(probes, "probe string, track string, chr int, pstart long, pend long, fc double")
+    assert rows(enrichment.interval_rank(df, width).select("probe", "track", "rank", "n")) == sorted(want)
+
+
 def test_correlation_p(spark):
     """Against the numerical integral of Student's density."""
 
