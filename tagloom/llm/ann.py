@@ -105,19 +105,24 @@ def _ranked(ordered: DataFrame, curves: int) -> tuple[DataFrame, int]:
     return numbered.withColumn("rank", rank.cast("long")).drop("part", "row"), total
 
 
-def _nearest(q: np.ndarray, x: np.ndarray, allowed: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, distance) of the k smallest distances of each query. Candidates by products, distances by differences."""
-    d = (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T
+def _nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, distance) of the k smallest distances of each query, ties to smaller ids. Candidates are found by products, after a shift that
+    brings the vectors around zero, and all go on that come within the rounding of the products of the k-th; their distances are by differences."""
+    center = x.mean(0)
+    qc, xc = q - center, x - center
+    qq, xx = (qc * qc).sum(1), (xc * xc).sum(1)
+    d = qq[:, None] + xx[None] - 2 * qc @ xc.T
     if allowed is not None:
         d[~allowed] = np.inf
-    m = min(len(x), k + 6)
-    near = np.argpartition(d, m - 1, axis=1)[:, :m] if m < len(x) else np.broadcast_to(np.arange(len(x)), d.shape)
-    i = np.repeat(np.arange(len(q)), m)
-    j = near.ravel()
-    fine = np.isfinite(d[i, j])
-    i, j = i[fine], j[fine]
-    exact = np.sqrt(((q[i] - x[j]) ** 2).sum(1))
-    order = np.lexsort((j, exact, i))
+    m = min(len(x), k)
+    last = np.partition(d, m - 1, axis=1)[:, m - 1]
+    slack = 1e-13 * (x.shape[1] + 8) * (qq + xx.max())
+    i, j = np.nonzero((d <= (last + slack)[:, None]) & np.isfinite(d))
+    exact = np.empty(len(i))
+    for lo in range(0, len(i), 1 << 16):  # ties may be many
+        part = slice(lo, lo + (1 << 16))
+        exact[part] = np.sqrt(((q[i[part]] - x[j[part]]) ** 2).sum(1))
+    order = np.lexsort((ids[j], exact, i))
     i, j, exact = i[order], j[order], exact[order]
     nth = np.arange(len(i)) - np.searchsorted(i, i)
     return i[nth < k], j[nth < k], exact[nth < k]
@@ -134,7 +139,7 @@ def _fit_window(rows: DataFrame, ranked: DataFrame, queries: DataFrame, total: i
         for b in batches:
             x, rep = _matrix(b.column(1)), b.column(0).to_numpy()
             if len(x):
-                i, j, d = _nearest(q, x, None, k + 1)
+                i, j, d = _nearest(q, x, rep, None, k + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(rep[j]), pa.array(d)], ["qrep", "rep", "d"])
 
     near = rows.select("rep", "v").mapInArrow(run, "qrep long, rep long, d double").filter("qrep <> rep")
@@ -189,7 +194,7 @@ def nearest_neighbours(
         for lo in range(0, len(q), 256):
             part = q.iloc[lo : lo + 256]
             allowed = np.abs(part["qrank"].to_numpy()[:, None] - xr[None]) <= w
-            i, j, d = _nearest(np.array(part["qv"].tolist(), np.float64), xv, allowed, k + 1)
+            i, j, d = _nearest(np.array(part["qv"].tolist(), np.float64), xv, xid, allowed, k + 1)
             out.append(pd.DataFrame({"qrep": part["qrep"].to_numpy()[i], "rep": xid[j], "d": d}))
         return pd.concat(out)
 

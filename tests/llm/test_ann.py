@@ -39,6 +39,38 @@ def test_recall_and_distances(spark):
     assert hit >= 0.9 * 150
 
 
+def test_a_common_offset_changes_nothing(spark):
+    r = np.random.RandomState(5)
+    base = np.round(r.randn(800, 24) * 256) / 256
+    found = []
+    for offset in (0.0, float(1 << 27)):  # doubles hold the sums exactly
+        df = spark.createDataFrame([(i, (v + offset).tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+        found.append({(x["query_id"], x["vec_id"]) for x in ann.nearest_neighbours(df, every=20).collect()})
+    want = {(q, int(v)) for q in range(0, 800, 20) for v in np.lexsort((np.arange(800), ((base - base[q]) ** 2).sum(1)))[1:11]}
+    assert all(len(f & want) >= 0.9 * len(want) for f in found)
+
+
+def test_ties_beyond_k_go_to_smaller_ids(spark):
+    """600 vectors at one distance of the query: as many as one block holds."""
+    pairs = [(0, [1.0] * 300)] + [(k, [1.0 + (0 if j != k % 300 else 1 if k <= 300 else -1) for j in range(300)]) for k in range(1, 601)]
+    got = ann.nearest_neighbours(frame(spark, pairs), every=1000).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(k, k, 1.0) for k in range(1, 11)]
+
+
+def test_clustered_vectors_get_narrow_windows(spark, monkeypatch):
+    """Of vectors around 40 centres a query looks at few: the window, on both sides and in all orders, is a fraction of the table."""
+    r = np.random.RandomState(6)
+    centres = r.randn(40, 32) * 4
+    v = centres[r.randint(0, 40, 3000)] + r.randn(3000, 32) * 0.3
+    seen, real = [], ann._fit_window
+    monkeypatch.setattr(ann, "_fit_window", lambda *a: seen.append(real(*a)) or seen[-1])
+    got = ann.nearest_neighbours(frame(spark, list(enumerate(v.tolist()))), every=30).collect()
+    v = v.astype(np.float32).astype(float)
+    want = {(q, int(x)) for q in range(0, 3000, 30) for x in np.argsort(((v - v[q]) ** 2).sum(1), kind="stable")[1:11]}
+    assert len({(x["query_id"], x["vec_id"]) for x in got} & want) >= 0.9 * len(want)
+    assert 2 * seen[0] < 3000 / 40 * 2
+
+
 def test_small_blocks_and_parts_find_the_same(spark):
     r = np.random.RandomState(4)
     df = frame(spark, list(enumerate(r.randn(600, 8).tolist())))
