@@ -16,7 +16,8 @@ four steps:
 4. Marked runs come back to their documents and are cut out.
 
 Defined cases: a null text is empty; texts shorter than ``width`` lose nothing; repeated rows are documents of their own, so each
-loses all if long enough; a null doc_id is passed on; empty tables give no rows; other columns are ignored.
+loses all if long enough; a null doc_id is passed on; empty tables give no rows; other columns are ignored. A text has fewer than 2^31 bytes, as
+Spark's values do; the arrays of a task don't grow with it.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from tagloom.runtime import checkpoint, ship, small_batches, store
 
 WIDTH, GRAM = 200, 32
 U64 = np.uint64
-PIECE = 1 << 22  # bytes that one pass of arrays takes, if a document isn't longer
+PIECE = 1 << 22  # bytes that one pass of arrays takes; longer documents come in parts
 SHARD = 1 << 20
 SHARE = 4096  # a gram with this part of all contexts is frequent
 STRETCH = 1 << 21  # rows that a task counts at once
@@ -88,17 +89,27 @@ def contexts(data: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: int =
         return h[anchor[first]].view(np.int64), (code ^ windows.astype(U64)).view(np.int64), start, windows
 
 
-def _pieces(texts: list[str | None], width: int = WIDTH) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Documents long enough, in pieces: ordinals, bytes, ends."""
-    held, room = [], 0
-    for i, t in enumerate([*texts, None]):
-        last = i == len(texts)
-        if held and (last or room > PIECE):
-            yield [k for k, _ in held], np.frombuffer(b"".join(x for _, x in held), np.uint8), np.cumsum([len(x) for _, x in held])
-            held, room = [], 0
-        if not last and t and len(x := t.encode("utf-8", "surrogatepass")) >= width:
-            held.append((i, x))
-            room += len(x)
+def _pieces(texts: list[str | None], width: int = WIDTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents long enough, in pieces: ordinals, where in them their parts begin, bytes, ends. A part begins PIECE bytes after the one before it
+    and ends width - 1 bytes into the next, so each window is in one part. A context may be cut in two by that: its windows stay under their
+    gram, where those of different contexts are compared."""
+    held: list[tuple[int, int, bytes]] = []
+    room = 0
+    for i, t in enumerate(texts):
+        x = (t or "").encode("utf-8", "surrogatepass")
+        for begin in range(0, len(x) - width + 1, PIECE):
+            part = x[begin : begin + PIECE + width - 1]
+            if held and room + len(part) > PIECE + width:
+                yield _packed(held)
+                held, room = [], 0
+            held.append((i, begin, part))
+            room += len(part)
+    if held:
+        yield _packed(held)
+
+
+def _packed(held: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return np.array([x[0] for x in held]), np.array([x[1] for x in held]), np.frombuffer(b"".join(x[2] for x in held), np.uint8), np.cumsum([len(x[2]) for x in held])
 
 
 def mark_windows(parts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,11 +203,11 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rid, r2 = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for which, data, ends in _pieces(b.column(2).to_pylist(), width):
+            for which, offset, data, ends in _pieces(b.column(2).to_pylist(), width):
                 fp, ctx, start, windows = contexts(data, ends, width)
                 k = np.searchsorted(ends, start, side="right")
-                begin = np.r_[0, ends[:-1]][k]
-                doc = np.array(which)[k]
+                begin = np.r_[0, ends[:-1]][k] - offset[k]
+                doc = which[k]
                 yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(ctx), pa.array(rid[doc]), pa.array(r2[doc]), pa.array((start - begin).astype(np.int32)), pa.array(windows.astype(np.int32))], ["fp", "ctx", "rid", "r2", "lo", "windows"])
 
     rows = store(own.select("rid", "r2", "text").mapInArrow(anchored, "fp long, ctx long, rid long, r2 int, lo int, windows int"))

@@ -54,6 +54,29 @@ def test_wide_groups_are_exact_too(spark, rng, monkeypatch):
     assert got == brute(texts)
 
 
+@pytest.mark.parametrize("piece", [64, 1000, 5000])
+def test_documents_in_parts_are_exact_too(spark, rng, monkeypatch, piece):
+    monkeypatch.setattr(repeats, "PIECE", piece)
+    texts = corpus(rng) + [(99, words(rng, 900, 10**5) + "é" * 2000), (98, "x" * 64 * 30)]
+    texts.append((97, texts[-2][1][333:4000]))
+    got = sorted((tuple(r) for r in repeats.remove_repeats(documents(spark, texts)).collect()), key=str)
+    assert got == brute(texts)
+
+
+def test_arrays_of_a_long_text_are_bounded(rng):
+    long = words(rng, 40_000, 10**6) * 20
+    size = [(len(data), int(offset[0])) for _, offset, data, _ in repeats._pieces([long, "short", long[:500]])]
+    assert len(long) > 5_000_000 and max(n for n, _ in size) <= repeats.PIECE + 2 * repeats.WIDTH and [k for _, k in size[:2]] == [0, repeats.PIECE]
+
+
+def test_long_text_that_repeats_itself(spark):
+    """Five million letters: a passage without repeats, and another one twice."""
+    r = np.random.RandomState(3)
+    once, twice = ("".join(map(chr, r.randint(97, 123, n))) for n in (4_000_000, 500_000))
+    (got,) = repeats.remove_repeats(documents(spark, [(1, twice + once + twice)])).collect()
+    assert tuple(got)[1:] == (5_000_000, 1_000_000, 2, hashlib.sha256(once.encode()).hexdigest())
+
+
 def test_empty_table(spark):
     assert repeats.remove_repeats(documents(spark, [])).count() == 0
 
