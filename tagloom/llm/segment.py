@@ -33,6 +33,7 @@ from tagloom.llm.pieces import PAIRS_KEPT, SPACE, Vocabulary, vocabulary
 from tagloom.runtime import ship, ship_file, shipped_file, small_batches
 
 CACHE = 120_000  # pre-tokens in each of two generations
+KEPT = 256  # letters of the longest pre-token that is kept
 INFINITE = float("inf")
 Arcs = dict[str, tuple[int, "Arcs"]]
 
@@ -46,6 +47,7 @@ class Machine(dict):
         self.root = compile_arcs(v)
         size = max(v.ids.values(), default=0) + 1
         self.length, self.names = [1] * size, [""] * size
+        self.longest = max(map(len, v.ids), default=1)
         for p, i in v.ids.items():
             self.length[i], self.names[i] = len(p), p
         #: the pair acceptor, as far as it has been asked for: for each piece, which others may follow it
@@ -53,6 +55,8 @@ class Machine(dict):
         self.asked = 0
 
     def __missing__(self, word: str) -> bytes:
+        if len(word) > KEPT:
+            return array("i", self.shortest_path(word)).tobytes()
         if len(self) >= CACHE:  # what isn't asked for again goes with the generation before
             self.old = dict(self)
             self.clear()
@@ -88,14 +92,14 @@ class Machine(dict):
         """Composition with the pair acceptor: arcs cost nothing or are missing, so the first path that reaches the end is
         the shortest. Longer pieces are tried first; a place that led nowhere is not entered again, since at most
         one path of finite cost reaches each place. A negative id stands for the fallback arc of a character."""
-        root, length, after, n = self.root, self.length, self.after, len(word)
+        root, length, after, n, longest = self.root, self.length, self.after, len(word), self.longest
         chosen: list[int] = []
         open_: list[tuple[int, int, list[int]]] = []  # place, piece before it, arcs still to try
         dead: set[int] = set()
         place, before = 0, -1
         while place < n:
             todo, arcs = [], root
-            for c in word[place:] if place else word:  # follow the lexicon from here
+            for c in word[place : place + longest]:  # follow the lexicon from here
                 step = arcs.get(c)
                 if step is None:
                     break
