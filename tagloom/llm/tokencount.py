@@ -5,7 +5,8 @@ prefix, which its ancestors' states and the pieces that end there determine, and
 for a unigram model the best score and the number of pieces on that path; for a BPE model, whose summed scores would not
 give its counts, the last piece of the prefix's segmentation and the number of pieces (a piece may end a prefix if the
 merges leave it and the piece before it alone, see segment). A pre-token's count is read off at its terminal node. Nodes live as
-flat lists, in a trie of bounded size per worker that starts anew when it is full.
+flat lists, in a trie of bounded size per worker that starts anew when it is full. A very long pre-token, which can share little, has its states computed in
+the same way but only those within a piece's reach are held, so memory doesn't grow with it.
 
 Defined cases: null and empty texts count 0; texts count whole; repeated rows count each; a null doc_id is passed on; other
 columns are ignored.
@@ -22,6 +23,16 @@ from tagloom.llm.pieces import Vocabulary, vocabulary
 from tagloom.runtime import ship, ship_file, shipped_file, small_batches
 
 NODES = 1_000_000
+LONG = 4096  # letters of a pre-token that takes no nodes
+
+
+class _Last:
+    """The place of a prefix's state in lists of which the first ones are dropped."""
+
+    dropped = 0
+
+    def __getitem__(self, k: int) -> int:
+        return k - self.dropped
 
 
 class Trie:
@@ -31,6 +42,7 @@ class Trie:
         self.v = v
         self.suffixes = {p[-n:]: -1 for p in v.ids for n in range(1, len(p))} | v.ids
         self.worst = max(v.cost.values(), default=0.0) + 10.0
+        self.longest = max(map(len, v.ids), default=1)
         self.reset()
 
     def reset(self) -> None:
@@ -45,6 +57,8 @@ class Trie:
         v = self.v
         if v.bpe and v.has_tied(word):
             n = sum(1 if p in v.ids else len(v.unknown_ids(p)) for p in v.merge(word))
+        elif len(word) > LONG:
+            return self._long(word)
         else:
             if len(self.count) > NODES:
                 self.reset()
@@ -54,7 +68,7 @@ class Trie:
                 node = children.get(key, -1)
                 if node < 0:
                     node = children[key] = len(self.count)
-                    self._state(word, i, path)
+                    self._state(word, i, path, self.last, self.count, self.score)
                 path.append(node)
             n = self.count[node]
         if len(self.terminal) > NODES:
@@ -62,9 +76,19 @@ class Trie:
         self.terminal[word] = n
         return n
 
-    def _state(self, word: str, i: int, path: list[int]) -> None:
-        """Appends the state of word[:i], from those of its own prefixes."""
-        v, last, count, score = self.v, self.last, self.count, self.score
+    def _long(self, word: str) -> int:
+        last, count, score, path = [""], [0], [0.0], _Last()
+        for i in range(1, len(word) + 1):
+            self._state(word, i, path, last, count, score)
+            if len(last) > LONG + self.longest:  # what no piece reaches back to goes
+                for held in (last, count, score):
+                    del held[:LONG]
+                path.dropped += LONG
+        return count[-1]
+
+    def _state(self, word: str, i: int, path: list[int] | _Last, last: list[str], count: list[int], score: list[float]) -> None:
+        """Appends the state of word[:i], from those of its own prefixes, whose places in the lists path says."""
+        v = self.v
         ids, suffixes = v.ids, self.suffixes
         found, best = None, float("inf")
         starts = []

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from llm_helpers import documents
@@ -85,6 +87,33 @@ def test_full_tries_and_caches_start_anew(model, library, monkeypatch):
         assert sum(t.insert(w) for w in t.v.pretokens(x)) == len(library.encode(x))
 
 
+def test_very_long_words_take_bounded_memory_and_linear_time(model, library, rng):
+    m, t = segment.machine(model), tokencount.Trie(vocabulary(model))
+    word = "".join(rng.choices("etaoinshrdluébc", k=5_000_000))
+    want = library.encode(word[:20_000])
+    assert np.frombuffer(segment.encode(word[:20_000], m), np.int32).tolist() == want
+    nodes = len(t.count)
+    assert sum(t.insert(w) for w in t.v.pretokens(word[:20_000])) == len(want) and len(t.count) == nodes
+    # pieces of a long word are those of its parts but at the seam
+    began = time.time()
+    n = len(segment.encode(word, m)) // 4
+    assert sum(t.insert(w) for w in t.v.pretokens(word)) == n and len(t.count) == nodes and not any(len(w) > segment.KEPT for w in m)
+    assert time.time() - began < 240
+
+
+def test_long_words_are_counted_as_short_ones(model, monkeypatch, rng):
+    t = tokencount.Trie(vocabulary(model))
+    texts = ["".join(rng.choices("ab the éin", k=rng.randint(1, 200))) for _ in range(300)]
+    want = [[t.insert(w) for w in t.v.pretokens(x)] for x in texts]
+    monkeypatch.setattr(tokencount, "LONG", 3)
+    assert [[t.insert(w) for w in t.v.pretokens(x)] for x in texts] == want
+    u = tokencount.Trie(Unigram())
+    monkeypatch.setattr(tokencount, "LONG", 1)
+    for _ in range(200):
+        w = "".join(rng.choices("abcx", k=rng.randint(1, 30)))
+        assert u.insert(w) == cheapest(u.v, w)[1]
+
+
 def test_frames(spark, model, library):
     texts = [*enumerate(ODD), (0, None), (None, "x y"), (1, ODD[1])]
     df = documents(spark, texts)
