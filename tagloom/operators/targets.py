@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations, product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.seq import base_count
 from tagloom.operators.expression import quantiles
+from tagloom.runtime import ship
 
 
 def match_validated(pred: DataFrame, valid: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,12 +43,17 @@ def window_abundance(sites: DataFrame, tagpos: DataFrame, small: int = 1, large:
 
 
 def map_tags_exact(tags: DataFrame, seqs: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
-    """J21. Exact, same-strand, end-to-end hits (tag, name, at): substrings of the given sizes joined with the tags by equality."""
-    starts = lambda n: F.sequence(F.lit(1), F.length("seq") - n + 1)
-    cut = lambda n: F.transform(starts(n), lambda i: F.struct(F.substr("seq", i, F.lit(n)).alias("sub"), i.alias("at")))
-    subs = F.flatten(F.array(*[F.when(F.length("seq") >= n, cut(n)).otherwise(F.array().cast("array<struct<sub:string,at:int>>")) for n in sizes]))
-    parts = seqs.select("name", F.explode(subs).alias("s")).select("name", F.col("s.sub").alias("sub"), F.col("s.at").alias("at"))
-    return parts.join(tags.select("tag").distinct(), F.col("sub") == F.col("tag")).select("tag", "name", "at")
+    """J21. Exact, same-strand, end-to-end hits (tag, name, at) of tags of the given sizes.
+
+    Each place of a sequence gives one row, whatever the number of sizes: as many letters as the longest tag has. It meets the tags that begin with its
+    first letters, as many as the shortest has, and the rest of a tag is compared.
+    """
+    shortest, longest = min(sizes), max(sizes)
+    own = tags.filter(F.length("tag").isin(*sizes)).select("tag", F.substring("tag", 1, shortest).alias("head")).distinct()
+    at = F.explode(F.sequence(F.lit(1), F.length("seq") - shortest + 1)).alias("at")
+    parts = seqs.filter(F.length("seq") >= shortest).select("name", "seq", at).select("name", "at", F.substr("seq", F.col("at"), F.lit(longest)).alias("sub"))
+    both = parts.join(own, F.substring("sub", 1, shortest) == F.col("head"))
+    return both.filter(F.col("sub").startswith(F.col("tag"))).select("tag", "name", "at")
 
 
 def pair_columns(mir: Column, tar: Column) -> Column:
@@ -93,35 +102,54 @@ def _masks(k: int, most: int) -> list[int]:
     return [sum(x << 2 * i for i, x in zip(c, xs, strict=True)) for c in places for xs in product((1, 2, 3), repeat=len(c))]
 
 
-def predict_targets(mirs: DataFrame, seqs: DataFrame, most_mis: int = 5, most_both: int = 6) -> DataFrame:
-    """J22. Ungapped sites of each miRNA (name mir, mseq) on each sequence: (mir, name, at, site, score).
+def _plain(c: Column | str) -> Column:
+    return F.translate(F.upper(c), "U", "T")
 
-    Of at most ``most_both`` non-matches one half of the site holds at most half. So each half of the reverse complement is
-    expanded to all words with so many changes, as numbers of two bits a letter, and candidates are an equality join of those with the
-    sequences' words of the same length; a miRNA gives the same number of rows whatever the sequences, and few words meet by chance.
-    Letters other than ACGT count as A on the way to the candidates, which only adds some. Candidates beyond the edit distance most_both, which
-    is at most the number of non-matches, go before they are profiled.
-    """
-    plain = lambda c: F.translate(F.upper(c), "U", "T")
-    code = lambda c: F.conv(F.translate(F.regexp_replace(c, "[^ACGT]", "A"), "ACGT", "0123"), 4, 10).cast("long")
-    m = mirs.select(F.col("name").alias("mir"), "mseq", plain("mseq").alias("mplain"), F.length("mseq").alias("n")).filter("n > 0")
+
+def _code(c: Column) -> Column:
+    """A word as a number of two bits a letter; letters other than ACGT count as A."""
+    return F.conv(F.translate(F.regexp_replace(c, "[^ACGT]", "A"), "ACGT", "0123"), 4, 10).cast("long")
+
+
+def _seed_hits(mirs: DataFrame, seqs: DataFrame, most: int, gapped: bool) -> DataFrame:
+    """(mir, mseq, mplain, n, off, k, name, seq, tplain, sat): places of sequences that hold a half of a miRNA's reverse complement with at most
+    ``most`` changes, as a join of words by equality. off: where the half begins, 0 for the left one. gapped: also halves with one letter inserted and no
+    change, whose words are a letter longer."""
+    m = mirs.select(F.col("name").alias("mir"), "mseq", _plain("mseq").alias("mplain"), F.length("mseq").alias("n")).filter("n > 0")
     lengths = sorted(r["n"] for r in m.select("n").distinct().collect())  # miRNA lengths, a few tens at most
     rc, half = F.reverse(F.translate("mplain", "ACGT", "TGCA")), F.floor(F.col("n") / 2).cast("int")
     m = m.withColumn("p", F.explode(F.array(F.struct(F.lit(0).alias("off"), half.alias("k")), F.struct(half.alias("off"), (F.col("n") - half).alias("k"))))).filter("p.k > 0")
-    m = m.select("mir", "mseq", "mplain", "n", "p.off", "p.k", code(F.substr(rc, F.col("p.off") + 1, F.col("p.k"))).alias("word"))
+    m = m.select("mir", "mseq", "mplain", "n", "p.off", "p.k", F.substr(rc, F.col("p.off") + 1, F.col("p.k")).alias("part"))
     wide = sorted({k for n in lengths for k in (n // 2, n - n // 2) if k})
     if not wide:
         wide = [1]
-    of_length = F.coalesce(*[F.when(F.col("k") == k, F.split(F.lit(",".join(map(str, _masks(k, most_both // 2)))), ",").cast("array<long>")) for k in wide])
-    m = m.withColumn("mask", F.explode(of_length)).withColumn("word", F.col("word").bitwiseXOR(F.col("mask"))).drop("mask")
-    tplain = plain(F.translate(F.reverse("seq"), "ACGT", "TGCA"))  # once for each sequence; a candidate's part of it is a substring
+    of_length = F.coalesce(*[F.when(F.col("k") == k, F.split(F.lit(",".join(map(str, _masks(k, most)))), ",").cast("array<long>")) for k in wide])
+    words = m.withColumn("mask", F.explode(of_length)).withColumn("word", _code(F.col("part")).bitwiseXOR(F.col("mask"))).drop("mask", "part")
+    if gapped:
+        more = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.transform(F.array(*[F.lit(c) for c in "ACGT"]), lambda c: F.concat(F.substr("part", F.lit(1), i), c, F.substr("part", i + 1))))
+        longer = m.withColumn("longer", F.explode(F.array_distinct(F.flatten(more)))).withColumn("word", _code(F.col("longer"))).withColumn("k", F.col("k") + 1).drop("longer", "part")
+        words = words.unionByName(longer)
+        wide = sorted({*wide, *(k + 1 for k in wide)})
+    tplain = _plain(F.translate(F.reverse("seq"), "ACGT", "TGCA"))  # once for each sequence; a candidate's part of it is a substring
     spread = seqs.filter("seq IS NOT NULL").withColumn("tplain", tplain).repartition(max(seqs.sparkSession.sparkContext.defaultParallelism, 2))
     starts = lambda k: F.sequence(F.lit(1), F.length("seq") - k + 1)
-    words = lambda k: F.transform(starts(k), lambda i: F.struct(F.lit(k).alias("k"), code(F.substr(plain("seq"), i, F.lit(k))).alias("word"), i.alias("at")))
+    cut = lambda k: F.transform(starts(k), lambda i: F.struct(F.lit(k).alias("k"), _code(F.substr(_plain("seq"), i, F.lit(k))).alias("word"), i.alias("at")))
     none = F.array().cast("array<struct<k:int,word:bigint,at:int>>")
-    subs = spread.select("name", "seq", "tplain", F.explode(F.flatten(F.array(*[F.when(F.length("seq") >= k, words(k)).otherwise(none) for k in wide]))).alias("x"))
+    subs = spread.select("name", "seq", "tplain", F.explode(F.flatten(F.array(*[F.when(F.length("seq") >= k, cut(k)).otherwise(none) for k in wide]))).alias("x"))
     subs = subs.select("name", "seq", "tplain", F.col("x.k").alias("sk"), F.col("x.word").alias("sword"), F.col("x.at").alias("sat"))
-    cand = subs.join(m, (F.col("sk") == F.col("k")) & (F.col("sword") == F.col("word")))
+    return subs.join(words, (F.col("sk") == F.col("k")) & (F.col("sword") == F.col("word")))
+
+
+def predict_targets(mirs: DataFrame, seqs: DataFrame, most_mis: int = 5, most_both: int = 6) -> DataFrame:
+    """J22. Ungapped sites of each miRNA (name mir, mseq) on each sequence: (mir, name, at, site, score).
+
+    Of at most ``most_both`` non-matches one half of the site holds at most half. So each half of the reverse complement is
+    expanded to all words with so many changes, as numbers of two bits a letter, and candidates are an equality join of those with the
+    sequences' words of the same length; a miRNA gives the same number of rows whatever the sequences, and few words meet by chance.
+    Letters other than ACGT count as A on the way to the candidates, which only adds some. Candidates beyond the edit distance most_both, which
+    is at most the number of non-matches, go before they are profiled.
+    """
+    cand = _seed_hits(mirs, seqs, most_both // 2, False)
     cand = cand.withColumn("at", F.col("sat") - F.col("off")).filter((F.col("at") >= 1) & (F.col("at") + F.col("n") - 1 <= F.length("seq")))
     near = F.levenshtein("mplain", F.substr("tplain", F.length("seq") - F.col("at") - F.col("n") + 2, F.col("n")), most_both) >= 0
     cand = cand.filter(near).select("mir", "mseq", "name", "at", F.substr("seq", F.col("at"), F.col("n")).alias("site")).distinct()
@@ -131,6 +159,127 @@ def predict_targets(mirs: DataFrame, seqs: DataFrame, most_mis: int = 5, most_bo
     return good.select("id.mir", "id.name", "id.at", "id.site", "score")
 
 
+# What an alignment of a miRNA costs, and how near to its ends no gap may be.
+MISMATCH, MGAP_OPEN, TGAP_OPEN, MGAP_MORE, TGAP_MORE, GAP_MARGIN = 5, 10, 10, 4, 8, 4
+
+
+def cost_limit(n: int) -> float:
+    """The largest cost of an alignment of a miRNA of n letters."""
+    return min(24 + 0.5 * n, 35.5)
+
+
+def align_gapped(mir: np.ndarray, tar: np.ndarray, start: int) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """For many pairs at once, by dynamic programming in a band: (gaps in the miRNA, gaps in the target) -> (cost, places of the gaps) of the cheapest
+    alignment of the whole miRNA with the target from ``start`` on. mir: rows x n codes, tar: rows x letters codes, below 0 where there is none.
+
+    At most two gaps in the miRNA and one in the target, none of them near the ends or where P19 allows none. Places: the number of miRNA letters before
+    the first and second gap in it, and of the letter that the target lacks, or -1. Of equal costs the one whose gaps come last is taken.
+    """
+    rows, n = mir.shape
+    far = np.full(rows, 10_000, np.int32)
+    none = np.full((rows, 3), -1, np.int8)
+    # state: gaps in the miRNA, gaps in the target, whether the last column is a gap in the miRNA
+    now = {(0, 0, 0): (np.zeros(rows, np.int32), none)}
+
+    def better(states: dict, key: tuple, cost: np.ndarray, gaps: np.ndarray) -> None:
+        if key in states:
+            old, old_gaps = states[key]
+            take = cost < old
+            cost, gaps = np.where(take, cost, old), np.where(take[:, None], gaps, old_gaps)
+        states[key] = (cost, gaps)
+
+    for i in range(n + 1):
+        if GAP_MARGIN <= i <= n - GAP_MARGIN and not 9 <= i + 1 <= 11:  # gaps in the miRNA before letter i
+            for m in (0, 1):
+                for (gm, gt, run), (cost, gaps) in list(now.items()):
+                    if gm == m:
+                        j = start + i + gm - gt
+                        there = tar[:, j] >= 0 if j < tar.shape[1] else np.zeros(rows, bool)
+                        marked = gaps.copy()
+                        marked[:, m] = i
+                        better(now, (gm + 1, gt, 1), np.where(there, cost + (MGAP_MORE if run else MGAP_OPEN + MGAP_MORE), far), marked)
+        if i == n:
+            break
+        after: dict = {}
+        for (gm, gt, _), (cost, gaps) in now.items():
+            j = start + i + gm - gt
+            if j < tar.shape[1]:
+                t = tar[:, j]
+                better(after, (gm, gt, 0), np.where(t < 0, far, cost + MISMATCH * (t != mir[:, i])), gaps)
+            if gt == 0 and GAP_MARGIN < i + 1 <= n - GAP_MARGIN and not 9 <= i + 2 <= 11:
+                marked = gaps.copy()
+                marked[:, 2] = i
+                better(after, (gm, 1, 0), cost + TGAP_OPEN + TGAP_MORE, marked)
+        now = after
+    out: dict = {}
+    for (gm, gt, _), (cost, gaps) in now.items():
+        better(out, (gm, gt), cost, gaps)
+    return out
+
+
+def _gapped(word: str, places: list[int]) -> str:
+    """word with a gap before each of the places, counted in its letters."""
+    for p in sorted(places, reverse=True):
+        word = word[:p] + "-" + word[p:]
+    return word
+
+
+def predict_gapped_targets(mirs: DataFrame, seqs: DataFrame) -> DataFrame:
+    """J22 with bulges. (mir, name, at, site, mir_aln, tar_aln, score): sites that a miRNA meets with one or two gaps in it, one in the target, or both, of each
+    place and length the cheapest alignment; gaps and mismatches as P19 allows, the score as P20 says.
+
+    Costs are those of the aligner that the scripts call in exhaustive mode. Under their limit one gap leaves room for four mismatches, two
+    neighbouring ones or one in the target for three, two apart for one, and gaps on both sides for none. So one half of the miRNA is without a gap and has
+    three changes at most, or has one gap in it and no change: the halves' words are looked up as for sites without gaps, and a hit fixes
+    one end of the site. A banded dynamic programme, in arrays over many hits, aligns the whole miRNA from there.
+    """
+    spark = mirs.sparkSession
+    ship(spark)
+    hits = _seed_hits(mirs, seqs, 3, True)
+    wide = F.col("n") + 2
+    right = F.col("off") > 0
+    end = F.when(right, F.col("sat") + F.col("k") - 1).otherwise(F.col("sat") + wide - 1)  # of the widest site
+    # the target's part in the miRNA's direction; letters beyond the sequence are missing
+    lo, hi = F.greatest(end - wide + 1, F.lit(1)), F.least(end, F.length("seq"))
+    part = F.substr("tplain", F.length("seq") - hi + 1, hi - lo + 1)
+    tar = F.when(right, F.rpad(part, wide, "~")).otherwise(F.lpad(part, wide, "~"))
+    hits = hits.select("mir", "mplain", "n", "name", right.alias("right"), F.when(right, end).otherwise(F.col("sat")).alias("fix"), tar.alias("tar")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            df = b.to_pandas()
+            cols: dict[str, list] = {c: [] for c in ("mir", "name", "at", "len", "cost", "mir_aln", "tar_aln")}
+            for (n, is_right), g in df.groupby(["n", "right"]):
+                n = int(n)
+                m = np.frombuffer("".join(g["mplain"]).encode("ascii", "replace"), np.uint8).reshape(len(g), n).astype(np.int16)
+                t = np.frombuffer("".join(g["tar"]).encode("ascii", "replace"), np.uint8).reshape(len(g), n + 2).astype(np.int16)
+                t = np.where(t == ord("~"), -1, t)
+                mirs_, names, words, parts, fix = (g[c].tolist() for c in ("mir", "name", "mplain", "tar", "fix"))
+                for start in (0,) if is_right else (0, 1, 2, 3):
+                    for (gm, gt), (cost, gaps) in align_gapped(m, t, start).items():
+                        if gm + gt == 0 or not is_right and start != 2 - gm + gt:
+                            continue
+                        size = n + gm - gt
+                        for r in np.flatnonzero(cost <= cost_limit(n)).tolist():
+                            own = [int(x) for x in gaps[r, :2] if x >= 0]
+                            said = parts[r][start : start + size]
+                            lack = int(gaps[r, 2])
+                            cols["mir"].append(mirs_[r])
+                            cols["name"].append(names[r])
+                            cols["at"].append(fix[r] - size + 1 if is_right else fix[r])
+                            cols["len"].append(size)
+                            cols["cost"].append(int(cost[r]))
+                            cols["mir_aln"].append(_gapped(words[r], own))
+                            cols["tar_aln"].append(_gapped(said, [lack + sum(p <= lack for p in own)] if lack >= 0 else []))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[c], k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)], list(cols))
+
+    found = hits.mapInArrow(run, "mir string, name string, at int, len int, cost int, mir_aln string, tar_aln string")
+    best = found.groupBy("mir", "name", "at", "len").agg(F.min(F.struct("cost", "mir_aln", "tar_aln")).alias("b"))
+    prof = pair_profile(best.select(F.struct("mir", "name", "at").alias("id"), F.col("b.mir_aln").alias("mir"), F.col("b.tar_aln").alias("tar"))).filter("valid")
+    site = F.translate(F.reverse(F.replace("tar", F.lit("-"), F.lit(""))), "ACGT", "TGCA")
+    return score_pairs(prof).select("id.mir", "id.name", "id.at", site.alias("site"), F.col("mir").alias("mir_aln"), F.col("tar").alias("tar_aln"), "score")
+
+
 def filter_mismatch_at(profiles: DataFrame, positions: tuple[int, ...]) -> DataFrame:
     """P10. Pairs with a mismatch or wobble at one of the miRNA's positions."""
     return profiles.filter(F.arrays_overlap(F.concat("mis", "wob"), F.array(*[F.lit(p) for p in positions])))

@@ -52,6 +52,13 @@ def j22(v: Views) -> DataFrame:
     return tr.predict_targets(_mirs(v), v.seqs)
 
 
+@query("J22_gapped", "seqs")
+def j22_gapped(v: Views) -> DataFrame:
+    """miRNAs that lack a letter of their site and have another one changed."""
+    site = F.concat(F.substring("seq", 30, 6), F.substring("seq", 37, 2), F.lit("A"), F.substring("seq", 40, 11))
+    return tr.predict_gapped_targets(v.seqs.select(F.concat(F.lit("m"), "name").alias("name"), F.reverse(F.translate(site, "ACGT", "TGCA")).alias("mseq")), v.seqs)
+
+
 def _aligned(v: Views) -> DataFrame:
     """Aligned pairs with planted differences and, by a letter of the sequence, a gap in either part, from sequences."""
     mir, other = F.substring("seq", 1, 21), F.concat(F.substring("seq", 1, 4), F.translate(F.substring("seq", 5, 3), "GT", "AC"), F.substring("seq", 8, 6), F.substring("seq", 33, 3), F.substring("seq", 17, 5))

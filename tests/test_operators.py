@@ -252,6 +252,69 @@ def test_predict_targets_of_all_lengths_against_all_places(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_tags_of_several_sizes_against_all_places(spark):
+    rng = random.Random(2)
+    some = lambda n: "".join(rng.choice("AC") for _ in range(n))
+    seqs = [(f"s{k}", some(rng.choice((2, 5, 30)))) for k in range(30)] + [("none", None), ("empty", "")]
+    tags = [(some(n),) for n in (4, 5, 5, 7, 7, 9, 11) for _ in range(6)] + [(None,)]
+    want = {(t, n, i + 1) for (t,) in tags for n, x in seqs if t and x and len(t) in (5, 7, 9) for i in range(len(x)) if x.startswith(t, i)}
+    df = targets.map_tags_exact(spark.createDataFrame(tags, "tag string"), spark.createDataFrame(seqs, "name string, seq string"), (9, 5, 7))
+    assert rows(df) == sorted(want) and want
+
+
+def gapped_sites(mir, seq_):
+    """at, length -> the least cost over all ways to place the gaps that are allowed, by trying each."""
+    n, comp, out = len(mir), str.maketrans("ACGT", "TGCA"), {}
+    own = [i for i in range(4, n - 3) if not 9 <= i + 1 <= 11]
+    lacks = [None, *(i for i in range(4, n - 4) if not 9 <= i + 2 <= 11)]
+    for gm in (0, 1, 2):
+        for places in itertools.combinations_with_replacement(own, gm):
+            for lack in lacks:
+                size = n + gm - (lack is not None)
+                if gm == 0 and lack is None:
+                    continue
+                cost = {0: 0, 1: 14, 2: 18 if len(set(places)) == 1 else 28}[gm] + (0 if lack is None else 18)
+                columns = []  # of the miRNA, None for a gap in it
+                for i in range(n):
+                    columns += [None] * places.count(i) + ([] if i == lack else [mir[i]])
+                columns += [None] * places.count(n)
+                for at in range(len(seq_) - size + 1):
+                    tar = seq_[at : at + size][::-1].translate(comp)
+                    c = cost + 5 * sum(m is not None and m != x for m, x in zip(columns, tar, strict=True))
+                    if c <= min(24 + n / 2, 35.5):
+                        out[at + 1, size] = min(c, out.get((at + 1, size), 99))
+    return out
+
+
+def test_gapped_targets_against_all_alignments(spark):
+    """Planted sites of every class of gaps, with as many mismatches as its cost leaves room for, and their neighbourhoods."""
+    rng, comp = random.Random(11), str.maketrans("ACGT", "TGCA")
+    some = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    mirs, seqs = [(f"m{n}", some(n)) for n in (19, 20, 21, 22, 24)], []
+    for mn, mir in mirs:
+        for k, (gaps, lack, mis) in enumerate([((5,), False, 4), ((14,), False, 4), ((6, 6), False, 3), ((5, 13), False, 1), ((13, 14), False, 1), ((), True, 3), ((6,), True, 0), ((14,), True, 0), ((), True, 2), ((5,), False, 3)] * 2):
+            tar = list(mir)
+            for at in rng.sample(range(len(mir)), mis):
+                tar[at] = rng.choice("ACGT".replace(mir[at], ""))
+            if lack:
+                del tar[13 if k % 2 else 5]
+            for g in sorted(gaps, reverse=True):
+                tar.insert(g, rng.choice("ACGT"))
+            seqs.append((f"{mn}_{k}", some(k % 4) + "".join(tar).translate(comp)[::-1] + some(5 - k % 5)))
+    got = targets.predict_gapped_targets(spark.createDataFrame(mirs, "name string, mseq string"), spark.createDataFrame(seqs, "name string, seq string")).collect()
+    mine = {(r["mir"], r["name"], r["at"], len(r["site"])): r for r in got}
+    assert len(mine) == len(got)
+    want = {(mn, sn, *k): c for (mn, mir), (sn, x) in itertools.product(mirs, seqs) for k, c in gapped_sites(mir, x).items()}
+    assert len(want) >= 80 and set(mine) == set(want)
+    words = dict(mirs)
+    for key, r in mine.items():  # the strings are an alignment of that cost
+        m, t = r["mir_aln"], r["tar_aln"]
+        assert len(m) == len(t) and m.replace("-", "") == words[r["mir"]] and t.replace("-", "").translate(comp)[::-1] == r["site"]
+        assert dict(seqs)[r["name"]][r["at"] - 1 :].startswith(r["site"])
+        runs = [len(x) for x in "".join("-" if c == "-" else "x" for c in m).split("x") if x]
+        assert sum(10 + 4 * k for k in runs) + 18 * t.count("-") + 5 * sum(a != b for a, b in zip(m, t, strict=True) if "-" not in (a, b)) == want[key]
+
+
 def test_greedy_matching_against_loop(spark):
     rng = random.Random(3)
     pairs = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}", rng.randrange(1000)) for _ in range(150)]
