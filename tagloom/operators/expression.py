@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators.intervals import bin_join
 from tagloom.plans.components import connected_components
+from tagloom.runtime import checkpoint, few_rows
 
 
 def count_matrix(quant: DataFrame, read_len: int, samples: tuple[str, ...], level: str = "trans") -> DataFrame:
@@ -74,13 +75,13 @@ def filter_by_expr(counts: DataFrame, groups: dict[str, str], least: int = 10, l
     return cpm(counts.join(good, "gene", "left_semi"))
 
 
-def quantiles(df: DataFrame, group: str, value: str, at: tuple[float, ...], out: str = "q") -> DataFrame:
-    """(group, out): linearly interpolated quantiles of each group, as an array.
+def quantiles(df: DataFrame, group: str, value: str, at: tuple[float, ...], out: str = "q", weight: str | None = None) -> DataFrame:
+    """(group, out): linearly interpolated quantiles of each group, as an array. weight: a column that says how many rows a row stands for.
 
     A group's distinct values are counted first and summed over blocks of the value's order by range, so no task holds a whole group:
     each quantile looks up two order statistics in running counts.
     """
-    per = df.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("__g"), F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__k"))
+    per = df.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("__g"), F.col(value).cast("double").alias("__v")).agg((F.sum(weight).cast("long") if weight else F.count("*")).alias("__k"))
     edges = per.groupBy("__g").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__k").alias("__n"))
     place = F.least(F.floor((F.col("__v") - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300)) * 1024), F.lit(1023))
     per = per.join(edges.withColumnRenamed("__g", "__eg"), F.col("__g") == F.col("__eg")).drop("__eg").withColumn("__b", place)
@@ -99,40 +100,112 @@ def quantiles(df: DataFrame, group: str, value: str, at: tuple[float, ...], out:
     return found.select(F.col("__g").alias(group), F.array(*[value_at(k, q) for k, q in enumerate(at)]).alias(out))
 
 
-def tmm_factors(counts: DataFrame, reference: str, log_trim: float = 0.3, sum_trim: float = 0.05) -> DataFrame:
-    """S10. Trimmed mean of M-values against a reference sample, scaled to geometric mean 1."""
+def tmm_reference(counts: DataFrame) -> DataFrame:
+    """S10. One row (sample): the one whose upper quartile of counts, absent ones being zeros, over its total is nearest to the mean of these; of equally near ones
+    the first."""
+    sizes = counts.groupBy("sample").agg(F.sum("cnt").alias("n"), F.count("*").alias("rows"))
+    genes = counts.agg(F.countDistinct("gene").alias("genes"))  # one row
+    zeros = sizes.crossJoin(F.broadcast(genes)).select("sample", F.lit(0).cast("double").alias("cnt"), (F.col("genes") - F.col("rows")).alias("k")).filter("k > 0")
+    every = counts.select("sample", F.col("cnt").cast("double").alias("cnt"), F.lit(1).cast("long").alias("k")).unionByName(zeros)
+    q = quantiles(every, "sample", "cnt", (0.75,), weight="k").withColumnRenamed("sample", "qs").join(sizes, F.col("qs") == F.col("sample"))
+    q = q.select("sample", (F.col("q")[0] / F.col("n")).alias("f"))
+    far = F.abs(F.col("f") - F.avg("f").over(Window.partitionBy()))  # one row per sample
+    return q.withColumn("far", far).agg(F.min(F.struct("far", "sample"))["sample"].alias("sample"))
+
+
+def tmm_factors(counts: DataFrame, reference: str | None = None, log_trim: float = 0.3, sum_trim: float = 0.05) -> DataFrame:
+    """S10. Trimmed mean of M-values against a reference sample, by default that of tmm_reference, scaled to geometric mean 1."""
+    counts = checkpoint(counts.select("gene", "sample", "cnt"))
+    reference = tmm_reference(counts).first()["sample"] if reference is None else reference
     n = counts.groupBy("sample").agg(F.sum("cnt").alias("n"))
-    c = counts.join(n, "sample").filter("cnt > 0")
+    c = counts.filter("cnt > 0").join(few_rows(n), "sample")
     r = c.filter(F.col("sample") == reference).select(F.col("gene").alias("rg"), F.col("cnt").alias("rc"), F.col("n").alias("rn"))
     both = c.join(r, F.col("gene") == F.col("rg"))
     x, y = F.col("cnt") / F.col("n"), F.col("rc") / F.col("rn")
-    both = both.withColumn("m", F.log2(x / y)).withColumn("a", (F.log2(x) + F.log2(y)) / 2).withColumn("v", (F.col("n") - F.col("cnt")) / F.col("n") / F.col("cnt") + (F.col("rn") - F.col("rc")) / F.col("rn") / F.col("rc"))
-    qm = quantiles(both, "sample", "m", (log_trim, 1 - log_trim), "qm").withColumnRenamed("sample", "qs")
-    q = qm.join(quantiles(both, "sample", "a", (sum_trim, 1 - sum_trim), "qa"), F.col("qs") == F.col("sample")).drop("sample")
-    kept = both.join(q, F.col("sample") == F.col("qs")).filter("m BETWEEN qm[0] AND qm[1] AND a BETWEEN qa[0] AND qa[1]")
+    m, a = F.log2(x / y), (F.log2(x) + F.log2(y)) / 2
+    v = (F.col("n") - F.col("cnt")) / F.col("n") / F.col("cnt") + (F.col("rn") - F.col("rc")) / F.col("rn") / F.col("rc")
+    both = checkpoint(both.select("sample", m.alias("m"), a.alias("a"), v.alias("v")))
+    # both values' quantiles in one pass
+    long = both.select(F.explode(F.array(F.struct(F.struct("sample", F.lit("m").alias("of")).alias("g"), F.col("m").alias("x")), F.struct(F.struct("sample", F.lit("a").alias("of")).alias("g"), F.col("a").alias("x")))).alias("l")).select("l.*")
+    q = quantiles(long, "g", "x", (log_trim, 1 - log_trim, sum_trim, 1 - sum_trim)).groupBy(F.col("g.sample").alias("qs"))
+    q = q.agg(F.max(F.when(F.col("g.of") == "m", F.col("q"))).alias("qm"), F.max(F.when(F.col("g.of") == "a", F.col("q"))).alias("qa"))  # one row per sample
+    kept = both.join(few_rows(q), F.col("sample") == F.col("qs")).filter("m BETWEEN qm[0] AND qm[1] AND a BETWEEN qa[2] AND qa[3]")
     f = kept.groupBy("sample").agg((F.sum(F.col("m") / F.col("v")) / F.sum(1 / F.col("v"))).alias("lf"))
     return f.withColumn("factor", F.pow(F.lit(2.0), F.col("lf") - F.avg("lf").over(Window.partitionBy()))).select("sample", "factor")  # one row per sample
 
 
 def bh_adjust(df: DataFrame, p: str = "p") -> DataFrame:
-    """S11. Benjamini-Hochberg: the running minimum, from the largest p down, of p * n / rank.
+    """S11. Benjamini-Hochberg: the running minimum, from the largest p down, of p * n / rank. A null p has none.
 
-    Ranks of distinct p values come from their counts, so windows see one row per distinct value.
+    Distinct p values are counted and put in classes by their logarithm, 45,000 at most. Ranks and minima run within a class; what the classes
+    before add is one row each.
     """
-    per = df.groupBy(p).agg(F.count("*").alias("k")).withColumnRenamed(p, "__p")
-    up = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("k").over(Window.partitionBy())
-    per = per.withColumn("raw", F.col("__p") * total / F.sum("k").over(up))
-    per = per.withColumn("fdr", F.least(F.min("raw").over(Window.orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0)))
-    return df.join(per.select("__p", "fdr"), F.col(p).eqNullSafe(F.col("__p"))).drop("__p")
+    per = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("k"))
+    per = checkpoint(per.withColumn("__c", F.floor(-F.log(F.least(F.greatest("__p", F.lit(1e-300)), F.lit(1.0))) * 64)))
+    down = Window.orderBy(F.desc("__c")).rowsBetween(Window.unboundedPreceding, -1)  # classes of smaller p
+    classes = per.groupBy("__c").agg(F.sum("k").alias("k")).select(F.col("__c").alias("__d"), F.coalesce(F.sum("k").over(down), F.lit(0)).alias("__before"), F.sum("k").over(Window.partitionBy()).alias("__all"))
+    up = Window.partitionBy("__c").orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
+    per = per.join(F.broadcast(classes), F.col("__c") == F.col("__d")).drop("__d")
+    per = per.withColumn("raw", F.col("__p") * F.col("__all") / (F.col("__before") + F.sum("k").over(up)))
+    larger = Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    least = per.groupBy("__c").agg(F.min("raw").alias("r")).select(F.col("__c").alias("__d"), F.min("r").over(larger).alias("__least"))
+    back = Window.partitionBy("__c").orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, 0)
+    fdr = F.least(F.min("raw").over(back), F.col("__least"), F.lit(1.0))
+    per = per.join(F.broadcast(least), F.col("__c") == F.col("__d")).select("__p", fdr.alias("fdr"))
+    return df.join(per, F.col(p) == F.col("__p"), "left").drop("__p")
 
 
 def classify_fc(c: Column | str) -> Column:
     return F.when(F.col(c) >= 1, "up").when(F.col(c) <= -1, "down").otherwise("unchanged") if isinstance(c, str) else F.when(c >= 1, "up").when(c <= -1, "down").otherwise("unchanged")
 
 
-def diff_test(counts: DataFrame, group_a: tuple[str, ...], group_b: tuple[str, ...], dispersion: float = 0.1) -> DataFrame:
-    """S11. Per gene log2 fold change of mean cpm (+ 0.5) and the p of a negative-binomial likelihood-ratio test of given dispersion.
+def log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function for x > 0: Stirling's series at x + 8, taken back by its recurrence."""
+    y = x + 8
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7))
+    product = x
+    for k in range(1, 8):
+        product = product * (x + k)
+    return series - F.log(product)
+
+
+def estimate_dispersions(counts: DataFrame, group_a: tuple[str, ...], group_b: tuple[str, ...], prior_df: float = 10.0, low: float = 1e-4, high: float = 10.0, steps: int = 41) -> DataFrame:
+    """S11. (gene, common, dispersion): negative-binomial dispersions by conditional likelihood.
+
+    Counts are scaled to the geometric mean of the libraries' sizes. For each dispersion of a grid, even in its logarithm, a gene's likelihood given its
+    groups' sums is a sum over its samples, in which absent counts have no part. The common dispersion has the largest mean over the genes; a gene's own
+    the largest sum of its likelihood and that mean, weighted by prior_df over the residual degrees of freedom. Both are refined by a parabola through the
+    best point of the grid and its neighbours.
+    """
+    samples = [*group_a, *group_b]
+    sizes = counts.filter(F.col("sample").isin(*samples)).groupBy("sample").agg(F.sum("cnt").alias("n"))
+    sizes = sizes.withColumn("even", F.exp(F.avg(F.log("n")).over(Window.partitionBy())) / F.col("n"))  # one row per sample
+    y = counts.join(F.broadcast(sizes), "sample").select("gene", F.col("sample").isin(*group_b).alias("b"), (F.col("cnt") * F.col("even")).alias("y")).filter("y > 0")
+    per = y.groupBy("gene", "b").agg(F.collect_list("y").alias("ys"), F.sum("y").alias("z"))  # as many values as a group has samples
+    grid = [math.log(low) + k * (math.log(high) - math.log(low)) / (steps - 1) for k in range(steps)]
+    rates = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(math.exp(-g)).alias("r")) for k, g in enumerate(grid)])).alias("g")
+    x = per.select("gene", F.when(F.col("b"), len(group_b)).otherwise(len(group_a)).alias("size"), "ys", "z", rates)
+    r, size = F.col("g.r"), F.col("size") * F.col("g.r")
+    own = F.aggregate("ys", F.lit(0.0), lambda acc, v: acc + log_gamma(v + F.col("g.r")) - log_gamma(F.col("g.r")))
+    like = checkpoint(x.select("gene", "g.k", (own + log_gamma(size) - log_gamma(F.col("z") + size)).alias("l")).groupBy("gene", "k").agg(F.sum("l").alias("l")))
+    mean = like.groupBy("k").agg(F.avg("l").alias("mean"))  # one row for each step
+    weight = prior_df / max(len(samples) - 2, 1)
+    both = like.join(F.broadcast(mean.withColumnRenamed("k", "mk")), F.col("k") == F.col("mk")).select("gene", "k", (F.col("l") + weight * F.col("mean")).alias("l"))
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("k", F.col(c).alias("l")))), lambda e: e["l"])
+
+    def best(l: Column) -> Column:
+        at = F.array_position(l, F.array_max(l)).cast("int") - 1
+        a, b, c = F.get(l, at - 1), F.get(l, at), F.get(l, at + 1)
+        shift = F.coalesce(F.try_divide(a - c, 2 * (a - 2 * b + c)), F.lit(0.0))  # no shift at the grid's ends
+        return F.exp(F.lit(grid[0]) + (at + shift) * (grid[1] - grid[0]))
+
+    common = mean.agg(ordered("mean").alias("l")).select(best(F.col("l")).alias("common"))
+    return both.groupBy("gene").agg(ordered("l").alias("l")).crossJoin(F.broadcast(common)).select("gene", "common", best(F.col("l")).alias("dispersion"))
+
+
+def diff_test(counts: DataFrame, group_a: tuple[str, ...], group_b: tuple[str, ...], dispersion: float | DataFrame = 0.1) -> DataFrame:
+    """S11. Per gene log2 fold change of mean cpm (+ 0.5) and the p of a negative-binomial likelihood-ratio test of a given dispersion, one for all or
+    (gene, dispersion) as estimate_dispersions has them.
 
     The rate of a group is its reads of the gene over its libraries' sizes; likelihoods are sums over the gene's samples. A gene
     without a sample of either group has p 1.
@@ -142,7 +215,11 @@ def diff_test(counts: DataFrame, group_a: tuple[str, ...], group_b: tuple[str, .
     of = lambda x, b: F.sum(F.when(F.col("in_b") == b, F.col(x)))
     share = lambda b: F.coalesce(F.sum(F.when(F.col("in_b") == b, F.col("cnt") * 1e6 / F.col("n"))), F.lit(0.0)) / len(group_b if b else group_a)
     per = c.groupBy(F.col("gene").alias("g")).agg((of("cnt", False) / of("n", False)).alias("ra"), (of("cnt", True) / of("n", True)).alias("rb"), (F.sum("cnt") / F.sum("n")).alias("r0"), share(False).alias("ma"), share(True).alias("mb"))
-    r = 1 / dispersion
+    if isinstance(dispersion, DataFrame):
+        per = per.join(dispersion.select(F.col("gene").alias("dg"), (1 / F.col("dispersion")).alias("r")), F.col("g") == F.col("dg")).drop("dg")
+    else:
+        per = per.withColumn("r", F.lit(1 / dispersion))
+    r = F.col("r")
 
     def likelihood(rate: Column) -> Column:
         mu = F.greatest(rate * F.col("n"), F.lit(1e-12))
@@ -229,21 +306,48 @@ def _cell_number(cells: DataFrame) -> DataFrame:
     return cells.agg(F.countDistinct("cell").cast("double").alias("nc"))
 
 
-def sc_hvg(cells: DataFrame, n: int, n_cells: int | None = None) -> DataFrame:
-    """S16. Genes of largest variance relative to a quadratic trend of log variance over log mean, fitted from grouped sums.
+def local_trend(x: np.ndarray, y: np.ndarray, n: np.ndarray, span: float) -> np.ndarray:
+    """The local quadratic trend of y at each x, by tricube weights over the nearest points that hold a share ``span`` of all n."""
+    out = np.empty(len(x))
+    for i, c in enumerate(x):
+        far = np.abs(x - c)
+        order = np.argsort(far, kind="stable")
+        reach = far[order[min(np.searchsorted(np.cumsum(n[order]), np.ceil(span * n.sum())), len(x) - 1)]]
+        w = np.sqrt(n * np.clip(1 - (far / reach) ** 3, 0, None) ** 3) if reach > 0 else np.sqrt(n * (far == 0))
+        d = x - c
+        out[i] = np.linalg.lstsq(np.stack([np.ones(len(x)), d, d * d], 1) * w[:, None], y * w, rcond=None)[0][0]
+    return out
+
+
+def sc_hvg(cells: DataFrame, n: int, n_cells: int | None = None, span: float = 0.3, bins: int = 1024) -> DataFrame:
+    """S16. Genes of largest variance of standardised counts: (gene, mean, var, std_var).
 
-    Absent counts are zeros of n_cells cells, by default as many as the input has.
+    A local quadratic trend of log variance over log mean gives each gene's expected deviation; its counts, less their mean and over that deviation, are
+    clipped at the root of the number of cells, and std_var is their variance. The trend is fitted on the driver over the means of ``bins`` classes of log mean (so
+    over the genes themselves where classes hold one each) and interpolated between them. Absent counts are zeros of n_cells cells, by default as many as the
+    input has.
     """
-    m = cells.groupBy("gene").agg(F.sum("cnt").cast("double").alias("s"), F.sum(F.col("cnt") * F.col("cnt")).alias("q"))
+    m = cells.groupBy("gene").agg(F.sum("cnt").cast("double").alias("s"), F.sum(F.col("cnt") * F.col("cnt")).alias("q"), F.count_if(F.col("cnt") != 0).alias("k"))
     m = m.withColumn("nc", F.lit(float(n_cells))) if n_cells else m.crossJoin(F.broadcast(_cell_number(cells)))  # one row
-    m = m.withColumn("mean", F.col("s") / F.col("nc")).withColumn("var", (F.col("q") - F.col("s") * F.col("s") / F.col("nc")) / (F.col("nc") - 1)).filter("var > 0")
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    d = m.withColumn("x", F.log10("mean")).withColumn("x2", F.col("x") * F.col("x")).withColumn("y", F.log10("var"))
-    d = VectorAssembler(inputCols=["x", "x2"], outputCol="features").transform(d)
-    fit = LinearRegression(labelCol="y", predictionCol="trend").fit(d).transform(d)
-    std = fit.select("gene", "mean", "var", (F.col("var") / F.pow(F.lit(10.0), F.col("trend"))).alias("std_var"))
+    m = m.withColumn("mean", F.col("s") / F.col("nc")).withColumn("var", (F.col("q") - F.col("s") * F.col("s") / F.col("nc")) / (F.col("nc") - 1)).filter("var > 0 AND mean > 0")
+    m = checkpoint(m.withColumn("x", F.log10("mean")).withColumn("y", F.log10("var")))
+    ends = m.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))  # one row
+    m = m.crossJoin(F.broadcast(ends)).withColumn("bin", F.least(F.floor((F.col("x") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300)) * bins), F.lit(bins - 1)).cast("int")).drop("lo", "hi")
+    table = m.groupBy("bin").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).toPandas().sort_values("bin")  # at most as many rows as bins
+    spark = cells.sparkSession
+    if not len(table):
+        return m.select("gene", "mean", "var", F.lit(None).cast("double").alias("std_var"))
+    xs = table["x"].to_numpy()
+    fit = local_trend(xs, table["y"].to_numpy(), table["n"].to_numpy(float), span)
+    rows = [(int(table["bin"].iloc[i]), *(float(v[j]) for j in (max(i - 1, 0), i, min(i + 1, len(xs) - 1)) for v in (xs, fit))) for i in range(len(xs))]
+    near = spark.createDataFrame(rows, "b int, x0 double, f0 double, x1 double, f1 double, x2 double, f2 double")
+    m = m.join(F.broadcast(near), F.col("bin") == F.col("b"))
+    side = lambda a, f: F.coalesce(F.try_divide((F.col(f) - F.col("f1")) * (F.col("x") - F.col("x1")), F.col(a) - F.col("x1")), F.lit(0.0))
+    trend = F.col("f1") + F.when(F.col("x") < F.col("x1"), side("x0", "f0")).otherwise(side("x2", "f2"))
+    m = m.withColumn("sd", F.sqrt(F.pow(F.lit(10.0), trend))).select("gene", "mean", "var", "sd", "nc", "k")
+    z = cells.filter("cnt <> 0").select(F.col("gene").alias("g"), "cnt").join(m, F.col("g") == F.col("gene"))
+    z = z.groupBy("gene", "mean", "var", "sd", "nc", "k").agg(F.sum(F.pow(F.least((F.col("cnt") - F.col("mean")) / F.col("sd"), F.sqrt("nc")), F.lit(2))).alias("zz"))
+    std = z.select("gene", "mean", "var", ((F.col("zz") + (F.col("nc") - F.col("k")) * F.pow(F.col("mean") / F.col("sd"), 2)) / (F.col("nc") - 1)).alias("std_var"))
     return std.orderBy(F.desc("std_var"), "gene").limit(n)
 
 

@@ -182,6 +182,18 @@ def s11(v: Views) -> DataFrame:
     return ex.bh_adjust(t).withColumns({"p": F.round("p", 5), "fdr": F.round("fdr", 5)}).withColumn("change", ex.classify_fc("logfc"))
 
 
+_DISP = """n AS (SELECT sample, sum(cnt)::DOUBLE AS n FROM expr GROUP BY 1), e AS (SELECT sample, exp(avg(ln(n)) OVER ())/n AS even FROM n), y AS (SELECT gene, expr.sample IN ('S3','S4','S5') AS b, cnt*even AS y FROM expr JOIN e ON e.sample=expr.sample WHERE cnt > 0),
+ gr AS (SELECT k, exp(-(ln(0.0001::DOUBLE) + k*(ln(10.0::DOUBLE)-ln(0.0001::DOUBLE))/40)) AS r FROM (SELECT unnest(generate_series(0,40)) AS k)), o AS (SELECT gene, b, k, r, sum(lgamma(y+r)-lgamma(r)) AS own, sum(y) AS z FROM y, gr GROUP BY 1, 2, 3, 4),
+ l AS (SELECT gene, k, sum(own + lgamma(3*r) - lgamma(z+3*r)) AS l FROM o GROUP BY 1, 2), m AS (SELECT k, avg(l) AS mean FROM l GROUP BY 1), w AS (SELECT gene, list(l + 2.5::DOUBLE*mean ORDER BY k) AS ls FROM l JOIN m USING (k) GROUP BY 1),
+ a AS (SELECT gene, ls, list_position(ls, list_max(ls)) AS i FROM w), c AS (SELECT ls, list_position(ls, list_max(ls)) AS i FROM (SELECT list(mean ORDER BY k) AS ls FROM m))"""
+_PEAK = "exp(ln(0.0001::DOUBLE) + (i - 1 + CASE WHEN i BETWEEN 2 AND 40 THEN coalesce((ls[i-1]-ls[i+1])/nullif(2*(ls[i-1]-2*ls[i]+ls[i+1]), 0), 0) ELSE 0 END)*(ln(10.0::DOUBLE)-ln(0.0001::DOUBLE))/40)"
+
+
+@query("S11_dispersions", "expr", sql=f"WITH {_DISP}, k AS (SELECT {_PEAK} AS common FROM c) SELECT gene, round(common, 4) AS common, round({_PEAK}, 4) AS dispersion FROM a, k")
+def s11_dispersions(v: Views) -> DataFrame:
+    return ex.estimate_dispersions(v.expr, SAMPLES[:3], SAMPLES[3:]).withColumns({c: F.round(c, 4) for c in ("common", "dispersion")})
+
+
 @query("S9_by_expr", "expr", sql="WITH t AS (SELECT sample, sum(cnt)::DOUBLE AS n FROM expr GROUP BY 1), m AS (SELECT median(n) AS mid FROM t), c AS (SELECT e.*, cnt*1e6::DOUBLE/n AS cpm FROM expr e JOIN t ON t.sample=e.sample), g AS (SELECT gene FROM c, m GROUP BY 1 HAVING count(*) FILTER (cpm >= 10*1e6/mid) >= 3 AND sum(cnt) >= 15), k AS (SELECT * FROM expr WHERE gene IN (SELECT gene FROM g)) SELECT *, cnt*1e6::DOUBLE/sum(cnt) OVER (PARTITION BY sample) AS cpm FROM k")
 def s9_by_expr(v: Views) -> DataFrame:
     return ex.filter_by_expr(v.expr, {s: "a" if k < 3 else "b" for k, s in enumerate(SAMPLES)})

@@ -180,13 +180,13 @@ def io14(v: Views) -> DataFrame:
     o = _jdbc(v) | {"createTableColumnTypes": "tag VARCHAR(32), strand VARCHAR(1)"}
     fm.write_jdbc(v.tag_position.select("tag", F.col("chr").cast("int").alias("chr"), "strand", "pos", F.col("len").cast("int").alias("len")).coalesce(4), o)
     where = "chr = 2 AND strand = 'w' AND len BETWEEN 20 AND 22 AND pos BETWEEN 1000 AND 40000"
-    return fm.read_jdbc(v.spark, o, where).select("tag", "chr", "strand", "pos", "len")
+    return fm.read_jdbc(v.spark, o, where, by="pos").select("tag", "chr", "strand", "pos", "len")
 
 
 @query("IO15", "tag_count", sql="SELECT lib, tag, abun FROM tag_count WHERE lib <> 'L0' UNION ALL SELECT lib, tag, abun FROM tag_count WHERE lib = 'L3'")
 def io15(v: Views) -> DataFrame:
     """A first write is truncated by the second, to which a third is appended."""
-    o, t = _jdbc(v), v.tag_count.coalesce(4)
+    o, t = _jdbc(v) | {"createTableColumnTypes": "lib VARCHAR(8), tag VARCHAR(32)"}, v.tag_count.coalesce(4)
     fm.write_jdbc(t.filter("lib = 'L0'"), o)
     fm.write_jdbc(t.filter("lib <> 'L0'"), o, "overwrite")
     fm.write_jdbc(t.filter("lib = 'L3'"), o)
@@ -291,6 +291,21 @@ _P25 = """k AS (SELECT name, substr(seq, 2, 1) AS kind, seq FROM seqs WHERE seq
  c AS (SELECT *, least(CASE WHEN found > 0 THEN found-1 WHEN kind='G' THEN 20 ELSE length(seq) END, CASE WHEN kind='A' THEN 29 ELSE length(seq) END, 35) AS cut FROM q)"""
 
 
+_ADP = "TGGAATTCTCGGG"
+# a mismatch within the whole adapter, two, one in ten letters at the end, none in six
+_P25M = """k AS (SELECT name, substr(seq, 2, 1) AS kind, substr(translate(seq, 'T', 'A'), 1, 40) AS s FROM seqs WHERE seq IS NOT NULL), r AS (SELECT name, kind, s || CASE kind WHEN 'A' THEN 'TGGAATACTCGGGA' WHEN 'C' THEN 'TGGCATACTCGGGA' WHEN 'G' THEN 'TGGATTTCTC' ELSE 'TGGAAT' END AS seq FROM k)"""
+
+
+@query("P25_mismatches", "seqs", sql=f"WITH {_P25M} SELECT name AS read_id, CASE WHEN kind = 'C' THEN seq ELSE substr(seq, 1, 40) END AS seq FROM r")
+def p25_mismatches(v: Views) -> DataFrame:
+    s = v.seqs.filter("seq IS NOT NULL")
+    kind = F.substring("seq", 2, 1)
+    end = F.when(kind == "A", "TGGAATACTCGGGA").when(kind == "C", "TGGCATACTCGGGA").when(kind == "G", "TGGATTTCTC").otherwise("TGGAAT")
+    read = F.concat(F.substring(F.translate("seq", "T", "A"), 1, 40), end)
+    r = s.select(F.col("name").alias("read_id"), read.alias("seq"), F.lit("L").alias("lib")).withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
+    return fm.trim_reads(r, _ADP, 20, 60, 18, rate=0.1).select("read_id", "seq")
+
+
 @query("P25", "seqs", sql=f"WITH {_P25} SELECT name AS read_id, substr(seq,1,cut) AS seq, substr(qual,1,cut) AS qual, 'L' AS lib FROM c WHERE cut >= 18")
 def p25(v: Views) -> DataFrame:
     """Reads with a low tail (A), good ones (C), an adapter that is cut off at the read's end (G) and short ones (T), by a letter."""

@@ -6,9 +6,14 @@ split them. Schemas are explicit; missing values are nulls.
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tagloom.runtime import checkpoint
+
 Paths = str | list[str]
 
 
@@ -191,15 +196,89 @@ def read_target_report(spark: SparkSession, path: Paths) -> DataFrame:
     ).filter("mir <> ''")
 
 
-def read_jdbc(spark: SparkSession, options: dict[str, str], predicate: Column | str | None = None) -> DataFrame:
-    """IO14. A relational table; the predicate and the columns read are pushed down. The caller gives URL and account."""
-    df = spark.read.format("jdbc").options(**options).load()
+def _shared_database(spark: SparkSession, options: dict[str, str]) -> None:
+    local = spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+    if not local and ":memory:" in options["url"]:
+        raise ValueError("a database in one process's memory is another one in each executor: name one that all reach")
+
+
+def _quoted(spark: SparkSession, options: dict[str, str], column: str) -> str:
+    return spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(options["url"]).quoteIdentifier(column)
+
+
+def read_jdbc(spark: SparkSession, options: dict[str, str], predicate: str | None = None, by: str | None = None, parts: int = 8) -> DataFrame:
+    """IO14. A relational table; the predicate (SQL) and the columns read are pushed down. The caller gives URL and account.
+
+    by: a whole-number column over whose range the read is dealt to ``parts`` tasks, each with its own bounds in the database's query. The range
+    is asked for by one query, under the same predicate; rows without that column's value are the first task's.
+    """
+    _shared_database(spark, options)
+    bounds: dict[str, str] = {}
+    if by is not None:
+        c, own = _quoted(spark, options, by), set(_columns(spark, options))
+        asked = spark.read.format("jdbc").options(**options)
+        where = "" if predicate is None else " WHERE " + re.sub(r"'[^']*'|[A-Za-z_]\w*", lambda m: _quoted(spark, options, m[0]) if m[0] in own else m[0], predicate)
+        ends = asked.option("dbtable", f"(SELECT MIN({c}) AS lo, MAX({c}) AS hi FROM {options['dbtable']}{where}) ends").load().first()
+        if ends[0] is not None:
+            bounds = {"partitionColumn": by, "lowerBound": str(int(ends[0])), "upperBound": str(int(ends[1]) + 1), "numPartitions": str(parts)}
+    df = spark.read.format("jdbc").options(**options, **bounds).load()
     return df if predicate is None else df.filter(predicate)
 
 
+def _columns(spark: SparkSession, options: dict[str, str]) -> list[str]:
+    return spark.read.format("jdbc").options(**options).load().columns
+
+
 def write_jdbc(df: DataFrame, options: dict[str, str], mode: str = "append") -> None:
-    """IO15. Append, or overwrite keeping the table's definition."""
-    df.write.format("jdbc").options(**options).option("truncate", "true").mode(mode).save()
+    """IO15. Append, or overwrite keeping the table's definition, all or nothing.
+
+    Rows go to a table of their own first, numbered, so that those which a retried task writes twice can be told; one transaction then
+    empties the target (overwrite), adds each numbered row once, and a failure before it leaves the target as it was. A target that isn't there is made.
+    The staging table goes in the end. Text columns need a type that can be compared (createTableColumnTypes), as the database's largest type often can't.
+    """
+    spark = df.sparkSession
+    _shared_database(spark, options)
+    table, stage = options["dbtable"], f"stage_{uuid.uuid4().hex[:20]}"
+    own = options | {"dbtable": stage}
+    rows = checkpoint(df)  # numbers stay the same in a retry
+    try:
+        there = bool(_columns(spark, options))
+    except Exception as e:  # noqa: BLE001  every database has its own error for a table that isn't there
+        if not re.search(r"does not exist|not exist|doesn't exist|no such table|not found|unknown table|42X05|42S02|42P01", str(e), re.I):
+            raise
+        there = False
+    if not there:
+        rows.limit(0).write.format("jdbc").options(**options).mode("append").save()
+    rows.withColumn("row_no", F.monotonically_increasing_id()).write.format("jdbc").options(**own).mode("append").save()
+    cols = ", ".join(_quoted(spark, options, c) for c in df.columns)
+    n = _quoted(spark, options, "row_no")
+    adding = f"INSERT INTO {table} ({cols}) SELECT {cols} FROM (SELECT DISTINCT {cols}, {n} FROM {stage}) rows_once"
+    try:
+        _transaction(spark, options, [f"DELETE FROM {table}", adding] if mode == "overwrite" else [adding])
+    finally:
+        _transaction(spark, options, [f"DROP TABLE {stage}"])
+
+
+def _transaction(spark: SparkSession, options: dict[str, str], statements: list[str]) -> None:
+    jvm = spark._jvm
+    if "driver" in options:
+        jvm.org.apache.spark.util.Utils.classForName(options["driver"], True, False)
+    props = jvm.java.util.Properties()
+    for k, v in options.items():
+        if k in ("user", "password"):
+            props.setProperty(k, v)
+    con = jvm.java.sql.DriverManager.getConnection(options["url"], props)
+    try:
+        con.setAutoCommit(False)
+        st = con.createStatement()
+        for s in statements:
+            st.executeUpdate(s)
+        con.commit()
+    except Exception:
+        con.rollback()
+        raise
+    finally:
+        con.close()
 
 
 def ingest_mirna(fasta_lines: DataFrame, organisms: DataFrame) -> DataFrame:
@@ -290,16 +369,51 @@ def select_runs(spark: SparkSession, path: Paths, libs: tuple[str, ...], most_p:
     return df.filter(F.col("lib").isin(*libs) & (F.col("p") <= most_p) & (F.col("phase") == phase))
 
 
-def trim_reads(reads: DataFrame, adapter: str, least_q: int, crop: int, least_len: int, window: int = 4, phred: int = 33) -> DataFrame:
+def adapter_start(seq: Column, adapter: str, rate: float, least: int) -> Column:
+    """Where the adapter begins in a sequence, from 1, or null: the first place at which it stands whole, or its first letters, ``least`` at least, at the
+    sequence's end, with mismatches in up to a share ``rate`` of its letters there.
+
+    A fold over the sequence's letters carries, for each number of mismatches, a word whose bits are the prefixes of the adapter that end at
+    the letter. An adapter has 62 letters at most.
+    """
+    n, most = len(adapter), int(rate * len(adapter) + 1e-9)
+    if not 0 < n <= 62:
+        raise ValueError("adapter_start: an adapter has 1 to 62 letters")
+    masks = {c: sum(1 << i for i, x in enumerate(adapter) if x == c) for c in set(adapter)}
+    full = (1 << n) - 1
+    zero = lambda v: F.lit(v).cast("long")
+    start = F.struct(*[zero(0).alias(f"r{d}") for d in range(most + 1)], F.lit(0).alias("at"), F.lit(None).cast("int").alias("hit"))
+
+    def step(a: Column, c: Column) -> Column:
+        mask = zero(0)
+        for x, bits in masks.items():
+            mask = F.when(c == x, zero(bits)).otherwise(mask)
+        words, shifted = [], None
+        for d in range(most + 1):
+            moved = F.shiftleft(a[f"r{d}"], 1).bitwiseOR(zero(1)).bitwiseAND(zero(full))
+            # one more letter that agrees, or any letter after one mismatch less
+            words.append(moved.bitwiseAND(mask) if shifted is None else moved.bitwiseAND(mask).bitwiseOR(shifted))
+            shifted = moved
+        whole = words[-1].bitwiseAND(zero(1 << (n - 1))) != 0
+        hit = F.when(a["hit"].isNull() & whole, a["at"] - (n - 2)).otherwise(a["hit"])
+        return F.struct(*[w.alias(f"r{d}") for d, w in enumerate(words)], (a["at"] + 1).alias("at"), hit.alias("hit"))
+
+    def finish(end: Column) -> Column:
+        # at the end: the longest prefix whose own mismatches are few enough
+        tails = [F.when(end[f"r{int(rate * k + 1e-9)}"].bitwiseAND(zero(1 << (k - 1))) != 0, end["at"] - k + 1) for k in range(n - 1, max(least, 1) - 1, -1)]
+        return F.coalesce(end["hit"], *tails)
+
+    return F.aggregate(F.filter(F.split(seq, ""), lambda c: c != ""), start, step, finish)
+
+
+def trim_reads(reads: DataFrame, adapter: str, least_q: int, crop: int, least_len: int, window: int = 4, phred: int = 33, rate: float = 0.0, least_overlap: int = 6) -> DataFrame:
     """P25. Reads cut before the adapter, where mean quality in a window falls below the least, and at ``crop``; short ones dropped.
 
-    The adapter is found whole, or as a prefix of six characters or more at the read's end.
+    The adapter is found whole, or as a prefix of least_overlap characters or more at the read's end, with mismatches in a share ``rate`` of its letters.
     """
-    whole = F.instr("seq", F.lit(adapter))
-    tail = F.greatest(*[F.when(F.col("seq").endswith(adapter[:n]), F.length("seq") - n + 1).otherwise(0) for n in range(6, len(adapter))], F.lit(0))
-    at = F.when(whole > 0, whole).when(tail > 0, tail).otherwise(F.length("seq") + 1)
     q = F.transform(F.split("qual", ""), lambda c: F.ascii(c) - phred)
     starts = F.sequence(F.lit(1), F.greatest(F.size("q") - window + 1, F.lit(1)))
     bad = F.filter(starts, lambda i: F.aggregate(F.slice("q", i, window), F.lit(0), lambda a, x: a + x) < least_q * F.least(F.lit(window), F.size("q")))
+    at = F.coalesce(adapter_start(F.col("seq"), adapter, rate, least_overlap), F.length("seq") + 1)
     df = reads.withColumn("q", q).withColumn("cut", F.least(at - 1, F.coalesce(F.get(bad, F.lit(0)) - 1, F.length("seq")), F.lit(crop)))
     return df.select("read_id", F.substring("seq", F.lit(1), F.col("cut")).alias("seq"), F.substring("qual", F.lit(1), F.col("cut")).alias("qual"), "lib").filter(F.length("seq") >= least_len)

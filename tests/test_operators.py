@@ -507,13 +507,81 @@ def test_10x(spark, tmp_path):
     assert got == [("c1", "ga", 5), ("c1", "gc", 2), ("c2", "gb", 1)]
 
 
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+
+
 def test_jdbc_round_trip(spark, tmp_path):
-    o = {"url": f"jdbc:derby:{tmp_path}/db;create=true", "dbtable": "tags", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    o = {"url": f"jdbc:derby:{tmp_path}/db;create=true", "dbtable": "tags", "driver": DERBY, "createTableColumnTypes": "tag VARCHAR(9)"}
+    df = spark.createDataFrame([(f"t{k % 90}", k % 70) for k in range(500)] + [("null", None)], "tag string, abun long").repartition(3)
+    try:
+        formats.write_jdbc(df, o)
+    except Exception as e:  # noqa: BLE001
+        pytest.skip(f"no database on this machine: {type(e).__name__}")
+    assert rows(formats.read_jdbc(spark, o)) == rows(df)
+    part = formats.read_jdbc(spark, o, "abun > 20 AND tag <> 't5'", by="abun", parts=5)
+    assert part.rdd.getNumPartitions() == 5
+    assert rows(part.select("tag")) == rows(df.filter("abun > 20 AND tag <> 't5'").select("tag"))
+    assert "PushedFilters: [*IsNotNull(abun)" in part._jdf.queryExecution().executedPlan().toString()
+    formats.write_jdbc(df.limit(2), o)
+    assert formats.read_jdbc(spark, o).count() == 503
+    formats.write_jdbc(df.filter("abun = 3"), o, "overwrite")
+    assert rows(formats.read_jdbc(spark, o, by="abun")) == rows(df.filter("abun = 3"))
+
+
+def test_a_write_that_fails_leaves_the_table(spark, tmp_path, monkeypatch):
+    """Also one of which a task wrote its rows twice: each comes once."""
+    o = {"url": f"jdbc:derby:{tmp_path}/db;create=true", "dbtable": "tags", "driver": DERBY, "createTableColumnTypes": "tag VARCHAR(9)"}
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "tag string, abun long")
+    real, seen = formats._transaction, []
     try:
-        formats.write_jdbc(spark.createDataFrame([("a", 1), ("b", 5)], "tag string, abun long"), o)
+        formats.write_jdbc(df, o)
     except Exception as e:  # noqa: BLE001
         pytest.skip(f"no database on this machine: {type(e).__name__}")
-    assert rows(formats.read_jdbc(spark, o, "abun > 2").select("tag")) == [("b",)]
+
+    def broken(spark_, options, statements):
+        seen.append(statements)
+        if statements[0].startswith("DELETE"):
+            statements = [*statements, "INSERT INTO nowhere VALUES (1)"]
+        real(spark_, options, statements)
+
+    monkeypatch.setattr(formats, "_transaction", broken)
+    with pytest.raises(Exception, match="NOWHERE"):
+        formats.write_jdbc(df.filter("abun = 2"), o, "overwrite")
+    assert rows(formats.read_jdbc(spark, o)) == [("a", 1), ("a", 1), ("b", 2)] and "DROP TABLE stage_" in seen[-1][0]
+
+    def twice(spark_, options, statements):
+        if statements[0].startswith("INSERT"):
+            stage = statements[0].split(" FROM ")[2].split(")")[0]
+            real(spark_, options, [f"INSERT INTO {stage} SELECT * FROM {stage}"])
+        real(spark_, options, statements)
+
+    monkeypatch.setattr(formats, "_transaction", twice)
+    formats.write_jdbc(df, o)
+    assert rows(formats.read_jdbc(spark, o)) == [("a", 1)] * 4 + [("b", 2)] * 2
+
+
+def test_a_database_in_memory_is_refused_off_one_machine(spark, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.raises(ValueError, match="each executor"):
+        formats.read_jdbc(spark, {"url": "jdbc:derby:memory:x", "dbtable": "t"})
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.25])
+def test_adapters_against_all_offsets(spark, rate):
+    rng = random.Random(3)
+    adapter = "ACGGTACCTGATT"
+    reads = ["".join(rng.choice("ACGT") for _ in range(rng.randrange(0, 9))) + "".join(c if rng.random() > rate / 2 else rng.choice("ACGT") for c in adapter)[: rng.randrange(3, 14)] + "".join(rng.choice("ACGTN") for _ in range(rng.choice((0, 0, 5)))) for _ in range(400)] + ["", adapter, adapter * 2, "A"]
+
+    def first(read):
+        for o in range(len(read)):
+            k = min(len(adapter), len(read) - o)
+            if (k == len(adapter) or k >= 4) and sum(a != b for a, b in zip(adapter, read[o:], strict=False)) <= int(rate * k + 1e-9):
+                return o + 1
+        return None
+
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(reads)], "k int, seq string")
+    got = dict(df.select("k", formats.adapter_start(F.col("seq"), adapter, rate, 4)).collect())
+    assert got == {k: first(r) for k, r in enumerate(reads)} and sum(v is not None for v in got.values()) > 100
 
 
 def test_streamed_counts(spark, tmp_path):
@@ -660,16 +728,74 @@ def test_principal_components_and_clusters(spark):
     assert [len({got[i] for i in range(30 * k, 30 * k + 30)}) for k in range(3)] == [1, 1, 1] and len(set(got.values())) == 3
 
 
-def test_variable_genes_against_a_fit(spark):
-    r = np.random.RandomState(5)
-    counts = r.poisson(r.gamma(1.0, 4.0, 25)[None] * r.gamma(2.0, 0.5, (80, 25)))
-    df = spark.createDataFrame([(i, f"g{j}", int(c)) for (i, j), c in np.ndenumerate(counts) if c], "cell int, gene string, cnt long")
-    mean, var = counts.mean(0), counts.var(0, ddof=1)
-    fit = np.polyfit(np.log10(mean), np.log10(var), 2)
-    want = dict(zip((f"g{j}" for j in range(25)), var / 10 ** np.polyval(fit, np.log10(mean)), strict=True))
-    got = expression.sc_hvg(df, 10).collect()
-    assert [x["gene"] for x in got] == sorted(want, key=lambda g: -want[g])[:10]
-    assert all(x["std_var"] == pytest.approx(want[x["gene"]], rel=1e-4) for x in got)
+def test_variable_genes_against_a_local_fit(spark):
+    """Each gene in a class of its own: the trend is the local regression over the genes, and counts are clipped at the root of the number of cells."""
+    r = np.random.default_rng(5)
+    x = r.negative_binomial(2, 2 / (2 + np.exp(r.normal(0, 1.5, 40)))[:, None], (40, 120))
+    x[7, 3] = 4000
+    x[11] = 0
+    df = spark.createDataFrame([(k, f"g{j}", int(x[j, k])) for j in range(40) for k in range(120) if x[j, k]], "cell int, gene string, cnt long")
+    keep = [j for j in range(40) if x[j].any()]
+    lm, lv = np.log10(x[keep].mean(1)), np.log10(x[keep].var(1, ddof=1))
+    want = {}
+    for i, j in enumerate(keep):
+        far = np.abs(lm - lm[i])
+        reach = np.sort(far)[math.ceil(0.3 * len(keep)) - 1]
+        w = np.where(far < reach, (1 - (far / reach) ** 3) ** 3, 0)
+        d = lm - lm[i]
+        fit = np.polyfit(d, lv, 2, w=np.sqrt(w))[-1]
+        z = np.minimum((x[j] - x[j].mean()) / math.sqrt(10**fit), math.sqrt(120))
+        want[f"g{j}"] = (z**2).sum() / 119
+    got = expression.sc_hvg(df, 100, 120, bins=1 << 20).collect()
+    assert {r_["gene"] for r_ in got} == set(want)
+    assert all(r_["std_var"] == pytest.approx(want[r_["gene"]], rel=1e-6) for r_ in got)
+    assert [r_["gene"] for r_ in got] == sorted(want, key=lambda g: -want[g])
+    rough = {r_["gene"]: r_["std_var"] for r_ in expression.sc_hvg(df, 100, 120, bins=64).collect()}
+    assert np.corrcoef([rough[g] for g in want], [want[g] for g in want])[0, 1] > 0.99
+
+
+def test_log_gamma(spark):
+    at = [1e-3, 0.1, 0.5, 1.0, 2.5, 10.0, 333.3, 1e5, 1e8]
+    got = spark.createDataFrame([(x,) for x in at], "x double").select("x", expression.log_gamma(F.col("x")).alias("l")).collect()
+    assert all(r["l"] == pytest.approx(math.lgamma(r["x"]), rel=1e-11, abs=1e-11) for r in got)
+
+
+def test_dispersions_against_a_loop(spark):
+    r = np.random.default_rng(8)
+    phi = np.exp(r.normal(-1.5, 0.5, 60))
+    x = r.negative_binomial((1 / phi)[:, None], 1 / (1 + phi[:, None] * np.exp(r.normal(3, 1, 60))[:, None] * np.array([1, 1.3, 0.8, 1, 2, 0.9])), (60, 6))
+    a, b = ("S0", "S1", "S2"), ("S3", "S4", "S5")
+    df = spark.createDataFrame([(f"g{j}", f"S{k}", int(x[j, k])) for j in range(60) for k in range(6) if x[j, k]], "gene string, sample string, cnt long")
+    got = {r_["gene"]: r_ for r_ in expression.estimate_dispersions(df, a, b).collect()}
+    size = x.sum(0)
+    y = x * np.exp(np.log(size).mean()) / size
+    grid = np.linspace(math.log(1e-4), math.log(10), 41)
+    lg = np.vectorize(math.lgamma)
+    like = np.array([[sum(lg(g + 1 / f).sum() - 3 * math.lgamma(1 / f) + math.lgamma(3 / f) - math.lgamma(g.sum() + 3 / f) for g in (y[j, :3], y[j, 3:])) for f in np.exp(grid)] for j in range(60)])
+
+    def top(l):
+        i = int(l.argmax())
+        shift = (l[i - 1] - l[i + 1]) / (2 * (l[i - 1] - 2 * l[i] + l[i + 1])) if 0 < i < 40 else 0.0
+        return math.exp(grid[0] + (i + shift) * (grid[1] - grid[0]))
+
+    mean = like.mean(0)
+    for j in range(60):
+        assert got[f"g{j}"]["common"] == pytest.approx(top(mean), rel=1e-6)
+        assert got[f"g{j}"]["dispersion"] == pytest.approx(top(like[j] + 10 / 4 * mean), rel=1e-6)
+    assert 0.1 < top(mean) < 0.5  # the dispersions' middle is 0.22
+    p = expression.diff_test(df, a, b, expression.estimate_dispersions(df, a, b)).collect()
+    assert len(p) == 60 and all(0 <= r_["p"] <= 1 for r_ in p)
+
+
+def test_reference_sample_is_of_the_middle(spark):
+    r = random.Random(2)
+    data = [(f"g{j}", f"S{k}", c) for j in range(50) for k in range(4) if (c := r.randrange(0, 30 * (1 + k)))]
+    size = {f"S{k}": sum(c for _, s, c in data if s == f"S{k}") for k in range(4)}
+    f = {s: np.quantile([next((c for g, t, c in data if (g, t) == (f"g{j}", s)), 0) for j in range(50)], 0.75) / n for s, n in size.items()}
+    want = min(f, key=lambda s: (abs(f[s] - np.mean(list(f.values()))), s))
+    df = spark.createDataFrame(data, "gene string, sample string, cnt long")
+    assert expression.tmm_reference(df).first()["sample"] == want
+    assert rows(expression.tmm_factors(df)) == rows(expression.tmm_factors(df, want))
 
 
 def test_differential_test_against_a_loop(spark):
