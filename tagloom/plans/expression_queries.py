@@ -259,13 +259,17 @@ def _clusters(v: Views) -> DataFrame:
     return v.cell.select("cell", (F.col("cell") % 3).alias("cluster")).distinct()
 
 
+def _components(v: Views) -> DataFrame:
+    """Cells with the first ten principal components of their variable genes."""
+    genes = tuple(r["gene"] for r in ex.sc_hvg(v.cell, 2000).select("gene").orderBy("gene").collect())  # a bounded list: the columns of the matrix
+    wide = ex.sc_lognorm(v.cell).groupBy("cell").agg(*[F.coalesce(F.sum(F.when(F.col("gene") == g, F.col("v"))), F.lit(0.0)).alias(g) for g in genes])
+    return ex.pca(wide, genes, 10, scale=False)[0]
+
+
 @query("S17", "cell")
 def s17(v: Views) -> DataFrame:
-    """Cells clustered on the first ten principal components of their genes."""
-    genes = tuple(f"g{k}" for k in range(60))
-    wide = ex.sc_lognorm(v.cell).groupBy("cell").agg(*[F.coalesce(F.sum(F.when(F.col("gene") == g, F.col("v"))), F.lit(0.0)).alias(g) for g in genes])
-    points, _, _ = ex.pca(wide, genes, 10, scale=False)
-    return ex.sc_cluster(points, "pcs", 4).select("cell", "cluster")
+    """Cells clustered on principal components by k-means."""
+    return ex.sc_cluster(_components(v), "pcs", 4).select("cell", "cluster")
 
 
 def _s18(pairs: bool) -> str:
