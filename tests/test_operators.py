@@ -21,6 +21,22 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
+def most_rows(df):
+    """The most rows that a step of the plan gave out, after running it."""
+    df.collect()
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        m = node.metrics().get("numOutputRows")
+        return max([m.get().value() if m.isDefined() else 0, *[walk(node.children().apply(i)) for i in range(node.children().size())]])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 480)] + [(7, 7)]
@@ -488,6 +504,22 @@ def test_triggers_up_to_seven_cycles_in(spark):
     assert rows(loci.find_triggers(sites, locus, 21).select("site", "cls", "idx")) == [("c7", 0, 7), ("dicer", 1, 6), ("strand", 2, -1), ("w-5", 0, -5), ("w7", 0, 7)]
 
 
+@pytest.mark.parametrize("phase", [3, 21])
+def test_triggers_against_all_positions_in_few_rows(spark, phase):
+    rng = random.Random(phase)
+    own = [(f"p{i}", 1 + i % 2, s := rng.randrange(1, 5000), s + rng.randrange(50, 400)) for i in range(40)]
+    at = sorted({(1 + i % 2, rng.choice("wc"), rng.randrange(1, 6000)) for i in range(400)})
+    want = set()
+    for (c, strand, pos), (name, lchr, start, end) in itertools.product(at, own):
+        ways = [(abs(o), abs(i), i) for i in range(-5, 8) for o in range(-2, 3) if pos == (start if strand == "w" else end) + i * phase + o]
+        if c == lchr and ways:
+            want.add((f"{c}{strand}{pos}", name, min(ways)[0], min(ways)[2]))
+    sites = spark.createDataFrame([(f"{c}{s}{p}", c, s, p) for c, s, p in at], "site string, chr int, strand string, pos long")
+    df = loci.find_triggers(sites, spark.createDataFrame(own, "name string, chr int, lstart long, lend long"), phase)
+    assert set(rows(df)) == want and want
+    assert most_rows(df) < 40 * 2 * 65  # not a row for each position
+
+
 def test_clips_take_read_bases_but_no_place(spark):
     df = spark.createDataFrame([("a", "TTACGTACGG", "3H2S2M1I3M2S", "ACTAC"), ("b", "ACTACGG", "2M1D3M5N2S1P", "ACGTAC")], "id string, seq string, cigar string, target string")
     assert rows(targets.rebuild_alignment(df)) == [("a", "ACGTAC", "AC-TAC"), ("b", "AC-TAC", "ACGTAC")]
