@@ -472,6 +472,14 @@ def test_fastq_with_carriage_returns(spark, tmp_path):
     assert rows(formats.read_fastq(spark, str(tmp_path / "a.fq")).select("read_id", "seq", "qual")) == [("r1", "ACGT", "IIII"), ("r2", "GG", "@I")]
 
 
+def test_ratios_round_as_binary_numbers(spark):
+    members = spark.createDataFrame([("p", "A" * 21, 3), ("p", "C" * 22, 2)], "name string, tag string, k int")
+    tags = spark.createDataFrame([("L0", "A" * 21, 87), ("L1", "C" * 22, 513)], "lib string, tag string, abun long")
+    assert [r["size_ratio"] for r in loci.summarize_loci(members, tags, ("L0", "L1")).collect()] == [0.14]  # 87 / 600 is below 0.145
+    df = spark.range(1, 2000).select("id", intervals.round_double(F.col("id") / 600, 2).alias("r"))
+    assert all(r["r"] == math.floor(r["id"] / 600 * 100 + 0.5) / 100 for r in df.collect())
+
+
 def test_10x_entry_like_the_sizes_line(spark, tmp_path):
     (tmp_path / "m.mtx").write_text("%%MatrixMarket\n%\n2 2 2\n1 1 5\n2 2 2\n")
     (tmp_path / "g.tsv").write_text("ga\tGene A\ngb\tGene B\n")
