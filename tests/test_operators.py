@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tagloom import runtime
 from tagloom.functions import seq
 from tagloom.operators import annotation, dominance, enrichment, expression, intervals, islands, loci, phasing, tags, targets
+from tagloom.plans import registry, target_queries
 from tagloom.plans.components import connected_components
 from tagloom.sources import formats
 
@@ -268,6 +269,23 @@ def test_predict_targets_of_all_lengths_against_all_places(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_candidates_are_as_wide_as_a_site(spark):
+    """Rows of candidates hold the letters around a place, not the sequence."""
+    rng = random.Random(9)
+    long = "".join(rng.choice("ACGT") for _ in range(20000))
+    site = long[300:320]
+    mirs = spark.createDataFrame([("m", site.translate(str.maketrans("ACGT", "TGCA"))[::-1])], "name string, mseq string")
+    hits = targets._seed_hits(mirs, spark.createDataFrame([("s", long)], "name string, seq string"), 0, True)
+    assert max(len(x) for r in hits.collect() for x in r if isinstance(x, str)) < 80
+    assert [(r["name"], r["at"]) for r in targets.predict_targets(mirs, spark.createDataFrame([("s", long)], "name string, seq string")).filter("score = 0").collect()] == [("s", 301)]
+
+
+def test_searches_take_the_documents_divisible_by_100(spark, tmp_path):
+    docs = spark.range(0, 1001).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r["name"] for r in target_queries._mirs(registry.Views(spark, str(tmp_path))).collect()) == sorted(f"mS{i}" for i in range(0, 1001, 100))
+
+
 def test_tags_of_several_sizes_against_all_places(spark):
     rng = random.Random(2)
     some = lambda n: "".join(rng.choice("AC") for _ in range(n))
