@@ -286,6 +286,30 @@ def test_searches_take_the_documents_divisible_by_100(spark, tmp_path):
     assert sorted(r["name"] for r in target_queries._mirs(registry.Views(spark, str(tmp_path))).collect()) == sorted(f"mS{i}" for i in range(0, 1001, 100))
 
 
+def test_best_cleavage_once_for_each_end(spark):
+    """Targets that share an end are no rows of their own until the end; an id of several ends keeps its best."""
+    rng = random.Random(2)
+    cats = [(g, loc, rng.randrange(1, 9), rng.randrange(5)) for g in "ab" for loc in rng.sample(range(60), 40)]
+    own = [(f"t{i // 2}", rng.choice("ab"), rng.randrange(10, 60), rng.choice([None, 21, 23])) for i in range(3000)]
+    want = {}
+    for name, g, end, n in own:
+        for o in (9, 10, 11, 12) if n == 23 else (9, 10, 11):
+            for cg, loc, hits, cat in cats:
+                if cg == g and loc == end - o:
+                    win = sum(h for c2, l2, h, _ in cats if c2 == g and abs(l2 - loc) <= 5)
+                    want[name] = min(want.get(name, (9,)), (cat, -hits, loc, g, win))
+    df = targets.best_cleave(spark.createDataFrame(own, "id string, gene string, tend int, mlen int"), spark.createDataFrame(cats, "gene string, loc int, hits int, category int"))
+    got = {r["id"]: (r["category"], -r["site_hits"], r["site"], r["gene"], r["window"]) for r in df.collect()}
+    assert got == want and most_rows(df) <= 3000
+
+
+def test_cleavage_p_shuffles_its_targets_once(spark):
+    own = [("m", s / 2, s % 2) for s in range(8)] + [("m", None, 0)]
+    df = targets.cleavage_p(spark.createDataFrame(own, "mir string, score double, category int"), spark.createDataFrame([(0, 0.5), (1, 0.1)], "category int, fraction double"))
+    assert sorted((-1 if r["score"] is None else r["score"], r["n"]) for r in df.collect()) == [(-1, 1), *[(s / 2, 2 if s % 2 else 1) for s in range(8)]]
+    assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0].count("hashpartitioning(mir") == 1
+
+
 def test_tags_of_several_sizes_against_all_places(spark):
     rng = random.Random(2)
     some = lambda n: "".join(rng.choice("AC") for _ in range(n))
