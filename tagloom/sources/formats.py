@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagloom.runtime import checkpoint
+from tagloom.runtime import checkpoint, once
 
 Paths = str | list[str]
 
@@ -411,9 +411,10 @@ def trim_reads(reads: DataFrame, adapter: str, least_q: int, crop: int, least_le
 
     The adapter is found whole, or as a prefix of least_overlap characters or more at the read's end, with mismatches in a share ``rate`` of its letters.
     """
-    q = F.transform(F.split("qual", ""), lambda c: F.ascii(c) - phred)
+    reads = reads.select("read_id", F.col("seq").alias("__s"), F.col("qual").alias("__q"), "lib")
+    reads = once(reads, seq=F.col("__s"), qual=F.col("__q"), q=F.transform(F.split("__q", ""), lambda c: F.ascii(c) - phred))
     starts = F.sequence(F.lit(1), F.greatest(F.size("q") - window + 1, F.lit(1)))
     bad = F.filter(starts, lambda i: F.aggregate(F.slice("q", i, window), F.lit(0), lambda a, x: a + x) < least_q * F.least(F.lit(window), F.size("q")))
     at = F.coalesce(adapter_start(F.col("seq"), adapter, rate, least_overlap), F.length("seq") + 1)
-    df = reads.withColumn("q", q).withColumn("cut", F.least(at - 1, F.coalesce(F.get(bad, F.lit(0)) - 1, F.length("seq")), F.lit(crop)))
+    df = once(reads, cut=F.least(at - 1, F.coalesce(F.get(bad, F.lit(0)) - 1, F.length("seq")), F.lit(crop)))
     return df.select("read_id", F.substring("seq", F.lit(1), F.col("cut")).alias("seq"), F.substring("qual", F.lit(1), F.col("cut")).alias("qual"), "lib").filter(F.length("seq") >= least_len)
