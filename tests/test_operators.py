@@ -174,6 +174,17 @@ def test_pair_profile_gaps_and_scores(spark):
     assert got["wob"]["wob"] == [4] and got["wob"]["mis"] == [5] and got["wob"]["score"] == 2.5
 
 
+def test_profiles_and_trims_are_computed_once(spark):
+    """The optimizer copies an expression to each use; the alignment's columns and a read's cut are of one step."""
+    pairs = spark.createDataFrame([("a", "ACGT", "ACGA")], "id string, mir string, tar string").withColumn("mir", F.concat("mir", F.lit("ACGT")))
+    text = targets.pair_profile(pairs.withColumn("tar", F.concat("tar", F.lit("ACGA"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("arrays_zip") + text.count("zip_with") == 1 and text.count("concat(mir") == 1
+    reads = spark.createDataFrame([("r", "ACGTTGGAATTC", "IIIIIIIIIIII", "L")], "read_id string, seq string, qual string, lib string")
+    df = formats.trim_reads(reads, "TGGAATTCTCGGG", 20, 35, 2)
+    assert rows(df) == [("r", "ACGT", "IIII", "L")]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2  # the qualities, the adapter's fold
+
+
 def test_pair_positions_are_the_mirnas_own(spark):
     m, gap5 = "ACGTACGTACGTACGTACGTA", "ACGTA-CGTACGTACGTACGTA"
     changed = lambda s, *at: "".join({"A": "C", "C": "A", "G": "C", "T": "G", "-": "-"}[c] if k in at else c for k, c in enumerate(s))
