@@ -940,3 +940,32 @@ def test_streams_sum_windows_behind_a_watermark(spark, tmp_path):
     q.awaitTermination(120)
     got = {(str(r["start"])[11:16], r["lib"]): r["abun"] for r in spark.table("windowed").collect()}
     assert got[("00:00", "a")] == 5 and got[("00:01", "b")] == 5 and got[("00:09", "a")] == 7
+
+
+def test_points_are_numbered_as_islands_from_one_reading(spark, tmp_path):
+    from tagloom.operators.islands import count_per, number_islands, number_points
+
+    rng = random.Random(5)
+    rows = [(c, s, p, rng.randrange(1, 4)) for c in (1, 2, None) for s in "wc" for p in {rng.randrange(3000) for _ in range(60)}]
+    rows += [(1, "w", None, 1)]
+    df = spark.createDataFrame(rows, "chr long, strand string, pos long, n long")
+    for gap, width in ((10, 64), (30, 64), (10, 1 << 16)):
+        want = number_islands(df, ["chr"], "pos", "pos", gap, "i")
+        got = number_points(df, ["chr"], "pos", gap, "i", width=width)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+        records = df.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+        big = count_per(number_islands(records, ["chr"], "pos", "pos", gap, "i"), ["chr", "i"], "pos", "size").filter("size >= 5").select("chr", "strand", "pos", "i").distinct()
+        got = number_points(df, ["chr"], "pos", gap, "i", 5, width).select("chr", "strand", "pos", "i")
+        assert sorted(map(str, got.collect())) == sorted(map(str, big.collect()))
+    df.selectExpr("chr", "strand", "pos", "0.1D AS best_p", "n", "n AS k").write.parquet(f"{tmp_path}/best")
+    plan = phasing.phased_clusters(spark.read.parquet(f"{tmp_path}/best"), (0.5, 0.2))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{tmp_path}/best") <= 1  # what the clusters rest on isn't computed for the numbers and again for the rows
+
+
+def test_registers_in_one_shuffle_are_those_of_the_steps(spark):
+    rng = random.Random(8)
+    rows = {(c, s, rng.randrange(1, 2500)) for c in (1, 2) for s in "wc" for _ in range(250)} | {(1, "w", 40 + 21 * k) for k in range(30)} | {(1, "c", 38 + 21 * k) for k in range(30)} | {(1, "c", p) for p in (1, 2, 3)}
+    pos = spark.createDataFrame([(c, 1, s, p, p + 3 * (s == "c")) for c, s, p in sorted(rows)], "chr long, cluster long, strand string, pos long, reg long")
+    steps = phasing.assign_best_p(phasing.phasing_p(phasing.register_counts(pos, 21), 21).withColumn("p", F.round("p", 9)), 21)
+    for width in (1 << 16, 1000):
+        assert sorted(map(str, phasing.best_registers(pos, 21, width=width).select(*steps.columns).collect())) == sorted(map(str, steps.collect()))
