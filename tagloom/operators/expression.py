@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators.intervals import bin_join
 from tagloom.plans.components import connected_components
-from tagloom.runtime import checkpoint, few_rows
+from tagloom.runtime import checkpoint, few_rows, once, ship, store
 
 
 def count_matrix(quant: DataFrame, read_len: int, samples: tuple[str, ...], level: str = "trans") -> DataFrame:
@@ -169,6 +171,16 @@ def log_gamma(x: Column) -> Column:
     return series - F.log(product)
 
 
+def log_gamma_of(x: np.ndarray) -> np.ndarray:
+    """log_gamma of numbers."""
+    y = x + 8
+    q = 1 / (y * y)
+    product = x.copy()
+    for k in range(1, 8):
+        product *= x + k
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - q * (1 / 360 - q * (1 / 1260 - q / 1680))) / y - np.log(product)
+
+
 def estimate_dispersions(counts: DataFrame, group_a: tuple[str, ...], group_b: tuple[str, ...], prior_df: float = 10.0, low: float = 1e-4, high: float = 10.0, steps: int = 41) -> DataFrame:
     """S11. (gene, common, dispersion): negative-binomial dispersions by conditional likelihood.
 
@@ -181,17 +193,31 @@ def estimate_dispersions(counts: DataFrame, group_a: tuple[str, ...], group_b: t
     sizes = counts.filter(F.col("sample").isin(*samples)).groupBy("sample").agg(F.sum("cnt").alias("n"))
     sizes = sizes.withColumn("even", F.exp(F.avg(F.log("n")).over(Window.partitionBy())) / F.col("n"))  # one row per sample
     y = counts.join(F.broadcast(sizes), "sample").select("gene", F.col("sample").isin(*group_b).alias("b"), (F.col("cnt") * F.col("even")).alias("y")).filter("y > 0")
-    per = y.groupBy("gene", "b").agg(F.collect_list("y").alias("ys"), F.sum("y").alias("z"))  # as many values as a group has samples
     grid = [math.log(low) + k * (math.log(high) - math.log(low)) / (steps - 1) for k in range(steps)]
-    rates = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(math.exp(-g)).alias("r")) for k, g in enumerate(grid)])).alias("g")
-    x = per.select("gene", F.when(F.col("b"), len(group_b)).otherwise(len(group_a)).alias("size"), "ys", "z", rates)
-    r, size = F.col("g.r"), F.col("size") * F.col("g.r")
-    own = F.aggregate("ys", F.lit(0.0), lambda acc, v: acc + log_gamma(v + F.col("g.r")) - log_gamma(F.col("g.r")))
-    like = checkpoint(x.select("gene", "g.k", (own + log_gamma(size) - log_gamma(F.col("z") + size)).alias("l")).groupBy("gene", "k").agg(F.sum("l").alias("l")))
-    mean = like.groupBy("k").agg(F.avg("l").alias("mean"))  # one row for each step
+    ys = lambda of: F.collect_list(F.when(of, F.col("y")))  # noqa: E731  as many values as a group has samples
+    like = y.groupBy("gene").agg(ys(~F.col("b")).alias("a"), ys(F.col("b")).alias("b"))
+    rates = np.exp(-np.array(grid))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, steps))
+            for name, size in (("a", len(group_a)), ("b", len(group_b))):
+                lists = batch.column(name)
+                n, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+                gene = np.repeat(np.arange(batch.num_rows), n)
+                z = np.bincount(gene, flat, batch.num_rows)
+                for k, r in enumerate(rates):
+                    own = np.bincount(gene, log_gamma_of(flat + r), batch.num_rows) - n * math.lgamma(r)
+                    out[:, k] += np.where(n > 0, own + math.lgamma(size * r) - log_gamma_of(z + size * r), 0.0)
+            places = pa.array(np.arange(batch.num_rows + 1) * steps, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("gene"), pa.ListArray.from_arrays(places, pa.array(out.ravel()))], ["gene", "l"])
+
+    ship(counts.sparkSession)
+    gene_type = counts.schema["gene"].dataType.simpleString()
+    like = store(like.mapInArrow(run, f"gene {gene_type}, l array<double>"))  # one row for each gene, whatever the steps
+    mean = like.select(F.posexplode("l").alias("k", "l")).groupBy("k").agg(F.avg("l").alias("l"))  # one row for each step
+    mean = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "l"))), lambda e: e["l"]).alias("mean"))
     weight = prior_df / max(len(samples) - 2, 1)
-    both = like.join(F.broadcast(mean.withColumnRenamed("k", "mk")), F.col("k") == F.col("mk")).select("gene", "k", (F.col("l") + weight * F.col("mean")).alias("l"))
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("k", F.col(c).alias("l")))), lambda e: e["l"])
 
     def best(l: Column) -> Column:
         at = F.array_position(l, F.array_max(l)).cast("int") - 1
@@ -199,8 +225,8 @@ def estimate_dispersions(counts: DataFrame, group_a: tuple[str, ...], group_b: t
         shift = F.coalesce(F.try_divide(a - c, 2 * (a - 2 * b + c)), F.lit(0.0))  # no shift at the grid's ends
         return F.exp(F.lit(grid[0]) + (at + shift) * (grid[1] - grid[0]))
 
-    common = mean.agg(ordered("mean").alias("l")).select(best(F.col("l")).alias("common"))
-    return both.groupBy("gene").agg(ordered("l").alias("l")).crossJoin(F.broadcast(common)).select("gene", "common", best(F.col("l")).alias("dispersion"))
+    both = once(like.crossJoin(F.broadcast(checkpoint(mean.select("mean", best(F.col("mean")).alias("common"))))), both=F.zip_with("l", "mean", lambda l, m: l + weight * m))
+    return both.select("gene", "common", best(F.col("both")).alias("dispersion"))
 
 
 def diff_test(counts: DataFrame, group_a: tuple[str, ...], group_b: tuple[str, ...], dispersion: float | DataFrame = 0.1) -> DataFrame:

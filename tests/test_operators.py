@@ -969,3 +969,11 @@ def test_registers_in_one_shuffle_are_those_of_the_steps(spark):
     steps = phasing.assign_best_p(phasing.phasing_p(phasing.register_counts(pos, 21), 21).withColumn("p", F.round("p", 9)), 21)
     for width in (1 << 16, 1000):
         assert sorted(map(str, phasing.best_registers(pos, 21, width=width).select(*steps.columns).collect())) == sorted(map(str, steps.collect()))
+
+
+def test_dispersions_have_one_row_for_each_gene(spark):
+    counts = spark.createDataFrame([(f"g{k}", s, 5 + (k * 7 + j * 3) % 20) for k in range(50) for j, s in enumerate("abcd")], "gene string, sample string, cnt long")
+    got = expression.estimate_dispersions(counts, ("a", "b"), ("c", "d"))
+    assert most_rows(got) <= 50 and got.count() == 50
+    x = np.array([1e-4, 0.3, 1.0, 7.5, 400.0, 1e6])
+    assert np.allclose(expression.log_gamma_of(x), [math.lgamma(v) for v in x], rtol=1e-10, atol=1e-10)
