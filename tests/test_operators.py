@@ -977,3 +977,19 @@ def test_dispersions_have_one_row_for_each_gene(spark):
     assert most_rows(got) <= 50 and got.count() == 50
     x = np.array([1e-4, 0.3, 1.0, 7.5, 400.0, 1e6])
     assert np.allclose(expression.log_gamma_of(x), [math.lgamma(v) for v in x], rtol=1e-10, atol=1e-10)
+
+
+def test_first_pairs_in_order_are_matched_before_the_rest(spark, monkeypatch):
+    sizes = []
+    real = loci._match
+    monkeypatch.setattr(loci, "_match", lambda left, a, b: (sizes.append(left.count()), real(left, a, b))[1])
+    rng = random.Random(3)
+    pairs = [(f"n{k}", f"p{rng.randrange(12)}", k, j) for k in range(200) for j in range(3)]
+    got = loci.greedy_matching(spark.createDataFrame(pairs, "a string, b string, k long, j long"), [F.col("k"), F.col("j")], first=90).collect()
+    used, want = set(), []
+    for a, b, k, j in pairs:
+        if a not in used and b not in used:
+            used |= {a, b}
+            want.append((a, b, k, j))
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sizes[0] == 90 and sizes[1] < 100  # of 600 pairs
