@@ -9,7 +9,7 @@ from tagloom.operators import enrichment as en
 from tagloom.operators import expression as ex
 from tagloom.operators.islands import number_rows
 from tagloom.plans.registry import Views, query
-from tagloom.runtime import checkpoint
+from tagloom.runtime import checkpoint, store
 
 SAMPLES = tuple(f"S{k}" for k in range(6))
 
@@ -261,15 +261,16 @@ def _clusters(v: Views) -> DataFrame:
 
 def _components(v: Views) -> DataFrame:
     """Cells with the first ten principal components of their variable genes."""
-    genes = tuple(r["gene"] for r in ex.sc_hvg(v.cell, 2000).select("gene").orderBy("gene").collect())  # a bounded list: the columns of the matrix
-    wide = ex.sc_lognorm(v.cell).groupBy("cell").agg(*[F.coalesce(F.sum(F.when(F.col("gene") == g, F.col("v"))), F.lit(0.0)).alias(g) for g in genes])
-    return ex.pca(wide, genes, 10, scale=False)[0]
+    cells = store(v.cell)
+    genes = tuple(r["gene"] for r in ex.sc_hvg(cells, 2000).select("gene").orderBy("gene").collect())  # a bounded list: the columns of the matrix
+    wide = ex.sc_lognorm(cells).groupBy("cell").agg(*[F.coalesce(F.sum(F.when(F.col("gene") == g, F.col("v"))), F.lit(0.0)).alias(g) for g in genes])
+    return ex.pca(store(wide), genes, 10, scale=False)[0]
 
 
 @query("S17", "cell")
 def s17(v: Views) -> DataFrame:
     """Cells clustered on principal components by k-means."""
-    return ex.sc_cluster(_components(v), "pcs", 4).select("cell", "cluster")
+    return ex.sc_cluster(store(_components(v).select("cell", "pcs")), "pcs", 4).select("cell", "cluster")
 
 
 def _s18(pairs: bool) -> str:

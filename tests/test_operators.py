@@ -993,3 +993,13 @@ def test_first_pairs_in_order_are_matched_before_the_rest(spark, monkeypatch):
             want.append((a, b, k, j))
     assert sorted(map(tuple, got)) == sorted(want)
     assert sizes[0] == 90 and sizes[1] < 100  # of 600 pairs
+
+
+def test_cells_are_joined_once_for_clusters(spark, monkeypatch):
+    from tagloom.plans import expression_queries
+
+    read = []
+    real = registry.Views.__getattr__
+    monkeypatch.setattr(registry.Views, "__getattr__", lambda v, name: (read.append(name), real(v, name))[1])
+    plan = expression_queries._components(registry.Views(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert read == ["cell"] and "lineitem" not in plan
