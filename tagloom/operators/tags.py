@@ -36,9 +36,13 @@ def extract_rows(master: DataFrame, query: DataFrame, key: str, query_key: str)
 
 
 def compare_libs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """J2. Tags of two libraries with their kind: a, b or common (a's row)."""
-    only_a, only_b = a.join(b, "tag", "left_anti").withColumn("kind", F.lit("a")), b.join(a, "tag", "left_anti").withColumn("kind", F.lit("b"))
-    return only_a.unionByName(only_b).unionByName(a.join(b, "tag", "left_semi").withColumn("kind", F.lit("common"))).select("tag", "abun", "kind")
+    """J2. Tags of two libraries with their kind: a, b or common (a's row). Each library is read and shuffled once; a null tag equals none."""
+    both = a.select("tag", "abun", F.lit("a").alias("own")).unionByName(b.select("tag", "abun", F.lit("b").alias("own")))
+    of = lambda x: F.collect_list(F.when(F.col("own") == x, F.struct("abun")))
+    per = both.groupBy("tag").agg(of("a").alias("a"), of("b").alias("b"))
+    shared = F.col("tag").isNotNull() & (F.size("a") > 0) & (F.size("b") > 0)
+    said = lambda x, kind: F.transform(x, lambda r: F.struct(r["abun"].alias("abun"), kind.alias("kind")))
+    return per.select("tag", F.inline(F.concat(said("a", F.when(shared, "common").otherwise("a")), F.when(shared, F.array()).otherwise(said("b", F.lit("b"))))))
 
 
 def tags_to_positions(tags: DataFrame, tagpos: DataFrame) -> DataFrame:

@@ -1013,3 +1013,11 @@ def test_formats_are_written_compressed(spark, tmp_path):
     size = sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.startswith("part"))
     assert size < 5000 * 20
     assert [r["value"] for r in formats.numbered_lines(spark, path).orderBy("number").collect()] == [r["value"] for r in lines.collect()]
+
+
+def test_compared_libraries_are_read_once_each(spark, tmp_path):
+    for name, tags_ in (("a", [("A", 1), ("B", 2), ("B", 3), (None, 4), ("D", None)]), ("b", [("B", 5), ("C", 6), (None, 7)])):
+        spark.createDataFrame(tags_, "tag string, abun long").write.parquet(f"{tmp_path}/{name}")
+    got = tags.compare_libs(spark.read.parquet(f"{tmp_path}/a"), spark.read.parquet(f"{tmp_path}/b"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("A", 1, "a"), ("B", 2, "common"), ("B", 3, "common"), (None, 4, "a"), ("D", None, "a"), ("C", 6, "b"), (None, 7, "b")], key=str)
