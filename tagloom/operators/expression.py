@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagloom.operators.intervals import bin_join
+from tagloom.operators.islands import number_islands
 from tagloom.plans.components import connected_components
 from tagloom.runtime import checkpoint, few_rows, once, ship, store
 
@@ -23,9 +23,11 @@ def count_matrix(quant: DataFrame, read_len: int, samples: tuple[str, ...], leve
 
 def cluster_transcripts(exons: DataFrame, prefix: str = "M") -> DataFrame:
     """A21. Transcripts whose exons overlap on one strand, transitively, named by the smallest transcript of the cluster."""
-    a = exons.select(F.col("trans").alias("ta"), F.col("chr").alias("ca"), F.col("strand").alias("sa"), F.col("xstart").alias("as_"), F.col("xend").alias("ae"))
-    b = exons.select(F.col("trans").alias("tb"), F.col("chr").alias("cb"), F.col("strand").alias("sb"), F.col("xstart").alias("bs"), F.col("xend").alias("be"))
-    edges = bin_join(a, b, [("ca", "cb"), ("sa", "sb")], ("as_", "ae"), ("bs", "be")).filter("ta < tb").select("ta", "tb").distinct()
+    placed = exons.select("trans", "chr", "strand", "xstart", "xend").filter("xstart <= xend AND chr IS NOT NULL AND strand IS NOT NULL")
+    # exons that overlap, transitively, are islands: each of its transcripts has a link to the island's first one
+    at = store(number_islands(placed, ["chr", "strand"], "xstart", "xend", out="__i").select("chr", "strand", "__i", F.col("trans").alias("ta")))
+    first = at.groupBy(F.col("chr").alias("fc"), F.col("strand").alias("fs"), F.col("__i").alias("fi")).agg(F.min("ta").alias("tb"))
+    edges = at.join(first, (F.col("chr") == F.col("fc")) & (F.col("strand") == F.col("fs")) & (F.col("__i") == F.col("fi"))).filter("ta <> tb").select("ta", "tb").distinct()
     comp = connected_components(edges, "ta", "tb")
     every = exons.select("trans").distinct()
     return every.join(comp, F.col("trans") == F.col("node"), "left").select("trans", F.concat(F.lit(prefix), F.coalesce("component", "trans")).alias("cluster"))

@@ -1021,3 +1021,13 @@ def test_compared_libraries_are_read_once_each(spark, tmp_path):
     got = tags.compare_libs(spark.read.parquet(f"{tmp_path}/a"), spark.read.parquet(f"{tmp_path}/b"))
     assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
     assert sorted(map(tuple, got.collect()), key=str) == sorted([("A", 1, "a"), ("B", 2, "common"), ("B", 3, "common"), (None, 4, "a"), ("D", None, "a"), ("C", 6, "b"), (None, 7, "b")], key=str)
+
+
+def test_overlapping_exons_give_as_many_links_as_transcripts(spark, monkeypatch):
+    seen = []
+    real = expression.connected_components
+    monkeypatch.setattr(expression, "connected_components", lambda e, *a: (seen.append(e.count()), real(e, *a))[1])
+    exons = spark.createDataFrame([(f"T{k:02}", 1, "w", 10, 50) for k in range(30)] + [("T90", 1, "w", 50, 60), ("T90", 1, "c", 100, 110), ("T91", 1, "c", 110, 120), ("T92", 1, "c", 121, 130), ("T93", 1, "w", 61, 70)], "trans string, chr long, strand string, xstart long, xend long")
+    got = dict(map(tuple, expression.cluster_transcripts(exons).collect()))
+    assert got == {f"T{k:02}": "MT00" for k in range(30)} | {"T90": "MT00", "T91": "MT00", "T92": "MT92", "T93": "MT93"}
+    assert seen == [31]  # 30 of the island on w, one of that on c; every pair would be 466
