@@ -5,6 +5,7 @@ import math
 import os
 import random
 import statistics
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -442,6 +443,31 @@ def test_a_chain_of_a_hundred_thousand_choices(spark, monkeypatch):
     assert len(written) < 40
 
 
+def test_blocks_end_where_islands_end(spark, monkeypatch):
+    """Islands of a few loci each are in one block, over borders of coordinate blocks too, so loci aren't joined with each other; a long one is cut at every SHARE."""
+    monkeypatch.setattr(loci, "SHARE", 10)
+    rng = random.Random(3)
+    short = [(f"n{k:03d}", rng.randrange(1, 8), 1, 10000 * (k // 7) + 100 * (k % 7) + rng.randrange(60), 10000 * (k // 7) + 100 * (k % 7) + 250, "ab"[k % 2]) for k in range(140)]
+    long = [(f"m{k:03d}", 1, 2, 65500 + 40 * k, 65600 + 40 * k, "a") for k in range(35)]
+    df = spark.createDataFrame(short + long, MERGED)
+    got = {r["name"]: (r["chr"], r["near"], r["isle"], r["block"]) for r in loci._numbered(df, ["name"]).collect()}
+    assert len(got) == 175
+    assert all(got[r[0]][1] == i + 1 and got[r[0]][2] == i - i % 7 + 1 for i, r in enumerate(sorted(short, key=lambda r: r[3])))
+    assert [got[r[0]][1:] for r in long] == [(k + 1, 1, 0 if k < 10 else 2 * ((k + 1) // 10) + 1) for k in range(35)]
+    sizes = Counter((c, b) for c, _, _, b in got.values())
+    assert max(sizes.values()) < 20
+    assert len({(i, b) for c, _, i, b in got.values() if c == 1}) == 20  # an island, a block
+
+    def none(*_):
+        raise AssertionError("no island lies in several blocks")
+
+    monkeypatch.setattr(loci, "_conflicts", none)
+    df = spark.createDataFrame(short, MERGED)
+    kept, merged = merges_by_loop(short)
+    assert rows(loci.self_merge(df)) == kept
+    assert rows(loci.merge_libraries(df)) == merged
+
+
 def test_components_raise_if_unfinished(spark):
     with pytest.raises(RuntimeError):
         connected_components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"), max_rounds=1)
