@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tagloom import runtime
 from tagloom.functions import seq
-from tagloom.operators import annotation, dominance, enrichment, expression, intervals, islands, loci, phasing, tags, targets
+from tagloom.operators import annotation, dominance, enrichment, expression, intervals, islands, loci, phasing, seeds, tags, targets
 from tagloom.plans import registry, target_queries
 from tagloom.plans.components import connected_components
 from tagloom.sources import formats
@@ -292,6 +292,40 @@ def test_candidates_are_as_wide_as_a_site(spark):
     assert [(r["name"], r["at"]) for r in targets.predict_targets(mirs, spark.createDataFrame([("s", long)], "name string, seq string")).filter("score = 0").collect()] == [("s", 301)]
 
 
+def test_a_search_makes_no_table_of_words(spark):
+    """40 miRNAs have 346,400 words with up to three changes, which were rows, small enough when compressed to be broadcast through the driver."""
+    rng = random.Random(10)
+    seqs = spark.createDataFrame([(f"s{i}", "".join(rng.choice("ACGT") for _ in range(60))) for i in range(40)], "name string, seq string")
+    mirs = seqs.select("name", F.reverse(F.translate(F.substring("seq", 11, 20), "ACGT", "TGCA")).alias("mseq"))
+    for search in (targets.predict_targets, targets.predict_gapped_targets):
+        assert most_rows(search(mirs, seqs)) < 5000
+    assert {(r["mir"], r["at"]) for r in targets.predict_targets(mirs, seqs).filter("score = 0").collect()} >= {(f"s{i}", 11) for i in range(40)}
+
+
+@pytest.mark.parametrize("search", [targets.predict_targets, targets.predict_gapped_targets])
+def test_blocks_and_parts_of_a_search_dont_show(spark, monkeypatch, search):
+    """Sites across the parts' borders, in blocks of two miRNAs and of few letters, with a fixed number of hits at once."""
+    rng = random.Random(12)
+    long = "".join(rng.choice("ACGT") for _ in range(700))
+    seqs = spark.createDataFrame([("a", long), ("b", long[:30]), ("c", "ACG"), ("d", None), ("a", long)], "name string, seq string")
+    site = lambda i, n: long[i : i + n].translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    mirs = [(f"m{i}", site(i, n)[:8] + site(i, n)[9:]) for i, n in ((0, 21), (25, 22), (36, 21), (38, 25), (61, 21), (75, 40), (679, 21))] + [("e", ""), ("n", None)]
+    mirs = spark.createDataFrame(mirs, "name string, mseq string")
+    whole = rows(search(mirs, seqs))
+    for name, n in (("BLOCK_MIRS", 2), ("BLOCK_LETTERS", 100), ("LEAST_MIRS", 2), ("LEAST_LETTERS", 100), ("PART", 40)):
+        monkeypatch.setattr(targets, name, n)
+    assert rows(search(mirs, seqs)) == whole and whole
+
+
+def test_hits_come_a_fixed_number_at_once(monkeypatch):
+    block = seeds.Block(["AC" * 30, "ACGT"], 40)
+    monkeypatch.setattr(seeds, "HITS", 7)
+    got = list(block.places(2, np.array([1, 4, 0, 1]), np.array([5, 6, 7, 8])))  # AC, CA, AA, AC
+    assert max(len(p) for _, p in got) == 7
+    want = [(r, 40 + i) for r in (5, 8) for i in (*range(0, 60, 2), 60)] + [(6, 40 + i) for i in range(1, 59, 2)]
+    assert sorted((r, p) for x, y in got for r, p in zip(x.tolist(), y.tolist(), strict=True)) == sorted(want)
+
+
 def test_searches_take_the_documents_divisible_by_100(spark, tmp_path):
     docs = spark.range(0, 1001).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
