@@ -332,6 +332,13 @@ def test_searches_take_the_documents_divisible_by_100(spark, tmp_path):
     assert sorted(r["name"] for r in target_queries._mirs(registry.Views(spark, str(tmp_path))).collect()) == sorted(f"mS{i}" for i in range(0, 1001, 100))
 
 
+def test_the_search_with_gaps_takes_every_document(spark, tmp_path):
+    docs = spark.range(1, 31).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("s"), "id").alias("source"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["J22_gapped"](spark, str(tmp_path)).collect()
+    assert {(f"mS{i}", f"S{i}") for i in range(1, 31)} <= {(r["mir"], r["name"]) for r in got}
+
+
 def test_best_cleavage_once_for_each_end(spark):
     """Targets that share an end are no rows of their own until the end; an id of several ends keeps its best."""
     rng = random.Random(2)
