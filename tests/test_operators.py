@@ -1029,6 +1029,38 @@ def test_points_are_numbered_as_islands_from_one_reading(spark, tmp_path):
     assert plan.count(f"{tmp_path}/best") <= 1  # what the clusters rest on isn't computed for the numbers and again for the rows
 
 
+def test_sums_of_points_are_those_of_numbered_points(spark):
+    from tagloom.operators.islands import number_points, sum_points
+
+    rng = random.Random(6)
+    rows_ = [(c, s, p, rng.randrange(1, 4), p // 50) for c in (1, 2, None) for s in "wc" for p in {rng.randrange(3000) for _ in range(60)}] + [(1, "w", None, 1, None)]
+    df = spark.createDataFrame(rows_, "chr long, strand string, pos long, n long, b long")
+    for gap, block in ((10, None), (30, "b"), (100, "b")):
+        want = number_points(df, ["chr"], "pos", gap, "i").groupBy("chr", "i").agg(F.sum("n"))
+        got = sum_points(df, ["chr"], "pos", ("n",), gap, "i", 64, block).groupBy("chr", "i").agg(F.sum("n"))
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+
+def test_positions_have_the_sums_of_their_tags(spark):
+    """A tag's hits are its distinct places; records without a tag count for the position only."""
+    records = [("A", 21, 1, "w", 5, 10), ("A", 21, 1, "w", 5, 6), ("A", 21, 2, "c", 70_000, 4), ("B", 22, 1, "w", 5, 3), (None, 21, 1, "w", 5, 9), (None, 20, 1, "w", 9, 2)]
+    got = phasing.tag_positions(spark.createDataFrame(records, "tag string, len int, chr long, strand string, pos long, abun long"), 21)
+    got = [tuple(r) for r in got.select("chr", "strand", "pos", "n", "main", "total", "hits", "n_tags", "norm").orderBy("chr", "pos").collect()]
+    assert got == [(1, "w", 5, 4, 16, 19, 5, 3, 11.0), (1, "w", 9, 1, 0, 0, 0, 0, 0.0), (2, "c", 70_000, 1, 4, 4, 2, 1, 2.0)]
+
+
+def test_acceptance_shuffles_islands_and_not_their_points(spark):
+    from tagloom.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    v = registry.Views(spark, sf)
+    points = v.tag_position.select("chr", "strand", "pos").distinct().count()
+    got = catalog.queries()["A15"](spark, sf)
+    assert most_rows(got) < points and got.count() > 0
+
+
 def test_registers_in_one_shuffle_are_those_of_the_steps(spark):
     rng = random.Random(8)
     rows = {(c, s, rng.randrange(1, 2500)) for c in (1, 2) for s in "wc" for _ in range(250)} | {(1, "w", 40 + 21 * k) for k in range(30)} | {(1, "c", 38 + 21 * k) for k in range(30)} | {(1, "c", p) for p in (1, 2, 3)}
