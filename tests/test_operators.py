@@ -1061,6 +1061,19 @@ def test_acceptance_shuffles_islands_and_not_their_points(spark):
     assert most_rows(got) < points and got.count() > 0
 
 
+def test_clusters_are_formed_at_each_of_the_ten_cutoffs(spark):
+    from tagloom.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    ten = (5e-3, 1e-3, 5e-4, 1e-4, 5e-5, 1e-5, 5e-6, 1e-6, 5e-7, 1e-7)
+    best = [r["best_p"] for r in catalog.queries()["W9"](spark, sf).select("best_p").collect()]
+    got = {r["cut"]: r["count"] for r in catalog.queries()["W7"](spark, sf).groupBy("cut").count().collect()}
+    want = {c: sum(p <= c for p in best) for c in (0.9, 0.5, 0.2, *ten)}
+    assert got == {c: n for c, n in want.items() if n} and any(want[c] for c in ten)
+
+
 def test_registers_in_one_shuffle_are_those_of_the_steps(spark):
     rng = random.Random(8)
     rows = {(c, s, rng.randrange(1, 2500)) for c in (1, 2) for s in "wc" for _ in range(250)} | {(1, "w", 40 + 21 * k) for k in range(30)} | {(1, "c", 38 + 21 * k) for k in range(30)} | {(1, "c", p) for p in (1, 2, 3)}
