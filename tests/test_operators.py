@@ -1074,6 +1074,16 @@ def test_clusters_are_formed_at_each_of_the_ten_cutoffs(spark):
     assert got == {c: n for c, n in want.items() if n} and any(want[c] for c in ten)
 
 
+def test_run_summary_counts_accepted_clusters_and_their_reads(spark):
+    """Clusters of too few of the size or of tags with too many hits don't count; a cluster in two blocks is one; a cutoff without clusters has a row."""
+    cols = "cut double, chr long, cl long, main long, total long, hits long, n_hits long, n_tags long, norm double"
+    sums = [(0.5, 1, 1, 90, 100, 4, 2, 2, 60.25), (0.5, 1, 2, 10, 100, 2, 2, 2, 100.0), (0.5, 1, 3, 99, 100, 44, 2, 2, 5.0), (0.5, 2, 1, 80, 100, 2, 1, 1, 50.0), (0.5, 2, 1, 100, 100, 3, 1, 1, 33.5), (0.1, 1, 1, 0, 100, 1, 1, 1, 9.0)]
+    df = spark.createDataFrame(sums, cols)
+    got = phasing.run_summary(df, (0.5, 0.1, 0.01), 24, 700.0, depth=1000)
+    assert sorted(map(tuple, got.collect())) == [(0.01, 24, 0, 0.0, 0), (0.1, 24, 0, 0.0, 0), (0.5, 24, 2, 143.75, 205)]
+    assert [r["scaled"] for r in phasing.run_summary(df, (0.5,), 24, None).collect()] == [0]
+
+
 def test_registers_in_one_shuffle_are_those_of_the_steps(spark):
     rng = random.Random(8)
     rows = {(c, s, rng.randrange(1, 2500)) for c in (1, 2) for s in "wc" for _ in range(250)} | {(1, "w", 40 + 21 * k) for k in range(30)} | {(1, "c", 38 + 21 * k) for k in range(30)} | {(1, "c", p) for p in (1, 2, 3)}
