@@ -1084,6 +1084,18 @@ def test_run_summary_counts_accepted_clusters_and_their_reads(spark):
     assert [r["scaled"] for r in phasing.run_summary(df, (0.5,), 24, None).collect()] == [0]
 
 
+def test_clusters_are_looked_up_after_the_windows(spark):
+    """Small clusters go and the others keep their numbers, across blocks too; no row but those of the table of clusters is shuffled for it."""
+    rng = random.Random(13)
+    at = [(c, s, 65_000 + p) for c in (1, 2) for s in "wc" for p in {rng.randrange(1500) for _ in range(80)}] + [(1, "w", 10), (1, "c", 300), (1, "w", 200_000), (2, "w", 131_000), *((2, "c", 131_500 + 21 * k) for k in range(12))]
+    records = [(f"t{i % 7}", 21, c, s, p, i) for i, (c, s, p) in enumerate(at)]
+    df = spark.createDataFrame(records, "tag string, len int, chr long, strand string, pos long, abun long")
+    want = phasing.best_registers(phasing.occupied_clusters(df), 21)
+    got = phasing.best_of_positions(phasing.tag_positions(df, 21), 21)
+    assert 0 < want.count() < len(at) and want.select("cluster").distinct().count() > 1
+    assert rows(got.select(*want.columns)) == rows(want)
+
+
 def test_registers_in_one_shuffle_are_those_of_the_steps(spark):
     rng = random.Random(8)
     rows = {(c, s, rng.randrange(1, 2500)) for c in (1, 2) for s in "wc" for _ in range(250)} | {(1, "w", 40 + 21 * k) for k in range(30)} | {(1, "c", 38 + 21 * k) for k in range(30)} | {(1, "c", p) for p in (1, 2, 3)}
